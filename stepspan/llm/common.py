@@ -63,6 +63,13 @@ def _clean() -> None:
             return
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, since a row here holds a whole text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def maybe_broadcast(small: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint behind a check of the counted rows; beyond it the join stays a shuffle join."""
     return F.broadcast(small) if rows <= most else small

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Pre-tokens sent to every task, and the longest of them in bytes: 100,000 x 64 bytes at most.
 HEAD, HEAD_BYTES = 100_000, 64
@@ -44,10 +44,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-            if text:
-                seen.update(chunks(text))
-            if len(seen) > 400_000:
+        for i in range(0, batch.num_rows, 128):
+            for text in batch.column(0).slice(i, 128).cast(pa.large_binary()).to_pylist():
+                if text:
+                    seen.update(chunks(text))
+            if len(seen) > 200_000:
                 yield from given(seen)
                 seen = Counter()
     yield from given(seen)
@@ -55,14 +56,17 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pieces(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work; threads of the library only cost memory
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 words = [w.decode("utf-8", "replace") for w in part.column(0).to_pylist()]
                 got = [len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(got, pa.int32())], names=["chunk", "n", "pieces"])
@@ -72,25 +76,25 @@ def _pieces(path: str):
 
 def _counted(head):
     """(doc_id, n_bytes, head_tokens, rest): what the head gives, and the other chunks with their frequencies."""
-    kind = pa.list_(pa.struct([("chunk", pa.binary()), ("f", pa.int32())]))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                sizes, sums, rest = [], [], []
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                sizes, sums, ends, words, often = [], [], [0], [], []
                 for text in part.column(1).cast(pa.large_binary()).to_pylist():
-                    total, other = 0, []
+                    total = 0
                     for w, f in Counter(chunks(text or b"")).items():
                         if (p := known.get(w)) is None:
-                            other.append({"chunk": w, "f": f})
+                            words.append(w)
+                            often.append(f)
                         else:
                             total += p * f
                     sizes.append(len(text or b""))
                     sums.append(total)
-                    rest.append(other)
-                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, kind)], names=["doc_id", "n_bytes", "head_tokens", "rest"])
+                    ends.append(len(words))
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(often, pa.int32())], ["chunk", "f"]))
+                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), rest], names=["doc_id", "n_bytes", "head_tokens", "rest"])
 
     return count
 
@@ -98,6 +102,7 @@ def _counted(head):
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row a document."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     vocabulary = docs.select("text").mapInArrow(_vocabulary, "chunk binary, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
     vocabulary = staged(vocabulary.mapInArrow(_pieces(tokenizer_path), "chunk binary, n bigint, pieces int"), "vocabulary")
