@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_counts, url_filters
+from . import mixing, near_dedup, token_counts, url_filters
 from .common import table
 
 
@@ -23,5 +23,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_url_filters": op5_url_filters, "op10_token_counts": op10_token_counts}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op5_url_filters": op5_url_filters, "op9_near_dedup": op9_near_dedup, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": mixing.SQL}
