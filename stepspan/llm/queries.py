@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, token_counts, url_filters
+from . import language_id, mixing, near_dedup, quality, token_counts, url_filters
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = url_filters.outcomes_of(table(spark, sf_dir, "labels"))
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
@@ -27,5 +35,5 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_url_filters": op5_url_filters, "op9_near_dedup": op9_near_dedup, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op5_url_filters": op5_url_filters, "op9_near_dedup": op9_near_dedup, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": mixing.SQL}
