@@ -5,10 +5,7 @@ spaced, truncated minimum K_i = floor(1 - log_b(min h_i)) with h_i exponential o
 smaller the minimum, so sketches of parts merge by maximum. Bands of registers give candidate pairs, a joint likelihood
 of (greater, smaller, equal) registers drops the clearly different ones, and the full sets decide.
 
-Texts with equal sets are one class. Within a band's bucket classes are compared with pivots, a bounded number per
-bucket and round, not each with each: classes joined by a link need no further comparison, and a pivot has seen its whole
-bucket and leaves it. Rounds go on until no bucket holds classes of two components, so no link is lost to a bucket's size
-and no group is ever gathered or expanded into all its pairs.
+Texts with equal sets are one class. The classes of a bucket meet in rounds, through pivots (see pairs.py).
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; a text of fewer than five words
 is one shingle. A row with a null doc_id is linked with nothing: component_id null, kept true. Rows with one doc_id are
@@ -28,14 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, small_batches, staged, unstage
 from .components import connected_components
+from .pairs import BROADCAST_ROWS, bucket_links, confirmed, shared_buckets
 
 WORDS, PERCENT = 5, 75
 #: Registers, registers a band, base and rate of the sketch. 32 bands of 4 miss a pair of similarity 0.75 once in 190,000.
 M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 #: Pairs estimated this far below the limit are dropped: 5 standard errors of 128 registers.
 MARGIN = 0.2
-#: Pivots in a bucket in one round, and the most rows of a broadcast (24 bytes each).
-PIVOTS, BROADCAST_ROWS = 32, 500_000
 
 _random = np.random.default_rng(20)
 _MULTIPLY = _random.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)
@@ -137,54 +133,22 @@ def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Se
     return pd.Series(joint_similarity(x, y, na.to_numpy(float), nb.to_numpy(float)))
 
 
-def _alike_in_size() -> F.Column:
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-
-
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """classes: (c, doc_id, th, n, regs), one row per distinct set; docs: (doc_id, th, text). -> (a, b), class ids."""
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda i: F.xxhash64(F.substring("regs", i * 2 * ROWS + 1, F.lit(2 * ROWS)), i)))
-    bands = classes.select("c", "n", band.alias("key"))
-    buckets = staged(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "buckets")
-    members = staged(bands.join(maybe_broadcast(buckets, buckets.count(), BROADCAST_ROWS), "key", "left_semi"), "members")
+    members = shared_buckets(classes.select("c", "n", band.alias("key")))
     wanted = staged(members.select("c").distinct().join(classes.select("c", "doc_id", "th"), "c"), "wanted")
     rows = docs.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), ["doc_id", "th"]).select("c", "text").mapInArrow(_sets, "c bigint, shingles array<bigint>")
-    sets = staged(rows, "sets")  # repeated rows give equal sets; pairs are made distinct after the join
-    sketches = classes.select("c", "regs")
-    found, tested, labels, at = None, None, None, 0
-    live = members
-    while True:
-        pivots = live.groupBy("key", F.pmod(F.xxhash64("c", F.lit(at)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("c", "n", *([] if labels is None else ["component"]))).alias("p")).drop("slot")
-        pivots = staged(pivots, "pivots")
-        apart = F.col("p.c") != F.col("c")
-        if labels is not None:
-            apart &= F.col("p.component") != F.col("component")
-        both = live.join(pivots, "key").filter(apart).select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
-        pairs = both.filter(_alike_in_size()).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        ends = [classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]
+    sets = staged(rows, "sets")  # repeated rows give equal sets
+    ends = [classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]
+
+    def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("j", _estimate("ra", "rb", "na", "nb"))
-        near = staged(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b", "na", "nb"), "near")
-        full = [sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
-        common = F.size(F.array_intersect("sa", "sb"))
-        sure = near.join(full[0], "a").join(full[1], "b").filter(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b")
-        sure = staged(sure, "links")
-        found = sure if found is None else found.unionByName(sure)
-        labels = connected_components(found)
-        # pivots have met their whole bucket; buckets whose classes are all of one component are done
-        live = live.select("key", "c", "n").join(pivots.select("key", F.col("p.c").alias("c")), ["key", "c"], "left_anti")
-        live = live.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("component"))
-        live = staged(live, "live")
-        mixed = staged(live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-        n = mixed.count()
-        if not n:
-            unstage(sets)
-            return found
-        live = staged(live.join(maybe_broadcast(mixed, n, BROADCAST_ROWS), "key", "left_semi"), "live")
-        at += 1
+        return confirmed(staged(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b"), "near"), sets, PERCENT)
+
+    found = bucket_links(members, verify, PERCENT)
+    unstage(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

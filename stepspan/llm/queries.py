@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, quality, token_counts, url_filters
+from . import language_id, line_dedup, mixing, near_dedup, quality, token_counts, url_filters
 from .common import table
 
 
@@ -31,9 +31,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op5_url_filters": op5_url_filters, "op9_near_dedup": op9_near_dedup, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op9_near_dedup": op9_near_dedup, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": mixing.SQL}
