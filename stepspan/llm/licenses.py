@@ -42,7 +42,7 @@ TEMPLATES = {
 }
 
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def normal(text: bytes | None) -> bytes:
@@ -64,8 +64,8 @@ def winnowed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, factor, step = data.astype(np.uint64), _BASE, 1
     while step < GRAM:
-        h = h[:-step] * factor + h[step:]
-        factor, step = factor * factor, step * 2
+        h = h[:-step] * np.uint64(factor) + h[step:]
+        factor, step = factor * factor % 2**64, step * 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     window = min(WINDOW, 1 << (len(h).bit_length() - 1))
