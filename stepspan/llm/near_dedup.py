@@ -22,16 +22,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import maybe_broadcast, small_batches, staged, unstage
 from .components import connected_components
 from .pairs import BROADCAST_ROWS, bucket_links, confirmed, shared_buckets
 
 WORDS, PERCENT = 5, 75
-#: Registers, registers a band, base and rate of the sketch. 32 bands of 4 miss a pair of similarity 0.75 once in 190,000.
-M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
-#: Pairs estimated this far below the limit are dropped: 5 standard errors of 128 registers.
-MARGIN = 0.2
+#: Registers, registers a band, base and rate of the sketch. 32 bands of 5 miss a pair of similarity 0.75 once in 5,700.
+M, ROWS, BASE, RATE = 160, 5, 1.001, 20.0
+#: Pairs estimated this far below the limit are dropped: 4 standard errors of 160 registers.
+MARGIN = 0.14
 
 _random = np.random.default_rng(20)
 _MULTIPLY = _random.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)
@@ -125,7 +126,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarra
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
@@ -144,7 +145,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("j", _estimate("ra", "rb", "na", "nb"))
-        return confirmed(staged(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b"), "near"), sets, PERCENT)
+        return confirmed(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b"), sets, PERCENT)
 
     found = bucket_links(members, verify, PERCENT)
     unstage(sets)

@@ -1,8 +1,9 @@
 """Links inside the buckets of locality-sensitive hashing, without expanding a bucket into all its pairs.
 
-In each round the members of a bucket are compared with PIVOTS of its members at most. Members joined by a link, through
-any bucket, need no further comparison; a pivot has met its whole bucket and leaves it. Rounds go on until no bucket holds
-members of two components, so a bucket's size costs no link.
+In each round the members of a bucket are compared with a bounded number of its members, its pivots: PIVOTS[0] in the
+first round, which joins groups of copies, PIVOTS[1] in the second, and so on. Members joined by a link, through any bucket,
+need no further comparison; a pivot has met its whole bucket and leaves it. Rounds go on until no bucket holds members of
+two components, so a bucket's size costs no link.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged, unstage
+from .common import maybe_broadcast, staged
 from .components import connected_components
 
-#: Pivots of a bucket in one round; the most rows of a broadcast (24 bytes each).
-PIVOTS, BROADCAST_ROWS = 32, 500_000
+#: Pivots of a bucket by round, the last for all further rounds; the most rows of a broadcast (24 bytes each).
+PIVOTS, BROADCAST_ROWS = (1, 16, 128), 500_000
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -40,28 +41,32 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     found, tested, at = [], [], 0
     live = members.withColumn("component", F.col("c"))
     while True:
-        slot = F.pmod(F.xxhash64("c", F.lit(at)), F.lit(PIVOTS))
+        slot = F.pmod(F.xxhash64("c", F.lit(at)), F.lit(PIVOTS[min(at, len(PIVOTS) - 1)]))
         pivots = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("c", "n", "component")).alias("p")).drop("slot")
         pivots = staged(pivots, "pivots")
         both = live.join(pivots, "key").filter("p.component <> component")
         both = both.filter(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
-        pairs = both.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
+        one = F.struct(F.col("c"), F.col("component").alias("g"))
+        two = F.struct(F.col("p.c").alias("c"), F.col("p.component").alias("g"))
+        pairs = both.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
         for earlier in tested:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        tested.append(pairs)
-        found.append(staged(verify(pairs), "links"))
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        labels = connected_components(every)
-        rest = live.select("key", "c", "n").join(pivots.select("key", F.col("p.c").alias("c")), ["key", "c"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("component"))
-        rest = staged(rest, "rest")
+        tested.append(pairs.select("a", "b"))
+        links = staged(pairs.join(verify(pairs.select("a", "b")), ["a", "b"]), "links")
+        found.append(links.select("a", "b"))
+        rest = live.join(pivots.select("key", F.col("p.c").alias("c")), ["key", "c"], "left_anti")
+        if not links.isEmpty():
+            moved = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+            rest = rest.join(moved.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+            rest = rest.select("key", "c", "n", F.coalesce("now", "component").alias("component"))
+        rest = staged(rest.select("key", "c", "n", "component"), "rest")
         mixed = staged(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         n = mixed.count()
         if not n:
+            every = found[0]
+            for more in found[1:]:
+                every = every.unionByName(more)
             return every
-        live = staged(rest.join(maybe_broadcast(mixed, n, BROADCAST_ROWS), "key", "left_semi"), "live")
-        unstage(rest)
+        live = rest.join(maybe_broadcast(mixed, n, BROADCAST_ROWS), "key", "left_semi")
         at += 1
