@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
+
 
 def station_status(tracks: DataFrame) -> DataFrame:
     """PRJ-7. tracks: (station, status) -> (station, status): yes if all are, partial if some, no if all no, else unknown."""
@@ -170,11 +172,11 @@ def station_edges(quays: DataFrame, equipment: DataFrame, links: DataFrame) -> D
 def reachable_nodes(edges: DataFrame, roots: DataFrame, most_rounds: int = 50) -> DataFrame:
     """GRAPH-2. edges: (station, a, b) both ways; roots: (station, node). Nodes reached, by rounds of joins; each round is
     cut off from the last by a checkpoint. Raises if it has not ended after most_rounds."""
-    seen = roots.distinct().checkpoint()
+    seen = checkpointed(roots.distinct())
     front = seen
     for _ in range(most_rounds):
         after = edges.join(front.withColumnRenamed("node", "a"), ["station", "a"]).select("station", F.col("b").alias("node")).distinct()
-        front = after.join(seen, ["station", "node"], "left_anti").checkpoint()
+        front = checkpointed(after.join(seen, ["station", "node"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
