@@ -61,4 +61,4 @@ CORRECTIONS = strings("ns_code", "track", "status", "reason", "source", "date")
 
 # What a lift message and a journey message hold, without namespaces.
 FACILITY_MESSAGE = "struct<HeartbeatNotification:struct<Status:string>,FacilityCondition:array<struct<FacilityRef:string,FacilityStatus:struct<Status:string>,ValidityPeriod:struct<StartTime:string,EndTime:string>>>>"
-JOURNEY_MESSAGE = "struct<RitInfo:array<struct<TreinDatum:string,LogischeRit:array<struct<LogischeRitDeel:array<struct<LogischeRitDeelNummer:string,MaterieelDeel:array<struct<MaterieelDeelToegankelijk:string>>>>>>>>"
+JOURNEY_MESSAGE = "struct<RitInfo:array<struct<TreinDatum:string,LogischeRit:array<struct<LogischeRitDeel:array<struct<LogischeRitDeelNummer:string,MaterieelDeel:array<struct<MaterieelDeelToegankelijk:string>>>>>>>>>"
