@@ -1,29 +1,38 @@
 """Links inside the buckets of locality-sensitive hashing, without expanding a bucket into all its pairs.
 
-In each round the members of a bucket are compared with a bounded number of its members, its pivots: PIVOTS[0] in the
-first round, which joins groups of copies, PIVOTS[1] in the second, and so on. Members joined by a link, through any bucket,
-need no further comparison; a pivot has met its whole bucket and leaves it. Rounds go on until no bucket holds members of
-two components, so a bucket's size costs no link.
+First each bucket's members meet its pivot, the member that shares most with the rest (a base of many copies, if there is
+one). The members that met a pivot p are p's family. Members of a family that are of one component need no further
+comparison. For the others:
+
+Small families (SMALL members at most) are compared in pairs. In large ones, members are compared through what sets them
+apart from the pivot. With d(x) = x minus p and p minus x, the difference of x and y is that of d(x) and d(y). If x and y are
+linked it is at most B = (|x| + |y|) (1 - t) / (1 + t), so d(x) and d(y) share o = (|d(x)| + |d(y)| - B) / 2 elements or more,
+and by the prefix principle the first |d(x)| - o + 1 of d(x) and |d(y)| - o + 1 of d(y), rarest in the family first, share
+one. Elements of only one member match nobody and are left out; with a central pivot these are most of a prefix. d sizes
+are taken in classes, each with its own o. Every pair that a bucket holds is thus compared, or shown not to be a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, staged
 from .components import connected_components
 
-#: Pivots of a bucket by round, the last for all further rounds; the most rows of a broadcast (24 bytes each).
-PIVOTS, BROADCAST_ROWS = (1, 16, 128), 500_000
+#: Members of a family that are compared in pairs; the most rows of a broadcast (24 bytes each).
+SMALL, BROADCAST_ROWS = 16, 500_000
+#: Classes of difference sizes: each a tenth wider than the last.
+STEP = 1.1
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(key, c, ...) -> the rows of keys with two different c, staged."""
-    keys = staged(bands.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "buckets")
-    return staged(bands.join(maybe_broadcast(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi"), "members")
+    """(key, c, ...) -> the rows of keys with two different c, with the bucket's size as `mates`, staged."""
+    keys = staged(bands.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("mates")).filter("lo <> hi").select("key", "mates"), "buckets")
+    return staged(bands.join(maybe_broadcast(keys, keys.count(), BROADCAST_ROWS), "key"), "members")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -33,40 +42,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """members: (key, c, n) with n the size of c's set; verify: pairs (a, b) -> the linked ones. -> (a, b).
-
-    Links between members that are already of one component may be missing; the components are complete.
-    """
-    found, tested, at = [], [], 0
-    live = members.withColumn("component", F.col("c"))
-    while True:
-        slot = F.pmod(F.xxhash64("c", F.lit(at)), F.lit(PIVOTS[min(at, len(PIVOTS) - 1)]))
-        pivots = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("c", "n", "component")).alias("p")).drop("slot")
-        pivots = staged(pivots, "pivots")
-        both = live.join(pivots, "key").filter("p.component <> component")
-        both = both.filter(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
-        one = F.struct(F.col("c"), F.col("component").alias("g"))
-        two = F.struct(F.col("p.c").alias("c"), F.col("p.component").alias("g"))
-        pairs = both.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested.append(pairs.select("a", "b"))
-        links = staged(pairs.join(verify(pairs.select("a", "b")), ["a", "b"]), "links")
-        found.append(links.select("a", "b"))
-        rest = live.join(pivots.select("key", F.col("p.c").alias("c")), ["key", "c"], "left_anti")
-        if not links.isEmpty():
-            moved = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-            rest = rest.join(moved.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
-            rest = rest.select("key", "c", "n", F.coalesce("now", "component").alias("component"))
-        rest = staged(rest.select("key", "c", "n", "component"), "rest")
-        mixed = staged(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-        n = mixed.count()
-        if not n:
-            every = found[0]
-            for more in found[1:]:
-                every = every.unionByName(more)
-            return every
-        live = rest.join(maybe_broadcast(mixed, n, BROADCAST_ROWS), "key", "left_semi")
-        at += 1
+def _class_of(size: Column) -> Column:
+    return F.floor(F.log(size + 1.0) / log(STEP) + 1e-9).cast("int")
+
+
+def _least_of(cls: Column) -> Column:
+    """A size that no member of the class is below."""
+    return F.floor(F.pow(F.lit(STEP), cls) - 1 - 1e-6)
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """(a, b) of different components that meet on `on`, alike enough in size; distinct."""
+    x = left.select(*on, F.col("c").alias("x"), F.col("n").alias("nx"), F.col("component").alias("gx")).join(right.select(*on, F.col("c").alias("y"), F.col("n").alias("ny"), F.col("component").alias("gy")), on)
+    x = x.filter("gx <> gy").filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """family: (p, c, n, component, own: p's component, most: the largest n). Candidate pairs by prefixes of differences."""
+    share = (100 - percent) / (100 + percent)
+    a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
+    x = family.join(a, "c").join(b, "p")
+    d = F.concat(F.array_except("s", "sp"), F.array_except("sp", "s"))
+    x = staged(x.select("p", "c", "n", "component", "own", "most", F.size(d).alias("size"), F.explode_outer(d).alias("e")), "differences")
+    often = x.groupBy("p", "e").agg(F.count("*").alias("df"))
+    ordered = x.join(often, ["p", "e"], "left").groupBy("p", "c", "n", "component", "own", "most", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    # those that only this member has come first; they fill the prefix but match nobody
+    ordered = ordered.withColumn("alone", F.size(F.filter("es", lambda s: s["df"] == 1)))
+    ordered = staged(ordered.select("p", "c", "n", "component", "own", "most", "size", "alone", F.transform(F.filter("es", lambda s: s["df"] > 1), lambda s: s["e"]).alias("es"), _class_of(F.col("size")).alias("cls")), "ordered")
+    # the classes on either side, a few dozen per family at most
+    sides = ordered.groupBy("p").agg(F.collect_set("cls").alias("every"), F.collect_set(F.when(F.col("component") != F.col("own"), F.col("cls"))).alias("open"))
+    sides = staged(sides.filter("size(open) > 0"), "sides")
+
+    def emitted(rows: DataFrame, others: str) -> DataFrame:
+        y = rows.join(sides, "p").withColumn("other", F.explode(others))
+        bound = (F.col("n") + F.least("most", F.ceil(F.col("n") * 100 / percent))) * share
+        o = F.greatest(F.ceil((F.col("size") + _least_of(F.col("other")) - bound) / 2), F.lit(0))
+        y = y.filter(o <= F.least("size", F.pow(F.lit(STEP), F.col("other") + 1)))  # else they cannot share as much
+        length = F.greatest(F.col("size") - o + 1 - F.col("alone"), F.lit(0)).cast("int")
+        tokens = F.concat(F.slice("es", F.lit(1), length), F.when(o == 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.expr("array()").cast("array<bigint>")))
+        return y.select("p", "c", "n", "component", "cls", "other", F.explode(F.transform(tokens, lambda t: F.coalesce(t, F.lit(-1)))).alias("e"))
+
+    probes = emitted(ordered.filter("component <> own"), "every").select("p", "c", "n", "component", "e", F.col("cls").alias("k1"), F.col("other").alias("k2"))
+    index = emitted(ordered, "open").select("p", "c", "n", "component", "e", F.col("other").alias("k1"), F.col("cls").alias("k2"))
+    return _pairs(staged(probes, "probes"), staged(index, "index"), ["p", "e", "k1", "k2"], percent)
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """members: (key, c, n, mates) with n the size of c's set; sets: (c, shingles); verify: pairs (a, b) -> the linked ones.
+    -> (a, b): links whose components are those of all links between members of a bucket."""
+    score = staged(members.groupBy("c").agg(F.sum("mates").alias("score")), "scores")
+    scored = members.join(score, "c")
+    pivots = staged(scored.groupBy("key").agg(F.max(F.struct("score", "c", "n")).alias("p")).select("key", F.col("p.c").alias("p"), F.col("p.n").alias("np")), "pivots")
+    family = staged(members.join(pivots, "key").groupBy("p", "c", "n", "np").agg(F.count("*").alias("met")), "family")
+    met = family.filter("p <> c").filter(F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
+    first = staged(met.select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct(), "pairs")
+    links = staged(verify(first), "links")
+    labels = staged(connected_components(links), "labels")
+
+    def labelled(df: DataFrame, c: str, out: str) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left").withColumn(out, F.coalesce("__l", c)).drop("__l")
+
+    family = staged(labelled(labelled(family.select("p", "c", "n"), "c", "component"), "p", "own"), "family")
+    kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    kinds = staged(kinds.filter("lo <> hi").select("p", "members", "most"), "families")
+    live = staged(family.join(kinds, "p"), "live")
+    small, large = live.filter(F.col("members") <= SMALL), live.filter(F.col("members") > SMALL)
+    more = _pairs(small, small, ["p"], percent)
+    if not large.isEmpty():
+        more = more.unionByName(_through_pivot(large, sets, percent)).distinct()
+    more = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(staged(verify(more), "links"))
