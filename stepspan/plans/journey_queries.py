@@ -54,12 +54,12 @@ def join10_change_minutes(spark: SparkSession, sf: str) -> DataFrame:
 _THROUGH = "ends AS (SELECT trip, count(*) AS n, arg_max(station, seq) AS ls, arg_max(arr, seq) AS la, arg_min(station, seq) AS fs, arg_min(dep, seq) AS fd FROM calls GROUP BY trip), linked AS (SELECT a.trip AS from_trip, b.trip AS to_trip FROM ends a JOIN ends b ON b.trip = a.trip + 1 AND a.n >= 2 AND b.n >= 2 AND b.fd - a.la BETWEEN -200 AND 400)"
 
 
-@query(ad.sql(f"{_RULES}, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY trip) AS n, lead(station) OVER w AS nx, lag(station) OVER w AS pv FROM calls WINDOW w AS (PARTITION BY trip ORDER BY seq)), near AS (SELECT DISTINCT a.trip AS from_trip, b.trip AS to_trip FROM n a JOIN n b ON a.k = a.n AND a.n >= 2 AND b.k = 1 AND b.n >= 2 AND a.platform = b.platform AND b.dep - a.arr BETWEEN 0 AND 5 AND b.nx <> a.pv AND b.trip % 10 = 0), c AS (SELECT *, count(*) OVER (PARTITION BY from_trip) AS m FROM near) SELECT from_trip, to_trip FROM c WHERE m = 1"))
+@query(ad.sql(f"{_RULES}, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY trip) AS n, lead(station) OVER w AS nx, lag(station) OVER w AS pv FROM calls WINDOW w AS (PARTITION BY trip ORDER BY seq)), near AS (SELECT DISTINCT a.trip AS from_trip, b.trip AS to_trip FROM n a JOIN n b ON a.trip <> b.trip AND a.k = a.n AND a.n >= 2 AND b.k = 1 AND b.n >= 2 AND a.platform = b.platform AND b.dep - a.arr BETWEEN 0 AND 5 AND b.nx <> a.pv), c AS (SELECT *, count(*) OVER (PARTITION BY from_trip) AS m FROM near) SELECT from_trip, to_trip FROM c WHERE m = 1"))
 def route1_continuations(spark: SparkSession, sf: str) -> DataFrame:
-    """ROUTE-1 with a rule from every trip to every tenth that sets out where it ends."""
+    """ROUTE-1 with a rule from every trip to every trip that sets out where it ends."""
     calls = ad.calls(spark, sf)
     n = tt.neighbour_calls(calls)
-    rules = n.select(F.col("trip").alias("from_trip"), F.col("last_platform").alias("p")).join(n.filter("trip % 10 = 0").select(F.col("trip").alias("to_trip"), F.col("first_platform").alias("p")), "p").select("from_trip", "to_trip", F.lit("possible").alias("kind"))
+    rules = n.select(F.col("trip").alias("from_trip"), F.col("last_platform").alias("p")).join(n.select(F.col("trip").alias("to_trip"), F.col("first_platform").alias("p")), "p").select("from_trip", "to_trip", F.lit("possible").alias("kind")).filter("from_trip <> to_trip")
     return jo.continuations(calls, rules)
 
 
