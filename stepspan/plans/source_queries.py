@@ -83,3 +83,83 @@ def snk4_fn9_station_documents(spark: SparkSession, sf: str) -> DataFrame:
 def src6_newer_wins(spark: SparkSession, sf: str) -> DataFrame:
     c = ad.table(spark, sf, "customer")
     return files.newer_wins(c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("status")), c.select(F.col("c_custkey").alias("code"), F.lit("old").alias("status")), "code")
+
+
+@query("SELECT upper(printf('N%02d', n_nationkey)) AS code, n_regionkey::VARCHAR AS country, CASE WHEN n_nationkey % 4 > 0 THEN (n_nationkey % 4 + 2)::INT END AS minutes, n_name AS name FROM nation")
+def src2_fixed_order(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-2: stations as a fixed-order file with blanks around the fields, and back; a bad number gives null."""
+    at = _folder(spark, "fixed")
+    n = F.col("n_nationkey")
+    pad = [F.concat(F.lit(" "), c, F.lit(" ")) for c in (F.format_string("n%02d", n), F.col("n_regionkey").cast("string"), F.when(n % 4 > 0, (n % 4 + 2).cast("string")).otherwise("x"), F.col("n_name"))]
+    lines = F.concat_ws(",", *pad).alias("value")
+    ad.table(spark, sf, "nation").select(lines).coalesce(1).write.option("ignoreLeadingWhiteSpace", False).mode("overwrite").text(f"{at}/body")
+    body = spark.read.text(f"{at}/body")
+    spark.createDataFrame([("@header",)], "value string").unionByName(body).coalesce(1).write.text(f"{at}/file")
+    return files.fixed_order(spark, f"{at}/file")
+
+
+@query("SELECT 'N' || s_nationkey AS station, string_agg(DISTINCT 'a' || (s_suppkey % 5)::VARCHAR, '|' ORDER BY 'a' || (s_suppkey % 5)::VARCHAR) AS attributes, bool_or(s_suppkey % 5 = 2) AS a2 FROM supplier GROUP BY 1")
+def src3_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-3: suppliers as a sectioned text by nation, and back."""
+    at = _folder(spark, "sections")
+    s = ad.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.concat(F.lit("-a"), (F.col("s_suppkey") % 5).cast("string"))).alias("x"))
+    s.select(F.concat_ws("\n", F.concat(F.lit("#n"), F.col("s_nationkey").cast("string")), "x").alias("value")).write.text(at)
+    x = files.sections(spark, at)
+    return files.flags(x, ["a2"]).join(x, "station").select("station", F.array_join("attributes", "|").alias("attributes"), "a2")
+
+
+@query("SELECT printf('N%02d', n_nationkey) AS code, CASE WHEN n_nationkey % 3 > 0 THEN 'status ' || n_regionkey END AS status FROM nation")
+def src5_register(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-5: a register with a second header row and lines of uneven length, and back."""
+    at = _folder(spark, "register")
+    n = F.col("n_nationkey")
+    line = F.concat(F.format_string(" n%02d ", n), F.lit(";"), "n_name", F.when(n % 3 > 0, F.concat(F.lit("; status "), F.col("n_regionkey").cast("string"), F.lit(" "))).otherwise(""))
+    ad.table(spark, sf, "nation").select(line.alias("value")).write.text(f"{at}/body")
+    head = spark.createDataFrame([("CODE;NAME;STATUS\n(code);(name);(status)",)], "value string")
+    head.unionByName(spark.read.text(f"{at}/body")).coalesce(1).write.text(f"{at}/file")
+    return files.register(spark, f"{at}/file")
+
+
+@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'elevator' ELSE 'station' END AS kind, s_suppkey::VARCHAR AS id, s_suppkey / 8.0 AS lat, CASE WHEN s_suppkey % 3 > 0 AND s_suppkey % 5 > 0 THEN 'S' || s_suppkey END AS name FROM supplier")
+def src8_map_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-8: suppliers as one nested JSON of map elements, and back."""
+    at = _folder(spark, "map")
+    k = F.col("s_suppkey")
+    tags = F.when(k % 3 == 0, F.create_map(F.lit("highway"), F.lit("elevator"))).otherwise(F.create_map(F.lit("railway"), F.lit("station"), F.lit("name"), F.when(k % 5 > 0, F.concat(F.lit("S"), k.cast("string"))).otherwise("")))
+    where = F.when(k % 2 == 0, F.struct((k / 8.0).alias("lat"), (k / 4.0).alias("lon")))
+    element = F.struct(k.cast("string").alias("id"), F.when(k % 2 > 0, k / 8.0).alias("lat"), F.when(k % 2 > 0, k / 4.0).alias("lon"), where.alias("center"), tags.alias("tags"))
+    per_nation = ad.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("value"))
+    per_nation.select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(at)
+    stations, lifts = files.osm_elements(spark, at)
+    return stations.select(F.lit("station").alias("kind"), "id", "lat", "name").unionByName(lifts.select(F.lit("elevator").alias("kind"), "id", "lat", F.lit(None).cast("string").alias("name")))
+
+
+@query(ad.sql("SELECT date::VARCHAR AS date, train::VARCHAR AS train, max(mark) AS mark FROM marks GROUP BY ALL"))
+def src10_journey_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-10: a journey message per train and day, with a unit per mark, decoded again: N if any unit is N."""
+    unit = F.concat(F.lit("<n:MaterieelDeel><n:MaterieelDeelToegankelijk>"), "mark", F.lit("</n:MaterieelDeelToegankelijk></n:MaterieelDeel>"))
+    m = ad.marks(spark, sf).groupBy("date", "train").agg(F.array_join(F.collect_list(unit), "").alias("x"))
+    body = F.concat(F.lit('<n:M xmlns:n="urn:x"><n:RitInfo><n:TreinDatum>'), F.col("date").cast("string"), F.lit("</n:TreinDatum><n:LogischeRit><n:LogischeRitDeel><n:LogischeRitDeelNummer>"), F.col("train").cast("string"), F.lit("</n:LogischeRitDeelNummer>"), "x", F.lit("</n:LogischeRitDeel></n:LogischeRit></n:RitInfo></n:M>"))
+    return files.journey_marks(m.select(F.col("train").alias("id"), F.encode(body, "UTF-8").alias("body"))).select("date", "train", "mark")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 1000)::VARCHAR END AS track, count(*) AS n FROM customer GROUP BY 1")
+def src12_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-12: corrections as CSV, and back; blank tracks are null."""
+    at = _folder(spark, "corrections")
+    k = F.col("c_custkey")
+    c = ad.table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("ns_code"), F.when(k % 3 > 0, (k % 1000).cast("string")).otherwise("").alias("track"), F.lit("yes").alias("status"), F.lit("r").alias("reason"), F.lit("s").alias("source"), F.lit("2026-10-01").alias("date"))
+    c.write.option("header", True).option("emptyValue", "").csv(at)
+    return files.corrections(spark, at).groupBy("track").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey AS code, n_name AS name FROM nation")
+def snk2_snk5_published(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-2, SNK-5: a sorted CSV, and a table published after its checks; read from the pointer."""
+    from ..operators import quality
+
+    at = _folder(spark, "publish")
+    n = ad.table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    files.write_sorted_csv(n, f"{at}/csv", "name")
+    files.publish({"stations": n}, at, "run-1", {"enough": quality.too_few(n, 1)})
+    return files.current(spark, at, "stations")
