@@ -80,12 +80,21 @@ def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFram
         o = F.greatest(F.ceil((F.col("size") + _least_of(F.col("other")) - bound) / 2), F.lit(0))
         y = y.filter(o <= F.least("size", F.pow(F.lit(STEP), F.col("other") + 1)))  # else they cannot share as much
         length = F.greatest(F.col("size") - o + 1 - F.col("alone"), F.lit(0)).cast("int")
-        tokens = F.concat(F.slice("es", F.lit(1), length), F.when(o == 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.expr("array()").cast("array<bigint>")))
-        return y.select("p", "c", "n", "component", "cls", "other", F.explode(F.transform(tokens, lambda t: F.coalesce(t, F.lit(-1)))).alias("e"))
-
-    probes = emitted(ordered.filter("component <> own"), "every").select("p", "c", "n", "component", "e", F.col("cls").alias("k1"), F.col("other").alias("k2"))
-    index = emitted(ordered, "open").select("p", "c", "n", "component", "e", F.col("other").alias("k1"), F.col("cls").alias("k2"))
-    return _pairs(staged(probes, "probes"), staged(index, "index"), ["p", "e", "k1", "k2"], percent)
+        places = F.transform(F.slice("es", F.lit(1), length), lambda e, i: F.struct(e.alias("e"), (i + F.col("alone")).alias("at")))
+        none = F.array(F.struct(F.lit(-1).cast("bigint").alias("e"), F.lit(-1).alias("at")))  # for pairs that need share nothing
+        y = y.select("p", "c", "n", "component", "size", "cls", "other", F.explode(F.when(o == 0, F.concat(places, none)).otherwise(places)).alias("x"))
+        return y.select("p", "c", "n", "component", "size", "cls", "other", "x.e", "x.at")
+
+    probes = staged(emitted(ordered.filter("component <> own"), "every"), "probes")
+    index = staged(emitted(ordered, "open"), "index")
+    sides_of = [probes.select("p", "e", F.col("cls").alias("k1"), F.col("other").alias("k2"), *[F.col(c).alias(f"{c}_x") for c in ("c", "n", "component", "size", "at")]), index.select("p", "e", F.col("other").alias("k1"), F.col("cls").alias("k2"), *[F.col(c).alias(f"{c}_y") for c in ("c", "n", "component", "size", "at")])]
+    # the bounds of this very pair: both places lie in its prefixes, and enough may still follow
+    o = F.ceil((F.col("size_x") + F.col("size_y") - (F.col("n_x") + F.col("n_y")) * share - 1e-9) / 2)
+    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) + F.least("at_x", "at_y")
+    fits = F.when(F.col("e") == -1, o <= 0).otherwise((F.col("at_x") <= F.col("size_x") - o) & (F.col("at_y") <= F.col("size_y") - o) & (left >= o))
+    alike = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    met = sides_of[0].alias("x").join(sides_of[1].alias("y"), ["p", "e", "k1", "k2"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
+    return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
