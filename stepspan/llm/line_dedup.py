@@ -1,7 +1,9 @@
 """Line dedup across documents, exact and fuzzy, in DataFrame functions only.
 
 Equal lines are one class. The shingle set of a line: the SHINGLE characters from each word's start on (anchored at words,
-so that a line costs one shingle a word and shifts do not matter). A MinHash signature of BANDS x ROWS minima is computed
+so that a line costs one shingle a word and shifts do not matter), and in words longer than SHINGLE, such as URLs or text
+written without spaces, every SHINGLE characters inside the word, so that each character is in some shingle. Linked lines
+are alike both in the whole set and in the part of it that is anchored at words. A MinHash signature of BANDS x ROWS minima is computed
 by one aggregation; bands of it give buckets, the buckets' members are compared by the exact Jaccard similarity of their
 sets, and a distributed union-find joins them. Of each component the first line stays, by (doc_id, position); a null
 doc_id comes last.
@@ -31,9 +33,26 @@ _FACTORS = [random.Random(6).sample(range(2**29, 2**30), BANDS * ROWS)[i] * 2 +
 
 
 def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(r"(?s)(?=((?<![^ \t])[^ \t].{0,%d}|[^ \t]{%d}))" % (SHINGLE - 1, SHINGLE)), F.lit(1))
+
+
+def anchored(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"(?s)(?<![^ \t])(?=([^ \t].{0,%d}))" % (SHINGLE - 1)), F.lit(1))
 
 
+def _set_of(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) alike in their whole sets and, where a word is long, in the anchored ones too."""
+    found = confirmed(pairs, sets, PERCENT)
+    a, b = (sets.select(F.col("c").alias(x), F.col("long").alias(f"long{x}"), F.coalesce("anchored", "shingles").alias(f"s{x}")) for x in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT
+    return found.join(a, "a").join(b, "b").filter(~(F.col("longa") | F.col("longb")) | alike).select("a", "b")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, pos, line, c: lines that count; c stands for the line's text."""
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -57,9 +76,9 @@ def line_links(docs: DataFrame) -> DataFrame:
     wanted = staged(members.select("c").distinct(), "wanted")
     texts = lines.select("c", "line").join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c", "left_semi")
     texts = texts.groupBy("c").agg(F.min("line").alias("line"))
-    sets = staged(texts.select("c", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles")), "sets")
+    sets = staged(texts.withColumn("long", F.col("line").rlike(r"[^ \t]{%d}" % (SHINGLE + 1))).select("c", "long", _set_of(shingles(F.col("line"))).alias("shingles"), F.when(F.col("long"), _set_of(anchored(F.col("line")))).alias("anchored")), "sets")
     sized = staged(members.drop("n").join(sets.select("c", F.size("shingles").alias("n")), "c"), "members")
-    found = bucket_links(sized, sets, lambda pairs: confirmed(pairs, sets, PERCENT), PERCENT)
+    found = bucket_links(sized, sets, lambda pairs: _confirmed(pairs, sets), PERCENT)
     unstage(sets, members)
     return found
 

@@ -290,6 +290,19 @@ def test_repeated_rows_of_lines_are_one_document(spark):
     assert sorted(zip(got.doc_id, got.n_gone)) == [(1, 0), (1, 0), (2, 2)]
 
 
+def test_lines_without_spaces_are_compared_whole(spark):
+    r = random.Random(10)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(80))
+    long = "".join(r.choice("abcdefgh") for _ in range(200))
+    lines = ["https://www.a.org/x", "https://www.b.net/y", "2024-01-01,5,7", "2024-01-01,9,3", han, han[:10] + han[:9:-1], long, long[:150] + "x" + long[151:], long[:20] + long[:19:-1], "see " + long[:60], "see " + long[:10] + long[60:110]]
+    # by (doc_id, position) the near copy of `long` and the second copy of the first line go; what only begins alike stays
+    docs = spark.createDataFrame([*enumerate(lines), (100, lines[0] + "\nhttps://www.a.org/z/other/page")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_gone, r.text) for r in line_dedup.line_report(docs).collect()}
+    assert {i for i, (n, _) in got.items() if n} == {7, 100}
+    assert got[100] == (1, "https://www.a.org/z/other/page")
+    assert {r[0] for r in line_dedup.drop_repeated_lines(docs).collect()} == {*range(len(lines)), 100} - {7}
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
