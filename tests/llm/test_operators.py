@@ -192,6 +192,18 @@ def test_decontamination_recall():
         assert all((d, k) in set(enumerate(chosen)) for d, k in found)  # no other item is reported
 
 
+def test_verbatim_items_with_one_seed_or_no_spaces_are_found():
+    r = random.Random(12)
+    han = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (5, 12, 13, 40, 200)]
+    items = ["capital of france", "of the x", "user_account_identifier_v2", "https://www.example.org/a/b?c=d", *han, *(prose(40, r) for _ in range(20))]
+    index = decontamination.Index(list(enumerate(items)))
+    around = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    texts = [f"{around}{t}{around}" if t in han else f"{prose(30, r)} {t} {prose(30, r)}" for t in items]
+    texts += [f'{prose(30, r)} ("{items[0]}") {prose(30, r)}', prose(60, r), around]
+    found = {(m[0], m[1], m[4]) for m in index.matches(texts)}
+    assert found == {(k, k, 0) for k in range(len(items))} | {(len(items), 0, 0)}
+
+
 def test_decontamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly measure the boiling kettle"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny bit"), (None, prose(20))], "item_id bigint, text string")
