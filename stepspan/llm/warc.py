@@ -5,8 +5,8 @@ its own; a manifest lists the files of the tasks that succeeded, so a lost execu
 unlisted files. Of pages with equal payloads the one with the smallest page_id is a response, the others are revisits.
 
 The reader checks each member: the gzip check sum, the version line, the length, and the digest of block and payload.
-After a failed check it looks for the next place where a member (or, in plain archives, a version line) starts and holds
-a record that passes, and logs the bytes between as a gap. Files are read in pieces.
+After a failed check it looks for the next place where a member or a version line, whichever is nearer, starts and holds
+a record that passes, and logs the bytes between as a gap. A member may hold many records. Files are read in pieces.
 
 Nulls and edges: a null html is an empty payload; a null url an empty target. Rows with one page_id and equal payloads
 are all responses (or all revisits of a smaller id). Null ids: "null" in the archive, null again when read; in a group
@@ -154,19 +154,65 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def _gzip_record(file: Pieces, at: int) -> tuple[dict[str, str], bytes, int]:
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            data = file.read(pos, min(16384, file.size - pos))
-            if not data:
-                raise Broken("cut off")
-            out.append(z.decompress(data))
-            pos += len(data)
-    except zlib.error as e:
-        raise Broken("gzip") from e
-    fields, block, _ = parse(b"".join(out), True)
-    return fields, block, pos - len(z.unused_data)
+def _inflated(file: Pieces, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """(data, place in the file, whether the member ends) of the gzip member at `at`; up to the very byte that fails."""
+    z, pos = zlib.decompressobj(31), at
+    while not z.eof:
+        data = file.read(pos, min(16384, file.size - pos))
+        if not data:
+            raise Broken("cut off")
+        before = z.copy()
+        try:
+            out = z.decompress(data)
+        except zlib.error as e:
+            for k in range(len(data)):
+                try:
+                    out = before.decompress(data[k : k + 1])
+                except zlib.error:
+                    break
+                if out:
+                    yield out, pos + k + 1, False
+            raise Broken("gzip") from e
+        pos += len(data) - len(z.unused_data)
+        yield out, pos, z.eof
+
+
+def _gzip_records(file: Pieces, at: int) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """The records of the gzip member at `at`, and the place up to which the file is read for each. The last is held until
+    the member's check sum is right, the others until the next one begins."""
+    data, need, held, end = bytearray(), 0, None, at
+    for out, pos, last in _inflated(file, at):
+        data += out
+        while len(data) >= max(need, 7) or last and data:
+            if held:
+                if not data.startswith(b"WARC/1."):
+                    break
+                yield (*held, end)
+                held = None
+            head = data.find(b"\r\n\r\n")
+            need = head + 8 + _length_in(data[:head]) if head >= 0 else len(data) + 1
+            if not last and len(data) < need:
+                if head < 0 and len(data) > 1 << 20:
+                    raise Broken("header")
+                break
+            fields, block, size = parse(bytes(data[:need]), False)
+            held, need = (fields, block), 0
+            del data[:size]
+            end = pos
+        if last and held:
+            yield (*held, pos)
+            held = None
+            if data:
+                raise Broken("length")
+        elif last:
+            raise Broken("length")
+
+
+def _length_in(head: bytes) -> int:
+    for line in head.split(b"\r\n"):
+        if line.lower().startswith(b"content-length:") and line[15:].strip().isdigit():
+            return int(line[15:])
+    return 0
 
 
 def _plain_record(file: Pieces, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -188,24 +234,31 @@ def _plain_record(file: Pieces, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def salvage(file: Pieces) -> Iterator[tuple]:
-    """("record", offset, end, fields, block) for what passes all checks, ("gap", offset, end, reason, b"") for the rest."""
-    gzip = file.size >= 2 and b"\x1f\x8b" in file.read(0, min(file.size, 65536)) and not file.read(0, 7).startswith(b"WARC/1.")
-    magic, one = (b"\x1f\x8b\x08", _gzip_record) if gzip else (b"WARC/1.", _plain_record)
-    at, lost, why = 0, None, ""
+    """("record", offset, end, fields, block) for what passes all checks, ("gap", offset, end, reason, b"") for the rest.
+    Records of one gzip member share its bytes out, in the order of the file."""
+    magics = {b"\x1f\x8b\x08": _gzip_records, b"WARC/1.": lambda file, at: [_plain_record(file, at)]}
+    at, lost, why, places = 0, None, "", dict.fromkeys(magics, -1)
     while at < file.size:
+        head = file.read(at, min(7, file.size - at))
+        read, start = next((r for m, r in magics.items() if head.startswith(m)), None), at
         try:
-            fields, block, end = one(file, at)
+            if not read:
+                raise Broken("version or header")
+            for fields, block, end in read(file, start):
+                if lost is not None:
+                    yield "gap", lost, at, why, b""
+                    lost = None
+                yield "record", at, end, fields, block
+                at = end
         except Broken as e:
             if lost is None:
                 lost, why = at, str(e)
-            at = file.find(magic, at + 1)
-            continue
-        if lost is not None:
-            yield "gap", lost, at, why, b""
-            lost = None
-        yield "record", at, end, fields, block
-        at = end
-    if lost is not None:
+            after = max(at, start + 1)
+            for m in magics:
+                if places[m] < after:
+                    places[m] = file.find(m, after)
+            at = min(places.values())
+    if lost is not None and lost < file.size:
         yield "gap", lost, file.size, why, b""
 
 

@@ -442,3 +442,32 @@ def test_salvage(pack, monkeypatch):
     gaps = [e[1:3] for e in got if e[0] == "gap"]
     assert gaps == [(at[3], at[4]), (at[10], at[11]), (at[15], at[15] + 36), (at[19] + 36, len(whole))]
     assert sum(e[2] - e[1] for e in got) == len(whole)
+
+
+def ids_of(data):
+    got = list(warc.salvage(warc.Pieces(Held(bytes(data)))))
+    assert sum(e[2] - e[1] for e in got) == len(data) and all(a[2] == b[1] for a, b in zip(got, got[1:]))
+    return [int(e[3]["warc-record-id"].rsplit(":", 1)[1][:-1]) for e in got if e[0] == "record"]
+
+
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+def test_salvage_behind_a_long_damaged_head(pack):
+    r = random.Random(13)
+    parts = [pack(warc.record(i, f"http://x/{i}", b"\x1f\x8b" + r.randbytes(9000))) for i in range(20)]
+    data = bytearray(b"".join(parts))
+    data[:70_000] = bytes(70_000)
+    assert ids_of(data) == list(range(8, 20))
+    data = bytearray(b"".join(parts))
+    data[0] ^= 0x55
+    assert ids_of(data) == list(range(1, 20))
+
+
+def test_salvage_of_members_with_many_records():
+    r = random.Random(14)
+    parts = [warc.record(i, f"http://x/{i}", r.randbytes(r.choice([0, 10, 5000, 90_000]))) for i in range(30)]
+    data = bytearray(warc.member(b"".join(parts)))
+    assert ids_of(data) == list(range(30))
+    assert ids_of(warc.member(b"".join(parts[:7])) + b"".join(parts[7:12]) + warc.member(b"".join(parts[12:]))) == list(range(30))
+    data[-6] ^= 0x55  # the check sum
+    assert ids_of(data) == list(range(29))
+    assert ids_of(data[: len(data) // 2] + warc.member(parts[0]))[-1] == 0
