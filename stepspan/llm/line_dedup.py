@@ -1,19 +1,20 @@
 """Line dedup across documents, exact and fuzzy, in DataFrame functions only.
 
-Equal lines are one class. The shingle set of a line: the SHINGLE characters from each word's start on (anchored at words,
-so that a line costs one shingle a word and shifts do not matter), and in words longer than SHINGLE, such as URLs or text
-written without spaces, every SHINGLE characters inside the word, so that each character is in some shingle. Linked lines
-are alike both in the whole set and in the part of it that is anchored at words. A MinHash signature of BANDS x ROWS minima is computed
-by one aggregation; bands of it give buckets, the buckets' members are compared by the exact Jaccard similarity of their
-sets, and a distributed union-find joins them. Of each component the first line stays, by (doc_id, position); a null
-doc_id comes last.
-
-Misses: a pair of similarity 0.8 shares no band with a chance of 0.3 %, one of 0.9 of 0.003 %. Lines under MIN_CHARS
-characters without outer white space are structure, not content, and stay.
-
-Nulls and edges: a null text has no lines and stays null. A line is what stands between "\\n". Rows equal in doc_id and
-text are one document delivered twice and get equal results. A document all of whose lines with words go is emptied;
-drop_repeated_lines leaves such documents out. Empty tables give empty results. All columns of docs stay.
+Equal lines are one class (equal 64-bit hashes; of 10^11 different lines some hundred pairs would fall together). The
+shingles of a line are its SHINGLE characters from each place on; lines are linked if the Jaccard similarity of their
+shingle sets is PERCENT or more. The MinHash signature, MINIMA minima of hashes, is taken over the shingles that begin at a
+word, or anywhere inside a word longer than SHINGLE (URLs, text without spaces): these sets are alike when the whole ones
+are, and cost a tenth. Each band is three of the minima, {i, i + 1, i + 3}. The members of a band's bucket are compared by
+the exact Jaccard similarity of their whole sets, and a distributed union-find joins them. Of each component the first line
+stays, by (doc_id, position); a null doc_id comes last.
+
+Misses: a pair whose signature sets have similarity 0.8 shares no band with a chance of 0.6 %, one of 0.9 of 0.02 %.
+
+Nulls and edges: a null text has no lines and stays null. A line is what stands between "\\n"; a line of any length counts
+if it has a word, one shorter than SHINGLE is a shingle itself; lines without a word are structure and stay. Very long
+lines are taken whole. Rows equal in doc_id and text are one document delivered twice and get equal results. A document all
+of whose lines with words go is emptied; drop_repeated_lines leaves such documents out. Empty tables give empty results.
+All columns of docs stay, whatever their names; those added here begin with "__ss_".
 """
 
 from __future__ import annotations
@@ -27,74 +28,74 @@ from .common import WORD, maybe_broadcast, staged, unstage
 from .components import connected_components
 from .pairs import BROADCAST_ROWS, bucket_links, confirmed, shared_buckets
 
-PERCENT, SHINGLE, BANDS, ROWS, MIN_CHARS = 80, 10, 8, 3, 10
+PERCENT, SHINGLE, MINIMA = 80, 10, 12
 _MASK = 2**31 - 1
-_FACTORS = [random.Random(6).sample(range(2**29, 2**30), BANDS * ROWS)[i] * 2 + 1 for i in range(BANDS * ROWS)]
+_FACTORS = [2 * f + 1 for f in random.Random(6).sample(range(2**29, 2**30), MINIMA)]
+BANDS = [(i, (i + 1) % MINIMA, (i + 3) % MINIMA) for i in range(MINIMA)]
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"(?s)(?=((?<![^ \t])[^ \t].{0,%d}|[^ \t]{%d}))" % (SHINGLE - 1, SHINGLE)), F.lit(1))
+    """Those at every place; a line of SHINGLE characters or less is one."""
+    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % SHINGLE), F.lit(1)))
 
 
 def anchored(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"(?s)(?<![^ \t])(?=([^ \t].{0,%d}))" % (SHINGLE - 1)), F.lit(1))
-
-
-def _set_of(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) alike in their whole sets and, where a word is long, in the anchored ones too."""
-    found = confirmed(pairs, sets, PERCENT)
-    a, b = (sets.select(F.col("c").alias(x), F.col("long").alias(f"long{x}"), F.coalesce("anchored", "shingles").alias(f"s{x}")) for x in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT
-    return found.join(a, "a").join(b, "b").filter(~(F.col("longa") | F.col("longb")) | alike).select("a", "b")
+    """Those from each word's start on, and from each place of a longer word that has as many characters left in it."""
+    return F.regexp_extract_all(line, F.lit(r"(?s)(?=([^ \t].{0,%d}))(?:[^ \t]{1,%d}(?![^ \t])|[^ \t])" % (SHINGLE - 1, SHINGLE)), F.lit(1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, pos, line, c: lines that count; c stands for the line's text."""
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.length(F.trim("line")) >= MIN_CHARS).withColumn("c", F.xxhash64("line"))
+    return lines.filter(F.col("line").rlike(WORD)).withColumn("c", F.xxhash64("line"))
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, th, pos, c, bands: the lines with their band keys. Texts are read once and do not leave their tasks."""
+    h = _lines(docs).select("doc_id", "th", "pos", "c", F.explode(anchored(F.col("line"))).alias("s"))
+    h = h.select("doc_id", "th", "pos", "c", F.xxhash64("s").bitwiseAND(_MASK).alias("h"))
+    minima = h.groupBy("doc_id", "th", "pos", "c").agg(*[F.min((F.col("h") * a).bitwiseAND(_MASK)).alias(f"m{i}") for i, a in enumerate(_FACTORS)])
+    keys = F.array(*[F.xxhash64(*[f"m{i}" for i in band], F.lit(k)) for k, band in enumerate(BANDS)])
+    return minima.select("doc_id", "th", "pos", "c", keys.alias("bands"))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """c, n, bands. The second aggregation finds the rows of a line in one place already: no further shuffle."""
-    distinct = lines.select("c", "line").groupBy("c").agg(F.min("line").alias("line"))
-    h = distinct.select("c", F.explode(shingles(F.col("line"))).alias("s")).select("c", F.xxhash64("s").bitwiseAND(_MASK).alias("h"))
-    minima = h.groupBy("c").agg(F.count("*").alias("n"), *[F.min((F.col("h") * a).bitwiseAND(_MASK)).alias(f"m{i}") for i, a in enumerate(_FACTORS)])
-    return minima.select("c", "n", F.array(*[F.xxhash64(*[f"m{ROWS * b + r}" for r in range(ROWS)], F.lit(b)) for b in range(BANDS)]).alias("bands"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: (doc_id, th, pos, c), one place a line. -> (c, line), splitting only the documents that are asked for."""
+    places = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "pos")).alias("places"))
+    places = staged(places.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "places"), "places")
+    found = docs.join(maybe_broadcast(places, places.count(), BROADCAST_ROWS), (docs["th"] == F.col("h")) & docs["doc_id"].eqNullSafe(F.col("d")))
+    found = found.select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    return found.select("p.c", F.get("lines", F.col("p.pos")).alias("line"))
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, th, text) -> (a, b): linked lines by their c."""
-    lines = _lines(docs)
-    signatures = staged(_signatures(lines), "signatures")
-    members = shared_buckets(signatures.select("c", "n", F.explode("bands").alias("key")))
-    unstage(signatures)
+def line_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """docs: (doc_id, th, text); signed: its lines by _signed -> (a, b): linked lines by their c."""
+    members = shared_buckets(signed.select("c", F.explode("bands").alias("key"))).dropDuplicates(["key", "c"])
+    members = staged(members, "members")
     wanted = staged(members.select("c").distinct(), "wanted")
-    texts = lines.select("c", "line").join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c", "left_semi")
-    texts = texts.groupBy("c").agg(F.min("line").alias("line"))
-    sets = staged(texts.withColumn("long", F.col("line").rlike(r"[^ \t]{%d}" % (SHINGLE + 1))).select("c", "long", _set_of(shingles(F.col("line"))).alias("shingles"), F.when(F.col("long"), _set_of(anchored(F.col("line")))).alias("anchored")), "sets")
-    sized = staged(members.drop("n").join(sets.select("c", F.size("shingles").alias("n")), "c"), "members")
-    found = bucket_links(sized, sets, lambda pairs: _confirmed(pairs, sets), PERCENT)
-    unstage(sets, members)
+    places = signed.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c")
+    places = places.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at")).select("at.*", "c")
+    sets = _texts(docs, places).select("c", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles"))
+    sets = staged(sets.dropDuplicates(["c"]), "sets")
+    sized = staged(members.join(sets.select("c", F.size("shingles").alias("n")), "c"), "members")
+    found = bucket_links(sized, sets, lambda pairs: confirmed(pairs, sets, PERCENT), PERCENT)
+    unstage(sets, members, sized)
     return found
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, th, text) -> doc_id, th, gone: positions of the lines that another line stands for."""
-    occurrences = staged(_lines(docs).select("doc_id", "th", "pos", "c"), "occurrences")
-    labels = connected_components(line_links(docs))
-    g = occurrences.join(labels.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "th", "pos", F.coalesce("component", "c").alias("g"))
-    g = staged(g, "groups")
+    signed = staged(_signed(docs), "lines")
+    labels = connected_components(line_links(docs, signed)).withColumnRenamed("node", "c")
+    labels = staged(labels, "labels")
+    g = signed.select("doc_id", "th", "pos", "c").join(maybe_broadcast(labels, labels.count(), BROADCAST_ROWS), "c", "left")
+    g = staged(g.select("doc_id", "th", "pos", F.coalesce("component", "c").alias("g")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
     first = g.groupBy("g").agg(F.min(order).alias("first"), F.count("*").alias("k")).filter("k > 1").select("g", "first")
     first = staged(first, "first")
-    gone = g.join(first, "g").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
+    gone = g.join(maybe_broadcast(first, first.count(), BROADCAST_ROWS), "g").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
     out = staged(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
-    unstage(occurrences, g)
+    unstage(signed, g, first)
     return out
 
 
@@ -102,20 +103,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with text without its repeated lines, and __ss_lines, __ss_gone: lines before, lines gone."""
     base = docs.withColumn("__ss_th", F.xxhash64("text"))
     gone = repeated_lines(base.select("doc_id", F.col("__ss_th").alias("th"), "text"))
-    gone = gone.select(F.col("doc_id").alias("__ss_id"), F.col("th").alias("__ss_h"), F.col("gone").alias("__ss_pos"))
+    rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__ss_id"), F.col("th").alias("__ss_h"), F.col("gone").alias("__ss_pos")), rows + places // 8, BROADCAST_ROWS)
     x = base.join(gone, (base["__ss_th"] == gone["__ss_h"]) & base["doc_id"].eqNullSafe(gone["__ss_id"]), "left")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ss_pos"))
-    text = F.when(F.col("__ss_pos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = {"__ss_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "__ss_gone": F.coalesce(F.size("__ss_pos"), F.lit(0)).cast("long")}
-    x = x.withColumns(counts | {"__ss_text": text})
+    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__ss_pos", i))
+    text = F.when(F.col("__ss_pos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    x = x.withColumns({"__ss_lines": n_lines, "__ss_gone": F.when(F.col("__ss_pos").isNull(), 0).otherwise(F.size("__ss_pos")).cast("long"), "__ss_text": text})
     return x.select(*[F.col("__ss_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__ss_lines", "__ss_gone")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_gone, text: one row a document."""
     x = dedup_lines(docs.select("doc_id", "text"))
-    return x.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__ss_lines")).alias("n_lines"), F.greatest("__ss_gone", F.lit(0)).alias("n_gone"), "text")
+    return x.select("doc_id", F.col("__ss_lines").alias("n_lines"), F.col("__ss_gone").alias("n_gone"), "text")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ spaced, truncated minimum K_i = floor(1 - log_b(min h_i)) with h_i exponential o
 smaller the minimum, so sketches of parts merge by maximum. Bands of registers give candidate pairs, a joint likelihood
 of (greater, smaller, equal) registers drops the clearly different ones, and the full sets decide.
 
-Texts with equal sets are one class. The classes of a bucket meet in rounds, through pivots (see pairs.py).
+Texts with equal sets (equal 128-bit hashes of them) are one class, with an id of its own. The classes of a bucket meet in
+rounds, through pivots (see pairs.py).
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; a text of fewer than five words
 is one shingle. A row with a null doc_id is linked with nothing: component_id null, kept true. Rows with one doc_id are
-one node: all their links count for it. An empty table gives an empty result. Only doc_id and text are read, all other
-columns are ignored.
+one node: all their links count for it. An empty table gives an empty result. Texts of any length are taken whole; a very
+long one is one large set. Only doc_id and text are read, all other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -159,13 +160,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = staged(slim.mapInArrow(_sketch, f"doc_id {kind}, th bigint, n bigint, c bigint, c2 bigint, regs binary"), "sketches")
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    first = staged(named.groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    classes = named.select("c", "c2", "doc_id", "th", "n", "regs").join(first, ["c", "c2", "doc_id"], "left_semi").dropDuplicates(["c"])
+    first = named.groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id"))
+    first = staged(first.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = named.join(first, ["c", "c2", "doc_id"]).select(F.col("id").alias("c"), "doc_id", "th", "n", "regs").dropDuplicates(["c"])
     classes = staged(classes, "classes")
     between = links(classes, slim)
     reps = classes.select("c", "doc_id")
     pairs = between.join(reps.select(F.col("c").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("c").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    copies = named.select("c", "c2", F.col("doc_id").alias("b")).join(first.withColumnRenamed("doc_id", "a"), ["c", "c2"]).filter("a <> b").select("a", "b")
+    copies = named.select("c", "c2", F.col("doc_id").alias("b")).join(first.select("c", "c2", F.col("doc_id").alias("a")), ["c", "c2"]).filter("a <> b").select("a", "b")
     labels = connected_components(pairs.unionByName(copies))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

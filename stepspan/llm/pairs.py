@@ -6,18 +6,20 @@ comparison. For the others:
 
 Small families (SMALL members at most) are compared in pairs. In large ones, members are compared through what sets them
 apart from the pivot. With d(x) = x minus p and p minus x, the difference of x and y is that of d(x) and d(y). If x and y are
-linked it is at most B = (|x| + |y|) (1 - t) / (1 + t), so d(x) and d(y) share o = (|d(x)| + |d(y)| - B) / 2 elements or more,
-and by the prefix principle the first |d(x)| - o + 1 of d(x) and |d(y)| - o + 1 of d(y), rarest in the family first, share
-one. Elements of only one member match nobody and are left out; with a central pivot these are most of a prefix. d sizes
-are taken in classes, each with its own o. Every pair that a bucket holds is thus compared, or shown not to be a link.
+linked it is at most (|x| + |y|) r with r = (1 - t) / (1 + t), so with s(x) = |d(x)| - |x| r the sets d(x) and d(y) share
+o = (s(x) + s(y)) / 2 elements or more, and by the prefix principle the first |d(x)| - o + 1 of d(x) and |d(y)| - o + 1 of
+d(y), rarest in the family first, share one. A probe, a member outside the pivot's component, is no link of the pivot, so
+|d(x)| > (|x| + |p|) r, and o is 1 or more for each partner. Elements of only one member match nobody: they fill the front
+of a prefix but are not given out; with a central pivot these are most of it. A member gives out its prefix once, for the
+least o that it has with any probe of the family; the join then applies the bounds of each very pair. Every pair that a
+bucket holds is thus compared, or shown not to be a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, staged
@@ -25,8 +27,7 @@ from .components import connected_components
 
 #: Members of a family that are compared in pairs; the most rows of a broadcast (24 bytes each).
 SMALL, BROADCAST_ROWS = 16, 500_000
-#: Classes of difference sizes: each a tenth wider than the last.
-STEP = 1.1
+_OF = ("c", "n", "component", "size", "alone", "s", "i")
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -42,15 +43,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
 
 
-def _class_of(size: Column) -> Column:
-    return F.floor(F.log(size + 1.0) / log(STEP) + 1e-9).cast("int")
-
-
-def _least_of(cls: Column) -> Column:
-    """A size that no member of the class is below."""
-    return F.floor(F.pow(F.lit(STEP), cls) - 1 - 1e-6)
-
-
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
     """(a, b) of different components that meet on `on`, alike enough in size; distinct."""
     x = left.select(*on, F.col("c").alias("x"), F.col("n").alias("nx"), F.col("component").alias("gx")).join(right.select(*on, F.col("c").alias("y"), F.col("n").alias("ny"), F.col("component").alias("gy")), on)
@@ -59,41 +51,33 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> Da
 
 
 def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """family: (p, c, n, component, own: p's component, most: the largest n). Candidate pairs by prefixes of differences."""
+    """family: (p, c, n, component, own: p's component). Candidate pairs (a, b) by prefixes of differences."""
     share = (100 - percent) / (100 + percent)
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
-    x = family.join(a, "c").join(b, "p")
     d = F.concat(F.array_except("s", "sp"), F.array_except("sp", "s"))
-    x = staged(x.select("p", "c", "n", "component", "own", "most", F.size(d).alias("size"), F.explode_outer(d).alias("e")), "differences")
-    often = x.groupBy("p", "e").agg(F.count("*").alias("df"))
-    ordered = x.join(often, ["p", "e"], "left").groupBy("p", "c", "n", "component", "own", "most", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-    # those that only this member has come first; they fill the prefix but match nobody
-    ordered = ordered.withColumn("alone", F.size(F.filter("es", lambda s: s["df"] == 1)))
-    ordered = staged(ordered.select("p", "c", "n", "component", "own", "most", "size", "alone", F.transform(F.filter("es", lambda s: s["df"] > 1), lambda s: s["e"]).alias("es"), _class_of(F.col("size")).alias("cls")), "ordered")
-    # the classes on either side, a few dozen per family at most
-    sides = ordered.groupBy("p").agg(F.collect_set("cls").alias("every"), F.collect_set(F.when(F.col("component") != F.col("own"), F.col("cls"))).alias("open"))
-    sides = staged(sides.filter("size(open) > 0"), "sides")
-
-    def emitted(rows: DataFrame, others: str) -> DataFrame:
-        y = rows.join(sides, "p").withColumn("other", F.explode(others))
-        bound = (F.col("n") + F.least("most", F.ceil(F.col("n") * 100 / percent))) * share
-        o = F.greatest(F.ceil((F.col("size") + _least_of(F.col("other")) - bound) / 2), F.lit(0))
-        y = y.filter(o <= F.least("size", F.pow(F.lit(STEP), F.col("other") + 1)))  # else they cannot share as much
+    x = family.join(a, "c").join(b, "p").select("p", "c", "n", "component", "own", d.alias("d"))
+    x = staged(x.select("p", "c", "n", "component", "own", F.size("d").alias("size"), F.explode("d").alias("e")), "differences")
+    often = x.groupBy("p", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = x.join(often, ["p", "e"]).groupBy("p", "c", "n", "component", "own", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    ordered = ordered.select("p", "c", "n", "component", "own", "size", F.col("es.e").alias("es"), (F.col("size") - F.size("es")).alias("alone"), (F.col("size") - F.col("n") * share).alias("s"))
+    ordered = staged(ordered, "ordered")
+    sides = ordered.groupBy("p").agg(F.min("s").alias("least"), F.min(F.when(F.col("component") != F.col("own"), F.col("s"))).alias("least_probe"))
+    sides = staged(sides.filter("least_probe IS NOT NULL"), "sides")
+
+    def emitted(rows: DataFrame, least: str) -> DataFrame:
+        o = F.greatest(F.ceil((F.col("s") + F.col(least)) / 2 - 1e-6), F.lit(1))
         length = F.greatest(F.col("size") - o + 1 - F.col("alone"), F.lit(0)).cast("int")
-        places = F.transform(F.slice("es", F.lit(1), length), lambda e, i: F.struct(e.alias("e"), (i + F.col("alone")).alias("at")))
-        none = F.array(F.struct(F.lit(-1).cast("bigint").alias("e"), F.lit(-1).alias("at")))  # for pairs that need share nothing
-        y = y.select("p", "c", "n", "component", "size", "cls", "other", F.explode(F.when(o == 0, F.concat(places, none)).otherwise(places)).alias("x"))
-        return y.select("p", "c", "n", "component", "size", "cls", "other", "x.e", "x.at")
-
-    probes = staged(emitted(ordered.filter("component <> own"), "every"), "probes")
-    index = staged(emitted(ordered, "open"), "index")
-    sides_of = [probes.select("p", "e", F.col("cls").alias("k1"), F.col("other").alias("k2"), *[F.col(c).alias(f"{c}_x") for c in ("c", "n", "component", "size", "at")]), index.select("p", "e", F.col("other").alias("k1"), F.col("cls").alias("k2"), *[F.col(c).alias(f"{c}_y") for c in ("c", "n", "component", "size", "at")])]
+        rows = rows.join(sides, "p").select("p", "c", "n", "component", "size", "alone", "s", F.posexplode(F.slice("es", F.lit(1), length)).alias("i", "e"))
+        return rows.select("p", "e", *_OF)
+
+    probes = staged(emitted(ordered.filter("component <> own"), "least").toDF("p", "e", *[f"{k}_x" for k in _OF]), "probes")
+    index = staged(emitted(ordered, "least_probe").toDF("p", "e", *[f"{k}_y" for k in _OF]), "index")
     # the bounds of this very pair: both places lie in its prefixes, and enough may still follow
-    o = F.ceil((F.col("size_x") + F.col("size_y") - (F.col("n_x") + F.col("n_y")) * share - 1e-9) / 2)
-    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) + F.least("at_x", "at_y")
-    fits = F.when(F.col("e") == -1, o <= 0).otherwise((F.col("at_x") <= F.col("size_x") - o) & (F.col("at_y") <= F.col("size_y") - o) & (left >= o))
+    o = F.ceil((F.col("s_x") + F.col("s_y")) / 2 - 1e-6)
+    after = [F.col(f"size_{k}") - F.col(f"alone_{k}") - F.col(f"i_{k}") for k in "xy"]
+    fits = (after[0] >= 1) & (F.col("alone_x") + F.col("i_x") <= F.col("size_x") - o) & (F.col("alone_y") + F.col("i_y") <= F.col("size_y") - o) & (F.least(*after) + F.least("i_x", "i_y") >= o)
     alike = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    met = sides_of[0].alias("x").join(sides_of[1].alias("y"), ["p", "e", "k1", "k2"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
+    met = probes.join(index, ["p", "e"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
     return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
 
 
@@ -113,8 +97,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFram
         return df.join(labels.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left").withColumn(out, F.coalesce("__l", c)).drop("__l")
 
     family = staged(labelled(labelled(family.select("p", "c", "n"), "c", "component"), "p", "own"), "family")
-    kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    kinds = staged(kinds.filter("lo <> hi").select("p", "members", "most"), "families")
+    kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    kinds = staged(kinds.filter("lo <> hi").select("p", "members"), "families")
     live = staged(family.join(kinds, "p"), "live")
     small, large = live.filter(F.col("members") <= SMALL), live.filter(F.col("members") > SMALL)
     more = _pairs(small, small, ["p"], percent)
