@@ -2,7 +2,7 @@
 
 Equal lines are one class (equal 64-bit hashes; of 10^11 different lines some hundred pairs would fall together). The
 shingles of a line are its SHINGLE characters from each place on; lines are linked if the Jaccard similarity of their
-shingle sets is PERCENT or more. The MinHash signature, MINIMA minima of hashes, is taken over the shingles that begin at a
+shingle sets (distinct 32-bit hashes) is PERCENT or more. The MinHash signature, MINIMA minima of hashes, is taken over the shingles that begin at a
 word, or anywhere inside a word longer than SHINGLE (URLs, text without spaces): these sets are alike when the whole ones
 are, and cost a tenth. Each band is three of the minima, {i, i + 1, i + 3}. The members of a band's bucket are compared by
 the exact Jaccard similarity of their whole sets, and a distributed union-find joins them. Of each component the first line
@@ -75,7 +75,7 @@ def line_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     wanted = staged(members.select("c").distinct(), "wanted")
     places = signed.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c")
     places = places.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at")).select("at.*", "c")
-    sets = _texts(docs, places).select("c", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles"))
+    sets = _texts(docs, places).select("c", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("shingles"))
     sets = staged(sets.dropDuplicates(["c"]), "sets")
     sized = staged(members.join(sets.select("c", F.size("shingles").alias("n")), "c"), "members")
     found = bucket_links(sized, sets, lambda pairs: confirmed(pairs, sets, PERCENT), PERCENT)

@@ -10,9 +10,10 @@ linked it is at most (|x| + |y|) r with r = (1 - t) / (1 + t), so with s(x) = |d
 o = (s(x) + s(y)) / 2 elements or more, and by the prefix principle the first |d(x)| - o + 1 of d(x) and |d(y)| - o + 1 of
 d(y), rarest in the family first, share one. A probe, a member outside the pivot's component, is no link of the pivot, so
 |d(x)| > (|x| + |p|) r, and o is 1 or more for each partner. Elements of only one member match nobody: they fill the front
-of a prefix but are not given out; with a central pivot these are most of it. A member gives out its prefix once, for the
-least o that it has with any probe of the family; the join then applies the bounds of each very pair. Every pair that a
-bucket holds is thus compared, or shown not to be a link.
+of a prefix but are not given out; with a central pivot these are most of it. Elements that the very same members have are
+one group and are given out together. A member gives out its prefix once, for the least o that it has with any probe of the
+family; the join then applies the bounds of each very pair. Every pair that a bucket holds is thus compared, or shown not
+to be a link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from .components import connected_components
 
 #: Members of a family that are compared in pairs; the most rows of a broadcast (24 bytes each).
 SMALL, BROADCAST_ROWS = 16, 500_000
-_OF = ("c", "n", "component", "size", "alone", "s", "i")
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -55,54 +55,76 @@ def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFram
     share = (100 - percent) / (100 + percent)
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
     d = F.concat(F.array_except("s", "sp"), F.array_except("sp", "s"))
-    x = family.join(a, "c").join(b, "p").select("p", "c", "n", "component", "own", d.alias("d"))
-    x = staged(x.select("p", "c", "n", "component", "own", F.size("d").alias("size"), F.explode("d").alias("e")), "differences")
-    often = x.groupBy("p", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = x.join(often, ["p", "e"]).groupBy("p", "c", "n", "component", "own", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-    ordered = ordered.select("p", "c", "n", "component", "own", "size", F.col("es.e").alias("es"), (F.col("size") - F.size("es")).alias("alone"), (F.col("size") - F.col("n") * share).alias("s"))
+    live = staged(family.join(a, "c").join(b, "p").select("p", "c", "n", "component", "own", d.alias("d")), "differences")
+    x = live.select("p", "c", F.explode("d").alias("e"))
+    # elements that the very same members have (those of one edit) are one group: df members, known by the sum of their hashes
+    often = x.groupBy("p", "e").agg(F.count("*").alias("df"), F.sum(F.xxhash64("c").bitwiseAND((1 << 40) - 1)).alias("g")).filter("df > 1")
+    groups = x.join(often, ["p", "e"]).groupBy("p", "c", "df", "g").agg(F.count("*").alias("w"))
+    shared = groups.groupBy("p", "c").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("es"), F.sum("w").alias("shared"))
+    size = F.size("d")
+    ordered = live.join(shared, ["p", "c"]).select("p", "c", "n", "component", "own", size.alias("size"), (size - F.col("shared")).alias("alone"), (size - F.col("n") * share).alias("s"), "es")
     ordered = staged(ordered, "ordered")
     sides = ordered.groupBy("p").agg(F.min("s").alias("least"), F.min(F.when(F.col("component") != F.col("own"), F.col("s"))).alias("least_probe"))
     sides = staged(sides.filter("least_probe IS NOT NULL"), "sides")
 
-    def emitted(rows: DataFrame, least: str) -> DataFrame:
+    def emitted(rows: DataFrame, least: str, end: str) -> DataFrame:
+        """The groups that begin in a prefix, with the shared elements before them."""
         o = F.greatest(F.ceil((F.col("s") + F.col(least)) / 2 - 1e-6), F.lit(1))
-        length = F.greatest(F.col("size") - o + 1 - F.col("alone"), F.lit(0)).cast("int")
-        rows = rows.join(sides, "p").select("p", "c", "n", "component", "size", "alone", "s", F.posexplode(F.slice("es", F.lit(1), length)).alias("i", "e"))
-        return rows.select("p", "e", *_OF)
-
-    probes = staged(emitted(ordered.filter("component <> own"), "least").toDF("p", "e", *[f"{k}_x" for k in _OF]), "probes")
-    index = staged(emitted(ordered, "least_probe").toDF("p", "e", *[f"{k}_y" for k in _OF]), "index")
+        rows = rows.join(sides, "p").withColumn("room", F.col("size") - o - F.col("alone")).filter("room >= 0")
+        before = F.aggregate(F.slice("es", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda acc, e: acc + e["w"])
+        inside = F.filter(F.transform(F.sequence(F.lit(0), F.size("es") - 1), lambda k: F.struct(k.alias("k"), F.get("es", k).alias("e"))), lambda x: x["k"] <= F.col("room"))
+        rows = rows.select("p", "c", "n", "component", "size", "alone", "s", "room", "es", F.explode(inside).alias("x"))
+        rows = rows.select("*", F.col("x.k").alias("k"), F.col("x.e.df").alias("df"), F.col("x.e.g").alias("g")).withColumn("i", before).filter("i <= room")
+        return rows.select("p", "df", "g", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "n", "component", "size", "alone", "s", "i")])
+
+    probes = staged(emitted(ordered.filter("component <> own"), "least", "x"), "probes")
+    index = staged(emitted(ordered, "least_probe", "y"), "index")
     # the bounds of this very pair: both places lie in its prefixes, and enough may still follow
     o = F.ceil((F.col("s_x") + F.col("s_y")) / 2 - 1e-6)
     after = [F.col(f"size_{k}") - F.col(f"alone_{k}") - F.col(f"i_{k}") for k in "xy"]
-    fits = (after[0] >= 1) & (F.col("alone_x") + F.col("i_x") <= F.col("size_x") - o) & (F.col("alone_y") + F.col("i_y") <= F.col("size_y") - o) & (F.least(*after) + F.least("i_x", "i_y") >= o)
+    fits = (F.col("alone_x") + F.col("i_x") <= F.col("size_x") - o) & (F.col("alone_y") + F.col("i_y") <= F.col("size_y") - o) & (F.least(*after) + F.least("i_x", "i_y") >= o)
     alike = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    met = probes.join(index, ["p", "e"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
+    met = probes.join(index, ["p", "df", "g"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
     return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
 
 
+def _labelled(df: DataFrame, labels: DataFrame, **out: str) -> DataFrame:
+    """df with the components of the nodes in columns out (name = column); a node without links is its own."""
+    for name, c in out.items():
+        df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left").withColumn(name, F.coalesce("__l", c)).drop("__l")
+    return df
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """members: (key, c, n, mates) with n the size of c's set; sets: (c, shingles); verify: pairs (a, b) -> the linked ones.
     -> (a, b): links whose components are those of all links between members of a bucket."""
     score = staged(members.groupBy("c").agg(F.sum("mates").alias("score")), "scores")
     scored = members.join(score, "c")
-    pivots = staged(scored.groupBy("key").agg(F.max(F.struct("score", "c", "n")).alias("p")).select("key", F.col("p.c").alias("p"), F.col("p.n").alias("np")), "pivots")
-    family = staged(members.join(pivots, "key").groupBy("p", "c", "n", "np").agg(F.count("*").alias("met")), "family")
+    pivots = staged(scored.groupBy("key").agg(F.max(F.struct("score", "c", "n")).alias("p")).select("key", F.col("p.c").alias("p"), F.col("p.n").alias("np"), F.col("p.score").alias("rank")), "pivots")
+    family = staged(members.join(pivots, "key").groupBy("p", "c", "n", "np", "rank").agg(F.count("*").alias("met")), "family")
     met = family.filter("p <> c").filter(F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
-    first = staged(met.select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct(), "pairs")
-    links = staged(verify(first), "links")
+    # each member meets its best pivot first, and the others only if that leaves them in different components
+    best = met.groupBy("c").agg(F.max(F.struct("rank", "p")).alias("x"))
+    best = staged(best.select(F.least("x.p", "c").alias("a"), F.greatest("x.p", "c").alias("b")).distinct(), "pairs")
+    links = staged(verify(best), "links")
     labels = staged(connected_components(links), "labels")
-
-    def labelled(df: DataFrame, c: str, out: str) -> DataFrame:
-        return df.join(labels.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left").withColumn(out, F.coalesce("__l", c)).drop("__l")
-
-    family = staged(labelled(labelled(family.select("p", "c", "n"), "c", "component"), "p", "own"), "family")
+    other = met.select("p", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).join(best, ["a", "b"], "left_anti")
+    other = staged(_labelled(other, labels, x="p", y="c").filter("x <> y").select("a", "b").distinct(), "pairs")
+    more = staged(verify(other), "links")
+    if not more.isEmpty():
+        between = _labelled(more, labels, x="a", y="b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = staged(connected_components(between), "labels")
+        moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels = staged(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
+        links = links.unionByName(more)
+
+    family = staged(_labelled(family.select("p", "c", "n"), labels, component="c", own="p"), "family")
     kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     kinds = staged(kinds.filter("lo <> hi").select("p", "members"), "families")
     live = staged(family.join(kinds, "p"), "live")
     small, large = live.filter(F.col("members") <= SMALL), live.filter(F.col("members") > SMALL)
-    more = _pairs(small, small, ["p"], percent)
+    last = _pairs(small, small, ["p"], percent)
     if not large.isEmpty():
-        more = more.unionByName(_through_pivot(large, sets, percent)).distinct()
-    more = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(staged(verify(more), "links"))
+        last = last.unionByName(_through_pivot(large, sets, percent)).distinct()
+    last = staged(last.join(best, ["a", "b"], "left_anti").join(other, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(staged(verify(last), "links"))
