@@ -4,8 +4,8 @@ First each bucket's members meet its pivot, the member that shares most with the
 one). The members that met a pivot p are p's family. Members of a family that are of one component need no further
 comparison. For the others:
 
-Small families (SMALL members at most) are compared in pairs. In large ones, members are compared through what sets them
-apart from the pivot. With d(x) = x minus p and p minus x, the difference of x and y is that of d(x) and d(y). If x and y are
+Small families (SMALL members at most) are compared in pairs. Large ones take their most central member as a new pivot and
+meet it. What is still of several components is compared through what sets the members apart from the pivot. With d(x) = x minus p and p minus x, the difference of x and y is that of d(x) and d(y). If x and y are
 linked it is at most (|x| + |y|) r with r = (1 - t) / (1 + t), so with s(x) = |d(x)| - |x| r the sets d(x) and d(y) share
 o = (s(x) + s(y)) / 2 elements or more, and by the prefix principle the first |d(x)| - o + 1 of d(x) and |d(y)| - o + 1 of
 d(y), rarest in the family first, share one. A probe, a member outside the pivot's component, is no link of the pivot, so
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged
+from .common import maybe_broadcast, staged, unstage
 from .components import connected_components
 
 #: Members of a family that are compared in pairs; the most rows of a broadcast (24 bytes each).
@@ -88,6 +88,21 @@ def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
 
 
+def _centres(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """family: (p, c, ...) -> (p, q): of each family the member nearest to what most members have, if that is not p.
+    An element of d is had by most if most members differ from p in it; so far does a member lie from the majority."""
+    a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
+    x = family.select("p", "c", "members").join(a, "c").join(b, "p")
+    d = F.filter(F.concat(F.array_except("s", "sp"), F.array_except("sp", "s")), lambda e: F.pmod(e, F.lit(8)) == 0)  # an estimate will do to choose
+    x = staged(x.select("p", "c", "members", F.explode(d).alias("e")), "votes")
+    most = x.groupBy("p", "e").agg((2 * F.count("*") > F.max("members")).alias("most"))
+    far = x.join(most, ["p", "e"]).groupBy("p", "c").agg(F.sum(F.when(F.col("most"), -1).otherwise(1)).alias("far"))
+    best = far.groupBy("p").agg(F.min(F.struct("far", "c")).alias("x")).filter("x.far < 0").select("p", F.col("x.c").alias("q"))
+    best = staged(best, "centres")
+    unstage(x)
+    return best
+
+
 def _labelled(df: DataFrame, labels: DataFrame, **out: str) -> DataFrame:
     """df with the components of the nodes in columns out (name = column); a node without links is its own."""
     for name, c in out.items():
@@ -95,6 +110,27 @@ def _labelled(df: DataFrame, labels: DataFrame, **out: str) -> DataFrame:
     return df
 
 
+def _joined(verify: Callable[[DataFrame], DataFrame], pairs: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The links so far and those of these pairs, and the components of all of them."""
+    more = staged(verify(pairs), "links")
+    if links is None:
+        return more, staged(connected_components(more), "labels")
+    if more.isEmpty():
+        return links, labels
+    between = _labelled(more, labels, x="a", y="b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = staged(connected_components(between), "labels")
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return links.unionByName(more), staged(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _open_families(family: DataFrame, labels: DataFrame) -> DataFrame:
+    """family: (p, c, n) -> (p, c, n, component, own, members): the families of more than one component."""
+    family = staged(_labelled(family, labels, component="c", own="p"), "family")
+    kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    kinds = staged(kinds.filter("lo <> hi").select("p", "members"), "families")
+    return family.join(kinds, "p")
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """members: (key, c, n, mates) with n the size of c's set; sets: (c, shingles); verify: pairs (a, b) -> the linked ones.
     -> (a, b): links whose components are those of all links between members of a bucket."""
@@ -106,25 +142,22 @@ def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFram
     # each member meets its best pivot first, and the others only if that leaves them in different components
     best = met.groupBy("c").agg(F.max(F.struct("rank", "p")).alias("x"))
     best = staged(best.select(F.least("x.p", "c").alias("a"), F.greatest("x.p", "c").alias("b")).distinct(), "pairs")
-    links = staged(verify(best), "links")
-    labels = staged(connected_components(links), "labels")
+    links, labels = _joined(verify, best, None, None)
     other = met.select("p", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).join(best, ["a", "b"], "left_anti")
     other = staged(_labelled(other, labels, x="p", y="c").filter("x <> y").select("a", "b").distinct(), "pairs")
-    more = staged(verify(other), "links")
-    if not more.isEmpty():
-        between = _labelled(more, labels, x="a", y="b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        joined = staged(connected_components(between), "labels")
-        moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = staged(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
-        links = links.unionByName(more)
-
-    family = staged(_labelled(family.select("p", "c", "n"), labels, component="c", own="p"), "family")
-    kinds = family.groupBy("p").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    kinds = staged(kinds.filter("lo <> hi").select("p", "members"), "families")
-    live = staged(family.join(kinds, "p"), "live")
-    small, large = live.filter(F.col("members") <= SMALL), live.filter(F.col("members") > SMALL)
+    links, labels = _joined(verify, other, links, labels)
+
+    family = staged(_open_families(family.select("p", "c", "n"), labels), "live")
+    small, large = family.filter(F.col("members") <= SMALL), family.filter(F.col("members") > SMALL)
     last = _pairs(small, small, ["p"], percent)
     if not large.isEmpty():
+        # a pivot with edits of its own is far from many; the most central member joins most of what it left open
+        centres = _centres(large, sets)
+        moved = large.join(centres, "p", "left").select("c", "n", "component", F.coalesce("q", "p").alias("p")).distinct()
+        moved = staged(_labelled(moved, labels, own="p"), "moved")
+        more = staged(moved.filter("component <> own").select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct(), "pairs")
+        links, labels = _joined(verify, more, links, labels)
+        large = staged(_open_families(moved.select("p", "c", "n"), labels), "live")
         last = last.unionByName(_through_pivot(large, sets, percent)).distinct()
-    last = staged(last.join(best, ["a", "b"], "left_anti").join(other, ["a", "b"], "left_anti"), "pairs")
+    last = staged(_labelled(last, labels, x="a", y="b").filter("x <> y").select("a", "b"), "pairs")
     return links.unionByName(staged(verify(last), "links"))
