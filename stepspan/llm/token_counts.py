@@ -1,14 +1,16 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to each document's pre-token frequencies.
 
 A pre-token is a chunk between ASCII white space; the tokenizer drops white space and never makes a piece across it, so a
-text's count is the sum of its chunks' counts. Upper case A-Z is lowered beforehand (the tokenizer does it too), but not in
-chunks with "<|", where special strings are matched before lower-casing. No ids are kept.
+text's count is the sum of its chunks' counts; some probes check this of the given tokenizer. Chunks of ASCII are lowered
+beforehand (the tokenizer does it too), but not those with "<|", where special strings are matched before lower-casing, nor
+any with other characters, which the tokenizer composes before it lowers them. No ids are kept.
 
-Frequencies follow Zipf's law. The HEAD most frequent pre-tokens (a fixed bound) go to all tasks, so most of a text is
-summed where it is read; only the rare rest is dealt out by pre-token and joined, which leaves no hot key.
+Frequencies follow Zipf's law. The most frequent pre-tokens, HEAD and HEAD_BYTES in all at most, go to all tasks, so most of
+a text is summed where it is read; only the rare rest is dealt out by pre-token and joined. Where the head ends comes from a
+histogram of the frequencies. A pre-token over LONG bytes is never in the head; the join splits it if it is common.
 
 Nulls: a null text counts as empty: 0 bytes, 0 tokens. A null doc_id stays. Repeated rows stay. Only doc_id and text are
-read. A very long chunk is one pre-token.
+read, other columns may have any name. Texts of any length are taken whole; a very long chunk is one pre-token.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
-#: Pre-tokens sent to every task, and the longest of them in bytes: 100,000 x 64 bytes at most.
-HEAD, HEAD_BYTES = 100_000, 64
+#: Pre-tokens sent to every task, their bytes in all, and the longest of them in bytes.
+HEAD, HEAD_BYTES, LONG = 100_000, 8 << 20, 4096
 LIMIT = 2048
 
 
 def chunks(text: bytes) -> list[bytes]:
-    if b"<|" in text:
-        return [w if b"<|" in w else w.lower() for w in text.split()]
-    return text.lower().split()
+    if text.isascii() and b"<|" not in text:
+        return text.lower().split()
+    return [w.lower() if w.isascii() and b"<|" not in w else w for w in text.split()]
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +56,37 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from given(seen)
 
 
+#: Texts whose counts must be the sums of their chunks' counts.
+_PROBES = ("of the end", "a\tb\n c", "  x  ", "it's 1,000 %s", "Ünï \u0301x J\u030c", "new york new\r\nyork")
+
+
+def _check(path: str) -> None:
+    """Raises if the tokenizer makes pieces across white space."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    for text in _PROBES:
+        parts = [len(t.encode(w.decode(), add_special_tokens=False)) for w in chunks(text.encode())]
+        if len(t.encode(text, add_special_tokens=False)) != sum(parts):
+            raise ValueError(f"{path}: pieces cross white space, so pre-tokens can't be counted apart")
+
+
+def _head(vocabulary: DataFrame, head: int, head_bytes: int) -> dict[bytes, int]:
+    """The pre-tokens of the highest frequency classes that fit the bounds; a histogram tells how many classes those are."""
+    short = vocabulary.filter(F.length("chunk") <= LONG).withColumn("cls", F.floor(F.log2("n") * 16).cast("int"))
+    rows = bytes_ = 0
+    first = None
+    for cls, k, size in sorted(map(tuple, short.groupBy("cls").agg(F.count("*"), F.sum(F.length("chunk"))).collect()), reverse=True):
+        rows, bytes_ = rows + k, bytes_ + size
+        if rows > head or bytes_ > head_bytes:
+            break
+        first = cls
+    if first is None:
+        return {}
+    top = short.filter(F.col("cls") >= first).select("chunk", "pieces").toArrow()
+    return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
+
+
 def _pieces(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -76,6 +109,7 @@ def _pieces(path: str):
 
 def _counted(head):
     """(doc_id, n_bytes, head_tokens, rest): what the head gives, and the other chunks with their frequencies."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
         for batch in batches:
@@ -103,11 +137,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, head:
     """doc_id, n_bytes, n_tokens, over_limit; one row a document."""
     spark = docs.sparkSession
     small_batches(spark)
+    _check(tokenizer_path)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     vocabulary = docs.select("text").mapInArrow(_vocabulary, "chunk binary, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
     vocabulary = staged(vocabulary.mapInArrow(_pieces(tokenizer_path), "chunk binary, n bigint, pieces int"), "vocabulary")
-    top = vocabulary.filter(F.length("chunk") <= HEAD_BYTES).orderBy(F.desc("n"), "chunk").limit(head).select("chunk", "pieces").toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
+    known = spark.sparkContext.broadcast(_head(vocabulary, head, HEAD_BYTES))
     counted = docs.select("doc_id", "text").mapInArrow(_counted(known), f"doc_id {id_type}, n_bytes bigint, head_tokens bigint, rest array<struct<chunk:binary,f:int>>")
     counted = staged(counted.withColumn("row", F.monotonically_increasing_id()), "token-rows")
     rest = counted.select("row", F.explode("rest").alias("x")).select("row", "x.chunk", "x.f")
