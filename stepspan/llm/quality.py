@@ -2,13 +2,15 @@
 
 Viterbi decoding of the CRF marks each line as content or boilerplate; the share of a text's word characters in content
 lines decides. The CRF is trained by gradient ascent on the lines of a bounded sample of labelled documents (SAMPLE,
-the first by hash): lines of good documents count as content, of bad ones as boilerplate. Clean lines inside bad
+the first by hash), all lines of each: lines of good documents count as content, of bad ones as boilerplate. Clean lines inside bad
 documents are mostly outvoted, since lines like them are common in good ones.
 
 Nulls and edges: a null or empty text has no words and fails the base rules. A line is what stands between "\\n"; lines
 without a word carry no weight and follow their neighbours. A null doc_id stays. Repeated rows are judged alike. An empty
 table gives an empty result. With no labelled documents of both kinds nothing can be trained and only the base rules
-decide. Words are runs of characters other than ASCII white space, so all counts work on UTF-8 bytes.
+decide. Words are runs of characters other than ASCII white space, so all counts work on UTF-8 bytes. Texts of any length
+are taken whole, in the fit and in the verdict; in the fit a sequence of more than SEGMENT lines is several, of one weight
+together. Only doc_id, text and quality are read; other columns may have any name and pass through keep_good as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled documents that the CRF is fitted on at most, and lines taken of each.
-SAMPLE, SAMPLE_LINES = 1500, 60
+#: Labelled documents that the CRF is fitted on at most.
+SAMPLE = 1500
+#: Lines that are one sequence in the fit.
+SEGMENT = 64
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 #: Least share of word characters in content lines.
@@ -117,17 +121,20 @@ class Crf:
         return np.array(out[::-1], bool)
 
 
-def fit_crf(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, l2: float = 1e-3) -> Crf | None:
-    """Maximum likelihood by gradient steps; sequences: (features of lines, label of all lines)."""
-    sequences = [(x, y) for x, y in sequences if len(x)]
-    if len({y for _, y in sequences}) < 2:
+def fit_crf(documents: list[tuple[np.ndarray, int]], rounds: int = 150, l2: float = 1e-3) -> Crf | None:
+    """Maximum likelihood by gradient steps; documents: (features of lines, label of all lines)."""
+    documents = [(x, y) for x, y in documents if len(x)]
+    if len({y for _, y in documents}) < 2:
         return None
+    sequences = [(x[i : i + SEGMENT], y) for x, y in documents for i in range(0, len(x), SEGMENT)]
+    lines = np.array([len(x) for x, _ in documents for _ in range(0, len(x), SEGMENT)], float)
     n, long = len(sequences), max(len(x) for x, _ in sequences)
     x, mask, y = np.zeros((n, long, N_FEATURES)), np.zeros((n, long), bool), np.array([y for _, y in sequences])
     for i, (f, _) in enumerate(sequences):
         x[i, : len(f)], mask[i, : len(f)] = f, True
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both kinds alike
-    weight = weight[:, None] / mask.sum(1, keepdims=True) * mask
+    good = sum(label == 1 for _, label in documents)
+    weight = np.where(y == 1, 0.5 / good, 0.5 / (len(documents) - good))  # both kinds alike, and all documents of a kind
+    weight = (weight / lines)[:, None] * mask
     theta = np.zeros(2 * N_FEATURES + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     gold = np.zeros((n, long, 2))
@@ -209,18 +216,23 @@ SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
-    """labels: (doc_id, quality). Takes the lines of at most sample documents to the driver."""
+    """labels: (doc_id, quality). The features of the lines of at most sample documents come to the driver, no texts."""
     chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    lines = F.slice(F.split("text", "\n", SAMPLE_LINES + 1), 1, SAMPLE_LINES)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("quality", F.transform(lines, lambda x: F.substring(x, 1, 2000)).alias("lines")).collect()
-    sequences = []
-    for quality, lines in rows:
-        kept = [x.encode() for x in lines or [] if x and x.split()]
-        words = [x.split() for x in kept]
-        full = [i for i, w in enumerate(words) if w]
-        sequences.append((line_features([kept[i] for i in full], [words[i] for i in full]), int(quality)))
-    return fit_crf(sequences)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), F.col("quality").cast("int").alias("quality"), "text")
+    got = texts.mapInArrow(_features, "h bigint, quality int, x array<float>").toArrow().sort_by([("h", "ascending"), ("quality", "ascending")])
+    return fit_crf([(np.asarray(x.values, np.float64).reshape(-1, N_FEATURES), y.as_py()) for x, y in zip(got["x"], got["quality"], strict=True)])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of all lines with a word, one row a text."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 128):
+            part = batch.slice(i, 128)
+            out = []
+            for text in part.column(2).cast(pa.large_binary()).to_pylist():
+                lines = [(line, w) for line in (text or b"").split(b"\n") if (w := line.split())]
+                out.append(line_features([x[0] for x in lines], [x[1] for x in lines]).astype(np.float32).ravel())
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.list_(pa.float32()))], names=["h", "quality", "x"])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
