@@ -4,11 +4,12 @@ A text is lower-cased, runs of anything but letters become one space, and its 1-
 features. Inverse document frequencies cover every training document. The regression is fitted with the
 follow-the-regularised-leader-proximal rule, one example at a time, with elastic-net penalties (L1 makes it sparse) on a
 bounded sample, SAMPLE documents in all, evenly per language; a fifth of the sample sets the temperature of the softmax.
+The LANGS most common languages are learned at most (ties by name); equal scores go to the first by name.
 
 Training documents have a non-null lang and crc32(doc_id as text) mod 5 other than 0; lang, source and doc_id never enter
 a prediction. Nulls and edges: a null text, or one without a letter, is "und" with score 0, as is every text when there
 is nothing to learn from. A null doc_id counts as held out. Repeated rows are predicted alike. Long texts are taken whole,
-in pieces of a bounded size. Only doc_id, text and lang are read.
+in pieces of a bounded size. Only doc_id, text and lang are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import small_batches
 BITS, ORDERS = 16, 3
 #: Training documents in the sample, in all languages together.
 SAMPLE = 2000
+#: Languages learned at most: the weights are 2**BITS numbers each.
+LANGS = 200
 #: Code points of a text looked at together.
 PIECE = 500_000
 
@@ -160,7 +163,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Document frequencies (2**BITS numbers) and the features of the sample come to the driver, no texts."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull())
-    per_lang = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    per_lang = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     langs = sorted(per_lang)
     size = 1 << BITS
     model = Model(langs, np.ones(size), np.zeros((size + 1, len(langs))), 1.0)
@@ -177,7 +180,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for lang, k in per_lang.items():
         share = F.when(F.col("lang") == lang, sample / len(langs) / k).otherwise(share)
     h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    chosen = known.select(h.alias("h"), "lang", "text").filter(F.col("h") < share * (1 << 30))
+    chosen = known.filter(h < share * (1 << 30)).select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")  # one order for all reruns
     got = chosen.mapInArrow(_sparse, "h bigint, lang string, features array<int>, counts array<int>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     place = {lang: i for i, lang in enumerate(langs)}
     rows = [(place[lang.as_py()], np.asarray(f.values, np.int64), np.asarray(c.values, np.float64)) for lang, f, c in zip(got["lang"], got["features"], got["counts"], strict=True) if len(f.values)]
