@@ -8,8 +8,9 @@ The prefix sum is in two levels: documents are counted per (source, size class,
 a source, are summed up; the rank inside such a piece is a window over that piece. No window spans a whole source.
 
 Nulls: a null text has size 0; null is a source of its own, last in order; a null doc_id sorts first. A source of size
-0 has target 0. Rows repeated in full count once each. An empty table gives an empty mix. Only doc_id, text and source
-are read, so further columns cannot clash.
+0 has target 0. Rows repeated in full count once each. An empty table gives an empty mix. doc_id may be of any type that
+has an order. Texts of any length are counted whole. Only doc_id, text and source are read, so further columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def _size_class(size: Column) -> Column:
     return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 2))
 
 
+def _slice(docs: DataFrame) -> Column:
+    number = F.col("doc_id") if docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte") else F.xxhash64("doc_id")
+    return (F.pmod(F.coalesce(number, F.lit(0)), F.lit(1000003)) * 7919 % SLICES).cast("long")
+
+
 def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """(source, source_size) -> with weight and target; one row a source. Sources share the sum of all sizes by weight;
     none gets more than repeats times its size, and what is cut off is shared again among the others.
@@ -60,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
             "*",
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
             _size_class(F.col("size")).alias("cls"),
-            (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1000003)) * 7919 % SLICES).cast("long").alias("slice"),
+            _slice(docs).alias("slice"),
         ),
         "mix",
     )
@@ -84,9 +90,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
 
 
 def draw(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it (documents with distinct, non-null ids)."""
-    copies = mix.filter("n_copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"))
-    return docs.join(copies, "doc_id")
+    """The mixed corpus itself: each document as often as the mix takes it, with the number of the copy in __ss_copy. A
+    document is known by its id, source and size; where several rows agree in these, their copies are dealt out evenly."""
+    key = [F.col("doc_id").alias("__ss_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__ss_source"), F.col("size").alias("__ss_size")]
+    taken = mix.select(*key, "n_copies").groupBy("__ss_id", "__ss_source", "__ss_size").agg(F.sum("n_copies").alias("__ss_n"), F.count("*").alias("__ss_rows")).filter("__ss_n > 0")
+    rows = docs.withColumns({"__ss_s": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__ss_w": word_count(F.col("text"))})
+    x = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__ss_id")) & (F.col("__ss_s") == F.col("__ss_source")) & (F.col("__ss_w") == F.col("__ss_size")))
+    single, several = x.filter("__ss_rows = 1").withColumn("__ss_own", F.col("__ss_n")), x.filter("__ss_rows > 1")
+    place = F.row_number().over(W.partitionBy("__ss_id", "__ss_source", "__ss_size").orderBy(F.xxhash64("text")))
+    several = several.withColumn("__ss_own", F.floor(F.col("__ss_n") / F.col("__ss_rows")) + (place <= F.col("__ss_n") % F.col("__ss_rows")).cast("long"))
+    both = single.unionByName(several).filter("__ss_own > 0")
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__ss_own").cast("int"))).alias("__ss_copy"))
 
 
 SQL = """
