@@ -304,12 +304,15 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
     manifest = write_archives(pages, new_folder(spark, "warc"), min_bytes)
-    got = read_archives(spark, manifest, payload=False).filter("kind = 'record'")
+    got = read_archives(spark, manifest, payload=False)
 
     def page(c: str):
         return F.expr(f"try_cast(regexp_extract({c}, ':page:(.*)>$', 1) AS {kind.simpleString()})")
 
-    got = staged(got.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")), "records")
+    got = staged(got.select("kind", "path", page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")), "records")
+    if gaps := got.filter("kind = 'gap'").count():
+        raise RuntimeError(f"{gaps} damaged places in archives just written, one in {got.filter('kind = \'gap\'').first().path}")
+    got = got.filter("kind = 'record'").drop("kind", "path")
     sizes = got.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
     sizes = staged(sizes, "sizes")
     out = got.join(sizes, ["refers_to", "payload_digest"], "left")
