@@ -3,12 +3,15 @@
 Texts and templates are lower-cased to words of letters and digits with single spaces between. Of the hashes of their
 GRAM-byte pieces winnowing keeps the least of each WINDOW in a row, so whatever they share over GRAM + WINDOW - 1 bytes
 shares a kept hash. The templates' kept hashes form an inverted index (hash -> template, place); the templates are a
-fixed list, so the index is sent to all tasks. Hits of one template on nearby diagonals make a candidate place; a local
-alignment within BAND words of the diagonal gives the template's matched share and the place's span. Places with a share
-of MIN_COVERAGE or more are reported; a template contained in another's place of at least its matches is left out.
+fixed list, so the index is sent to all tasks. Diagonals with hits of a twelfth of a template's fingerprints or more, within
+BAND words of them, are candidates; a local alignment within BAND words of the diagonal gives the template's matched share
+and the place's span. Places with a share of MIN_COVERAGE or more are reported and taken out of the text, and the template
+is aligned again, so that the next place is found however near it is; a template contained in another's place of at least
+its matches is left out (ties: the later name stays).
 
 Nulls and edges: a null or empty text matches nothing. A text may hold several places of a license; each is reported.
-A null doc_id stays. Repeated rows are reported each. Only doc_id and text are read.
+A null doc_id stays. Repeated rows are reported each. Texts of any length are taken whole, 128 at a time. Only doc_id and
+text are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-GRAM, WINDOW, BAND, MIN_COVERAGE = 16, 8, 12, 0.75
+GRAM, WINDOW, BAND, MIN_COVERAGE = 8, 4, 12, 0.75
+#: Of a template's fingerprints, one in so many must lie near a diagonal.
+FEWEST = 12
 
 # Wordings of well-known public licenses and notices.
 TEMPLATES = {
@@ -114,10 +119,11 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names, hashes, owners, places = list(templates), [], [], []
-        self.words = []
+        self.words, self.needed = [], []
         for k, text in enumerate(templates.values()):
             data = normal(text.encode())
             at, h = winnowed(np.frombuffer(data, np.uint8))
+            self.needed.append(max(1, len(h) // FEWEST))
             word = np.cumsum(np.frombuffer(data, np.uint8) == 32)
             self.words.append(data.split())
             hashes.append(h)
@@ -151,15 +157,20 @@ class Scanner:
         out: list[tuple] = []
         words: dict[int, list[bytes]] = {}
         for (d, k), diagonals in sorted(shifts.items()):
-            template, last = self.words[k], None
-            for shift in sorted(set(diagonals)):
-                if last is not None and shift - last <= BAND:
+            near = np.sort(np.array(diagonals))
+            template, text, failed = self.words[k], None, None
+            for shift in np.unique(near).tolist():
+                hits = np.searchsorted(near, shift + BAND, "right") - np.searchsorted(near, shift - BAND)
+                if hits < self.needed[k] or failed is not None and shift - failed <= BAND // 2:
                     continue
-                last = shift
-                text = words.setdefault(d, plain[d].split())
-                matched, first, end = align(text, template, shift)
-                if matched >= MIN_COVERAGE * len(template):
+                text = list(words.setdefault(d, plain[d].split())) if text is None else text
+                while True:
+                    matched, first, end = align(text, template, shift)
+                    if matched < MIN_COVERAGE * len(template):
+                        failed = shift
+                        break
                     out.append((d, self.names[k], matched / len(template), matched, first, end))
+                    text[first:end] = [None] * (end - first)
         ours = set(out)
         for a in ours:  # a short notice inside a longer license's place says nothing more
             if any(b is not a and b[0] == a[0] and b[4] <= a[4] and a[5] <= b[5] and (b[3], b[1]) > (a[3], a[1]) for b in ours if b[0] == a[0]):
