@@ -26,7 +26,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = url_filters.outcomes_of(table(spark, sf_dir, "labels"))
-    return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_decontamination, op5_url_filters, op6_line_dedup, op7_warc, op8_licenses, op9_near_dedup, op10_token_counts)}
-ORACLES = {"op2_mixing": mixing.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op5_url_filters": url_filters.SQL}

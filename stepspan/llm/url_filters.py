@@ -9,7 +9,7 @@ pages is above a limit; hosts without labels are judged by their domain's poster
 Nulls: a null url, or one without "://", has an empty host and path, no rule and the reputation of the empty host.
 Null label values count as not bad; labels without a page count nowhere; several labels of a page count once each. With
 no labels at all every page without a rule is allowed. Pages with equal urls are judged alike, repeated rows stay.
-Only page_id and url are read.
+Very long urls are taken whole. Only page_id and url are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -92,16 +92,72 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_lower. labels: (page_id, bad 0 or 1)."""
+    """page_id, host, path, rule, verdict; n and bad: labels of the host; posterior_mean, bad_lower: of its rate of bad pages.
+    labels: (page_id, bad 0 or 1)."""
     parts = with_parts(pages)
     outcomes = parts.select("page_id", "host").join(labels.select("page_id", F.coalesce("bad", F.lit(0)).alias("bad")), "page_id")
-    reputation = staged(host_reputation(outcomes, parts.select("host").distinct(), z).select("host", F.col("lower").alias("bad_lower")), "reputation")
+    found = host_reputation(outcomes, parts.select("host").distinct(), z)
+    reputation = staged(found.select("host", "n", "bad", F.round("posterior_mean", 6).alias("posterior_mean"), F.col("lower").alias("bad_lower")), "reputation")
     name, action = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.coalesce(action, F.when(F.col("bad_lower") > limit, "block").otherwise("allow"))
-    return parts.join(reputation, "host", "left").select("page_id", "host", "path", name.alias("rule"), judged.alias("verdict"), F.round("bad_lower", 9).alias("bad_lower"))
+    return parts.join(reputation, "host", "left").select("page_id", "host", "path", name.alias("rule"), judged.alias("verdict"), "n", "bad", "posterior_mean", F.round("bad_lower", 6).alias("bad_lower"))
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
     """The labels table as outcomes of the pages with these ids: bad if of low quality or toxic."""
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     return labels.select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+
+
+SQL = """
+WITH rests AS (
+  SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests
+), outcomes AS (
+  SELECT host, (coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT AS bad FROM parts JOIN labels ON page_id = doc_id
+), counted AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad FROM outcomes GROUP BY host
+), split AS (
+  SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, string_split(host, '.') AS p
+  FROM (SELECT DISTINCT host FROM parts) LEFT JOIN counted USING (host)
+), named AS (
+  SELECT *, CASE WHEN len(p) >= 3 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(p[-1]) = 2 THEN 3 ELSE 2 END AS two FROM split
+), domained AS (SELECT host, n, bad, CASE WHEN len(p) <= two THEN host ELSE array_to_string(p[len(p) - two + 1 :], '.') END AS domain FROM named
+), hosts AS (
+  SELECT *, CASE WHEN instr(domain, '.') > 0 THEN substr(domain, instr(domain, '.') + 1) ELSE domain END AS suffix FROM domained
+), domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad,
+         (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) FROM domains) AS m
+  FROM domains GROUP BY suffix
+), w1 AS (
+  SELECT 1 / coalesce(least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) END, 0.001), 0.5), 0.1) - 1 AS w
+  FROM suffixes WHERE n > 0
+), s AS (SELECT suffix, (bad + w * m) / (n + w) AS m FROM suffixes, w1
+), d0 AS (SELECT domain, n, bad, m FROM domains JOIN s USING (suffix)
+), w2 AS (
+  SELECT 1 / coalesce(least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) END, 0.001), 0.5), 0.1) - 1 AS w
+  FROM d0 WHERE n > 0
+), d AS (SELECT domain, (bad + w * m) / (n + w) AS m FROM d0, w2
+), h0 AS (SELECT host, n, bad, m FROM hosts JOIN d USING (domain)
+), w3 AS (
+  SELECT 1 / coalesce(least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) END, 0.001), 0.5), 0.1) - 1 AS w
+  FROM h0 WHERE n > 0
+), ab AS (SELECT host, n, bad, bad + w * m AS a, n - bad + w * (1 - m) AS b FROM h0, w3
+), reputation AS (
+  SELECT host, n, bad, a / (a + b) AS mean, greatest(a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS lower FROM ab
+), judged AS (
+  SELECT page_id, p.host, path, r.n, r.bad, mean, lower,
+         CASE WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts p JOIN reputation r ON p.host = r.host
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       n, bad, round(mean, 6) AS posterior_mean, round(lower, 6) AS bad_lower
+FROM judged
+"""
