@@ -16,9 +16,12 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the driver and all executors see (spark.checkpoint.dir); one of our own only where it is unset and
+    all run on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stepspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -175,6 +175,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are near copies of one with a smaller id; all columns stay."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__ss_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__ss_gone"), "left_anti")
+    """docs without the documents that are near copies of one with a smaller id; all columns stay. Of rows with one doc_id
+    one stays (the first by a hash of its text); rows with a null doc_id all stay."""
+    found = staged(near_duplicates(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("k")), "found")
+    ids = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS and docs.schema["doc_id"].dataType.typeName() != "string" else rows
+    gone = ids(found.filter("NOT kept").select(F.col("doc_id").alias("__ss_id")))
+    left = docs.join(gone, docs["doc_id"] == F.col("__ss_id"), "left_anti")
+    again = found.filter("kept AND k > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__ss_id"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, left["doc_id"] == F.col("__ss_id"), "left_semi").withColumn("__ss_th", F.xxhash64("text"))
+    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__ss_th").alias("__ss_row")).select("__ss_row.*")
+    return left.join(again, left["doc_id"] == F.col("__ss_id"), "left_anti").unionByName(one)
