@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__ss_id"), F.col("th").alias("__ss_h"), F.col("gone").alias("__ss_pos")), rows + places // 8, BROADCAST_ROWS)
     x = base.join(gone, (base["__ss_th"] == gone["__ss_h"]) & base["doc_id"].eqNullSafe(gone["__ss_id"]), "left")
-    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__ss_pos", i))
     text = F.when(F.col("__ss_pos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     x = x.withColumns({"__ss_lines": n_lines, "__ss_gone": F.when(F.col("__ss_pos").isNull(), 0).otherwise(F.size("__ss_pos")).cast("long"), "__ss_text": text})

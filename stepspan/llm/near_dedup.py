@@ -146,7 +146,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("j", _estimate("ra", "rb", "na", "nb"))
-        return confirmed(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b"), sets, PERCENT)
+        return confirmed(staged(near.filter(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b"), "likely"), sets, PERCENT)
 
     found = bucket_links(members, sets, verify, PERCENT)
     unstage(sets)

@@ -37,12 +37,20 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (c, shingles) have a Jaccard similarity of percent or more."""
+    """The pairs (a, b) whose full sets (c, shingles) have a Jaccard similarity of percent or more. Sets that no pair names
+    are left out before they are dealt out; those of the ends are sent along only as far as they are needed."""
+    sets = _named(sets, pairs, "a", "b")
     a, b = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
 
 
+def _named(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The sets of the c's in these columns of rows."""
+    names = staged(rows.select(F.explode(F.array(*columns)).alias("c")).distinct(), "names")
+    return sets.join(maybe_broadcast(names, names.count(), BROADCAST_ROWS), "c", "left_semi")
+
+
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
     """(a, b) of different components that meet on `on`, alike enough in size; distinct."""
     x = left.select(*on, F.col("c").alias("x"), F.col("n").alias("nx"), F.col("component").alias("gx")).join(right.select(*on, F.col("c").alias("y"), F.col("n").alias("ny"), F.col("component").alias("gy")), on)
@@ -53,6 +61,7 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> Da
 def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """family: (p, c, n, component, own: p's component). Candidate pairs (a, b) by prefixes of differences."""
     share = (100 - percent) / (100 + percent)
+    sets = _named(sets, family, "p", "c")
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
     d = F.concat(F.array_except("s", "sp"), F.array_except("sp", "s"))
     live = staged(family.join(a, "c").join(b, "p").select("p", "c", "n", "component", "own", d.alias("d")), "differences")
@@ -91,6 +100,7 @@ def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def _centres(family: DataFrame, sets: DataFrame) -> DataFrame:
     """family: (p, c, ...) -> (p, q): of each family the member nearest to what most members have, if that is not p.
     An element of d is had by most if most members differ from p in it; so far does a member lie from the majority."""
+    sets = _named(sets, family, "p", "c")
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
     x = family.select("p", "c", "members").join(a, "c").join(b, "p")
     d = F.filter(F.concat(F.array_except("s", "sp"), F.array_except("sp", "s")), lambda e: F.pmod(e, F.lit(8)) == 0)  # an estimate will do to choose
