@@ -51,10 +51,14 @@ def gaps(log: DataFrame, minutes: int = 25) -> DataFrame:
 
 
 def beat_interval(log: DataFrame, minutes: int = 25) -> DataFrame:
-    """WIN-3. The median of intervals shorter than `minutes`, per feed. log: (feed, received)."""
-    us = F.unix_micros("received") - F.unix_micros(F.lag("received").over(W.partitionBy("feed").orderBy("received")))
-    x = log.withColumn("us", us).filter(F.col("us") < minutes * 60_000_000)
-    return x.groupBy("feed").agg(F.percentile("us", 0.5).alias("median_us"), F.count("*").alias("n"))
+    """WIN-3. The median of intervals shorter than `minutes`, per feed. log: (feed, received). Windows are of a feed's day; what
+    lies between days comes from the days' first and last rows."""
+    x = log.select("feed", "received", F.to_date("received").alias("day"))
+    inside = x.select("feed", "received", F.lag("received").over(W.partitionBy("feed", "day").orderBy("received")).alias("since"))
+    days = x.groupBy("feed", "day").agg(F.min("received").alias("first"), F.max("received").alias("last"))
+    over = days.select("feed", F.col("first").alias("received"), F.lag("last").over(W.partitionBy("feed").orderBy("day")).alias("since"))
+    both = inside.unionByName(over).select("feed", (F.unix_micros("received") - F.unix_micros("since")).alias("us")).filter(F.col("us") < minutes * 60_000_000)
+    return both.groupBy("feed").agg(F.percentile("us", 0.5).alias("median_us"), F.count("*").alias("n"))
 
 
 def real_changes(messages: DataFrame) -> DataFrame:
@@ -66,10 +70,15 @@ def real_changes(messages: DataFrame) -> DataFrame:
 
 def lag_statistics(lags: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     """AGG-17. lags: (feed, lag in seconds), kept from 0 to `seconds`: the median, and the value at place floor(0.9 n)."""
-    kept = lags.filter(F.col("lag").between(0, seconds))
-    one, every = W.partitionBy("feed").orderBy("lag"), W.partitionBy("feed")
-    x = kept.select("feed", "lag", (F.row_number().over(one) - 1).alias("r"), F.count("*").over(every).alias("n"))
-    return x.groupBy("feed").agg(F.percentile("lag", 0.5).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.9), F.col("lag"))).alias("p90"), F.count("*").alias("n"))
+    counted = lags.filter(F.col("lag").between(0, seconds)).groupBy("feed", "lag").agg(F.count("*").alias("n"))  # seconds + 1 rows a feed at most
+    upto = F.sum("n").over(W.partitionBy("feed").orderBy("lag"))
+    x = counted.select("feed", "lag", (upto - F.col("n")).alias("first"), (upto - 1).alias("last"), F.sum("n").over(W.partitionBy("feed")).alias("n"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(place.between(F.col("first"), F.col("last")), F.col("lag")))
+
+    half = [at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))]
+    return x.groupBy("feed").agg(((half[0] + half[1]) / 2).alias("median"), at(F.floor(F.col("n") * 0.9)).alias("p90"), F.max("n").alias("n"))
 
 
 def outage_ages(current: DataFrame, now: Column) -> DataFrame:
@@ -85,8 +94,12 @@ def drift(published: DataFrame, changes: DataFrame, periods: DataFrame) -> DataF
     last message of a lift counting; changes: (lift, at, status); periods: (period, begin, until)."""
     ends = published.join(periods, "period")
     steps = ends.select("period", "lift", "status", F.col("begin").alias("at"), "begin", "until")
-    inside = changes.select("lift", F.col("at").alias("change_at"), F.col("status").alias("new")).join(ends, "lift").filter((F.col("change_at") > F.col("begin")) & (F.col("change_at") < F.col("until")))
-    x = steps.select("period", "lift", F.col("status").alias("said"), "status", "at", "until").unionByName(inside.select("period", "lift", F.col("status").alias("said"), F.col("new").alias("status"), F.col("change_at").alias("at"), "until"))
+    # a change belongs to the last period of its lift that began before it: as-of by union and window, periods do not overlap
+    told = ends.select("lift", F.col("begin").alias("at"), F.lit(1).alias("kind"), F.struct("period", "status", "until").alias("of"), F.lit(None).cast("string").alias("new"))
+    seen = changes.select("lift", "at", F.lit(0).alias("kind"), F.lit(None).cast(told.schema["of"].dataType).alias("of"), F.col("status").alias("new"))
+    asof = F.last("of", ignorenulls=True).over(W.partitionBy("lift").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    inside = told.unionByName(seen).withColumn("of", asof).filter("kind = 0 AND at < of.until").select("of.period", "lift", F.col("of.status").alias("said"), F.col("new").alias("status"), "at", "of.until")
+    x = steps.select("period", "lift", F.col("status").alias("said"), "status", "at", "until").unionByName(inside)
     w = W.partitionBy("period", "lift").orderBy("at")
     x = x.withColumn("next", F.coalesce(F.lead("at").over(w), F.col("until")))
     seconds = (F.unix_micros("next") - F.unix_micros("at")) / 1_000_000

@@ -77,12 +77,15 @@ def merged_calls(calls: DataFrame, chained: DataFrame) -> DataFrame:
     """ROUTE-2. Calls of the chains, renumbered; a joint stop takes the first train's arrival and the second's departure."""
     x = calls.join(chained, "trip")
     order = W.partitionBy("chain").orderBy("place", "seq")
-    x = x.select("chain", "place", "seq", "station", "platform", "arr", "dep", F.lag("place").over(order).alias("before"), F.lag("arr").over(order).alias("arr_before"), F.lead("place").over(order).alias("after"))
+    flags = [c for c in ("can_board", "can_alight") if c in calls.columns]
+    x = x.select("chain", "place", "seq", "station", "platform", "arr", "dep", *flags, *[F.lag(c).over(order).alias("alight_before") for c in flags[1:]], F.lag("place").over(order).alias("before"), F.lag("arr").over(order).alias("arr_before"), F.lead("place").over(order).alias("after"))
     joint_first = F.col("after").isNotNull() & (F.col("after") > F.col("place"))
     joint_second = F.col("before").isNotNull() & (F.col("before") < F.col("place"))
     x = x.filter(~joint_first).withColumn("arr", F.when(joint_second, F.col("arr_before")).otherwise(F.col("arr")))
+    if flags:
+        x = x.withColumn("can_alight", F.when(joint_second, F.col("alight_before")).otherwise(F.col("can_alight")))
     n = F.count("*").over(W.partitionBy("chain"))
-    return x.select("chain", F.row_number().over(order).alias("seq"), "station", "platform", "arr", "dep", n.alias("n")).filter("n >= 2").drop("n")
+    return x.select("chain", F.row_number().over(order).alias("seq"), "station", "platform", "arr", "dep", *flags, n.alias("n")).filter("n >= 2").drop("n")
 
 
 def next_departure(ready: DataFrame, departures: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,16 +198,19 @@ def summarise(found: DataFrame, hours: float) -> DataFrame:
 
 def never_worse(entries: DataFrame) -> DataFrame:
     """AGG-14. entries: (origin, dest, day_type, p, t, k, median, changes, per_hour, fastest, payload), p, t and k counting
-    options from 0. Each cell gets the best entry of all cells with no more options, by three running minima; cells that
-    no entry reaches stay out."""
+    options from 0. Each cell gets the best entry of all cells with no more options; cells that no entry reaches stay out.
+    A pair's entries, twelve at most, are gathered by one shuffle."""
     pair = ["origin", "dest", "day_type"]
-    cells = F.explode(F.expr("flatten(transform(sequence(0, 1), p -> flatten(transform(sequence(0, 1), t -> transform(sequence(0, 2), k -> struct(p, t, k))))))"))
-    grid = entries.select(*pair).distinct().select(*pair, cells.alias("c")).select(*pair, "c.p", "c.t", "c.k")
     rank = F.struct("median", "changes", (-F.col("per_hour")).alias("less"), "fastest", F.col("k").alias("from_k"), F.col("p").alias("from_p"), F.col("t").alias("from_t"), "payload")
-    x = grid.join(entries.withColumn("best", rank).select(*pair, "p", "t", "k", "best"), [*pair, "p", "t", "k"], "left")
-    for along, fixed in (("k", ["p", "t"]), ("p", ["t", "k"]), ("t", ["p", "k"])):
-        x = x.withColumn("best", F.min("best").over(W.partitionBy(*pair, *fixed).orderBy(along).rowsBetween(W.unboundedPreceding, 0)))
-    return x.filter("best IS NOT NULL").select(*pair, "p", "t", "k", "best.median", "best.fastest", (-F.col("best.less")).alias("per_hour"), "best.changes", "best.payload")
+    x = entries.select(*pair, rank.alias("best")).groupBy(*pair).agg(F.collect_list("best").alias("own"))
+    cells = [(p, t, k) for p in (0, 1) for t in (0, 1) for k in (0, 1, 2)]
+
+    def best(p: int, t: int, k: int) -> Column:
+        return F.array_min(F.filter("own", lambda e: (e["from_p"] <= p) & (e["from_t"] <= t) & (e["from_k"] <= k)))
+
+    x = x.select(*pair, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t"), F.lit(k).alias("k"), best(p, t, k).alias("best")) for p, t, k in cells])).alias("c"))
+    x = x.select(*pair, "c.p", "c.t", "c.k", "c.best").filter("best IS NOT NULL")
+    return x.select(*pair, "p", "t", "k", "best.median", "best.fastest", (-F.col("best.less")).alias("per_hour"), "best.changes", "best.payload")
 
 
 def trimmed_levels(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -255,6 +261,33 @@ def lanes(calls: DataFrame, pattern: DataFrame) -> DataFrame:
     return calm.unionByName(fitted)
 
 
+def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFrame, usable: DataFrame, window: tuple[int, int], latest: int, hours: float) -> DataFrame:
+    """ROUTE-5. The origin-destination matrix of all variants in one job: each kind of day, both profiles, both train sets, up to
+    three trains, through trains merged inside each set, summarised, and never worse with more options (AGG-14).
+
+    calls: (day_type, trip, seq, station, platform, arr, dep, can_board, can_alight), a trip on one kind of day; sets: (trip, t), t
+    1 for all trains and 0 for the smaller set; rules: (from_trip, to_trip, kind); changes: (profile, from_platform, to_platform,
+    minutes); usable: (profile, platform, station) where one may set out and leave. A merged train has its first trip's name."""
+    both = []
+    for t in (0, 1):
+        own = calls.join(sets.filter(F.col("t") == t).select("trip"), "trip", "left_semi")
+        chained = checkpointed(chains(own.select("trip").distinct(), continuations(own, rules)))
+        heads = chained.filter("place = 0").select("chain", F.col("trip").alias("head")).join(own.groupBy(F.col("trip").alias("head")).agg(F.min("day_type").alias("day_type")), "head")
+        both.append(merged_calls(own.drop("day_type"), chained).join(heads, "chain").withColumn("t", F.lit(t)))
+    merged = both[0].unionByName(both[1])
+    profiles = F.explode(F.array(F.lit("any"), F.lit("stroller"))).alias("profile")
+    name = F.concat_ws("|", "day_type", "profile", "t")
+    rides = checkpointed(merged.select("*", profiles).select(name.alias("variant"), F.col("head").alias("trip"), "seq", "station", "platform", "arr", "dep", "can_board", "can_alight"))
+    kinds = rides.select("variant").distinct().withColumn("profile", F.split("variant", "[|]")[1])
+    places = checkpointed(usable.join(F.broadcast(kinds), "profile").select("variant", "platform", "station"))
+    moves = checkpointed(changes.join(F.broadcast(kinds), "profile").select("variant", "from_platform", "to_platform", "minutes"))
+    found = journeys(search(rides, moves, places.select("variant", "platform"), window, latest, 3), places)
+    parts = F.split("variant", "[|]")
+    x = summarise(found, hours).select("*", parts[0].alias("day_type"), (parts[1] == "any").cast("int").alias("p"), parts[2].cast("int").alias("t"))
+    x = x.select("origin", "dest", "day_type", "p", "t", (F.col("k") - 1).alias("k"), "median", "changes", "per_hour", "fastest", F.concat_ws(";", "via", "tracks").alias("payload"))
+    return never_worse(checkpointed(x))
+
+
 def verdicts(stations: DataFrame, choices: DataFrame, results: DataFrame) -> DataFrame:
     """PRJ-9. stations: (day_type, dest, status, idle); choices: (choice, day_type, origin, profile, k, most), a traveller's few;
     results: (origin, profile, dest, k, median). One of origin, not-step-free, unknown-access, idle, reachable, out-of-reach; a limit of 240 is none."""

@@ -128,25 +128,28 @@ def agg11_served_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return access.served_tracks(refs, islands)
 
 
-@query("WITH used AS (SELECT DISTINCT s_nationkey AS station, s_suppkey::VARCHAR || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'b' END AS platform FROM supplier), known AS (SELECT s_nationkey AS station, CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey::VARCHAR || 'a' ELSE s_suppkey::VARCHAR END AS code, CASE s_suppkey % 2 WHEN 0 THEN 'yes' ELSE 'no' END AS status FROM supplier WHERE s_suppkey % 5 <> 4) SELECT u.station, u.platform, coalesce(a.code, b.code) AS matched, CASE WHEN a.code IS NOT NULL THEN a.status ELSE b.status END AS status FROM used u LEFT JOIN known a ON a.station = u.station AND a.code = lower(u.platform) LEFT JOIN known b ON b.station = u.station AND b.code = regexp_replace(lower(u.platform), '[a-z]$', '')")
+@query("WITH used AS (SELECT DISTINCT s_nationkey AS station, s_suppkey::VARCHAR || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'b' END AS platform FROM supplier), known AS (SELECT s_nationkey AS station, CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey::VARCHAR || 'a' ELSE s_suppkey::VARCHAR END AS code, CASE s_suppkey % 2 WHEN 0 THEN 'yes' ELSE 'no' END AS status FROM supplier WHERE s_suppkey % 5 <> 4 UNION ALL SELECT s_nationkey, s_suppkey::VARCHAR, CASE WHEN s_suppkey % 20 = 4 THEN 'unknown' ELSE 'yes' END FROM supplier WHERE s_suppkey % 10 = 4) SELECT u.station, u.platform, coalesce(a.code, b.code) AS matched, CASE WHEN a.code IS NOT NULL THEN a.status ELSE b.status END AS status FROM used u LEFT JOIN known a ON a.station = u.station AND a.code = lower(u.platform) LEFT JOIN known b ON b.station = u.station AND b.code = regexp_replace(lower(u.platform), '[a-z]$', '')")
 def join15_platform_record(spark: SparkSession, sf: str) -> DataFrame:
-    used, known = _used(spark, sf)
-    return access.platform_record(used, known, known.limit(0))
+    used, known, islands = _used(spark, sf)
+    return access.platform_record(used, known, islands)
 
 
-def _used(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _used(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Platforms used, tracks known, and islands: an island has its tracks' status if they agree, else unknown."""
     s, k = ad.table(spark, sf, "supplier"), F.col("s_suppkey")
     used = s.select(F.col("s_nationkey").alias("station"), F.concat(k.cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, "A").otherwise("b")).alias("platform")).distinct()
     known = s.filter("s_suppkey % 5 <> 4").select(F.col("s_nationkey").alias("station"), F.when(k % 6 == 1, F.concat(k.cast("string"), F.lit("a"))).otherwise(k.cast("string")).alias("code"), F.when(k % 2 == 0, "yes").otherwise("no").alias("status"))
-    return used, known
+    pair = s.filter("s_suppkey % 10 = 4").select(F.col("s_nationkey").alias("station"), k.cast("string").alias("code"), F.explode(F.array(F.lit("yes"), F.when(k % 20 == 4, "no").otherwise("yes"))).alias("status"))
+    islands = pair.groupBy("station", "code").agg(F.when(F.countDistinct("status") == 1, F.min("status")).otherwise("unknown").alias("status"))
+    return used, known, islands
 
 
-@query("WITH used AS (SELECT DISTINCT s_suppkey % 2 AS variant, s_nationkey AS station, s_suppkey::VARCHAR || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'b' END AS platform FROM supplier), known AS (SELECT s_nationkey AS station, CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey::VARCHAR || 'a' ELSE s_suppkey::VARCHAR END AS code, CASE s_suppkey % 2 WHEN 0 THEN 'yes' ELSE 'no' END AS status FROM supplier WHERE s_suppkey % 5 <> 4), n AS (SELECT variant, station, count(*) AS k FROM used GROUP BY ALL) SELECT u.variant, u.station, u.platform, CASE WHEN a.code IS NOT NULL THEN a.status WHEN b.code IS NOT NULL THEN b.status WHEN u.station % 2 = 0 AND n.k <= 3 + u.station % 7 THEN 'yes' ELSE 'unknown' END AS status FROM used u JOIN n USING (variant, station) LEFT JOIN known a ON a.station = u.station AND a.code = lower(u.platform) LEFT JOIN known b ON b.station = u.station AND b.code = regexp_replace(lower(u.platform), '[a-z]$', '')")
+@query("WITH used AS (SELECT DISTINCT s_suppkey % 2 AS variant, s_nationkey AS station, s_suppkey::VARCHAR || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'b' END AS platform FROM supplier), known AS (SELECT s_nationkey AS station, CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey::VARCHAR || 'a' ELSE s_suppkey::VARCHAR END AS code, CASE s_suppkey % 2 WHEN 0 THEN 'yes' ELSE 'no' END AS status FROM supplier WHERE s_suppkey % 5 <> 4 UNION ALL SELECT s_nationkey, s_suppkey::VARCHAR, CASE WHEN s_suppkey % 20 = 4 THEN 'unknown' ELSE 'yes' END FROM supplier WHERE s_suppkey % 10 = 4), n AS (SELECT variant, station, count(*) AS k FROM used GROUP BY ALL) SELECT u.variant, u.station, u.platform, CASE WHEN a.code IS NOT NULL THEN a.status WHEN b.code IS NOT NULL THEN b.status WHEN u.station % 2 = 0 AND n.k <= 3 + u.station % 7 THEN 'yes' ELSE 'unknown' END AS status FROM used u JOIN n USING (variant, station) LEFT JOIN known a ON a.station = u.station AND a.code = lower(u.platform) LEFT JOIN known b ON b.station = u.station AND b.code = regexp_replace(lower(u.platform), '[a-z]$', '')")
 def join16_platform_status(spark: SparkSession, sf: str) -> DataFrame:
-    used, known = _used(spark, sf)
+    used, known, islands = _used(spark, sf)
     variants = used.withColumn("variant", F.regexp_extract("platform", r"\d+", 0).cast("long") % 2)
     n = ad.table(spark, sf, "nation").select(F.col("n_nationkey").alias("station"), F.when(F.col("n_nationkey") % 2 == 0, "yes").otherwise("partial").alias("status"), (3 + F.col("n_nationkey") % 7).alias("main_tracks"))
-    return access.platform_status(variants, access.platform_record(used, known, known.limit(0)), n)
+    return access.platform_status(variants, access.platform_record(used, known, islands), n)
 
 
 _FIXES = "fixes AS (SELECT c_nationkey AS station, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 1000 END AS track, CASE c_custkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' ELSE 'unknown' END AS status, c_custkey AS line FROM customer)"

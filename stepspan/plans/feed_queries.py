@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -128,7 +129,12 @@ def agg19_drift(spark: SparkSession, sf: str) -> DataFrame:
     t = F.explode(F.sequence(F.lit(1), F.lit(28)))
     c = ad.conditions(spark, sf)
     periods = spark.range(1).select(t.alias("period")).select(F.col("period").cast("long").alias("period"), F.timestamp_seconds(1704067200 + F.col("period") * 86400).alias("begin"), F.timestamp_seconds(1704067200 + (F.col("period") + 1) * 86400).alias("until"))
-    published = c.join(F.broadcast(periods), F.col("start") <= F.col("begin")).groupBy("period", "lift").agg(F.max_by("status", "id").alias("status"))
+    # the last message up to each period: the last of those between two begins, carried on
+    into = F.greatest(F.ceil((F.unix_micros("start") - 1704067200 * 1_000_000) / 86_400_000_000), F.lit(1))
+    last = c.groupBy("lift", into.alias("period")).agg(F.max(F.struct("id", "status")).alias("x")).filter("period <= 28")
+    grid = c.select("lift").distinct().select("lift", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(28).cast("long"))).alias("period")).join(last, ["lift", "period"], "left")
+    upto = F.max("x").over(W.partitionBy("lift").orderBy("period"))
+    published = grid.select("period", "lift", upto.alias("x")).filter("x IS NOT NULL").select("period", "lift", "x.status")
     return feed.drift(published, c.select("lift", F.col("start").alias("at"), "status"), periods)
 
 

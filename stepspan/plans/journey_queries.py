@@ -132,8 +132,16 @@ def agg13_win5_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def route5_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """ROUTE-5: the origin-destination matrix with at most three trains, summarised."""
-    return jo.summarise(_found(spark, sf, 3), 7.0)
+    """ROUTE-5: the whole origin-destination matrix: both kinds of day, both profiles, both train sets, up to three trains,
+    through trains merged, AGG-14 applied."""
+    trips = ad.trips(spark, sf).withColumn("day_type", F.when(F.weekday("date") == 5, "saturday").otherwise("weekday"))
+    calls = tt.day_timetable(ad.calls(spark, sf), trips)
+    sets = trips.select("trip", F.lit(1).alias("t")).unionByName(trips.filter("coalesce(agency, '') NOT IN ('MACHINERY') AND trip % 3 > 0").select("trip", F.lit(0).alias("t")))
+    n = tt.neighbour_calls(calls)
+    rules = n.select(F.col("trip").alias("from_trip"), F.col("last_platform").alias("p")).join(n.select(F.col("trip").alias("to_trip"), F.col("first_platform").alias("p")), "p")
+    rules = rules.select("from_trip", "to_trip", F.lit("possible").alias("kind")).filter("from_trip < to_trip AND to_trip - from_trip < 50")
+    usable = _places(spark, sf).withColumn("profile", F.explode(F.array(F.lit("any"), F.lit("stroller")))).filter("profile = 'any' OR step_free").select("profile", "platform", "station")
+    return jo.matrix(calls, sets, rules, _changes(spark, sf), usable, WINDOW, LATEST, 7.0)
 
 
 @query()
@@ -179,10 +187,31 @@ def dq1_set4_router_monotone(spark: SparkSession, sf: str) -> DataFrame:
     return jo.worse_with_more(_entries(spark, sf), "fastest")
 
 
-@query(f"WITH {_BEST} SELECT origin, dest, day_type, p, t, k, 'k' AS along, median AS less, median AS more FROM best WHERE false")
+_CHECKED = """
+, cells2 AS (
+  SELECT 'raw' AS stage, origin, dest, p, t, k, median FROM entries UNION ALL SELECT 'best', origin, dest, p, t, k, median FROM best
+), checked AS (
+  SELECT a.stage, along, a.median AS less, b.median AS more
+  FROM cells2 a
+  JOIN (VALUES ('k', 0, 0, 1), ('p', 1, 0, 0), ('t', 0, 1, 0)) v(along, dp, dt, dk) ON a.p + dp < 2 AND a.t + dt < 2 AND a.k + dk < 3
+  LEFT JOIN cells2 b ON b.stage = a.stage AND b.origin = a.origin AND b.dest = a.dest AND b.p = a.p + dp AND b.t = a.t + dt AND b.k = a.k + dk
+)
+SELECT stage, along, count(*) AS cells, count(*) FILTER (more IS NULL OR more > less) AS worse FROM checked GROUP BY ALL
+"""
+
+
+@query(f"WITH {_BEST} {_CHECKED}")
 def dq2_visible_monotone(spark: SparkSession, sf: str) -> DataFrame:
-    """DQ-2: after AGG-14 the median never rises with more options, so no row comes out."""
-    return jo.worse_with_more(jo.never_worse(_entries(spark, sf)), "median")
+    """DQ-2: cells compared and cells that are worse with one option more, along each option, before and after AGG-14 (then 0)."""
+    out = None
+    entries = _entries(spark, sf)
+    for stage, x in (("raw", entries), ("best", jo.never_worse(entries))):
+        for along, top in (("k", 2), ("p", 1), ("t", 1)):
+            n = x.filter(F.col(along) < top).agg(F.count("*").alias("cells")).select(F.lit(stage).alias("stage"), F.lit(along).alias("along"), "cells")
+            out = n if out is None else out.unionByName(n)
+        bad = jo.worse_with_more(x, "median").groupBy(F.lit(stage).alias("stage"), "along").agg(F.count("*").alias("n"))
+        worse = bad if stage == "raw" else worse.unionByName(bad)
+    return out.join(worse, ["stage", "along"], "left").select("stage", "along", "cells", F.coalesce("n", F.lit(0)).alias("worse"))
 
 
 @query("WITH e AS (SELECT o_custkey AS origin, (o_orderkey % 3)::INT AS k, min(o_orderpriority) AS value FROM orders GROUP BY ALL), f AS (SELECT origin, max(value) FILTER (k = 0) AS a, max(value) FILTER (k = 1) AS b, max(value) FILTER (k = 2) AS c FROM e GROUP BY origin), g AS (SELECT origin, a, coalesce(b, a) AS b, coalesce(c, b, a) AS c FROM f) SELECT origin, concat_ws('|', coalesce(a, '-'), CASE WHEN b IS DISTINCT FROM a OR c IS DISTINCT FROM b THEN coalesce(b, '-') END, CASE WHEN c IS DISTINCT FROM b THEN coalesce(c, '-') END) AS levels FROM g")

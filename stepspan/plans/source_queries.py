@@ -153,13 +153,14 @@ def src12_corrections(spark: SparkSession, sf: str) -> DataFrame:
     return files.corrections(spark, at).groupBy("track").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS code, n_name AS name FROM nation")
+@query("SELECT c_custkey AS code, c_name AS name, c_custkey AS published FROM customer")
 def snk2_snk5_published(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-2, SNK-5: a sorted CSV, and a table published after its checks; read from the pointer."""
+    """SNK-2, SNK-5: a sorted CSV, and a table published after its checks; both read back, the second from the pointer."""
     from ..operators import quality
 
     at = _folder(spark, "publish")
-    n = ad.table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    n = ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
     files.write_sorted_csv(n, f"{at}/csv", "name")
     files.publish({"stations": n}, at, "run-1", {"enough": quality.too_few(n, 1)})
-    return files.current(spark, at, "stations")
+    csv = spark.read.schema("code bigint, name string").option("header", True).csv(f"{at}/csv")
+    return csv.join(files.current(spark, at, "stations").select(F.col("code").alias("published"), F.col("name").alias("n")), F.col("name") == F.col("n")).drop("n")

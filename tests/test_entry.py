@@ -22,8 +22,12 @@ def test_oracles_have_queries():
 def test_rest_stands_without_the_llm_part(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    assert not (copy / "stepspan" / "llm").exists() and not (copy / "corpus_pipeline.py").exists()
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    shutil.copy(ROOT / "corpus_pipeline.py", copy)  # the pipeline alone is no use, and no harm
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_reference_cases.py", "-k", "slugs or name_scores"], cwd=copy, check=True, timeout=300)
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the test tables")

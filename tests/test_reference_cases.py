@@ -171,10 +171,12 @@ def test_lanes(spark):
     assert {r.trip: r.lane for r in jo.lanes(calls, pattern).collect()} == {1: 0, 2: 1, 3: 0}
 
 
-def test_name_scores():
+def test_name_scores(spark):
     assert names.osa("houtne", "houten") == 1 and names.osa("utrect", "utrecht") == 1 and names.osa("abc", "cab") == 2
-    assert names.name_score(["utrecht", "centraal"], ["utrecht", "centraal"]) == 1150
-    assert names.name_score(["zzz"], ["utrecht"]) == 0
+    words = [(["utrecht", "centraal"], ["utrecht", "centraal"], 1150), (["zzz"], ["utrecht"], None), (["utr"], ["utrecht", "centraal"], 240), (["utr", "x"], ["utrecht", "centraal"], None), (["centraal"], ["utrecht", "centraal"], 290), (["utrect"], ["utrecht"], 150), (["hout", "hout"], ["houten", "hout"], 550 - 0), (["abc"], ["abd"], None)]
+    rows = [(f"q{i}", q, "c", n) for i, (q, n, _) in enumerate(words)]
+    got = {r.query: r.score for r in names.name_scores(spark.createDataFrame(rows, "query string, qw array<string>, code string, nw array<string>")).collect()}
+    assert got == {f"q{i}": want for i, (_, _, want) in enumerate(words) if want is not None}
 
 
 def test_name_linkage_against_all_pairs(spark):
