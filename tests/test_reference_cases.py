@@ -296,3 +296,19 @@ def test_near_points_against_all_pairs(spark):
     got = access.near_points(spark.createDataFrame(a, "id int, lat double, lon double"), spark.createDataFrame(b, "other int, lat double, lon double"), 250.0)
     want = {(i, j) for i, y, x in a for j, v, u in b if ((y - v) * 111320) ** 2 + ((x - u) * 68000) ** 2 < 250**2}
     assert {tuple(x) for x in got.collect()} == want and want
+
+
+def test_matrix_of_all_variants(spark):
+    """ROUTE-5: a through train is one train in both sets; a train outside the smaller set helps only the larger one."""
+    trips = {1: [(1, 11, 600, 600), (2, 21, 610, 610)], 2: [(2, 21, 612, 612), (4, 41, 630, 630)], 3: [(1, 11, 605, 605), (4, 41, 620, 620)]}
+    calls = spark.createDataFrame(calls_of(trips, "weekday"), CALLS).withColumnRenamed("variant", "day_type")
+    sets = spark.createDataFrame([(1, 0), (2, 0), (1, 1), (2, 1), (3, 1)], "trip bigint, t int")
+    rules = spark.createDataFrame([(1, 2, "possible")], "from_trip bigint, to_trip bigint, kind string")
+    both = [(p, x) for p in ("any", "stroller") for x in (11, 21, 41) if (p, x) != ("stroller", 21)]
+    changes = spark.createDataFrame([(p, x, x, 5) for p, x in both], "profile string, from_platform bigint, to_platform bigint, minutes int")
+    usable = spark.createDataFrame([(p, x, x // 10) for p, x in both], "profile string, platform bigint, station bigint")
+    got = {(r.p, r.t, r.k, r.origin, r.dest): (r.fastest, r.changes) for r in jo.matrix(calls, sets, rules, changes, usable, (540, 720), 1200, 3.5).collect()}
+    for p in (0, 1):
+        for k in (0, 1, 2):
+            assert got[p, 0, k, 1, 4] == (30, 0) and got[p, 1, k, 1, 4] == (15, 0)
+            assert ((p, 0, k, 1, 2) in got) == (p == 1)
