@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (spark.checkpoint.dir); one of our own only where it is unset and all
+    run on this machine, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="stepspan-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; into a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df.checkpoint() into the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stepspan-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

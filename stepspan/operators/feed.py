@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,19 +138,26 @@ def train_verdicts(marks: DataFrame, day: Column, days: int = 28) -> DataFrame:
     return x.withColumn("verdict", F.when(F.col("no") > 0, False).when(F.col("yes") >= 3, True)).filter("verdict IS NOT NULL").select("train", "verdict")
 
 
+def due(rows: Iterable[tuple], last: int | None, said: str | None, quiet_minutes: int) -> Iterator[tuple]:
+    """STR-5's rule. rows: (tick, digest) in order; last, said: what was published before. Gives those to publish."""
+    for tick, digest in rows:
+        if last is None or digest != said or tick - last >= quiet_minutes:
+            last, said = tick, digest
+            yield tick, digest
+
+
 def publish_ticks(ticks: DataFrame, quiet_minutes: int = 10) -> DataFrame:
-    """STR-5. ticks: (feed, day, tick in minutes, digest): keep a tick if its out-list differs from the last kept one, or
-    quiet_minutes after that. Sequential inside a feed's day, so grouped in pandas; a day has 720 ticks of 2 minutes."""
+    """STR-5. ticks: (feed, day, tick in minutes, digest) and maybe problem: keep a tick if its out-list differs from the last
+    kept one, or quiet_minutes after that; a tick with a problem (see plausible) is never kept. Sequential inside a feed's
+    day, so grouped in pandas; a day has 720 ticks of 2 minutes."""
     import pandas as pd
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    if "problem" in ticks.columns:
+        ticks = ticks.filter("problem IS NULL")
+
+    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tick")
-        kept, last, said = [], None, None
-        for i, (tick, digest) in enumerate(zip(pdf.tick, pdf.digest)):
-            if last is None or digest != said or tick - last >= quiet_minutes:
-                kept.append(i)
-                last, said = tick, digest
-        return pdf.iloc[kept][["feed", "day", "tick", "digest"]]
+        return pd.DataFrame([(*key, *x) for x in due(zip(pdf.tick, pdf.digest), None, None, quiet_minutes)], columns=["feed", "day", "tick", "digest"])
 
     kinds = ", ".join(f"{c} {ticks.schema[c].dataType.simpleString()}" for c in ("feed", "day", "tick", "digest"))
     return ticks.groupBy("feed", "day").applyInPandas(keep, kinds)

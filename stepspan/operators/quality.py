@@ -23,9 +23,9 @@ def too_few(stations: DataFrame, least: int) -> DataFrame:
 
 def unknown_destinations(entries: DataFrame, stations: DataFrame) -> DataFrame:
     """DQ-4. Destinations that are no station, and pram results at stations that are not at least partly step-free."""
-    a = entries.join(stations.select(F.col("code").alias("dest")), "dest", "left_anti").select("origin", "dest", F.lit("unknown destination").alias("rule"))
+    a = entries.join(stations.select(F.col("code").alias("dest")), "dest", "left_anti").select("origin", "dest", "profile", F.lit("unknown destination").alias("rule"))
     open_ = stations.filter(F.col("status").isin("yes", "partial")).select(F.col("code").alias("dest"))
-    b = entries.filter("profile = 'stroller'").join(open_, "dest", "left_anti").select("origin", "dest", F.lit("pram at closed station").alias("rule"))
+    b = entries.filter("profile = 'stroller'").join(open_, "dest", "left_anti").select("origin", "dest", "profile", F.lit("pram at closed station").alias("rule"))
     return a.unionByName(b)
 
 

@@ -293,3 +293,28 @@ def dq6_known_answers(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     known = ad.table(spark, sf, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("origin"), (k % 25).alias("dest")).agg(F.max(10 + k % 50).alias("most"))
     return quality.wrong_answers(_reach(spark, sf), known)
+
+
+_DESTINATIONS = """
+WITH e AS (
+  SELECT DISTINCT printf('N%02d', l_suppkey % 25) AS origin, printf('N%02d', l_partkey % 27) AS dest, CASE WHEN l_linenumber % 2 = 0 THEN 'stroller' ELSE 'any' END AS profile
+  FROM lineitem
+), s AS (
+  SELECT printf('N%02d', n_nationkey) AS code, ['yes', 'partial', 'no', 'unknown'][n_nationkey % 4 + 1] AS status FROM nation
+)
+SELECT origin, dest, profile, 'unknown destination' AS rule FROM e WHERE dest NOT IN (SELECT code FROM s)
+UNION ALL
+SELECT origin, dest, profile, 'pram at closed station' FROM e WHERE profile = 'stroller' AND dest NOT IN (SELECT code FROM s WHERE status IN ('yes', 'partial'))
+"""
+
+
+@query(_DESTINATIONS)
+def dq4_destinations(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ-4: destinations that are no station, and pram results at stations that are not open."""
+    from ..operators import quality
+
+    line = ad.table(spark, sf, "lineitem")
+    profile = F.when(F.col("l_linenumber") % 2 == 0, "stroller").otherwise("any")
+    entries = line.select(F.format_string("N%02d", F.col("l_suppkey") % 25).alias("origin"), F.format_string("N%02d", F.col("l_partkey") % 27).alias("dest"), profile.alias("profile")).distinct()
+    status = F.element_at(F.array(*map(F.lit, quality.STATUSES)), (F.col("station") % 4 + 1).cast("int"))
+    return quality.unknown_destinations(entries, ad.stations(spark, sf).select("code", status.alias("status")))

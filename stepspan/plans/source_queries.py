@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.lineage import shared_folder
 from ..sources import files
 from . import adapters as ad
 from .registry import query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stepspan-")
-    return f"{base.rstrip('/')}/stepspan-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stepspan-{name}-{uuid.uuid4().hex}"
 
 
 @query(ad.sql("SELECT platform, count(*) AS n, min(arr) AS first, max(dep) AS last, count(pickup_type) AS typed FROM calls GROUP BY platform"))
@@ -164,3 +163,37 @@ def snk2_snk5_published(spark: SparkSession, sf: str) -> DataFrame:
     files.publish({"stations": n}, at, "run-1", {"enough": quality.too_few(n, 1)})
     csv = spark.read.schema("code bigint, name string").option("header", True).csv(f"{at}/csv")
     return csv.join(files.current(spark, at, "stations").select(F.col("code").alias("published"), F.col("name").alias("n")), F.col("name") == F.col("n")).drop("n")
+
+
+_QUAYS = """
+SELECT 'S' || s_suppkey // 4 AS code, 'q' || s_suppkey AS id, s_suppkey || 'a' AS track,
+       ['track', 'island', 'sector'][s_suppkey % 3 + 1] AS type,
+       CASE s_suppkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS status, (s_suppkey % 2)::INT AS lifts
+FROM supplier
+WHERE s_suppkey // 4 % 5 > 0
+"""
+
+
+@query(_QUAYS)
+def src4_accessibility_file(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-4: suppliers as quays, four a stop place, as an XML file and back; every fifth place is no station."""
+    at = _folder(spark, "quays")
+    k = F.col("s_suppkey")
+    number = k.cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ("railPlatform", "railIslandPlatform", "railPlatformSector"))), (k % 3 + 1).cast("int"))
+    access = F.when(k % 5 == 0, "true").when(k % 5 == 1, "false")
+    limits = F.struct(F.struct(F.struct(access.alias("StepFreeAccess")).alias("AccessibilityLimitation")).alias("limitations"))
+    lift = F.struct(F.struct(F.array(F.struct(F.lit("L:1").alias("_ref"))).alias("LiftEquipmentRef")).alias("placeEquipments"))
+    quay = F.struct(
+        F.concat(F.lit("q"), number).alias("_id"),
+        F.concat(number, F.lit("A")).alias("PublicCode"),
+        kind.alias("QuayType"),
+        F.when(k % 2 == 1, F.struct(F.array(lift).alias("EquipmentPlace"))).alias("equipmentPlaces"),
+        F.when(access.isNotNull(), limits).alias("AccessibilityAssessment"),
+    )
+    place = ad.table(spark, sf, "supplier").groupBy(F.floor(k / 4).alias("p")).agg(F.collect_list(quay).alias("Quay"))
+    code, mode = F.col("p").cast("string"), F.when(F.col("p") % 5 > 0, "rail").otherwise("bus")
+    private = F.struct(F.concat(F.lit("NL:S:s"), code).alias("PrivateCode"))
+    place = place.select(F.concat(F.lit("NL:SP:"), code).alias("_id"), private.alias("privateCodes"), mode.alias("TransportMode"), F.struct("Quay").alias("quays"))
+    place.write.format("xml").option("rootTag", "stopPlaces").option("rowTag", "StopPlace").save(at)
+    return files.quays(files.stop_places(spark, at)).select("code", "id", "track", "type", "status", F.size("lift_refs").alias("lifts"))

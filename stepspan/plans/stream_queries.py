@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..streaming import feeds
 from . import adapters as ad
-from .feed_queries import _LATEST
+from .feed_queries import _SHOWN, PUBLISHED, _at_ticks, publish_candidates
 from .registry import query
 
 
@@ -24,10 +27,74 @@ def _conditions(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("lift"), status.alias("status"), F.col("ts").alias("start"), end.alias("end"))
 
 
-@query(ad.sql(f"{_LATEST} SELECT lift, id, status, epoch_us(start) AS start_us, epoch_us(\"end\") AS end_us FROM latest"))
+_RESET = """
+msgs AS (
+  SELECT *, "full" AS f, CASE WHEN "full" THEN date_trunc('hour', start) ELSE start END AS received
+  FROM (SELECT *, hour(start) = 4 AS "full" FROM conditions)
+), of_lift AS (
+  SELECT *, max(received) FILTER (f) OVER (PARTITION BY lift) AS full_at, max(received) OVER (PARTITION BY lift) AS seen, max(received) FILTER (f) OVER () AS all_at
+  FROM msgs
+), held AS (
+  SELECT * FROM of_lift WHERE (full_at IS NULL OR received >= full_at) AND (all_at IS NULL OR seen >= all_at)
+  QUALIFY row_number() OVER (PARTITION BY lift, start ORDER BY received DESC, id DESC) = 1
+)
+SELECT lift, id, status, epoch_us(start) AS start_us, epoch_us("end") AS end_us, epoch_us(seen) AS seen_us FROM held
+QUALIFY row_number() OVER (PARTITION BY lift ORDER BY start DESC) <= 3
+"""
+
+
+def _received(conditions: DataFrame) -> DataFrame:
+    """What starts between four and five comes in that day's full state, at four."""
+    hour = F.floor(F.unix_seconds("start") / 3600)
+    full = hour % 24 == 4
+    return conditions.withColumn("full", full).withColumn("received", F.when(full, F.timestamp_seconds(hour * 3600)).otherwise(F.col("start")))
+
+
+@query(ad.sql(_RESET))
 def str1_str8_lift_states(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-1, STR-8: the streamed state must equal the batch form."""
-    return feeds.current_states(feeds.run_available(feeds.lift_states(_conditions(spark, sf)), "update").drop("batch"))
+    """STR-1, STR-8: the streamed state with its resets by full states must equal the batch form."""
+    states = feeds.current_states(feeds.run_available(feeds.lift_states(_received(_conditions(spark, sf))), "update").drop("batch"))
+    full = _received(ad.conditions(spark, sf)).filter("full").select(F.unix_micros("received").alias("at"))
+    return feeds.listed_since_full_state(states.withColumn("seen", F.col("seen_us")), full).drop("seen")
+
+
+def _as_stream(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder, as a stream."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/stepspan-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.readStream.schema(df.schema).parquet(at)
+
+
+@query(ad.sql(f"{_SHOWN} SELECT lift, epoch_us(now) AS now_us, status, shown FROM shown"))
+def str2_held_back_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-2 as a stream, with ticks of 6 hours and a hold of 7."""
+    return feeds.run_available(feeds.held_back(_as_stream(_at_ticks(spark, sf), "ticks"), 420), "append").drop("batch")
+
+
+@query(PUBLISHED)
+def str5_publish_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-5 as a stream."""
+    return feeds.run_available(feeds.published_ticks(_as_stream(publish_candidates(spark, sf), "ticks")), "append").drop("batch")
+
+
+_SILENCES = """
+WITH cuts AS (
+  SELECT event_type AS feed, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut FROM events
+), sessions AS (
+  SELECT feed, ts, sum(cut) OVER (PARTITION BY feed ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM cuts
+)
+SELECT feed, epoch_us(min(ts)) AS since_us, epoch_us(max(ts)) + 1800000000 AS until_us, count(*) AS n FROM sessions GROUP BY feed, k
+HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)
+"""
+
+
+@query(_SILENCES)
+def str4_silences(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-4: closed sessions; those that the watermark has not passed yet are still open."""
+    log = _events(spark, sf).select(F.col("event_type").alias("feed"), F.col("ts").alias("received"))
+    x = feeds.run_available(feeds.silences(log), "append")
+    return x.select("feed", F.unix_micros("since").alias("since_us"), F.unix_micros("until").alias("until_us"), "n")
 
 
 @query(ad.sql("SELECT date::VARCHAR AS date, train, max(mark) AS mark FROM marks GROUP BY ALL"))

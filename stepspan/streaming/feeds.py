@@ -6,7 +6,6 @@ Each function takes a streaming DataFrame and gives one; the same rows as a batc
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,29 +16,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.lineage import shared_folder
+from ..operators.feed import due
+
 #: A late message: full states come once a night, so 26 hours cover one that was missed.
 LATE = "26 hours"
 
-STATE = "lift bigint, version bigint, id bigint, status string, start_us bigint, end_us bigint"
+STATE = "lift bigint, version bigint, seen_us bigint, id bigint, status string, start_us bigint, end_us bigint"
 
 
 def lift_states(conditions: DataFrame, keep: int = 3) -> DataFrame:
-    """STR-1, STR-8. conditions: (id, lift, status, start, end). Per lift the newest `keep` conditions by start; a resend with
-    the same start replaces, whatever the order of arrival. Each update gives the lift's whole list under a new version."""
-    x = conditions.select("id", "lift", "status", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+    """STR-1, STR-8. conditions: (id, lift, status, start, end) and maybe received and full. Per lift the newest `keep`
+    conditions by start; a resend with the same start replaces, whatever the order of arrival. What was received before a
+    lift's part of a full state goes. Each update gives the lift's whole list under a new version, and when it was last seen;
+    lifts that a full state left out go on read (listed_since_full_state)."""
+    received = F.unix_micros("received") if "received" in conditions.columns else F.lit(0).cast("long")
+    full = F.col("full") if "full" in conditions.columns else F.lit(False)
+    x = conditions.select("id", "lift", "status", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), received.alias("received"), full.alias("full"))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, held = json.loads(state.get[0]) if state.exists else (0, [])
+        version, seen, full_at, held = json.loads(state.get[0]) if state.exists else (0, None, None, [])
         by_start = {h[2]: h for h in held}
         for pdf in frames:
-            for i, status, start, end in zip(pdf.id, pdf.status, pdf.start_us, pdf.end_us):
+            for i, status, start, end, at, full in zip(pdf.id, pdf.status, pdf.start_us, pdf.end_us, pdf.received, pdf.full):
                 start, end = (None if pd.isna(t) else int(t) for t in (start, end))
-                if start not in by_start or by_start[start][0] < i:
-                    by_start[start] = [int(i), status, start, end]
-        held = sorted(by_start.values(), key=lambda h: (h[2] is not None, h[2] or 0))[-keep:]
-        state.update((json.dumps([version + 1, held]),))
-        rows = [(key[0], version + 1, *h) for h in held]
-        yield pd.DataFrame(rows, columns=["lift", "version", "id", "status", "start_us", "end_us"]).astype({"start_us": "Int64", "end_us": "Int64"})
+                i, at = int(i), int(at)
+                seen = at if seen is None else max(seen, at)
+                if full:
+                    full_at = at if full_at is None else max(full_at, at)
+                if start not in by_start or (by_start[start][4], by_start[start][0]) < (at, i):
+                    by_start[start] = [i, status, start, end, at]
+        valid = [h for h in by_start.values() if full_at is None or h[4] >= full_at]
+        held = sorted(valid, key=lambda h: (h[2] is not None, h[2] or 0))[-keep:]
+        state.update((json.dumps([version + 1, seen, full_at, held]),))
+        rows = [(key[0], version + 1, seen, *h[:4]) for h in held]
+        yield pd.DataFrame(rows, columns=["lift", "version", "seen_us", "id", "status", "start_us", "end_us"]).astype({"start_us": "Int64", "end_us": "Int64"})
 
     return x.groupBy("lift").applyInPandasWithState(update, STATE, "held string", "update", GroupStateTimeout.NoTimeout)
 
@@ -56,6 +67,47 @@ def listed_since_full_state(states: DataFrame, full_states: DataFrame) -> DataFr
     return states.join(F.broadcast(at), F.col("full_at").isNull() | (F.col("seen") >= F.col("full_at"))).drop("full_at")  # at is one row
 
 
+def held_back(statuses: DataFrame, minutes: int = 30) -> DataFrame:
+    """STR-2. statuses: (lift, now, status) at ticks, which come in order from batch to batch. Out if not available; available
+    but seen out less than `minutes` before: back. The state is when a lift was last seen out."""
+    x = statuses.select("lift", F.unix_micros("now").alias("now_us"), "status")
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = state.get[0] if state.exists else None
+        pdf = pd.concat(list(frames)).sort_values("now_us")
+        shown = []
+        for now, status in zip(pdf.now_us, pdf.status):
+            if status != "available":
+                out = int(now)
+            back = out is not None and now - out < minutes * 60_000_000
+            shown.append(status if status != "available" else "back" if back else None)
+        if out is not None:
+            state.update((out,))
+        yield pd.DataFrame({"lift": key[0], "now_us": pdf.now_us.to_numpy(), "status": pdf.status.to_numpy(), "shown": pd.array(shown, dtype="string")})
+
+    kind = statuses.schema["lift"].dataType.simpleString()
+    return x.groupBy("lift").applyInPandasWithState(update, f"lift {kind}, now_us bigint, status string, shown string", "out bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def published_ticks(ticks: DataFrame, quiet_minutes: int = 10) -> DataFrame:
+    """STR-5. As feed.publish_ticks, on ticks that come in order from batch to batch; the state is what was published last."""
+    if "problem" in ticks.columns:
+        ticks = ticks.filter("problem IS NULL")
+    x = ticks.select("feed", "day", "tick", "digest")
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames)).sort_values("tick")
+        kept = list(due(zip(pdf.tick.tolist(), pdf.digest), *(state.get if state.exists else (None, None)), quiet_minutes))
+        if kept:
+            state.update(kept[-1])
+        yield pd.DataFrame([(*key, *k) for k in kept], columns=["feed", "day", "tick", "digest"])
+
+    kinds = {c: x.schema[c].dataType.simpleString() for c in x.columns}
+    return x.groupBy("feed", "day").applyInPandasWithState(
+        update, ", ".join(map(" ".join, kinds.items())), f"tick {kinds['tick']}, digest {kinds['digest']}", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def train_marks(marks: DataFrame, keep: str = "35 days") -> DataFrame:
     """STR-3. marks: (day as timestamp, train, mark): N sticks, since N is the larger; days older than `keep` leave the state."""
     return marks.withWatermark("day", keep).groupBy("day", "train").agg(F.max("mark").alias("mark"))
@@ -86,8 +138,7 @@ def run_available(stream: DataFrame, mode: str, upto: DataFrame | None = None) -
     """Runs a stream over what is there and gives back what it wrote, with the batch's number as `batch`. Output and
     checkpoint go to the shared folder (spark.checkpoint.dir)."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stepspan-")
-    path = f"{base.rstrip('/')}/stepspan-stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stepspan-stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/out/n={number}")

@@ -289,6 +289,42 @@ def test_full_state_reset(spark):
     assert feeds.listed_since_full_state(states, spark.createDataFrame([], "at int")).count() == 2
 
 
+def test_full_state_replaces_what_a_lift_had(spark, tmp_path):
+    """In whatever order the messages come; a resend received later wins."""
+    rows = [(1, 1, "a", 5, 10, False), (2, 1, "b", 7, 20, True), (3, 1, "c", 9, 30, False), (4, 1, "d", 9, 31, False), (5, 2, "e", 5, 10, False)]
+    schema = "id bigint, lift bigint, status string, s bigint, r bigint, full boolean"
+    cols = ["id", "lift", "status", F.timestamp_seconds("s").alias("start"), F.lit(None).cast("timestamp").alias("end"), F.timestamp_seconds("r").alias("received"), "full"]
+    for n, order in enumerate((rows, rows[::-1])):
+        at = str(tmp_path / f"in{n}")
+        for row in order:
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(at)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at).select(*cols)
+        states = feeds.current_states(feeds.run_available(feeds.lift_states(stream), "update").drop("batch"))
+        assert sorted((r.lift, r.status, r.seen_us) for r in states.collect()) == [(1, "b", 31_000_000), (1, "d", 31_000_000), (2, "e", 10_000_000)]
+        listed = feeds.listed_since_full_state(states.withColumn("seen", F.col("seen_us")), spark.createDataFrame([(20_000_000,)], "at bigint"))
+        assert {r.lift for r in listed.collect()} == {1}
+
+
+def test_hold_and_publish_over_batches(spark, tmp_path):
+    """STR-2, STR-5: states go on from batch to batch; a tick with a problem is never published."""
+    r = random.Random(9)
+    seen = [(i % 3, 60 * (i // 3), r.choice(["available", "available", "available", "notAvailable", "unknown"])) for i in range(180)]
+    ticks = [(i % 2, 1, i // 2 * 2, r.choice("ab"), r.choice([None, None, "too many out"])) for i in range(120)]
+    for name, rows, schema in (("seen", seen, "lift bigint, s bigint, status string"), ("ticks", ticks, "feed int, day int, tick int, digest string, problem string")):
+        for k in range(4):
+            n = len(rows) // 4
+            spark.createDataFrame(rows[k * n : (k + 1) * n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    now = F.timestamp_seconds("s").alias("now")
+    stream = spark.readStream.schema("lift bigint, s bigint, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "seen"))
+    got = feeds.run_available(feeds.held_back(stream.select("lift", now, "status"), 5), "append").select("lift", "now_us", "status", "shown")
+    want = feed.held_back(spark.read.parquet(str(tmp_path / "seen")).select("lift", now, "status"), 5).select("lift", F.unix_micros("now"), "status", "shown")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    stream = spark.readStream.schema("feed int, day int, tick int, digest string, problem string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks"))
+    got = feeds.run_available(feeds.published_ticks(stream), "append").drop("batch").collect()
+    want = feed.publish_ticks(spark.read.parquet(str(tmp_path / "ticks"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and not {tuple(x) for x in got} & {t[:4] for t in ticks if t[4]}
+
+
 def test_near_points_against_all_pairs(spark):
     r = random.Random(7)
     a = [(i, 52 + r.random() / 50, 5 + r.random() / 50) for i in range(80)]
