@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_counts, url_filters, warc
+from . import collocations, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_counts, url_filters, warc, whitening
 from .common import table
 
 
@@ -51,5 +51,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_decontamination, op5_url_filters, op6_line_dedup, op7_warc, op8_licenses, op9_near_dedup, op10_token_counts)}
-ORACLES = {"op2_mixing": mixing.SQL, "op5_url_filters": url_filters.SQL}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_decontamination, op5_url_filters, op6_line_dedup, op7_warc, op8_licenses, op9_near_dedup, op10_token_counts, op11_embedding_whitening, op12_collocations)}
+ORACLES = {"op2_mixing": mixing.SQL, "op5_url_filters": url_filters.SQL, "op12_collocations": collocations.SQL}
