@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_counts, url_filters, warc, whitening
+from . import collocations, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality, repeats, token_counts, url_filters, warc, whitening
 from .common import table
 
 
@@ -59,5 +59,9 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_decontamination, op5_url_filters, op6_line_dedup, op7_warc, op8_licenses, op9_near_dedup, op10_token_counts, op11_embedding_whitening, op12_collocations)}
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality_rules, op4_decontamination, op5_url_filters, op6_line_dedup, op7_warc, op8_licenses, op9_near_dedup, op10_token_counts, op11_embedding_whitening, op12_collocations, op13_suffix_array_dedup)}
 ORACLES = {"op2_mixing": mixing.SQL, "op5_url_filters": url_filters.SQL, "op12_collocations": collocations.SQL}
