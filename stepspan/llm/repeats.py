@@ -39,7 +39,7 @@ from .suffixes import sorted_with_common
 SIZE, PART = 50, 25
 OFFSETS = SIZE - PART + 1
 #: Raw bytes of a block, anchors of a bucket, most buckets, and bytes of answers that are still broadcast.
-BLOCK, PER_BUCKET, BUCKETS, ANSWERS = 4 << 20, 400_000, 1 << 16, 64 << 20
+BLOCK, PER_BUCKET, BUCKETS, ANSWERS = 2 << 20, 400_000, 1 << 16, 64 << 20
 #: Stands between texts; no UTF-8 byte.
 PAD = 0xFF
 
