@@ -1,9 +1,10 @@
 """Journeys: change minutes, through trains, earliest arrivals with at most k trains, journey sets, summaries.
 
 The search keeps, for every origin and platform, the Pareto front of (departure, arrival). A round boards trains at once
-for all labels: along a platform's times, a departure takes the last label that is ready (an as-of join by union and
+for all labels: along a platform's times, a departure takes the best label that is ready (an as-of join by union and
 window), so each call meets one label per origin, not all earlier ones. Riding is a join on the trip and a maximum. Rows per
-round are at most origins times calls, whatever the number of departures.
+round are at most origins times calls, whatever the number of departures, and a label has a fixed size: it points to the label
+it goes on from. Legs are put together at the end, for the journeys that are left.
 """
 
 from __future__ import annotations
@@ -107,79 +108,127 @@ def pareto(labels: DataFrame, keys: list[str], late: str, early: str) -> DataFra
     return labels.withColumn("__best", best).filter(F.col("__best").isNull() | (F.col(early) < F.col("__best"))).drop("__best")
 
 
-def _front(labels: DataFrame, time: str) -> DataFrame:
-    """One label per departure and then the Pareto front, per origin and platform."""
-    one = labels.groupBy(*PLATFORM, "tau").agg(F.min(F.struct(time, "legs")).alias("x")).select(*PLATFORM, "tau", f"x.{time}", "x.legs")
-    return pareto(one, PLATFORM, "tau", time)
+#: What names a label of a variant and origin: how many trains it takes, its last train and where that is left.
+KEY = ["trains", "trip", "a_seq"]
+LABEL = ["variant", "origin", "platform", "station", *KEY, "tau", "arr", "b_platform", "b_station", "b_dep", "prev"]
+_PREV = "struct<trains:int,trip:bigint,a_seq:int>"
 
 
-def _leg(trip: Column) -> Column:
-    return F.struct(trip.alias("trip"), F.col("b_platform").alias("board"), F.col("b_station").alias("board_station"), F.col("platform").alias("alight"), F.col("station").alias("alight_station"), F.col("b_dep").alias("dep"), F.col("arr"))
+def skyband(labels: DataFrame, early: str, depth: int) -> DataFrame:
+    """WIN-4 by layers: labels that fewer than `depth` labels of other last trains beat (a departure at least as late, `early`
+    at least as small). The first layer is the Pareto front, each further one the front of the rest. A departure that may not
+    take up to depth - 1 trains always finds its best label here: a label outside has a beating one in each layer, all of
+    different last trains, as a label that its own train beats goes first. All layers come from one sort."""
+    rows = labels
+    if depth > 1:
+        rows = pareto(rows.groupBy(*PLATFORM, "trip", "tau").agg(F.min_by(F.struct(*[c for c in labels.columns if c not in (*PLATFORM, "trip", "tau")]), F.struct(early, "trains", "a_seq")).alias("x")).select(*PLATFORM, "trip", "tau", "x.*"), [*PLATFORM, "trip"], "tau", early)
+    w = W.partitionBy(*PLATFORM).orderBy(F.desc("tau"), early, *KEY).rowsBetween(W.unboundedPreceding, -1)
+    rest = F.lit(True)
+    for i in range(depth):
+        best = F.min(F.when(rest, F.col(early))).over(w)
+        rows = rows.withColumn(f"__in{i}", rest & (best.isNull() | (F.col(early) < best)))
+        rest = rest & ~F.col(f"__in{i}")
+    flags = [f"__in{i}" for i in range(depth)]
+    return rows.filter(" OR ".join(flags)).select(*labels.columns)
+
+
+def _bars(forbidden: DataFrame, variants: DataFrame) -> DataFrame:
+    """(variant, trip, barred): the last trains that a train may not be reached from. forbidden without variant holds for all."""
+    pairs = forbidden if "variant" in forbidden.columns else forbidden.crossJoin(F.broadcast(variants))  # variants are the traveller's few
+    return pairs.groupBy("variant", F.col("to_trip").alias("trip")).agg(F.collect_set("from_trip").alias("barred"))
 
 
 def search(calls: DataFrame, changes: DataFrame, starts: DataFrame, window: tuple[int, int], latest: int, trains: int = 3, forbidden: DataFrame | None = None) -> DataFrame:
-    """ROUTE-3. variant, origin, platform, k, tau, arr, legs: labels with at most k trains, on the Pareto front.
+    """ROUTE-3, JOIN-12. LABEL and k: labels with at most k trains, per origin and platform; of fixed size whatever k: a label names the
+    one it goes on from (prev), journeys() rebuilds the legs.
 
     calls: (variant, trip, seq, station, platform, arr, dep, can_board, can_alight); changes: (variant, from_platform,
     to_platform, minutes), a platform to itself included; starts: (variant, platform) where one may set out; forbidden:
-    (from_trip, to_trip), checked against the train of the label that a departure takes; where it bars that label, the
-    other labels at the platform are tried. Ties are broken by arrival and then by the legs, in a fixed order.
+    (from_trip, to_trip) and maybe variant: one may not change from the one to the other, at any station. Labels are kept as far as a
+    departure could need them (skyband). Ties are broken by the number of trains and then by the keys, in a fixed order.
     """
     ride = calls.filter(F.col("can_alight") & (F.col("arr") <= latest)).select("variant", "trip", F.col("seq").alias("a_seq"), "station", "platform", "arr")
     board = calls.filter("can_board").select("variant", "trip", "seq", F.col("station").alias("b_station"), F.col("platform").alias("b_platform"), F.col("dep").alias("b_dep"))
-    none = F.expr("array()").cast("array<struct<trip:bigint,board:bigint,board_station:bigint,alight:bigint,alight_station:bigint,dep:int,arr:int>>")
+    bars, depth = None, 1
+    if forbidden is not None:
+        bars = checkpointed(_bars(forbidden, calls.select("variant").distinct()))
+        depth = 1 + (bars.agg(F.max(F.size("barred"))).first()[0] or 0)
     first = board.filter(F.col("b_dep").between(*window)).join(starts.select("variant", F.col("platform").alias("b_platform")), ["variant", "b_platform"], "left_semi")
-    boarded = first.select("*", F.col("b_station").alias("origin"), F.col("b_dep").alias("tau"), none.alias("legs"))
+    boarded = first.select("*", F.col("b_station").alias("origin"), F.col("b_dep").alias("tau"), F.lit(None).cast(_PREV).alias("prev"))
     best, out = None, None
     for k in range(1, trains + 1):
         x = boarded.join(ride, ["variant", "trip"]).filter("a_seq > seq")
-        x = x.select("variant", "origin", "trip", "a_seq", "platform", "arr", "tau", F.concat("legs", F.array(_leg(F.col("trip")))).alias("legs"))
-        # of one train, the boarding with the latest departure from the origin is best; then the shorter tale
-        x = x.groupBy("variant", "origin", "trip", "a_seq", "platform", "arr").agg(F.min(F.struct((-F.col("tau")).alias("m"), "legs")).alias("x"))
-        x = x.select(*PLATFORM, (-F.col("x.m")).alias("tau"), "arr", "x.legs")
-        best = checkpointed(_front(x if best is None else best.unionByName(x), "arr"))
+        # of one train, the boarding with the latest departure from the origin is best
+        x = x.groupBy("variant", "origin", "trip", "a_seq", "station", "platform", "arr").agg(F.max(F.struct("tau", "b_dep", "b_platform", "b_station", "prev")).alias("x"))
+        x = x.withColumn("trains", F.lit(k)).select("*", "x.*").select(*LABEL)
+        best = checkpointed(skyband(x if best is None else best.unionByName(x), "arr", depth))
         labels = best.withColumn("k", F.lit(k))
         out = labels if out is None else out.unionByName(labels)
-        if k == trains:
-            return out
-        moved = best.join(changes.select("variant", F.col("from_platform").alias("platform"), "to_platform", "minutes"), ["variant", "platform"])
-        moved = moved.filter(F.size("legs") == k)  # others have boarded in an earlier round
-        ready = _front(moved.select("variant", "origin", F.col("to_platform").alias("platform"), "tau", (F.col("arr") + F.col("minutes")).alias("ready"), "legs"), "ready")
-        if forbidden is not None:
-            ready = checkpointed(ready)
-        boarded = _as_of_boarding(ready, board, forbidden)
+        if k < trains:
+            moved = best.filter(F.col("trains") == k).join(changes.select("variant", F.col("from_platform").alias("platform"), "to_platform", "minutes"), ["variant", "platform"])
+            ready = moved.select("variant", "origin", F.col("to_platform").alias("platform"), "tau", (F.col("arr") + F.col("minutes")).alias("ready"), *KEY)
+            ready = skyband(ready.groupBy(*PLATFORM, "tau", *KEY).agg(F.min("ready").alias("ready")), "ready", depth)
+            boarded = _as_of_boarding(checkpointed(ready), board, bars)
     return out
 
 
-def _as_of_boarding(ready: DataFrame, board: DataFrame, forbidden: DataFrame | None) -> DataFrame:
+def _as_of_boarding(ready: DataFrame, board: DataFrame, bars: DataFrame | None) -> DataFrame:
+    """JOIN-13 for all origins at once, with JOIN-12: each departure takes, of the labels that are ready, the one that set out last. A
+    running maximum along a platform's times gives the best label, a second one over what the first passed by the best of
+    another last train, for departures barred from one train. Those barred from more look at all labels."""
     at = board.withColumnRenamed("b_platform", "platform")
-    wanted = ready.select(*PLATFORM).distinct()
-    free = at
-    if forbidden is not None:
-        barred = forbidden.select(F.col("to_trip").alias("trip")).distinct()
-        free = at.join(barred, "trip", "left_anti")
-    label = F.struct("tau", "legs")
-    a = ready.select(*PLATFORM, F.col("ready").alias("t"), F.lit(0).alias("kind"), label.alias("label"), F.lit(None).cast("bigint").alias("trip"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("bigint").alias("b_station"))
-    b = free.join(wanted, ["variant", "platform"]).select(*PLATFORM, F.col("b_dep").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["label"].dataType).alias("label"), F.col("trip").cast("bigint").alias("trip"), F.col("seq").cast("int").alias("seq"), F.col("b_station").cast("bigint").alias("b_station"))
-    w = W.partitionBy(*PLATFORM).orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    met = a.unionByName(b).withColumn("got", F.last("label", ignorenulls=True).over(w)).filter("kind = 1 AND got IS NOT NULL")
-    cols = ["variant", "b_platform", "trip", "seq", "b_station", "b_dep", "origin", "tau", "legs"]
-    out = met.select("variant", F.col("platform").alias("b_platform"), "trip", "seq", "b_station", F.col("t").alias("b_dep"), "origin", "got.tau", "got.legs")
-    if forbidden is not None:  # departures that some train may not connect to: all labels, few rows
-        x = at.join(barred, "trip").join(ready, ["variant", "platform"]).filter("b_dep >= ready")
-        x = x.withColumn("from_trip", F.element_at("legs", -1).trip).join(forbidden.select("from_trip", F.col("to_trip").alias("trip")), ["from_trip", "trip"], "left_anti")
-        x = x.groupBy("variant", "platform", "trip", "seq", "b_station", "b_dep", "origin").agg(F.min(F.struct((-F.col("tau")).alias("m"), "legs")).alias("x"))
-        out = out.unionByName(x.select("variant", F.col("platform").alias("b_platform"), F.col("trip").cast("bigint").alias("trip"), F.col("seq").cast("int").alias("seq"), F.col("b_station").cast("bigint").alias("b_station"), "b_dep", "origin", (-F.col("x.m")).alias("tau"), "x.legs"))
+    several = None
+    if bars is not None:
+        at = at.join(bars, ["variant", "trip"], "left")
+        several = at.filter(F.size("barred") > 1)
+        at = at.filter("barred IS NULL OR size(barred) = 1").withColumn("barred", F.col("barred")[0])
+    else:
+        at = at.withColumn("barred", F.lit(None).cast("bigint"))
+    wanted = ready.groupBy(*PLATFORM).agg(F.min("ready").alias("soonest"))
+    label = F.struct("tau", *KEY)
+    dep = F.struct(F.col("trip").cast("bigint").alias("trip"), F.col("seq").cast("int").alias("seq"), F.col("b_station").cast("bigint").alias("b_station"), F.col("barred").cast("bigint").alias("barred"))
+    b = at.join(wanted, ["variant", "platform"]).filter("b_dep >= soonest").select(*PLATFORM, F.col("b_dep").alias("t"), F.lit(1).alias("kind"), dep.alias("dep"))
+    a = ready.select(*PLATFORM, F.col("ready").alias("t"), F.lit(0).alias("kind"), label.alias("label"))
+    b = b.withColumn("label", F.lit(None).cast(a.schema["label"].dataType))
+    both = a.withColumn("dep", F.lit(None).cast(b.schema["dep"].dataType)).unionByName(b)
+    order = W.partitionBy(*PLATFORM).orderBy("t", "kind", "label")
+    both = both.withColumn("best", F.max("label").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    if bars is not None:
+        before = F.lag("best").over(order)
+        both = both.withColumn("before", before)
+        passed = F.when(F.col("label").isNotNull() & F.col("before").isNotNull() & (F.col("label.trip") != F.col("before.trip")), F.least("before", "label"))
+        both = both.withColumn("passed", passed).withColumn("second", F.max("passed").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        free = F.col("dep.barred").isNull() | (F.col("best.trip") != F.col("dep.barred"))
+        both = both.withColumn("best", F.when(free, F.col("best")).otherwise(F.col("second")))
+    met = both.filter("kind = 1 AND best IS NOT NULL")
+    cols = ["variant", "b_platform", "trip", "seq", "b_station", "b_dep", "origin", "tau", "prev"]
+    got = F.col("best.trains").alias("trains"), F.col("best.trip").alias("trip"), F.col("best.a_seq").alias("a_seq")
+    out = met.select("variant", F.col("platform").alias("b_platform"), "dep.trip", "dep.seq", "dep.b_station", F.col("t").alias("b_dep"), "origin", "best.tau", F.struct(*got).alias("prev"))
+    if several is not None:
+        x = several.join(ready.withColumnRenamed("trip", "last"), ["variant", "platform"]).filter("b_dep >= ready AND NOT array_contains(barred, last)")
+        x = x.groupBy("variant", "origin", "platform", "trip", "seq", "b_station", "b_dep").agg(F.max(F.struct("tau", "trains", F.col("last").alias("trip"), "a_seq")).alias("x"))
+        prev = F.struct(F.col("x.trains").alias("trains"), F.col("x.trip").alias("trip"), F.col("x.a_seq").alias("a_seq"))
+        out = out.unionByName(x.select("variant", F.col("platform").alias("b_platform"), "trip", "seq", "b_station", "b_dep", "origin", "x.tau", prev.alias("prev")))
     return out.select(cols)
 
 
-def journeys(labels: DataFrame, ends: DataFrame) -> DataFrame:
+def journeys(labels: DataFrame, ends: DataFrame, with_legs: bool = True) -> DataFrame:
     """ROUTE-4. ends: (variant, platform, station) where one may leave. variant, origin, dest, k, tau, arr, legs: the Pareto
-    front per pair, the least arrival over the destination's platforms."""
-    x = labels.join(ends.withColumnRenamed("station", "dest"), ["variant", "platform"]).filter("origin <> dest")
+    front per pair, the least arrival over the destination's platforms. Legs are rebuilt for these journeys only, by one join a
+    train with the labels' own rows."""
+    x = labels.join(ends.select("variant", "platform", F.col("station").alias("dest")), ["variant", "platform"]).filter("origin <> dest")
     keys = ["variant", "origin", "dest", "k"]
-    x = x.groupBy(*keys, "tau").agg(F.min(F.struct("arr", "legs")).alias("x")).select(*keys, "tau", "x.arr", "x.legs")
-    return pareto(x, keys, "tau", "arr")
+    x = x.groupBy(*keys, "tau").agg(F.min(F.struct("arr", *KEY)).alias("x")).select(*keys, "tau", "x.*")
+    x = pareto(x, keys, "tau", "arr")
+    if not with_legs:
+        return x.select(*keys, "tau", "arr")
+    leg = F.struct("trip", F.col("b_platform").alias("board"), F.col("b_station").alias("board_station"), F.col("platform").alias("alight"), F.col("station").alias("alight_station"), F.col("b_dep").alias("dep"), "arr")
+    own = labels.filter("k = trains").select("variant", "origin", F.struct(*KEY).alias("at"), leg.alias("leg"), "prev")
+    x = x.select(*keys, "tau", "arr", F.struct(*KEY).alias("at"), F.array().cast(f"array<{own.schema['leg'].dataType.simpleString()}>").alias("legs"))
+    for _ in range(labels.agg(F.max("trains")).first()[0] or 0):
+        x = x.join(own, ["variant", "origin", "at"], "left")
+        x = x.select(*keys, "tau", "arr", F.col("prev").alias("at"), F.when(F.col("leg").isNull(), F.col("legs")).otherwise(F.concat(F.array("leg"), "legs")).alias("legs"))
+    return x.drop("at")
 
 
 def summarise(found: DataFrame, hours: float) -> DataFrame:
@@ -191,7 +240,7 @@ def summarise(found: DataFrame, hours: float) -> DataFrame:
     x = found.withColumn("duration", duration).withColumn("changes", changes)
     x = x.select("*", F.row_number().over(w).alias("r"), F.count("*").over(every).alias("n"), F.min("duration").over(every).alias("fastest"))
     x = x.filter("r = floor((n - 1) / 2) + 1")
-    via = F.array_join(F.transform(F.slice("legs", 1, F.size("legs") - 1), lambda s: s.alight_station.cast("string")), "|")
+    via = F.array_join(F.transform(F.slice("legs", F.lit(1), F.greatest(F.size("legs") - 1, F.lit(0))), lambda s: s.alight_station.cast("string")), "|")
     tracks = F.array_join(F.flatten(F.transform("legs", lambda s: F.array(s.board.cast("string"), s.alight.cast("string")))), "|")
     return x.select(*keys, F.col("duration").alias("median"), "fastest", F.round(F.col("n") / hours, 1).alias("per_hour"), "changes", via.alias("via"), tracks.alias("tracks"))
 
@@ -266,14 +315,19 @@ def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFra
     three trains, through trains merged inside each set, summarised, and never worse with more options (AGG-14).
 
     calls: (day_type, trip, seq, station, platform, arr, dep, can_board, can_alight), a trip on one kind of day; sets: (trip, t), t
-    1 for all trains and 0 for the smaller set; rules: (from_trip, to_trip, kind); changes: (profile, from_platform, to_platform,
+    1 for all trains and 0 for the smaller set; rules: (from_trip, to_trip, kind), impossible ones
+    barring all changes between the merged trains of the two; changes: (profile, from_platform, to_platform,
     minutes); usable: (profile, platform, station) where one may set out and leave. A merged train has its first trip's name."""
-    both = []
+    both, barred = [], []
     for t in (0, 1):
         own = calls.join(sets.filter(F.col("t") == t).select("trip"), "trip", "left_semi")
         chained = checkpointed(chains(own.select("trip").distinct(), continuations(own, rules)))
         heads = chained.filter("place = 0").select("chain", F.col("trip").alias("head")).join(own.groupBy(F.col("trip").alias("head")).agg(F.min("day_type").alias("day_type")), "head")
         both.append(merged_calls(own.drop("day_type"), chained).join(heads, "chain").withColumn("t", F.lit(t)))
+        of = chained.join(heads, "chain").select("trip", "head", "day_type")
+        no = rules.filter("kind = 'impossible'").select("from_trip", "to_trip")
+        no = no.join(of.select(F.col("trip").alias("from_trip"), F.col("head").alias("a"), "day_type"), "from_trip").join(of.select(F.col("trip").alias("to_trip"), F.col("head").alias("b"), "day_type"), ["to_trip", "day_type"])
+        barred.append(no.filter("a <> b").select("day_type", F.lit(t).alias("t"), F.col("a").alias("from_trip"), F.col("b").alias("to_trip")).distinct())
     merged = both[0].unionByName(both[1])
     profiles = F.explode(F.array(F.lit("any"), F.lit("stroller"))).alias("profile")
     name = F.concat_ws("|", "day_type", "profile", "t")
@@ -281,7 +335,8 @@ def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFra
     kinds = rides.select("variant").distinct().withColumn("profile", F.split("variant", "[|]")[1])
     places = checkpointed(usable.join(F.broadcast(kinds), "profile").select("variant", "platform", "station"))
     moves = checkpointed(changes.join(F.broadcast(kinds), "profile").select("variant", "from_platform", "to_platform", "minutes"))
-    found = journeys(search(rides, moves, places.select("variant", "platform"), window, latest, 3), places)
+    barred = barred[0].unionByName(barred[1]).select("*", profiles).select(name.alias("variant"), "from_trip", "to_trip")
+    found = journeys(search(rides, moves, places.select("variant", "platform"), window, latest, 3, barred), places)
     parts = F.split("variant", "[|]")
     x = summarise(found, hours).select("*", parts[0].alias("day_type"), (parts[1] == "any").cast("int").alias("p"), parts[2].cast("int").alias("t"))
     x = x.select("origin", "dest", "day_type", "p", "t", (F.col("k") - 1).alias("k"), "median", "changes", "per_hour", "fastest", F.concat_ws(";", "via", "tracks").alias("payload"))

@@ -24,8 +24,9 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min(F.struct("l_partkey", "l_suppkey"))
     one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("seq")).agg(first.alias("x"))
     one = one.select("trip", "seq", F.col("x.l_partkey").alias("p"), F.col("x.l_suppkey").alias("platform"))
-    so_far = F.sum(1 + F.col("p") % 20).over(W.partitionBy("trip").orderBy("seq"))
-    one = one.withColumn("arr", (480 + F.col("trip") % 240 + so_far).cast("int"))
+    order = W.partitionBy("trip").orderBy("seq")
+    waits = F.coalesce(F.sum(F.col("p") % 3).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at the stops before
+    one = one.withColumn("arr", (480 + F.col("trip") % 240 + F.sum(1 + F.col("p") % 20).over(order) + waits).cast("int"))
     places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("platform"), F.col("s_nationkey").alias("station"))
     return one.join(places, "platform").select(
         "trip", "seq", "platform", "station", "arr",
@@ -74,7 +75,7 @@ one AS (
   SELECT l_orderkey AS trip, l_linenumber AS seq, l_partkey AS p, l_suppkey AS platform FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1
 ), timed AS (
-  SELECT *, (480 + trip % 240 + sum(1 + p % 20) OVER (PARTITION BY trip ORDER BY seq))::INT AS arr FROM one
+  SELECT *, (480 + trip % 240 + sum(1 + p % 20 + p % 3) OVER (PARTITION BY trip ORDER BY seq) - p % 3)::INT AS arr FROM one
 ), calls AS (
   SELECT trip, seq, platform, s_nationkey AS station, arr, (arr + p % 3)::INT AS dep,
          CASE WHEN p % 11 = 0 THEN '1' WHEN p % 7 = 0 THEN NULL ELSE '0' END AS pickup_type,

@@ -97,15 +97,19 @@ _SEARCH = f"""{_CHANGES}, daily AS (
 ), rides AS (
   SELECT a.trip, a.station AS origin, a.platform AS fp, a.dep AS tau, b.station AS dest, b.platform AS tp, b.arr FROM daily a JOIN daily b ON a.trip = b.trip AND b.seq > a.seq AND a.can_board AND b.can_alight AND b.arr <= 1100
 ), l1 AS (
-  SELECT profile AS variant, origin, tp AS platform, dest, tau, min(arr) AS arr FROM rides, (VALUES ('any'), ('stroller')) v(profile) WHERE tau BETWEEN 480 AND 900 AND (profile = 'any' OR fp % 4 <> 2) GROUP BY ALL
-), f1 AS (
-  SELECT * FROM l1 QUALIFY coalesce(arr < min(arr) OVER (PARTITION BY variant, origin, platform ORDER BY tau DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+  SELECT profile AS variant, origin, tp AS platform, dest, trip, tau, min(arr) AS arr
+  FROM rides, (VALUES ('any'), ('stroller')) v(profile)
+  WHERE tau BETWEEN 480 AND 900 AND (profile = 'any' OR fp % 4 <> 2) GROUP BY ALL
 ), r1 AS (
-  SELECT variant, origin, to_platform AS platform, tau, min(arr + minutes) AS ready FROM f1 JOIN changes ON profile = variant AND from_platform = platform GROUP BY ALL
+  SELECT variant, origin, to_platform AS platform, trip, tau, min(arr + minutes) AS ready
+  FROM l1 JOIN changes ON profile = variant AND from_platform = platform GROUP BY ALL
 ), l2 AS (
-  SELECT r.variant, r.origin, tp AS platform, dest, r.tau, min(arr) AS arr FROM r1 r JOIN rides d ON d.fp = r.platform AND d.tau >= r.ready GROUP BY ALL
+  SELECT r.variant, r.origin, tp AS platform, dest, r.tau, min(arr) AS arr
+  FROM r1 r JOIN rides d ON d.fp = r.platform AND d.tau >= r.ready
+  WHERE NOT EXISTS (SELECT 1 FROM rules n WHERE n.kind = 'impossible' AND n.from_trip = r.trip AND n.to_trip = d.trip)
+  GROUP BY ALL
 ), both_k AS (
-  SELECT 0 AS k, * FROM l1 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 1, * FROM l2
+  SELECT k, variant, origin, platform, dest, tau, arr FROM l1, (VALUES (0), (1)) v(k) UNION ALL SELECT 1, * FROM l2
 ), top AS (
   SELECT variant, origin, dest, k + 1 AS k, tau, min(arr) AS arr FROM both_k WHERE origin <> dest AND (variant = 'any' OR platform % 4 <> 2) GROUP BY ALL
 ), found AS (
@@ -113,15 +117,16 @@ _SEARCH = f"""{_CHANGES}, daily AS (
 )"""
 
 
-def _found(spark: SparkSession, sf: str, trains: int) -> DataFrame:
+def _found(spark: SparkSession, sf: str, trains: int, with_legs: bool = True) -> DataFrame:
     calls, changes, starts, ends = _variants(spark, sf)
-    return jo.journeys(jo.search(calls, changes, starts, WINDOW, LATEST, trains), ends)
+    barred = _rules(spark, sf).filter("kind = 'impossible'").select("from_trip", "to_trip").distinct()
+    return jo.journeys(jo.search(calls, changes, starts, WINDOW, LATEST, trains, barred), ends, with_legs)
 
 
 @query(ad.sql(f"{_SEARCH} SELECT variant, origin, dest, k, tau, arr FROM found"))
 def route3_route4_win4_journeys(spark: SparkSession, sf: str) -> DataFrame:
-    """ROUTE-3, ROUTE-4, WIN-4: at most two trains, from all origins, both profiles."""
-    return _found(spark, sf, 2).select("variant", "origin", "dest", "k", "tau", "arr")
+    """ROUTE-3, ROUTE-4, WIN-4, JOIN-12: at most two trains, from all origins, both profiles, without ruled-out connections."""
+    return _found(spark, sf, 2, with_legs=False).select("variant", "origin", "dest", "k", "tau", "arr")
 
 
 @query(ad.sql(f"{_SEARCH} SELECT variant, origin, dest, k, arr - tau AS median, fastest, per_hour FROM (SELECT *, min(arr - tau) OVER p AS fastest, round(count(*) OVER p / 7.0, 1)::DOUBLE AS per_hour, row_number() OVER (PARTITION BY variant, origin, dest, k ORDER BY arr - tau) AS r, count(*) OVER p AS n FROM found WINDOW p AS (PARTITION BY variant, origin, dest, k)) WHERE r = (n - 1) // 2 + 1"))
@@ -132,14 +137,15 @@ def agg13_win5_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def route5_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """ROUTE-5: the whole origin-destination matrix: both kinds of day, both profiles, both train sets, up to three trains,
-    through trains merged, AGG-14 applied."""
+    """ROUTE-5, JOIN-12: the whole origin-destination matrix: both kinds of day, both profiles, both train sets, up to three
+    trains, through trains merged, ruled-out connections left out, AGG-14 applied."""
     trips = ad.trips(spark, sf).withColumn("day_type", F.when(F.weekday("date") == 5, "saturday").otherwise("weekday"))
     calls = tt.day_timetable(ad.calls(spark, sf), trips)
     sets = trips.select("trip", F.lit(1).alias("t")).unionByName(trips.filter("coalesce(agency, '') NOT IN ('MACHINERY') AND trip % 3 > 0").select("trip", F.lit(0).alias("t")))
     n = tt.neighbour_calls(calls)
     rules = n.select(F.col("trip").alias("from_trip"), F.col("last_platform").alias("p")).join(n.select(F.col("trip").alias("to_trip"), F.col("first_platform").alias("p")), "p")
     rules = rules.select("from_trip", "to_trip", F.lit("possible").alias("kind")).filter("from_trip < to_trip AND to_trip - from_trip < 50")
+    rules = rules.unionByName(_rules(spark, sf).filter("kind = 'impossible'").select("from_trip", "to_trip", "kind").distinct())
     usable = _places(spark, sf).withColumn("profile", F.explode(F.array(F.lit("any"), F.lit("stroller")))).filter("profile = 'any' OR step_free").select("profile", "platform", "station")
     return jo.matrix(calls, sets, rules, _changes(spark, sf), usable, WINDOW, LATEST, 7.0)
 

@@ -63,8 +63,9 @@ def test_pareto_and_lower_median(spark):
     assert (r.median, r.fastest, r.per_hour, r.changes) == (20, 20, 1.1, 0)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_search_against_all_paths(spark, seed):
+@pytest.mark.parametrize(("seed", "bars"), [(1, 0), (2, 1), (3, 1), (4, 3)])
+def test_search_against_all_paths(spark, seed, bars):
+    """Without ruled-out connections, with one a train, and with up to three, of trains that set out alike too."""
     r = random.Random(seed)
     platforms = [s * 10 + t for s in range(1, 6) for t in (1, 2)]
     trips = {}
@@ -77,9 +78,14 @@ def test_search_against_all_paths(spark, seed):
         trips[t] = stops
     change = lambda a, b: 2 if a == b else 5
     best = collections.defaultdict(dict)
-
-    def ride(origin, tau, platform, ready, legs):
-        for calls in trips.values():
+    for t in range(0, 25, 5):  # twins: the same times under another number, so that a barred train leaves an equal one
+        trips[t + 100] = trips[t]
+    barred = {(r.choice([*trips]), t) for t in trips for _ in range(bars)}
+
+    def ride(origin, tau, platform, ready, legs, last=None):
+        for number, calls in trips.items():
+            if (last, number) in barred:
+                continue
             for k, (_, p, _, dep) in enumerate(calls[:-1]):
                 if p == platform and dep >= ready and (legs or 480 <= dep <= 640):
                     start = dep if tau is None else tau
@@ -91,7 +97,7 @@ def test_search_against_all_paths(spark, seed):
                         if legs < 2:
                             for b in platforms:
                                 if b // 10 == s:
-                                    ride(origin, start, b, arr + change(q, b), legs + 1)
+                                    ride(origin, start, b, arr + change(q, b), legs + 1, number)
 
     for p in platforms:
         ride(p // 10, None, p, 480, 0)
@@ -102,8 +108,12 @@ def test_search_against_all_paths(spark, seed):
             if by[tau] < early:
                 early = by[tau]
                 want.add((*key, tau, early))
-    got = found(spark, trips, minutes=change, platforms=platforms, window=(480, 640))[1]
-    assert {(x.origin, x.dest, x.k, x.tau, x.arr) for x in got.collect()} == want
+    got = found(spark, trips, minutes=change, platforms=platforms, window=(480, 640), forbidden=sorted(barred))[1].collect()
+    assert {(x.origin, x.dest, x.k, x.tau, x.arr) for x in got} == want
+    for x in got:  # the legs are a journey that may be made
+        assert x.legs[0].dep == x.tau and x.legs[-1].arr == x.arr and len(x.legs) <= x.k
+        for a, b in zip(x.legs, x.legs[1:]):
+            assert a.arr + change(a.alight, b.board) <= b.dep and a.alight // 10 == b.board // 10 and (a.trip, b.trip) not in barred
 
 
 def test_day_choice(spark):
@@ -348,3 +358,19 @@ def test_matrix_of_all_variants(spark):
         for k in (0, 1, 2):
             assert got[p, 0, k, 1, 4] == (30, 0) and got[p, 1, k, 1, 4] == (15, 0)
             assert ((p, 0, k, 1, 2) in got) == (p == 1)
+
+
+def test_ruled_out_connections_of_merged_trains(spark):
+    """JOIN-12 in ROUTE-5: a rule about a part of a through train holds for the whole of it, in each set for itself."""
+    trips = {1: [(1, 11, 600, 600), (2, 21, 610, 610)], 2: [(2, 22, 620, 620), (4, 41, 630, 630)], 3: [(4, 41, 632, 632), (5, 51, 640, 640)], 4: [(2, 22, 640, 640), (4, 41, 650, 650)]}
+    calls = spark.createDataFrame(calls_of(trips, "weekday"), CALLS).withColumnRenamed("variant", "day_type")
+    sets = spark.createDataFrame([(t, s) for t in trips for s in (0, 1) if (t, s) != (3, 0)], "trip bigint, t int")
+    rules = spark.createDataFrame([(2, 3, "possible"), (1, 3, "impossible")], "from_trip bigint, to_trip bigint, kind string")
+    changes = spark.createDataFrame([("any", a, b, 5) for a, b in ((11, 11), (21, 22), (41, 41), (51, 51))], "profile string, from_platform bigint, to_platform bigint, minutes int")
+    usable = spark.createDataFrame([("any", x, x // 10) for x in (11, 21, 22, 41, 51)], "profile string, platform bigint, station bigint")
+    labels = {}
+    got = jo.matrix(calls, sets, rules, changes, usable, (540, 720), 1200, 3.5).collect()
+    labels = {(r.t, r.k, r.origin, r.dest): r.fastest for r in got if r.p == 1}
+    assert labels[0, 1, 1, 4] == 30  # 3 is not in the smaller set, so the rule about it bars nothing there
+    assert labels[1, 1, 1, 4] == 30 and (1, 1, 1, 5) not in labels  # the better cell of the smaller set; 5 only by the barred train
+    assert labels[1, 0, 2, 5] == 20
