@@ -17,12 +17,54 @@ def latest_conditions(conditions: DataFrame, keep: int = 3) -> DataFrame:
     return last.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).select("id", "lift", "status", "start", "end", "r")
 
 
+def _cover(low: Column, high: Column) -> Column:
+    """The places low to high - 1 as aligned blocks of 2 ** level places, two a level at most: (level, node)."""
+
+    def of_level(j: Column) -> Column:
+        a = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("bigint"), j) - 1, j)
+        b = F.call_function("shiftright", high, j)
+        node = lambda keep, n: F.when((a < b) & (keep % 2 == 1), F.struct(j.alias("level"), n.alias("node")))
+        return F.array(node(a, a), node(b, b - 1))
+
+    levels = F.sequence(F.lit(0), F.call_function("ceil", F.log2(high + 2)).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, of_level)), lambda x: x.isNotNull())
+
+
+def _places(conditions: DataFrame, instants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lift, now, place, n): instants numbered from 0 within their lift, which has n; (lift, x, low, high): conditions with the places
+    of the instants at which they are valid. Numbered within days, then the days of a lift are added up, so a window never holds more
+    than a day of a lift."""
+    us = F.unix_micros
+    a = instants.select("lift", us("now").alias("t"), F.lit(2).alias("kind"), F.lit(None).cast("struct<s:bigint,id:bigint,status:string>").alias("x"), F.lit(None).cast("bigint").alias("other"))
+    c = conditions.select("lift", us("start").alias("s"), us("end").alias("e"), F.struct(F.coalesce(us("start"), F.lit(0)).alias("s"), F.col("id").cast("bigint").alias("id"), "status").alias("x"))
+    never = F.lit(2**62)
+    ends = c.select("lift", "x", F.explode(F.array(F.struct(F.coalesce("s", -never).alias("t"), F.lit(0).alias("kind"), F.coalesce("e", never).alias("other")), F.struct(F.coalesce("e", never).alias("t"), F.lit(1).alias("kind"), F.coalesce("s", -never).alias("other")))).alias("b"))
+    b = ends.select("lift", "b.t", "b.kind", "x", "b.other")
+    both = a.unionByName(b).withColumn("day", F.floor(F.col("t") / 86_400_000_000))
+    is_instant = (F.col("kind") == 2).cast("bigint")
+    days = both.groupBy("lift", "day").agg(F.sum(is_instant).alias("k"))
+    by_day = W.partitionBy("lift").orderBy("day")
+    days = days.select("lift", "day", (F.sum("k").over(by_day) - F.col("k")).alias("before"), F.sum("k").over(W.partitionBy("lift")).alias("n"))
+    upto = F.sum(is_instant).over(W.partitionBy("lift", "day").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("upto", upto).join(days, ["lift", "day"]).withColumn("place", F.col("before") + F.col("upto"))
+    numbered = both.filter("kind = 2").select("lift", F.timestamp_micros("t").alias("now"), (F.col("place") - 1).alias("place"), "n")
+    low, high = F.min(F.when(F.col("kind") == 0, F.col("place"))), F.min(F.when(F.col("kind") == 1, F.col("place")))
+    from_, to = F.when(F.col("kind") == 0, F.col("t")).otherwise(F.col("other")), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("t"))
+    ranges = both.filter("kind < 2").groupBy("lift", "x", from_.alias("a"), to.alias("b")).agg(low.alias("low"), high.alias("high"))
+    return numbered, ranges.filter("low < high").select("lift", "x", "low", "high")
+
+
 def status_at(conditions: DataFrame, instants: DataFrame) -> DataFrame:
-    """JOIN-14. instants: (lift, now). The condition valid then, of several the one that starts last; none: unknown."""
-    c = conditions.select("lift", "id", "status", "start", "end")
-    x = instants.join(c, "lift").filter((F.col("start").isNull() | (F.col("start") <= F.col("now"))) & (F.col("end").isNull() | (F.col("end") > F.col("now"))))
-    best = x.groupBy("lift", "now").agg(F.max(F.struct(F.coalesce("start", F.timestamp_seconds(F.lit(0))).alias("s"), "id", "status")).alias("x"))
-    return instants.join(best, ["lift", "now"], "left").select("lift", "now", F.coalesce("x.status", F.lit("unknown")).alias("status"))
+    """JOIN-14. instants: (lift, now). The condition valid then, of several the one that starts last, then the largest id; none: unknown. An
+    older condition comes back when a newer one ends. Interval stabbing without the product: a condition is cut into aligned blocks of
+    instants, two a level at most; of a block only its best condition counts; an instant looks at the block it lies in on each
+    level. Rows are instants and conditions times the logarithm of a lift's instants."""
+    numbered, ranges = _places(conditions, instants.select("lift", "now").distinct())
+    best = ranges.select("lift", "x", F.explode(_cover(F.col("low"), F.col("high"))).alias("b")).groupBy("lift", "b.level", "b.node").agg(F.max("x").alias("x"))
+    levels = F.sequence(F.lit(0), F.call_function("ceil", F.log2(F.col("n") + 2)).cast("int"))
+    blocks = numbered.select("lift", "now", "place", F.explode(levels).alias("level")).withColumn("node", F.call_function("shiftright", F.col("place"), F.col("level")))
+    found = blocks.join(best, ["lift", "level", "node"]).groupBy("lift", "now").agg(F.max("x").alias("x"))
+    return instants.join(found, ["lift", "now"], "left").select("lift", "now", F.coalesce("x.status", F.lit("unknown")).alias("status"))
 
 
 def held_back(statuses: DataFrame, minutes: int = 30) -> DataFrame:
@@ -83,44 +125,74 @@ def lag_statistics(lags: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     return x.groupBy("feed").agg(((half[0] + half[1]) / 2).alias("median"), at(F.floor(F.col("n") * 0.9)).alias("p90"), F.max("n").alias("n"))
 
 
-def outage_ages(current: DataFrame, now: Column) -> DataFrame:
-    """AGG-16. current: (status, start, end): outages by age: under a day, 1-30 days, over 30 days, no start; planned ends."""
+def outage_ages(current: DataFrame, now: Column, lifts: DataFrame) -> DataFrame:
+    """AGG-16. current: (lift, status, start, end), all that is not available counts; lifts: (lift, tracks). Outages by age: up to a day,
+    up to 30 days, over 30 days, no start; of them with a planned end, and of lifts that serve a platform."""
     us = F.unix_micros(now) - F.unix_micros("start")
     day = 86_400_000_000
-    bucket = F.when(F.col("start").isNull(), "no start").when(us < day, "under 1 day").when(us <= 30 * day, "1-30 days").otherwise("over 30 days")
-    return current.filter("status = 'notAvailable'").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count("end").alias("planned_end"))
-
-
-def drift(published: DataFrame, changes: DataFrame, periods: DataFrame) -> DataFrame:
-    """AGG-19. Lift-seconds that a published full state is wrong until the next one. published: (period, lift, status), the
-    last message of a lift counting; changes: (lift, at, status); periods: (period, begin, until)."""
-    ends = published.join(periods, "period")
-    steps = ends.select("period", "lift", "status", F.col("begin").alias("at"), "begin", "until")
-    # a change belongs to the last period of its lift that began before it: as-of by union and window, periods do not overlap
-    told = ends.select("lift", F.col("begin").alias("at"), F.lit(1).alias("kind"), F.struct("period", "status", "until").alias("of"), F.lit(None).cast("string").alias("new"))
-    seen = changes.select("lift", "at", F.lit(0).alias("kind"), F.lit(None).cast(told.schema["of"].dataType).alias("of"), F.col("status").alias("new"))
-    asof = F.last("of", ignorenulls=True).over(W.partitionBy("lift").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
-    inside = told.unionByName(seen).withColumn("of", asof).filter("kind = 0 AND at < of.until").select("of.period", "lift", F.col("of.status").alias("said"), F.col("new").alias("status"), "at", "of.until")
-    x = steps.select("period", "lift", F.col("status").alias("said"), "status", "at", "until").unionByName(inside)
-    w = W.partitionBy("period", "lift").orderBy("at")
-    x = x.withColumn("next", F.coalesce(F.lead("at").over(w), F.col("until")))
+    bucket = F.when(F.col("start").isNull(), "no start").when(us <= day, "up to 1 day").when(us <= 30 * day, "up to 30 days").otherwise("over 30 days")
+    serving = lifts.filter(F.size("tracks") > 0).select("lift", F.lit(True).alias("serves")).distinct()
+    x = current.filter("status <> 'available'").join(serving, "lift", "left")
+    return x.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count("end").alias("planned_end"), F.count("serves").alias("serving"))
+
+
+def _within(rows: DataFrame, periods: DataFrame, at: str) -> DataFrame:
+    """rows with the period that they lie strictly inside of: an equi-join on days, of which a period touches few."""
+    day = lambda c: F.floor(F.unix_micros(c) / 86_400_000_000)
+    touched = periods.select("period", "begin", "until", F.explode(F.sequence(day("begin"), day("until"))).alias("__day"))
+    return rows.withColumn("__day", day(at)).join(touched, "__day").filter((F.col(at) > F.col("begin")) & (F.col(at) < F.col("until"))).drop("__day")
+
+
+def drift(full_states: DataFrame, changes: DataFrame, periods: DataFrame, silences: DataFrame) -> DataFrame:
+    """AGG-19. What a full state that is published once a period misses until the next one. full_states: (period, id, lift, status), a
+    lift may be listed several times, the message with the largest id is what is published; changes: (id, lift, at, status);
+    periods: (period, begin, until), one after the other, numbered; silences: (since) of the log.
+
+    Per period: changes, lifts that went out, lift-seconds and lifts on average that are out but shown working and the other way
+    round (a lift that no full state listed is shown as unknown), messages of the next full state that differ from the replayed
+    state, each listing of a lift for itself (null if no full state follows), and whether the log was silent in between."""
+    published = full_states.groupBy("period", "lift").agg(F.max_by("status", "id").alias("status")).join(periods, "period")
+    first = published.select("period", "lift", F.col("begin").alias("at"), F.lit(None).cast("bigint").alias("id"), "status", "begin", "until")
+    inside = _within(changes.select("lift", "at", F.col("id").cast("bigint").alias("id"), "status"), periods, "at")
+    steps = first.unionByName(inside.select(*first.columns))
+    w = W.partitionBy("period", "lift").orderBy("at", F.asc_nulls_first("id"))
+    x = steps.withColumn("next", F.coalesce(F.lead("at").over(w), F.col("until"))).withColumn("said", F.first(F.when(F.col("id").isNull(), F.col("status")).otherwise("unknown")).over(w))
+    x = x.withColumn("last", F.lead("at").over(w).isNull())
     seconds = (F.unix_micros("next") - F.unix_micros("at")) / 1_000_000
-    out, said_out = F.col("status") != "available", F.col("said") != "available"
-    return x.groupBy("period").agg(
-        F.round(F.sum(F.when(out & ~said_out, seconds).otherwise(0.0)), 3).alias("shown_working"),
-        F.round(F.sum(F.when(~out & said_out, seconds).otherwise(0.0)), 3).alias("shown_out"),
-        (F.count("*") - F.countDistinct("lift")).alias("changes"),
+    out, said_out, changed = F.col("status") != "available", F.col("said") != "available", F.col("id").isNotNull()
+    told = x.groupBy("period").agg(
+        F.count_if(changed).alias("changes"),
+        F.countDistinct(F.when(changed & out, F.col("lift"))).alias("went_out"),
+        F.sum(F.when(out & ~said_out, seconds).otherwise(0.0)).alias("working"),
+        F.sum(F.when(~out & said_out, seconds).otherwise(0.0)).alias("broken"),
+    )
+    replayed = x.filter("last").select((F.col("period") + 1).alias("period"), "lift", F.col("status").alias("replayed"))
+    against = full_states.join(replayed, ["period", "lift"], "left").groupBy((F.col("period") - 1).alias("period"))
+    against = against.agg(F.count_if(~F.col("status").eqNullSafe(F.col("replayed"))).alias("differing"))
+    quiet = _within(silences.select("since"), periods, "since").select("period").distinct().withColumn("silent", F.lit(True))
+    span = (F.unix_micros("until") - F.unix_micros("begin")) / 1_000_000
+    both = periods.join(told, "period").join(against, "period", "left").join(quiet, "period", "left")
+    return both.select(
+        "period", "changes", "went_out", F.round("working", 3).alias("shown_working"), F.round("broken", 3).alias("shown_out"),
+        F.round(F.col("working") / span, 3).alias("mean_shown_working"), F.round(F.col("broken") / span, 3).alias("mean_shown_out"),
+        "differing", F.coalesce("silent", F.lit(False)).alias("silent"),
     )
 
 
+def track_number(track: Column) -> Column:
+    """A track without the letters of its sector: 18a is on 18."""
+    return F.regexp_replace(F.lower(track), "[a-z]+$", "")
+
+
 def lift_warnings(stops: DataFrame, lifts: DataFrame, current: DataFrame) -> DataFrame:
     """JOIN-17. stops: (journey, place, station, track or null, role: start, change or end); lifts: (station, lift, tracks
-    array, hall); current: (lift, shown). A lift counts if it serves a used track (letters stripped), any track when that is
-    unknown, a hall lift only at start or end; a stop takes its worst class: out, unknown, back."""
+    array, hall); current: (lift, shown) and maybe fresh, without which a status isn't trusted. A lift counts if it serves a used track
+    (letters of both stripped), any track when that is unknown, a hall lift only at start or end; a stop takes its worst class:
+    out, unknown, back."""
     rank = F.when(F.col("shown") == "notAvailable", 3).when(F.col("shown") == "unknown", 2).when(F.col("shown") == "back", 1)
-    known = lifts.join(current, "lift").withColumn("rank", rank).filter("rank IS NOT NULL")
-    track = F.regexp_replace(F.col("track"), "[a-zA-Z]+$", "")
-    serves = F.when(F.col("hall"), F.col("role") != "change").otherwise(F.col("track").isNull() | (F.col("track") == "?") | F.coalesce(F.array_contains("tracks", track), F.lit(False)))
+    trusted = current.filter("fresh") if "fresh" in current.columns else current
+    known = lifts.withColumn("tracks", F.transform("tracks", track_number)).join(trusted, "lift").withColumn("rank", rank).filter("rank IS NOT NULL")
+    serves = F.when(F.col("hall"), F.col("role") != "change").otherwise(F.col("track").isNull() | (F.col("track") == "?") | F.coalesce(F.array_contains("tracks", track_number(F.col("track"))), F.lit(False)))
     x = stops.join(known, "station").filter(serves)
     worst = x.groupBy("journey", "place").agg(F.max("rank").alias("rank"), F.count("*").alias("lifts"))
     return worst.select("journey", "place", F.element_at(F.array(*map(F.lit, ("back", "unknown", "out"))), F.col("rank")).alias("warning"), "lifts")

@@ -111,9 +111,24 @@ def agg15_status_combinations(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("snapshot", F.array_join("x", "+").alias("statuses")).agg(F.count("*").alias("lifts"))
 
 
-@query(ad.sql("SELECT CASE WHEN make_timestamp(1706659200000000) - start < INTERVAL 1 DAY THEN 'under 1 day' WHEN epoch_us(make_timestamp(1706659200000000)) - epoch_us(start) <= 2592000000000 THEN '1-30 days' ELSE 'over 30 days' END AS bucket, count(*) AS n, count(\"end\") AS planned_end FROM conditions WHERE status = 'notAvailable' GROUP BY 1"))
+_AGES = """
+SELECT CASE WHEN start IS NULL THEN 'no start'
+            WHEN 1706659200000000 - epoch_us(start) > 30 * 86400000000 THEN 'over 30 days'
+            WHEN 1706659200000000 - epoch_us(start) > 86400000000 THEN 'up to 30 days' ELSE 'up to 1 day' END AS bucket,
+       count(*) AS n, count("end") AS planned_end, count(*) FILTER (lift IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 6 <> 0)) AS serving
+FROM (SELECT lift, status, "end", CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN make_timestamp(1706659200000000 - 86400000000) ELSE start END AS start FROM conditions)
+WHERE status <> 'available' GROUP BY 1
+"""
+
+
+@query(ad.sql(_AGES))
 def agg16_outage_ages(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.outage_ages(ad.conditions(spark, sf), F.timestamp_seconds(F.lit(1706659200)))
+    """AGG-16; some outages have no start, some began exactly a day before."""
+    day_before = F.timestamp_seconds(F.lit(1706659200 - 86400))
+    start = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 13 == 0, day_before).otherwise(F.col("start"))
+    s = F.col("s_suppkey")
+    lifts = ad.table(spark, sf, "supplier").select(s.alias("lift"), F.when(s % 6 == 0, F.expr("array()").cast("array<string>")).otherwise(F.array((s % 4).cast("string"))).alias("tracks"))
+    return feed.outage_ages(ad.conditions(spark, sf).withColumn("start", start), F.timestamp_seconds(F.lit(1706659200)), lifts)
 
 
 @query("WITH l AS (SELECT event_type AS feed, (event_id % 23000 - 500)::BIGINT AS lag FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY lag) - 1 AS r, count(*) OVER (PARTITION BY feed) AS n FROM l WHERE lag BETWEEN 0 AND 21600) SELECT feed, median(lag)::DOUBLE AS median, max(lag) FILTER (r = floor(n * 0.9)) AS p90, count(*) AS n FROM k GROUP BY feed")
@@ -121,32 +136,89 @@ def agg17_lag_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return feed.lag_statistics(ad.table(spark, sf, "events").select(F.col("event_type").alias("feed"), (F.col("event_id") % 23000 - 500).alias("lag")))
 
 
-_DRIFT = "periods AS (SELECT t AS period, make_timestamp(1704067200000000 + t * 86400000000) AS beg, make_timestamp(1704067200000000 + (t + 1) * 86400000000) AS until FROM range(1, 29) x(t)), published AS (SELECT period, lift, status, beg, until FROM periods JOIN conditions ON start <= beg QUALIFY row_number() OVER (PARTITION BY period, lift ORDER BY id DESC) = 1)"
+_DRIFT = """
+periods AS (
+  SELECT t AS period, make_timestamp(1704067200000000 + t * 86400000000) AS beg, make_timestamp(1704067200000000 + (t + 1) * 86400000000) AS until
+  FROM range(1, 29) x(t)
+), listed AS (
+  SELECT period, id, lift, status, beg, until FROM periods JOIN conditions ON start <= beg
+  QUALIFY row_number() OVER (PARTITION BY period, lift ORDER BY id DESC) <= CASE WHEN lift % 3 = 0 THEN 2 ELSE 1 END
+), published AS (
+  SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY period, lift ORDER BY id DESC) = 1
+), steps AS (
+  SELECT period, lift, -1 AS id, status, epoch_us(beg) AS us, until, status AS said FROM published
+  UNION ALL
+  SELECT p.period, c.lift, c.id, c.status, epoch_us(c.start), p.until, coalesce(q.status, 'unknown')
+  FROM periods p JOIN conditions c ON c.start > p.beg AND c.start < p.until LEFT JOIN published q ON q.period = p.period AND q.lift = c.lift
+), x AS (
+  SELECT *, (coalesce(lead(us) OVER w, epoch_us(until)) - us) / 1000000 AS s, lead(us) OVER w IS NULL AS final FROM steps WINDOW w AS (PARTITION BY period, lift ORDER BY us, id)
+), told AS (
+  SELECT period, count(*) FILTER (id >= 0) AS changes, count(DISTINCT lift) FILTER (id >= 0 AND status <> 'available') AS went_out,
+         coalesce(sum(s) FILTER (status <> 'available' AND said = 'available'), 0) AS working, coalesce(sum(s) FILTER (status = 'available' AND said <> 'available'), 0) AS broken
+  FROM x GROUP BY period
+), against AS (
+  SELECT l.period - 1 AS period, count(*) FILTER (r.status IS DISTINCT FROM l.status) AS differing
+  FROM listed l LEFT JOIN (SELECT period, lift, status FROM x WHERE final) r ON r.period = l.period - 1 AND r.lift = l.lift GROUP BY 1
+), quiet AS (
+  SELECT DISTINCT period FROM (SELECT lag(start) OVER (ORDER BY start) AS since, start FROM conditions) g JOIN periods ON since > beg AND since < until
+  WHERE start - since > INTERVAL 25 MINUTE
+)
+SELECT period, changes, went_out, round(working, 3) AS shown_working, round(broken, 3) AS shown_out, round(working / 86400, 3) AS mean_shown_working,
+       round(broken / 86400, 3) AS mean_shown_out, coalesce(differing, -1) AS differing, period IN (SELECT period FROM quiet) AS silent
+FROM told LEFT JOIN against USING (period)
+"""
 
 
-@query(ad.sql(f"{_DRIFT}, steps AS (SELECT period, lift, status AS said, status, epoch_us(beg) AS us, until FROM published UNION ALL SELECT p.period, p.lift, p.status, c.status, epoch_us(c.start), until FROM published p JOIN conditions c ON c.lift = p.lift AND c.start > p.beg AND c.start < p.until), x AS (SELECT *, (coalesce(lead(us) OVER (PARTITION BY period, lift ORDER BY us), epoch_us(until)) - us) / 1000000 AS s FROM steps) SELECT period, round(coalesce(sum(s) FILTER (status <> 'available' AND said = 'available'), 0), 3) AS shown_working, round(coalesce(sum(s) FILTER (status = 'available' AND said <> 'available'), 0), 3) AS shown_out, count(*) - count(DISTINCT lift) AS changes FROM x GROUP BY period"))
+@query(ad.sql(_DRIFT))
 def agg19_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-19: a full state each midnight; every third lift is listed in it with its last two messages."""
     t = F.explode(F.sequence(F.lit(1), F.lit(28)))
     c = ad.conditions(spark, sf)
     periods = spark.range(1).select(t.alias("period")).select(F.col("period").cast("long").alias("period"), F.timestamp_seconds(1704067200 + F.col("period") * 86400).alias("begin"), F.timestamp_seconds(1704067200 + (F.col("period") + 1) * 86400).alias("until"))
-    # the last message up to each period: the last of those between two begins, carried on
+    # the last two messages up to each period: the last two of those between two begins, carried on
     into = F.greatest(F.ceil((F.unix_micros("start") - 1704067200 * 1_000_000) / 86_400_000_000), F.lit(1))
-    last = c.groupBy("lift", into.alias("period")).agg(F.max(F.struct("id", "status")).alias("x")).filter("period <= 28")
+    two = lambda x: F.slice(F.reverse(F.array_sort(x)), 1, 2)
+    newest = F.row_number().over(W.partitionBy("lift", "period").orderBy(F.desc("id")))
+    last = c.withColumn("period", into).withColumn("r", newest).filter("r <= 2 AND period <= 28").groupBy("lift", "period").agg(two(F.collect_list(F.struct("id", "status"))).alias("x"))
     grid = c.select("lift").distinct().select("lift", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(28).cast("long"))).alias("period")).join(last, ["lift", "period"], "left")
-    upto = F.max("x").over(W.partitionBy("lift").orderBy("period"))
-    published = grid.select("period", "lift", upto.alias("x")).filter("x IS NOT NULL").select("period", "lift", "x.status")
-    return feed.drift(published, c.select("lift", F.col("start").alias("at"), "status"), periods)
+    upto = F.flatten(F.collect_list("x").over(W.partitionBy("lift").orderBy("period")))  # two a period, 28 periods
+    listed = grid.select("period", "lift", two(upto).alias("two")).select("period", "lift", F.explode(F.slice(F.col("two"), 1, F.when(F.col("lift") % 3 == 0, 2).otherwise(1))).alias("x")).select("period", "x.id", "lift", "x.status")
+    silences = feed.gaps(c.select(F.col("start").alias("received")))
+    x = feed.drift(listed, c.select("id", "lift", F.col("start").alias("at"), "status"), periods, silences)
+    return x.withColumn("differing", F.coalesce("differing", F.lit(-1).cast("long")))  # -1: no full state follows
+
+
+_WARNINGS = f"""
+{_LATEST}, cur AS (
+  SELECT lift, status AS shown FROM latest WHERE r = 1 AND lift % 10 <> 7
+), stops AS (
+  SELECT l_orderkey AS journey, l_linenumber AS place, l_suppkey AS station,
+         CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 17 = 0 THEN '?' ELSE (l_partkey % 4)::VARCHAR || ['a', 'B', ''][l_partkey % 3 + 1] END AS track,
+         CASE l_linenumber WHEN 1 THEN 'start' WHEN 7 THEN 'end' ELSE 'change' END AS role
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1
+), lifts AS (
+  SELECT s_suppkey AS station, s_suppkey % 150 AS lift, [(s_suppkey % 4)::VARCHAR || ['', 'a', 'bc'][s_suppkey % 3 + 1]] AS tracks, s_suppkey % 6 = 0 AS hall FROM supplier
+), hits AS (
+  SELECT journey, place, CASE shown WHEN 'notAvailable' THEN 3 WHEN 'unknown' THEN 2 END AS rank
+  FROM stops JOIN lifts USING (station) JOIN cur USING (lift)
+  WHERE shown <> 'available'
+    AND CASE WHEN hall THEN role <> 'change' ELSE track IS NULL OR track = '?' OR rtrim(lower(track), 'abcdefghijklmnopqrstuvwxyz') = rtrim(lower(tracks[1]), 'abcdefghijklmnopqrstuvwxyz') END
+)
+SELECT journey, place, ['back', 'unknown', 'out'][max(rank)] AS warning, count(*) AS lifts FROM hits GROUP BY ALL
+"""
 
 
-@query(ad.sql(f"{_LATEST}, cur AS (SELECT lift, status AS shown FROM latest WHERE r = 1), stops AS (SELECT l_orderkey AS journey, l_linenumber AS place, l_suppkey AS station, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE (l_partkey % 4)::VARCHAR || CASE WHEN l_partkey % 3 = 0 THEN 'a' ELSE '' END END AS track, CASE l_linenumber WHEN 1 THEN 'start' WHEN 7 THEN 'end' ELSE 'change' END AS role FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), hits AS (SELECT journey, place, CASE shown WHEN 'notAvailable' THEN 3 WHEN 'unknown' THEN 2 END AS rank FROM stops JOIN supplier ON s_suppkey = station JOIN cur ON cur.lift = s_suppkey % 150 WHERE shown <> 'available' AND CASE WHEN s_suppkey % 6 = 0 THEN role <> 'change' ELSE track IS NULL OR regexp_replace(track, '[a-zA-Z]+$', '') = (s_suppkey % 4)::VARCHAR END) SELECT journey, place, ['back', 'unknown', 'out'][max(rank)] AS warning, count(*) AS lifts FROM hits GROUP BY ALL"))
+@query(ad.sql(_WARNINGS))
 def join17_lift_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN-17: tracks with letters at stops and lifts, unknown tracks, and a tenth of the lifts with a status that is not fresh."""
     one = ad.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("journey"), F.col("l_linenumber").alias("place")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x"))
     p = F.col("x.l_partkey")
-    track = F.when(p % 5 != 0, F.concat((p % 4).cast("string"), F.when(p % 3 == 0, "a").otherwise("")))
+    letter = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (n % 3 + 1).cast("int"))
+    track = F.when(p % 5 == 0, None).when(p % 17 == 0, "?").otherwise(F.concat((p % 4).cast("string"), letter(p, "a", "B", "")))
     stops = one.select("journey", "place", F.col("x.l_suppkey").alias("station"), track.alias("track"), F.when(F.col("place") == 1, "start").when(F.col("place") == 7, "end").otherwise("change").alias("role"))
     s = F.col("s_suppkey")
-    lifts = ad.table(spark, sf, "supplier").select(s.alias("station"), (s % 150).alias("lift"), F.array((s % 4).cast("string")).alias("tracks"), (s % 6 == 0).alias("hall"))
-    current = feed.latest_conditions(ad.conditions(spark, sf), 1).select("lift", F.col("status").alias("shown"))
+    lifts = ad.table(spark, sf, "supplier").select(s.alias("station"), (s % 150).alias("lift"), F.array(F.concat((s % 4).cast("string"), letter(s, "", "a", "bc"))).alias("tracks"), (s % 6 == 0).alias("hall"))
+    current = feed.latest_conditions(ad.conditions(spark, sf), 1).select("lift", F.col("status").alias("shown"), (F.col("lift") % 10 != 7).alias("fresh"))
     return feed.lift_warnings(stops, lifts, current)
 
 

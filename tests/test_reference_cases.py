@@ -335,6 +335,63 @@ def test_hold_and_publish_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and not {tuple(x) for x in got} & {t[:4] for t in ticks if t[4]}
 
 
+CONDITION = "id bigint, lift bigint, status string, s bigint, e bigint"
+
+
+def conditions_of(spark, rows):
+    return spark.createDataFrame(rows, CONDITION).select("id", "lift", "status", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_status_at_against_all_pairs(spark, seed):
+    """JOIN-14: conditions without start or end, nested ones, equal starts, instants on the boundaries and over several days."""
+    r = random.Random(seed)
+    span = 86400 * seed
+    t = lambda: r.choice([None, *range(0, span, span // 40)])
+    rows = [(i, r.randint(0, 3), r.choice(["available", "notAvailable"]), t(), t()) for i in range(120)]
+    asked = [(r.randint(0, 4), r.randint(0, 40) * (span // 40) + r.choice([0, 1])) for _ in range(150)]
+    instants = spark.createDataFrame(asked, "lift bigint, t bigint").select("lift", F.timestamp_seconds("t").alias("now"))
+    got = {(x.lift, x.t): x.status for x in feed.status_at(conditions_of(spark, rows), instants).select("lift", F.unix_seconds("now").alias("t"), "status").collect()}
+    for lift, now in asked:
+        valid = [(s or 0, i, status) for i, own, status, s, e in rows if own == lift and (s is None or s <= now) and (e is None or e > now)]
+        assert got[lift, now] == (max(valid)[2] if valid else "unknown")
+
+
+def test_the_newest_valid_condition_wins(spark):
+    rows = [(1, 1, "notAvailable", 10, None), (2, 1, "available", 20, None), (3, 2, "unknown", 10, None), (4, 2, "notAvailable", 20, 30), (5, 3, "available", 1, None), (6, 3, "notAvailable", 50, 60)]
+    instants = spark.createDataFrame([(i, t) for i in (1, 2, 3) for t in (40, 55)], "lift bigint, t bigint").select("lift", F.timestamp_seconds("t").alias("now"))
+    got = {(x.lift, x.now.minute * 60 + x.now.second): x.status for x in feed.status_at(conditions_of(spark, rows), instants).collect()}
+    assert got == {(1, 40): "available", (1, 55): "available", (2, 40): "unknown", (2, 55): "unknown", (3, 40): "available", (3, 55): "notAvailable"}
+    assert feed.status_at(conditions_of(spark, []), instants).filter("status <> 'unknown'").count() == 0
+
+
+def test_ages_of_outages(spark):
+    day = 86400
+    rows = [(1, 1, "notAvailable", 40 * day, 50 * day), (2, 2, "unknown", 40 * day - 1, None), (3, 3, "notAvailable", 11 * day, None), (4, 4, "notAvailable", 11 * day - 1, None), (5, 5, "notAvailable", None, None), (6, 6, "available", 1, None)]
+    lifts = spark.createDataFrame([(1, ["1"]), (2, []), (3, ["2a"]), (3, ["4"])], "lift bigint, tracks array<string>")
+    got = {x.bucket: (x.n, x.planned_end, x.serving) for x in feed.outage_ages(conditions_of(spark, rows), F.timestamp_seconds(F.lit(41 * day)), lifts).collect()}
+    assert got == {"up to 1 day": (1, 1, 1), "up to 30 days": (2, 0, 1), "over 30 days": (1, 0, 0), "no start": (1, 0, 0)}
+
+
+def test_tracks_with_letters_and_stale_statuses(spark):
+    stops = spark.createDataFrame([(1, 1, 9, "18b", "start"), (2, 1, 9, "18", "change"), (3, 1, 9, "19", "end"), (4, 1, 9, "?", "change"), (5, 1, 8, None, "change")], "journey int, place int, station int, track string, role string")
+    lifts = spark.createDataFrame([(9, 1, ["18A"], False), (9, 2, ["18a"], False), (8, 3, [], True)], "station int, lift int, tracks array<string>, hall boolean")
+    current = spark.createDataFrame([(1, "notAvailable", True), (2, "unknown", False), (3, "notAvailable", True)], "lift int, shown string, fresh boolean")
+    got = {x.journey: (x.warning, x.lifts) for x in feed.lift_warnings(stops, lifts, current).collect()}
+    assert got == {1: ("out", 1), 2: ("out", 1), 4: ("out", 1)}
+
+
+def test_drift_of_a_daily_state(spark):
+    """AGG-19 by hand: lift 1 goes out unseen for 40 of 100 seconds, lift 2 is listed twice, lift 3 was never listed."""
+    full = spark.createDataFrame([(1, 1, 1, "available"), (1, 2, 2, "available"), (1, 3, 2, "notAvailable"), (2, 9, 1, "available"), (2, 10, 2, "notAvailable"), (2, 11, 2, "available"), (2, 12, 4, "available")], "period long, id long, lift long, status string")
+    changes = spark.createDataFrame([(5, 1, 110, "notAvailable"), (6, 1, 150, "available"), (7, 3, 180, "available"), (8, 1, 100, "notAvailable")], "id long, lift long, t long, status string").select("id", "lift", F.timestamp_seconds("t").alias("at"), "status")
+    periods = spark.createDataFrame([(1, 100, 200), (2, 200, 300)], "period long, b long, u long").select("period", F.timestamp_seconds("b").alias("begin"), F.timestamp_seconds("u").alias("until"))
+    silences = spark.createDataFrame([(150,), (200,)], "t long").select(F.timestamp_seconds("t").alias("since"))
+    one, two = feed.drift(full, changes, periods, silences).orderBy("period").collect()
+    assert (one.changes, one.went_out, one.shown_working, one.shown_out, one.mean_shown_working, one.mean_shown_out, one.differing, one.silent) == (3, 1, 40.0, 20.0, 0.4, 0.2, 2, True)
+    assert (two.changes, two.went_out, two.differing, two.silent) == (0, 0, None, False)
+
+
 def test_near_points_against_all_pairs(spark):
     r = random.Random(7)
     a = [(i, 52 + r.random() / 50, 5 + r.random() / 50) for i in range(80)]
