@@ -39,13 +39,18 @@ def src7_fn10_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy(F.col("facility").cast("long").alias("facility"), "status").agg(F.count("*").alias("n"), F.max(F.unix_millis("start")).alias("last_ms"))
 
 
+def siri_messages(c: DataFrame, size: int) -> DataFrame:
+    """(id, body): conditions as XML messages of `size`."""
+    one = F.concat(F.lit("<s:FacilityCondition><s:FacilityRef>L:"), F.col("lift").cast("string"), F.lit("</s:FacilityRef><s:FacilityStatus><s:Status>"), "status", F.lit("</s:Status></s:FacilityStatus><s:ValidityPeriod><s:StartTime>"), scalars.iso_utc(F.col("start")), F.lit("</s:StartTime>"), F.coalesce(F.concat(F.lit("<s:EndTime>"), scalars.iso_utc(F.col("end")), F.lit("</s:EndTime>")), F.lit("")), F.lit("</s:ValidityPeriod></s:FacilityCondition>"))
+    m = c.groupBy(F.floor(F.col("id") / size).alias("id")).agg(F.array_join(F.collect_list(one), "").alias("x"))
+    return m.select("id", F.encode(F.concat(F.lit('<s:Siri xmlns:s="http://www.siri.org.uk/siri">'), "x", F.lit("</s:Siri>")), "UTF-8").alias("body"))
+
+
 @query(ad.sql("SELECT id // 10 AS message, count(*) AS size, count(*) FILTER (status = 'notAvailable') AS out, count(\"end\") AS planned FROM conditions GROUP BY 1"))
 def src9_lift_messages(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-9: conditions as XML messages of ten, decoded again."""
     c = ad.conditions(spark, sf)
-    one = F.concat(F.lit("<s:FacilityCondition><s:FacilityRef>L:"), F.col("lift").cast("string"), F.lit("</s:FacilityRef><s:FacilityStatus><s:Status>"), "status", F.lit("</s:Status></s:FacilityStatus><s:ValidityPeriod><s:StartTime>"), scalars.iso_utc(F.col("start")), F.lit("</s:StartTime>"), F.coalesce(F.concat(F.lit("<s:EndTime>"), scalars.iso_utc(F.col("end")), F.lit("</s:EndTime>")), F.lit("")), F.lit("</s:ValidityPeriod></s:FacilityCondition>"))
-    m = c.groupBy(F.floor(F.col("id") / 10).alias("id")).agg(F.array_join(F.collect_list(one), "").alias("x"))
-    m = m.select("id", F.encode(F.concat(F.lit('<s:Siri xmlns:s="http://www.siri.org.uk/siri">'), "x", F.lit("</s:Siri>")), "UTF-8").alias("body"))
+    m = siri_messages(c, 10)
     x = files.lift_messages(m, "L:")
     return x.groupBy(F.col("id").alias("message")).agg(F.max("size").cast("long").alias("size"), F.count_if(F.col("status") == "notAvailable").alias("out"), F.count("end").alias("planned"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -90,8 +94,15 @@ def osm_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def _unzipped(bodies: pd.Series) -> pd.Series:
     import gzip
+    import zlib
+
+    def text(b: bytes | None) -> str | None:
+        try:
+            return None if b is None else (gzip.decompress(b) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):  # broken gzip: no text
+            return None
 
-    return bodies.map(lambda b: None if b is None else (gzip.decompress(b) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
+    return bodies.map(text)
 
 
 def unzipped(body: Column) -> Column:
@@ -107,10 +118,14 @@ def bare(xml: Column) -> Column:
 def lift_messages(messages: DataFrame, prefix: str) -> DataFrame:
     """SRC-9. messages: (id, body): id, size, heartbeat, lift, status, start, end; one row per condition of a lift with the
     prefix, one without a lift for a message without."""
-    x = messages.withColumn("m", F.from_xml(bare(unzipped(F.col("body"))), schemas.FACILITY_MESSAGE))
+    return lift_conditions(messages.withColumn("m", F.from_xml(bare(unzipped(F.col("body"))), schemas.FACILITY_MESSAGE)), prefix, "id")
+
+
+def lift_conditions(parsed: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    """SRC-9 of messages that are parsed (m), with the columns to keep. Streams and tables alike."""
     mine = F.filter("m.FacilityCondition", lambda c: c["FacilityRef"].startswith(prefix))
-    x = x.select("id", F.coalesce(F.size(mine), F.lit(0)).alias("size"), F.col("m.HeartbeatNotification").isNotNull().alias("heartbeat"), F.explode_outer(mine).alias("c"))
-    return x.select("id", F.greatest("size", F.lit(0)).alias("size"), "heartbeat", F.substring("c.FacilityRef", len(prefix) + 1, 1000).alias("lift"), F.when(F.col("c").isNotNull(), F.coalesce("c.FacilityStatus.Status", F.lit("unknown"))).alias("status"), F.to_timestamp("c.ValidityPeriod.StartTime").alias("start"), F.to_timestamp("c.ValidityPeriod.EndTime").alias("end"))
+    x = parsed.select(*keep, F.coalesce(F.size(mine), F.lit(0)).alias("size"), F.col("m.HeartbeatNotification").isNotNull().alias("heartbeat"), F.explode_outer(mine).alias("c"))
+    return x.select(*keep, F.greatest("size", F.lit(0)).alias("size"), "heartbeat", F.substring("c.FacilityRef", len(prefix) + 1, 1000).alias("lift"), F.when(F.col("c").isNotNull(), F.coalesce("c.FacilityStatus.Status", F.lit("unknown"))).alias("status"), F.to_timestamp("c.ValidityPeriod.StartTime").alias("start"), F.to_timestamp("c.ValidityPeriod.EndTime").alias("end"))
 
 
 def journey_marks(messages: DataFrame) -> DataFrame:
@@ -163,19 +178,93 @@ def write_sorted_csv(df: DataFrame, path: str, by: str) -> None:
     df.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").option("header", True).csv(path)
 
 
-def publish(frames: dict[str, DataFrame], base: str, run: str, checks: dict[str, DataFrame]) -> str:
-    """SNK-1, SNK-5. Writes tables as Parquet under base/run, then runs the checks (frames of faults); only if none has a
-    row the pointer base/current is replaced. Raises ValueError otherwise, and the last good output stays."""
+def _pointers(spark: SparkSession, base: str) -> list[tuple[int, str, str]]:
+    """(number, run, key) of the pointers that are whole, oldest first. A pointer is one small file, so few are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{base}/pointers")
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    wanted = [n for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    if not wanted:
+        return []
+    rows = spark.read.schema("run string, key string").json([f"{base}/pointers/{n}" for n in wanted]).select(F.input_file_name().alias("f"), "run", "key").filter("run IS NOT NULL").collect()
+    return sorted((int(r.f.rsplit("/", 1)[1][:-5]), r.run, r.key) for r in rows)
+
+
+def _point(spark: SparkSession, base: str, number: int, run: str, key: str) -> None:
+    """Writes a new pointer aside and renames it: the one step that publishes. A name that exists is an error, so of two writers one
+    fails."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    aside, final = (jvm.org.apache.hadoop.fs.Path(f"{base}/pointers/{n}") for n in (f".{number:012d}-{uuid.uuid4().hex}", f"{number:012d}.json"))
+    fs = final.getFileSystem(conf)
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps({"run": run, "key": key}).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        raise ValueError(f"{base}: another run was published meanwhile")
+
+
+def publish(frames: dict[str, DataFrame], base: str, run: str, checks: dict[str, DataFrame], key: str | None = None) -> str:
+    """SNK-1, SNK-5. Writes tables as Parquet under base/run, then runs the checks (frames of faults); only if none has a row a new
+    pointer is added, in one step. Raises ValueError otherwise; what was published last stays readable whatever happens before that
+    step. A key (the run's name if none is given) that was published is not published again: nothing is written and its run is given back."""
+    spark = next(iter(frames.values())).sparkSession
+    key = key or run
+    known = _pointers(spark, base)
+    if again := [r for _, r, k in known if k == key]:
+        return f"{base}/{again[-1]}"
+    if run in {r for _, r, _ in known}:
+        raise ValueError(f"{run} is published under another key")
     for name, df in frames.items():
         df.write.mode("overwrite").parquet(f"{base}/{run}/{name}")
     if bad := [name for name, faults in checks.items() if not faults.isEmpty()]:
         raise ValueError(f"failed: {', '.join(bad)}")
-    spark = next(iter(frames.values())).sparkSession
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(f"{base}/current")
+    _point(spark, base, known[-1][0] + 1 if known else 1, run, key)
     return f"{base}/{run}"
 
 
 def current(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """SNK-5. A table of the last run that passed its checks."""
-    run = spark.read.schema("run string").json(f"{base}/current").first()[0]
-    return spark.read.parquet(f"{base}/{run}/{name}")
+    """SNK-5. A table of the last run that passed its checks: that of the newest pointer that is whole."""
+    known = _pointers(spark, base)
+    if not known:
+        raise ValueError(f"{base}: nothing is published")
+    return spark.read.parquet(f"{base}/{known[-1][1]}/{name}")
+
+
+def publish_batches(base: str, frames: Callable[[DataFrame], dict[str, DataFrame]], checks: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """SNK-5 for foreachBatch: each batch is published as a run of its own, exactly once. The key is the stream's name and the batch's
+    number, so a batch that is replayed after a crash changes nothing once its pointer is there, and is written anew before. A batch
+    that fails its checks is not published and stays on disk for inspection; the stream goes on with the last good one."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        tables = frames(batch)
+        # a new folder each try: a half-written one is never looked at
+        try:
+            publish(tables, base, f"{stream}-{number:012d}-{uuid.uuid4().hex[:8]}", checks(tables), f"{stream}-{number}")
+        except ValueError as problem:
+            if not str(problem).startswith("failed: "):
+                raise
+
+    return sink
+
+
+def message_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """SRC-9, SRC-10 as a stream: (id, received, body) of message files (plain or gzipped XML) as they land in a folder."""
+    x = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(folder)
+    return x.select(F.col("path").alias("id"), F.col("modificationTime").alias("received"), F.col("content").alias("body"))
+
+
+def parsed_messages(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(messages with m, the parsed body; quarantine: id, received, bytes, reason). A body that can't be unzipped or holds no XML element
+    that the schema knows goes to the quarantine. Works on streams and tables alike."""
+    x = messages.withColumn("text", unzipped(F.col("body"))).withColumn("m", F.from_xml(bare(F.col("text")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    known = [f.name for f in x.schema["m"].dataType.fields if f.name != "_corrupt"]
+    empty = F.lit(True)
+    for name in known:
+        empty = empty & F.col(f"m.{name}").isNull()
+    reason = F.when(F.col("text").isNull(), "not readable").when(F.col("m").isNull() | empty, "no known element")
+    x = x.withColumn("reason", reason)
+    return x.filter("reason IS NULL").drop("text", "reason", "body"), x.filter("reason IS NOT NULL").select("id", "received", F.length("body").alias("bytes"), "reason")

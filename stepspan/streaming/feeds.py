@@ -90,21 +90,28 @@ def held_back(statuses: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def published_ticks(ticks: DataFrame, quiet_minutes: int = 10) -> DataFrame:
-    """STR-5. As feed.publish_ticks, on ticks that come in order from batch to batch; the state is what was published last."""
+    """STR-5. As feed.publish_ticks, on ticks that come in order from batch to batch; the state is, per feed, the day and what
+    was published last on it, so a feed has one state for good."""
     if "problem" in ticks.columns:
         ticks = ticks.filter("problem IS NULL")
     x = ticks.select("feed", "day", "tick", "digest")
+    kinds = {c: x.schema[c].dataType.simpleString() for c in x.columns}
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values("tick")
-        kept = list(due(zip(pdf.tick.tolist(), pdf.digest), *(state.get if state.exists else (None, None)), quiet_minutes))
-        if kept:
-            state.update(kept[-1])
-        yield pd.DataFrame([(*key, *k) for k in kept], columns=["feed", "day", "tick", "digest"])
-
-    kinds = {c: x.schema[c].dataType.simpleString() for c in x.columns}
-    return x.groupBy("feed", "day").applyInPandasWithState(
-        update, ", ".join(map(" ".join, kinds.items())), f"tick {kinds['tick']}, digest {kinds['digest']}", "append", GroupStateTimeout.NoTimeout
+        pdf = pd.concat(list(frames)).sort_values(["day", "tick"])
+        today, *last = state.get if state.exists else (None, None, None)
+        out = []
+        for day, part in pdf.groupby("day", sort=True):
+            if str(day) != today:
+                today, last = str(day), [None, None]
+            kept = list(due(zip(part.tick.tolist(), part.digest), *last, quiet_minutes))
+            last = list(kept[-1]) if kept else last
+            out += [(*key, day, *k) for k in kept]
+        state.update((today, *last))
+        yield pd.DataFrame(out, columns=["feed", "day", "tick", "digest"])
+
+    return x.groupBy("feed").applyInPandasWithState(
+        update, ", ".join(map(" ".join, kinds.items())), f"day string, tick {kinds['tick']}, digest {kinds['digest']}", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -134,16 +141,23 @@ def daily_counts(log: DataFrame) -> DataFrame:
     return log.withWatermark("received", LATE).groupBy(w.alias("w")).agg(F.count("*").alias("messages")).select(F.to_date("w.start").alias("day"), "messages")
 
 
-def run_available(stream: DataFrame, mode: str, upto: DataFrame | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, state_store: str | None = None) -> DataFrame:
     """Runs a stream over what is there and gives back what it wrote, with the batch's number as `batch`. Output and
-    checkpoint go to the shared folder (spark.checkpoint.dir)."""
+    checkpoint go to the shared folder (spark.checkpoint.dir). state_store: a state store for this stream only."""
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/stepspan-stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/out/n={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if state_store:
+        spark.conf.set(provider, state_store)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/out")

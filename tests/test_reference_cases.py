@@ -365,6 +365,138 @@ def test_the_newest_valid_condition_wins(spark):
     assert feed.status_at(conditions_of(spark, []), instants).filter("status <> 'unknown'").count() == 0
 
 
+def shown_by_hand(rows, keep, hold, forget, end):
+    """What live_status should tell of one lift, second by second. rows: (id, status, start, end, received, full) as they come."""
+    held, told, shown, before, back, seen, full_at = {}, [], "new", None, None, None, -1
+    for now in range(end + 1):
+        if seen is not None and now >= seen + forget:
+            told.append((now, "gone"))
+            held, shown, before, back, seen, full_at = {}, "new", None, None, None, -1
+        for i, status, s, e, received, full in rows:
+            if received != now:
+                continue
+            seen, full_at = now, now if full else full_at
+            if s not in held or (held[s][3], held[s][0]) < (received, i):
+                held[s] = (i, status, e, received)
+            held = dict(sorted((k, h) for k, h in held.items() if h[3] >= full_at)[-keep:])
+        if seen is None:
+            continue
+        valid = [(s, h[0], h[1]) for s, h in held.items() if s <= now and (h[2] is None or h[2] > now)]
+        status = max(valid)[2] if valid else "unknown"
+        back = now if status == "available" and before not in (None, "available") else back
+        before = status
+        new = status if status != "available" else "back" if back is not None and now - back < hold else None
+        if new != shown:
+            shown = new
+            told.append((now, new))
+    return told
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_live_status_without_ticks(spark, tmp_path, seed):
+    """STR-1, STR-2: future starts, ends, holds and silences take effect by timers; states of silent lifts go."""
+    from stepspan.streaming import live
+
+    r = random.Random(seed)
+    rows, n = [], 0
+    for lift in range(6):
+        for received in sorted(r.sample(range(0, 3000), 12)):
+            n += 1
+            start = max(0, received + r.randint(-300, 300))
+            rows.append((n, lift, r.choice(["available", "available", "notAvailable", "unknown"]), start, None if r.random() < 0.5 else start + r.randint(1, 500), received, r.random() < 0.15))
+    rows.append((999, 99, "available", 0, None, 9000, False))  # time goes on
+    rows.sort(key=lambda x: x[5])
+    schema = "id bigint, lift bigint, status string, s bigint, e bigint, r bigint, full boolean"
+    parts = [rows[i : i + 20] for i in range(0, len(rows), 20)]
+    for part in [*parts, [(1000, 99, "available", 0, None, 9001, False)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = F.timestamp_seconds
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.select("id", "lift", "status", at("s").alias("start"), at("e").alias("end"), at("r").alias("received"), "full")
+    got = feeds.run_available(live.live_status(stream, 3, 10, 50), "append", live.ROCKSDB).collect()
+    for lift in range(6):
+        own = [(i, st, s, e, rec, full) for i, x, st, s, e, rec, full in rows if x == lift]
+        told = {(x.at_us // 1_000_000, x.shown) for x in got if x.lift == lift}
+        want = shown_by_hand(own, 3, 600, 3000, 8999)
+        assert (told - {*want}, {*want} - told, len(told)) == (set(), set(), len(want)), (lift, own)
+    assert {x.lift for x in got if x.shown == "gone"} == set(range(6))
+
+
+def test_live_state_is_forgotten(spark, tmp_path):
+    from stepspan.streaming import live
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    for k, received in enumerate((10, 20, 100_000, 100_001)):
+        spark.createDataFrame([(k * 10 + i, k * 10 + i, "notAvailable", 0, received) for i in range(10)], "id bigint, lift bigint, status string, s bigint, r bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint, lift bigint, status string, s bigint, r bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.select("id", "lift", "status", F.timestamp_seconds("s").alias("start"), F.lit(None).cast("timestamp").alias("end"), F.timestamp_seconds("r").alias("received"))
+    spark.conf.set(provider, live.ROCKSDB)
+    try:
+        run = live.live_status(stream, forget_minutes=60).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("noop").start()
+    finally:
+        spark.conf.set(provider, before)
+    run.awaitTermination()
+    live_lifts = run.lastProgress["stateOperators"][0]["customMetrics"]
+    told = {k: v for k, v in live_lifts.items() if "Timer" in k or "Deleted" in k or "ValueStateVars" in k}
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 10 * 5 + 10, (told, run.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+
+def test_publish_survives_a_crash_at_any_step(spark, tmp_path, monkeypatch):
+    """SNK-5: before the one step that publishes, the last run stays readable; broken pointers are passed over."""
+    base = str(tmp_path / "out")
+    one, two = (spark.createDataFrame([(n,)], "n int") for n in (1, 2))
+    with pytest.raises(ValueError, match="nothing"):
+        files.current(spark, base, "t")
+    files.publish({"t": one}, base, "r1", {})
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "_point", crash)
+        with pytest.raises(RuntimeError):
+            files.publish({"t": two}, base, "r2", {})
+    assert files.current(spark, base, "t").first().n == 1
+    (tmp_path / "out" / "pointers" / "000000000009.json").write_text('{"run": "r')
+    (tmp_path / "out" / "pointers" / ".000000000010-x").write_text("")
+    assert files.current(spark, base, "t").first().n == 1
+    files.publish({"t": two}, base, "r2", {})  # the same run, once more
+    assert files.current(spark, base, "t").first().n == 2
+    files.publish({"t": one}, base, "r2", {})  # published already: nothing is written
+    assert files.current(spark, base, "t").first().n == 2
+
+
+def test_batches_are_published_once(spark, tmp_path):
+    base = str(tmp_path / "out")
+    sink = files.publish_batches(base, lambda b: {"t": b}, lambda t: {"enough": quality.too_few(t["t"], 2)})
+    df = lambda *ns: spark.createDataFrame([(n,) for n in ns], "n int")
+    sink(df(1, 2), 0)
+    sink(df(3, 4), 0)  # a replay of batch 0: what was published stays
+    assert sorted(r.n for r in files.current(spark, base, "t").collect()) == [1, 2]
+    sink(df(5), 1)  # fails its check: the last good one stays
+    assert sorted(r.n for r in files.current(spark, base, "t").collect()) == [1, 2]
+    sink(df(6, 7), 2)
+    assert sorted(r.n for r in files.current(spark, base, "t").collect()) == [6, 7]
+    assert len(files._pointers(spark, base)) == 2
+
+
+def test_message_files_and_quarantine(spark, tmp_path):
+    from stepspan.sources import schemas
+
+    xml = '<s:Siri xmlns:s="u"><s:FacilityCondition><s:FacilityRef>L:7</s:FacilityRef><s:FacilityStatus><s:Status>notAvailable</s:Status></s:FacilityStatus></s:FacilityCondition></s:Siri>'
+    beat = '<s:Siri xmlns:s="u"><s:HeartbeatNotification><s:Status>true</s:Status></s:HeartbeatNotification></s:Siri>'
+    bodies = {"a.xml": xml.encode(), "b.xml.gz": gzip.compress(xml.replace("L:7", "L:8").encode()), "c.gz": gzip.compress(xml.encode())[:20], "d.xml": b"no message", "e.xml": b"", "f.xml": beat.encode()}
+    (tmp_path / "in").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / "in" / name).write_bytes(body)
+    good, bad = files.parsed_messages(files.message_files(spark, str(tmp_path / "in"), 2), schemas.FACILITY_MESSAGE)
+    got = feeds.run_available(files.lift_conditions(good, "L:", "id"), "append").collect()
+    assert sorted((r.id.rsplit("/", 1)[1], r.lift, r.status, r.heartbeat) for r in got) == [("a.xml", "7", "notAvailable", False), ("b.xml.gz", "8", "notAvailable", False), ("f.xml", None, None, True)]
+    wrong = feeds.run_available(bad, "append").collect()
+    assert sorted((r.id.rsplit("/", 1)[1], r.reason) for r in wrong) == [("c.gz", "not readable"), ("d.xml", "no known element"), ("e.xml", "no known element")]
+
+
 def test_ages_of_outages(spark):
     day = 86400
     rows = [(1, 1, "notAvailable", 40 * day, 50 * day), (2, 2, "unknown", 40 * day - 1, None), (3, 3, "notAvailable", 11 * day, None), (4, 4, "notAvailable", 11 * day - 1, None), (5, 5, "notAvailable", None, None), (6, 6, "available", 1, None)]
