@@ -169,18 +169,40 @@ def station_edges(quays: DataFrame, equipment: DataFrame, links: DataFrame) -> D
     return one.unionByName(one.select("station", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def reachable_nodes(edges: DataFrame, roots: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """GRAPH-2. edges: (station, a, b) both ways; roots: (station, node). Nodes reached, by rounds of joins; each round is
-    cut off from the last by a checkpoint. Raises if it has not ended after most_rounds."""
-    seen = checkpointed(roots.distinct())
-    front = seen
-    for _ in range(most_rounds):
-        after = edges.join(front.withColumnRenamed("node", "a"), ["station", "a"]).select("station", F.col("b").alias("node")).distinct()
-        front = checkpointed(after.join(seen, ["station", "node"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+def connected_parts(edges: DataFrame) -> DataFrame:
+    """(station, node, part): the least node of each node's connected part. edges: (station, a, b) both ways. Stars are rewired in turn
+    to the least neighbour and to the least smaller one until nothing changes, so rounds grow with the logarithm of the longest
+    path, not with its length. Each round is one shuffle by node and is cut off by a checkpoint."""
+    e = checkpointed(edges.select("station", F.col("a").alias("u"), F.col("b").alias("v")).filter("u > v").distinct())
+    while True:
+        before = e.agg(F.count("*"), F.sum(F.hash("station", "u", "v").cast("bigint"))).first()
+        both = e.unionByName(e.select("station", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = F.min("v").over(W.partitionBy("station", "u"))
+        large = both.withColumn("m", F.least(least, "u")).filter("v > u").select("station", F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u > v").distinct()
+        x = large.withColumn("m", F.min("v").over(W.partitionBy("station", "u")))
+        small = x.select("station", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(x.select("station", "u", F.col("m").alias("v")))
+        e = checkpointed(small.filter("u > v").distinct())
+        if e.agg(F.count("*"), F.sum(F.hash("station", "u", "v").cast("bigint"))).first() == before:
+            break
+    own = e.groupBy("station", F.col("u").alias("node")).agg(F.min("v").alias("part"))
+    tops = e.select("station", F.col("v").alias("node")).distinct().join(own, ["station", "node"], "left_anti")
+    return own.unionByName(tops.select("station", "node", F.col("node").alias("part")))
+
+
+def reachable_sets(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """GRAPH-2. edges: (station, a, b) both ways; roots: (station, node, kind), kinds being few. (station, node, kinds): the kinds of roots that
+    each node can be reached from, all root sets in one run. A root reaches itself."""
+    parts = checkpointed(connected_parts(edges))
+    alone = roots.select("station", "node").distinct().join(parts, ["station", "node"], "left_anti").withColumn("part", F.col("node"))
+    parts = parts.unionByName(alone.select("station", "node", "part"))
+    kinds = parts.join(roots, ["station", "node"]).groupBy("station", "part").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return parts.join(kinds, ["station", "part"]).select("station", "node", "kinds")
+
+
+def reachable_nodes(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """GRAPH-2 with one root set: roots: (station, node)."""
+    return reachable_sets(edges, roots.select("station", "node", F.lit("root").alias("kind"))).select("station", "node")
 
 
 def connection_class(tracks: DataFrame, reached: DataFrame, modelled: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.lineage import checkpointed
 
 PLATFORM = ["variant", "origin", "platform"]
+#: Slices of the stations that a traveller's choices are dealt out to.
+SLICES = 16
 
 
 def shortest_allowed(calls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -346,7 +348,10 @@ def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFra
 def verdicts(stations: DataFrame, choices: DataFrame, results: DataFrame) -> DataFrame:
     """PRJ-9. stations: (day_type, dest, status, idle); choices: (choice, day_type, origin, profile, k, most), a traveller's few;
     results: (origin, profile, dest, k, median). One of origin, not-step-free, unknown-access, idle, reachable, out-of-reach; a limit of 240 is none."""
-    x = choices.join(stations, "day_type").join(results, ["origin", "profile", "dest", "k"], "left")
+    # every choice meets every station of its kind of day, which is the result; dealt out by slices of the stations, so an equi-join whatever the sizes
+    sliced = stations.withColumn("slice", F.pmod(F.hash("dest"), F.lit(SLICES)))
+    x = choices.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(sliced, ["day_type", "slice"]).drop("slice")
+    x = x.join(results, ["origin", "profile", "dest", "k"], "left")
     fits = F.col("median").isNotNull() & ((F.col("most") >= 240) | (F.col("median") <= F.col("most")))
     pram = F.col("profile") == "stroller"
     verdict = F.when(F.col("dest") == F.col("origin"), "origin").when(pram & (F.col("status") == "no"), "not-step-free").when(pram & (F.col("status") == "unknown"), "unknown-access").when(F.col("idle"), "idle").when(fits, "reachable").otherwise("out-of-reach")

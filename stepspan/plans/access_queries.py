@@ -227,6 +227,35 @@ def graph2_reachable_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return access.reachable_nodes(_edges(spark, sf), _roots(spark, sf))
 
 
+_SETS = f"""
+WITH RECURSIVE {_EDGES}, roots AS (
+  SELECT s_nationkey AS station, s_suppkey::VARCHAR AS node, CASE s_suppkey % 8 WHEN 0 THEN 'entrance' ELSE 'hall' END AS kind FROM supplier WHERE s_suppkey % 8 IN (0, 3)
+), reached AS (
+  SELECT station, node, kind FROM roots UNION SELECT e.station, e.b, r.kind FROM edges e JOIN reached r ON r.station = e.station AND r.node = e.a
+), t AS (
+  SELECT s_nationkey AS station, s_suppkey::VARCHAR AS node,
+         EXISTS (SELECT 1 FROM reached r WHERE r.station = s_nationkey AND r.node = s_suppkey::VARCHAR AND r.kind = 'entrance') AS strict,
+         EXISTS (SELECT 1 FROM reached r WHERE r.station = s_nationkey AND r.node = s_suppkey::VARCHAR) AS loose
+  FROM supplier WHERE s_suppkey % 3 = 1
+)
+SELECT station, count(*) AS tracks, count(*) FILTER (strict) AS connected, count(*) FILTER (loose) AS connected_via_hall,
+       coalesce(string_agg(node, '|' ORDER BY node) FILTER (NOT loose), '') AS unconnected
+FROM t GROUP BY station
+"""
+
+
+@query(_SETS)
+def graph2_root_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """GRAPH-2: tracks reached from entrances, and from entrances or halls, in one run; and those that neither reaches."""
+    k = F.col("s_suppkey")
+    s = ad.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("station"), k.cast("string").alias("node"), k.alias("k"))
+    roots = s.filter("k % 8 IN (0, 3)").select("station", "node", F.when(F.col("k") % 8 == 0, "entrance").otherwise("hall").alias("kind"))
+    x = s.filter("k % 3 = 1").join(access.reachable_sets(_edges(spark, sf), roots), ["station", "node"], "left")
+    out = F.array_sort(F.collect_list(F.when(F.col("kinds").isNull(), F.col("node"))))
+    strict = F.coalesce(F.array_contains("kinds", "entrance"), F.lit(False))
+    return x.groupBy("station").agg(F.count("*").alias("tracks"), F.count_if(strict).alias("connected"), F.count("kinds").alias("connected_via_hall"), F.array_join(out, "|").alias("unconnected"))
+
+
 @query(f"WITH {_REACHED}, t AS (SELECT s_nationkey AS station, count(*) AS n, count(r.node) AS k FROM supplier s LEFT JOIN reached r ON r.station = s_nationkey AND r.node = s_suppkey::VARCHAR WHERE s_suppkey % 3 = 1 GROUP BY 1) SELECT CASE WHEN t.station NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 8 = 0) THEN 'not modelled' WHEN k = n THEN 'all' WHEN k = 0 THEN 'none' ELSE 'some' END AS class, count(*) AS stations, sum(n)::BIGINT AS tracks FROM t GROUP BY 1")
 def graph3_connection_class(spark: SparkSession, sf: str) -> DataFrame:
     tracks = ad.table(spark, sf, "supplier").filter("s_suppkey % 3 = 1").select(F.col("s_nationkey").alias("station"), F.col("s_suppkey").cast("string").alias("node"))

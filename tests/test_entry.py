@@ -41,3 +41,9 @@ def test_some_queries_match_their_sql(spark, name):
     want = c.execute(f"SELECT {', '.join(f'\"{x}\"' for x in cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     got = [tuple(r) for r in df.select(*[f"`{x}`" for x in cols]).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the test tables")
+def test_the_matrix_breaks_no_rule(spark):
+    """Trains take time between stops, so no journey is as fast as none; more options are never worse."""
+    assert entry.queries()["dq1_dq3_matrix_checks"](spark, SMALL).collect() == []

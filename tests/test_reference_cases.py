@@ -335,6 +335,16 @@ def test_hold_and_publish_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and not {tuple(x) for x in got} & {t[:4] for t in ticks if t[4]}
 
 
+def test_reachable_over_a_long_path(spark):
+    """GRAPH-2: a path of 1,000 nodes, two root sets at once, a root without edges, a part without a root."""
+    path = [("S", f"n{i * 7 % 1000:03d}", f"n{(i + 1) * 7 % 1000:03d}") for i in range(999)] + [("T", "x", "y"), ("T", "p", "q")]
+    edges = spark.createDataFrame(path + [(s, b, a) for s, a, b in path], "station string, a string, b string")
+    roots = spark.createDataFrame([("S", "n500", "hall"), ("S", "n000", "entrance"), ("T", "y", "hall"), ("U", "z", "entrance")], "station string, node string, kind string")
+    got = {(r.station, r.node): r.kinds for r in access.reachable_sets(edges, roots).collect()}
+    assert got == {**{("S", f"n{i:03d}"): ["entrance", "hall"] for i in range(1000)}, ("T", "x"): ["hall"], ("T", "y"): ["hall"], ("U", "z"): ["entrance"]}
+    assert access.reachable_nodes(edges.limit(0), roots.select("station", "node")).count() == 4
+
+
 CONDITION = "id bigint, lift bigint, status string, s bigint, e bigint"
 
 
