@@ -6,7 +6,10 @@ unlisted files. Of pages with equal payloads the one with the smallest page_id i
 
 The reader checks each member: the gzip check sum, the version line, the length, and the digest of block and payload.
 After a failed check it looks for the next place where a member or a version line, whichever is nearer, starts and holds
-a record that passes, and logs the bytes between as a gap. A member may hold many records. Files are read in pieces.
+a record that passes, and logs the bytes between as a gap. A member may hold many records: behind a damaged one the
+inflated stream is searched for the next version line, and the gap is logged with its offsets inside the member. What a
+member that cannot be inflated holds behind the byte that fails is lost. Records of a damaged member that come back are known
+by their digests, which do not cover the header's fields. Files are read in pieces, a record is held whole.
 
 Nulls and edges: a null html is an empty payload; a null url an empty target. Rows with one page_id and equal payloads
 are all responses (or all revisits of a smaller id). Null ids: "null" in the archive, null again when read; in a group
@@ -17,6 +20,7 @@ html are read.
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import uuid
 import zlib
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, new_folder, small_batches, staged
 
-SEGMENT, PIECE = 64 << 20, 4 << 20
+SEGMENT, PIECE, HEADER = 64 << 20, 4 << 20, 1 << 20
+VERSION = b"WARC/1."
 BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:stepspan:page:"
@@ -126,10 +131,10 @@ class Broken(ValueError):
     """A check failed."""
 
 
-def parse(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Header fields (lower-case), block and length of the record at the start of data; whole: nothing may follow it."""
-    head = data.find(b"\r\n\r\n")
-    if not data.startswith(b"WARC/1.") or head < 0:
+def parse(data: bytes | bytearray) -> tuple[dict[str, str], bytes, int]:
+    """Header fields (lower-case), block and length of the record at the start of data."""
+    head = data.find(b"\r\n\r\n", 0, HEADER)
+    if not data.startswith(VERSION) or head < 0:
         raise Broken("version or header")
     fields = {}
     for line in data[:head].split(b"\r\n")[1:]:
@@ -140,9 +145,9 @@ def parse(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
     if not fields.get("content-length", "").isdigit():
         raise Broken("content length")
     end = head + 4 + int(fields["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n" or whole and len(data) != end + 4:
+    if data[end : end + 4] != b"\r\n\r\n":
         raise Broken("length")
-    block = data[head + 4 : end]
+    block = bytes(data[head + 4 : end])
     if (said := fields.get("warc-block-digest", "")).startswith("sha1:") and said[5:] != sha1(block):
         raise Broken("block digest")
     if fields.get("warc-type") == "response" and (said := fields.get("warc-payload-digest", "")).startswith("sha1:") and said[5:] != sha1(payload_of(block)):
@@ -154,58 +159,144 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def _inflated(file: Pieces, at: int) -> Iterator[tuple[bytes, int, bool]]:
-    """(data, place in the file, whether the member ends) of the gzip member at `at`; up to the very byte that fails."""
-    z, pos = zlib.decompressobj(31), at
-    while not z.eof:
-        data = file.read(pos, min(16384, file.size - pos))
-        if not data:
-            raise Broken("cut off")
-        before = z.copy()
+class Member:
+    """The inflated stream of the gzip member at a place, pulled by length. data begins at base, counted inside the member."""
+
+    def __init__(self, file: Pieces, at: int) -> None:
+        self.file, self.start, self.pos, self.base, self.data = file, at, at, 0, bytearray()
+        self.z, self.tail, self.error, self.sound = zlib.decompressobj(31), b"", None, None
+        self.marks = collections.deque([(0, at)])  # so much is inflated once the file is read up to there
+
+    def pull(self, n: int) -> bool:
+        """Whether data has n bytes, after reading what is needed. What a damaged member holds before the byte that fails is
+        read too, then error says why it ends."""
+        while len(self.data) < n and not self.z.eof and not self.error:
+            given = self.tail or self.file.read(self.pos, min(16384, self.file.size - self.pos))
+            try:
+                out = self.z.decompress(given, n - len(self.data))
+            except zlib.error:
+                out, self.error = self._up_to_the_fault(), "gzip"
+            else:
+                self.tail = b"" if self.z.eof else self.z.unconsumed_tail
+                self.pos += len(given) - len(self.z.unused_data if self.z.eof else self.tail)
+                if not given and not out and not self.z.eof:
+                    self.error = "cut off"
+            self.data += out
+            self.marks.append((self.base + len(self.data), self.pos))
+        return len(self.data) >= n
+
+    def _up_to_the_fault(self) -> bytes:
+        """Inflates anew up to what is known, then byte by byte; nothing is held of what is known."""
+        z, pos, known, tail = zlib.decompressobj(31), self.start, self.base + len(self.data), b""
+        while known:
+            given = tail or self.file.read(pos, min(16384, self.file.size - pos))
+            known -= len(z.decompress(given, known))
+            tail = z.unconsumed_tail
+            pos += len(given) - len(tail)
+        more = bytearray()
         try:
-            out = z.decompress(data)
-        except zlib.error as e:
-            for k in range(len(data)):
-                try:
-                    out = before.decompress(data[k : k + 1])
-                except zlib.error:
-                    break
-                if out:
-                    yield out, pos + k + 1, False
-            raise Broken("gzip") from e
-        pos += len(data) - len(z.unused_data)
-        yield out, pos, z.eof
-
-
-def _gzip_records(file: Pieces, at: int) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """The records of the gzip member at `at`, and the place up to which the file is read for each. The last is held until
-    the member's check sum is right, the others until the next one begins."""
-    data, need, held, end = bytearray(), 0, None, at
-    for out, pos, last in _inflated(file, at):
-        data += out
-        while len(data) >= max(need, 7) or last and data:
-            if held:
-                if not data.startswith(b"WARC/1."):
-                    break
-                yield (*held, end)
-                held = None
-            head = data.find(b"\r\n\r\n")
-            need = head + 8 + _length_in(data[:head]) if head >= 0 else len(data) + 1
-            if not last and len(data) < need:
-                if head < 0 and len(data) > 1 << 20:
-                    raise Broken("header")
+            while byte := self.file.read(pos, min(1, self.file.size - pos)):
+                more += z.decompress(byte)
+                pos += 1
+        except zlib.error:
+            pass
+        self.pos = pos
+        return bytes(more)
+
+    def vouches(self, fields: dict[str, str]) -> bool:
+        """Whether a record that passed is to be believed: by its digest, else by the check sum of the whole member, for which
+        the member is read through once."""
+        if fields.get("warc-block-digest", "").startswith("sha1:"):
+            return True
+        if self.sound is None:
+            z, pos, tail = zlib.decompressobj(31), self.start, b""
+            try:
+                while not z.eof and (given := tail or self.file.read(pos, min(16384, self.file.size - pos))):
+                    z.decompress(given, PIECE)
+                    tail = z.unconsumed_tail
+                    pos += len(given) - len(tail)
+            except zlib.error:
+                pass
+            self.sound = z.eof
+        return self.sound
+
+    def drop(self, n: int) -> None:
+        self.base += n
+        del self.data[:n]
+        while len(self.marks) > 1 and self.marks[1][0] <= self.base:
+            self.marks.popleft()
+
+    def place(self, inner: int) -> int:
+        """Up to where the file must be read for so many inflated bytes."""
+        return next((pos for n, pos in self.marks if n >= inner), self.pos)
+
+    def record(self) -> tuple[dict[str, str], bytes, int]:
+        """The record at the start of data; it is held whole, as long as its header says."""
+        n, head = 512, -1
+        while head < 0:
+            more = self.pull(n)
+            if not self.data.startswith(VERSION):
+                raise Broken("version line")
+            head = self.data.find(b"\r\n\r\n", 0, HEADER)
+            if head < 0 and (not more or n >= HEADER):
+                raise Broken(self.error or "header")
+            n *= 2
+        if not self.pull(head + 8 + _length_in(self.data[:head])):
+            raise Broken(self.error or "length")
+        return parse(self.data)
+
+    def to_next_version(self) -> None:
+        """Drops data up to the next version line behind its first byte, all of it if there is none."""
+        self.drop(1)
+        while (k := self.data.find(VERSION)) < 0:
+            self.drop(max(0, len(self.data) - len(VERSION) + 1))
+            if not self.pull(len(self.data) + 65536) and VERSION not in self.data:
+                k = len(self.data)
                 break
-            fields, block, size = parse(bytes(data[:need]), False)
-            held, need = (fields, block), 0
-            del data[:size]
-            end = pos
-        if last and held:
-            yield (*held, pos)
-            held = None
-            if data:
-                raise Broken("length")
-        elif last:
-            raise Broken("length")
+        self.drop(k)
+
+
+def _gzip_records(file: Pieces, at: int) -> Iterator[tuple]:
+    """(kind, end in the file, fields or reason, block, start and end inside the member) for the gzip member at `at`: its
+    records and the gaps between them, last a gap without ends if the member is damaged. A record is given once the next begins
+    or damage follows, if it is vouched for; the last one once the member's check sum is right or other damage explains it."""
+    m, held, gap, hurt = Member(file, at), None, None, False
+    while m.pull(1):
+        start = m.base
+        try:
+            fields, block, size = m.record()
+        except Broken as e:
+            if held and m.vouches(held[2]):
+                yield held
+            elif held:
+                start = held[4]
+            gap, held, hurt = gap or (start, str(e)), None, True
+            m.to_next_version()
+            continue
+        if held and not m.vouches(held[2]):
+            gap, held, hurt = (held[4], "no digest in a damaged member"), None, True
+        if gap and m.vouches(fields):
+            yield "gap", m.place(start), gap[1], b"", gap[0], start
+            gap = None
+        elif gap:
+            m.drop(size)
+            continue
+        if held:
+            yield held
+        held = ("record", m.place(start + size), fields, block, start, start + size)
+        m.drop(size)
+    if m.error and held and hurt and m.vouches(held[2]):
+        yield held
+        held = None
+    if m.error:
+        start, reason = gap or ((held[4] if held else m.base), m.error)
+        yield "gap", None, reason, b"", start, None
+    elif gap:
+        yield "gap", m.pos, gap[1], b"", gap[0], m.base
+    elif held:
+        yield held[0], m.pos, *held[2:]
+    else:
+        yield "gap", m.pos, "no record", b"", 0, 0
 
 
 def _length_in(head: bytes) -> int:
@@ -215,54 +306,56 @@ def _length_in(head: bytes) -> int:
     return 0
 
 
-def _plain_record(file: Pieces, at: int) -> tuple[dict[str, str], bytes, int]:
-    want = 16384
-    while True:
-        data = file.read(at, min(want, file.size - at))
-        head = data.find(b"\r\n\r\n")
-        need = want * 2 if head < 0 else head + 8
-        if head >= 0:
-            for line in data[:head].split(b"\r\n"):
-                if line.lower().startswith(b"content-length:") and line[15:].strip().isdigit():
-                    need += int(line[15:])
-        elif want > 1 << 20 or at + want >= file.size:
-            raise Broken("header")
-        if need <= len(data) or at + len(data) >= file.size:
-            fields, block, size = parse(data[: need if head >= 0 else len(data)], False)
-            return fields, block, at + size
-        want = need
+def _plain_records(file: Pieces, at: int) -> Iterator[tuple]:
+    """As _gzip_records, for the one record that begins at `at`."""
+    n, head = 16384, -1
+    while head < 0:
+        data = file.read(at, min(n, file.size - at))
+        head = data.find(b"\r\n\r\n", 0, HEADER)
+        if head < 0 and (n >= HEADER or at + n >= file.size):
+            yield "gap", None, "header", b"", None, None
+            return
+        n *= 2
+    need = head + 8 + _length_in(data[:head])
+    try:
+        if at + need > file.size or need > PIECE and file.read(at + need - 4, 4) != b"\r\n\r\n":  # a wrong length is not read for
+            raise Broken("length")
+        fields, block, size = parse(file.read(at, need))
+    except Broken as e:
+        yield "gap", None, str(e), b"", None, None
+    else:
+        yield "record", at + size, fields, block, None, None
 
 
 def salvage(file: Pieces) -> Iterator[tuple]:
-    """("record", offset, end, fields, block) for what passes all checks, ("gap", offset, end, reason, b"") for the rest.
-    Records of one gzip member share its bytes out, in the order of the file."""
-    magics = {b"\x1f\x8b\x08": _gzip_records, b"WARC/1.": lambda file, at: [_plain_record(file, at)]}
-    at, lost, why, places = 0, None, "", dict.fromkeys(magics, -1)
+    """("record", start, end, fields, block, inner_start, inner_end) for what passes all checks, ("gap", start, end, reason, b"",
+    inner_start, inner_end) for the rest. start and end share the bytes of the file out, in its order; the inner ones, null outside
+    of gzip members, count inflated bytes of a member and are exact. The inner end of a gap is null where it leaves its member."""
+    magics = {b"\x1f\x8b\x08": _gzip_records, VERSION: _plain_records}
+    at, lost, places = 0, None, dict.fromkeys(magics, -1)
     while at < file.size:
-        head = file.read(at, min(7, file.size - at))
-        read, start = next((r for m, r in magics.items() if head.startswith(m)), None), at
-        try:
-            if not read:
-                raise Broken("version or header")
-            for fields, block, end in read(file, start):
-                if lost is not None:
-                    yield "gap", lost, at, why, b""
+        head, start = file.read(at, min(7, file.size - at)), at
+        read = next((r for m, r in magics.items() if head.startswith(m)), None)
+        for kind, end, what, block, *inner in read(file, at) if read else [("gap", None, "version line", b"", None, None)]:
+            if end is not None:
+                if lost:
+                    yield "gap", lost[0], at, lost[1], b"", lost[2], None
                     lost = None
-                yield "record", at, end, fields, block
+                end = max(at, end)
+                yield kind, at, end, what, block, *inner
                 at = end
-        except Broken as e:
-            if lost is None:
-                lost, why = at, str(e)
+                continue
+            lost = lost or (at, what, inner[0])
             after = max(at, start + 1)
             for m in magics:
                 if places[m] < after:
                     places[m] = file.find(m, after)
             at = min(places.values())
-    if lost is not None and lost < file.size:
-        yield "gap", lost, file.size, why, b""
+    if lost:
+        yield "gap", lost[0], file.size, lost[1], b"", lost[2], None
 
 
-SCHEMA = "kind string, path string, start bigint, end bigint, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
+SCHEMA = "kind string, path string, start bigint, end bigint, inner_start bigint, inner_end bigint, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = True) -> DataFrame:
@@ -270,7 +363,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = True
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, *[pa.string()] * 6, pa.int64(), pa.binary()]
 
         def given(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -281,13 +374,13 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = True
                 rows: list[tuple] = []
                 size = 0
                 with fs.open_input_file(inside) as file:
-                    for kind, start, end, fields, block in salvage(Pieces(file)):
+                    for kind, start, end, fields, block, *inner in salvage(Pieces(file)):
                         if kind == "gap":
-                            rows.append((kind, path, start, end, fields, *[None] * 7))
+                            rows.append((kind, path, start, end, *inner, fields, *[None] * 7))
                         else:
                             revisit = fields.get("warc-type") == "revisit"
                             data = None if revisit else payload_of(block)
-                            rows.append((kind, path, start, end, None, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), None if revisit else len(data), data if payload else None))
+                            rows.append((kind, path, start, end, *inner, None, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), None if revisit else len(data), data if payload else None))
                             size += len(block) if payload else 200
                         if len(rows) >= 1000 or size > 8 << 20:
                             yield given(rows)

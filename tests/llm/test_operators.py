@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -583,3 +584,70 @@ def test_salvage_of_members_with_many_records():
     data[-6] ^= 0x55  # the check sum
     assert ids_of(data) == list(range(29))
     assert ids_of(data[: len(data) // 2] + warc.member(parts[0]))[-1] == 0
+
+
+def inner_of(data):
+    """Ids and gaps of a file that is one whole member: the inner ranges share its content out."""
+    got = list(warc.salvage(warc.Pieces(Held(bytes(data)))))
+    content = zlib.decompress(data, 31)
+    assert got[0][5] == 0 and got[-1][6] == len(content) and all(a[6] == b[5] for a, b in zip(got, got[1:]))
+    for e in got:
+        if e[0] == "record":
+            assert warc.parse(content[e[5] : e[6]])[:2] == e[3:5]
+    return ids_of(data), [e[5:7] for e in got if e[0] == "gap"]
+
+
+@pytest.mark.parametrize("size", [0, 200, 5000, 90_000])
+@pytest.mark.parametrize("k", [0, 2, 9])
+def test_salvage_inside_a_member(size, k):
+    r = random.Random(15)
+    parts = [warc.record(i, f"http://x/{i}", r.randbytes(size)) for i in range(10)]
+    at = list(itertools.accumulate(map(len, parts), initial=0))
+    others = [i for i in range(10) if i != k]
+    changed = bytearray(b"".join(parts))
+    changed[at[k + 1] - 6] ^= 0x55  # the last byte of the block
+    assert inner_of(warc.member(bytes(changed))) == (others, [(at[k], at[k + 1])])
+    assert ids_of(warc.member(bytes(changed)) + parts[0] + warc.member(parts[1])) == [*others, 0, 1]
+    for said in (1, len(parts[0]) * 3, 10**9):  # a wrong length
+        wrong = re.sub(rb"\r\nContent-Length: \d+\r\n\r\nHTTP", b"\r\nContent-Length: %d\r\n\r\nHTTP" % said, parts[k], count=1)
+        data = b"".join(parts[:k]) + wrong + b"".join(parts[k + 1 :])
+        assert inner_of(warc.member(data)) == (others, [(at[k], at[k] + len(wrong))])
+        assert ids_of(data) == others
+    junk = b"".join(parts[:k]) + b"junk WARC/1.1 junk\r\n\r\n" + b"".join(parts[k:])
+    assert inner_of(warc.member(junk)) == (list(range(10)), [(at[k], at[k] + 22)])
+    bad = bytearray(warc.member(bytes(changed)))
+    bad[-6] ^= 0x55  # the check sum too: explained by the damage that was found, unless the last record stands at the end
+    assert ids_of(bad) == others
+
+
+def test_salvage_before_a_byte_that_fails():
+    """Any byte of a member may be changed, or the file cut anywhere: no wrong block comes back, and all blocks well before it
+    do. (A changed header whose block is right does come back; only the check sum of the member could tell.)"""
+    r = random.Random(16)
+    parts = [warc.record(i, f"http://x/{i}", r.randbytes(300)) for i in range(12)]
+    blocks = [warc.parse(p)[1] for p in parts]
+    packed, behind = warc.member(b"".join(parts)), warc.member(parts[0]) + parts[1]
+
+    def found(data):
+        got = list(warc.salvage(warc.Pieces(Held(bytes(data)))))
+        assert sum(e[2] - e[1] for e in got) == len(data) and all(a[2] == b[1] for a, b in zip(got, got[1:]))
+        return [blocks.index(e[4]) for e in got if e[0] == "record"]
+
+    for _ in range(150):
+        place, data = r.randrange(len(packed)), bytearray(packed)
+        data[place] ^= 1 << r.randrange(8)
+        whole = [i for i in range(11) if (place - 40) / len(packed) > (i + 2) / 12]
+        for got in (found(data + behind), found(packed[:place] + behind)):
+            assert got[-2:] == [0, 1] and got[:-2] == sorted(set(got[:-2])) and got[: len(whole)] == whole
+
+
+def test_records_without_digests_need_a_sound_member():
+    plain = [re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", warc.record(i, "u", b"x%d" % i * 100)) for i in range(6)]
+    packed = bytearray(warc.member(b"".join(plain)))
+    assert inner_of(packed) == (list(range(6)), [])
+    assert inner_of(warc.member(b"".join(plain[:3]) + b"junk" + b"".join(plain[3:])))[0] == list(range(6))
+    packed[-6] ^= 0x55
+    assert ids_of(packed) == []
+    mixed = bytearray(warc.member(plain[0] + warc.record(1, "u", b"y") + plain[2] + warc.record(3, "u", b"z") + plain[4]))
+    mixed[-6] ^= 0x55
+    assert ids_of(mixed) == [1, 3]
