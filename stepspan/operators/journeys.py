@@ -9,6 +9,10 @@ it goes on from. Legs are put together at the end, for the journeys that are lef
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -282,34 +286,49 @@ def overtaking(calls: DataFrame, pattern: DataFrame) -> DataFrame:
     return x.groupBy("pattern", "trip").agg(F.coalesce(F.bool_or(F.col("late") > 0), F.lit(False)).alias("overtakes"))
 
 
+def tangles(calls: DataFrame, pattern: DataFrame) -> DataFrame:
+    """pattern: (trip, pattern); trips of one pattern call at the same seqs. pattern, trip, d, a, times, piece, alone: the trips
+    of a pattern by (first departure d, last arrival a, trip), cut into pieces wherever all that follow are nowhere earlier than
+    any before. Trips of one piece alone depend on each other, so a busy pattern falls apart at its gaps; alone: a piece of one
+    trip. times: departure and arrival of each stop."""
+    at = F.sort_array(F.collect_list(F.struct("seq", "dep", "arr")))
+    x = calls.join(pattern, "trip").groupBy("pattern", "trip").agg(at.alias("s"))
+    times = F.flatten(F.transform("s", lambda c: F.array(c["dep"], c["arr"])))
+    x = x.select("pattern", "trip", F.col("s")[0]["dep"].alias("d"), F.element_at("s", -1)["arr"].alias("a"), F.posexplode(times).alias("i", "time"))
+    stop = W.partitionBy("pattern", "i").orderBy("d", "a", "trip")
+    before = F.max("time").over(stop.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min("time").over(W.partitionBy("pattern", "i").orderBy(F.desc("d"), F.desc("a"), F.desc("trip")).rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("before", before).withColumn("after", after)
+    cut = F.bool_and(F.coalesce(F.col("before") <= F.col("after"), F.lit(True)))
+    x = x.groupBy("pattern", "trip", "d", "a").agg(cut.alias("cut"), F.sort_array(F.collect_list(F.struct("i", "time")))["time"].alias("times"))
+    order = W.partitionBy("pattern").orderBy("d", "a", "trip")
+    alone = F.col("cut") & F.coalesce(F.lead("cut").over(order), F.lit(True))
+    return x.select("pattern", "trip", "d", "a", "times", F.sum(F.col("cut").cast("bigint")).over(order).alias("piece"), alone.alias("alone"))
+
+
 def lanes(calls: DataFrame, pattern: DataFrame) -> DataFrame:
-    """WIN-9. First-fit lane numbers: (pattern, trip, lane), in each lane no trip overtakes another. Sequential inside a
-    pattern, so by pattern in pandas; patterns without overtaking need none and stay in lane 0 without it."""
-    import pandas as pd
-
-    flagged = overtaking(calls, pattern)
-    odd = flagged.filter("overtakes").select("pattern").distinct()
-    rows = calls.join(pattern, "trip").join(odd, "pattern", "left_semi").select("pattern", "trip", "seq", "arr", "dep")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trip", "seq"])
-        trips = [(g.dep.iloc[0], g.arr.iloc[-1], t, list(g.arr), list(g.dep)) for t, g in pdf.groupby("trip")]
-        ends: list[tuple[list, list]] = []
-        out = []
-        for _, _, t, arr, dep in sorted(trips, key=lambda x: x[:3]):
-            for lane, (a, d) in enumerate(ends):
-                if all(x >= y for x, y in zip(arr, a)) and all(x >= y for x, y in zip(dep, d)):
-                    break
-            else:
-                lane = len(ends)
-                ends.append(([], []))
-            ends[lane] = (arr, dep)
-            out.append((pdf.pattern.iloc[0], t, lane))
-        return pd.DataFrame(out, columns=["pattern", "trip", "lane"])
-
-    fitted = rows.groupBy("pattern").applyInPandas(fit, "pattern string, trip bigint, lane int")
-    calm = flagged.join(odd, "pattern", "left_anti").select("pattern", "trip", F.lit(0).alias("lane"))
-    return calm.unionByName(fitted)
+    """WIN-9. First-fit lane numbers: (pattern, trip, lane), in each lane no trip overtakes another. First fit is sequential, but
+    only inside the pieces of tangles: each begins as if all lanes were empty. The trips of pieces with several stream through
+    sorted tasks, which hold the last times of each lane and no more."""
+    x = tangles(calls, pattern)
+    kinds = f"pattern {x.schema['pattern'].dataType.simpleString()}, trip {x.schema['trip'].dataType.simpleString()}, lane int"
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, np.empty((0, 0), np.int64)
+        for batch in batches:
+            out = []
+            for p, piece, times in zip(*(batch.column(c).to_pylist() for c in ("pattern", "piece", "times")), strict=True):
+                if (p, piece) != key:
+                    key, last = (p, piece), np.empty((0, len(times)), np.int64)
+                fits = (last <= times).all(axis=1)
+                lane = int(fits.argmax()) if fits.any() else len(last)
+                last = np.vstack([last[:lane], [times], last[lane + 1 :]])
+                out.append(lane)
+            yield pa.record_batch([batch.column("pattern"), batch.column("trip"), pa.array(out, pa.int32())], names=["pattern", "trip", "lane"])
+
+    mixed = x.filter("NOT alone").select("pattern", "piece", "d", "a", "trip", "times").repartition("pattern", "piece")
+    fitted = mixed.sortWithinPartitions("pattern", "piece", "d", "a", "trip").mapInArrow(fit, kinds)
+    return x.filter("alone").select("pattern", "trip", F.lit(0).alias("lane")).unionByName(fitted)
 
 
 def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFrame, usable: DataFrame, window: tuple[int, int], latest: int, hours: float) -> DataFrame:

@@ -236,6 +236,38 @@ def win9_overtaking(spark: SparkSession, sf: str) -> DataFrame:
     return jo.overtaking(calls, calls.select("trip", (F.col("trip") % 200).cast("string").alias("pattern")).distinct())
 
 
+_LANES = """
+ends AS (
+    SELECT trip, arg_min(platform, seq) || ':' || string_agg(seq::VARCHAR, ',' ORDER BY seq) AS pattern, arg_min(dep, seq) AS d,
+        arg_max(arr, seq) AS a, flatten(list([dep, arr] ORDER BY seq)) AS times
+    FROM calls GROUP BY trip
+),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY d, a, trip) AS i FROM ends),
+fit AS (
+    SELECT pattern, i, trip, 1 AS lane, [times] AS lanes FROM ordered WHERE i = 1
+    UNION ALL
+    SELECT pattern, i, trip, lane, lanes[:lane - 1] || [times] || lanes[lane + 1:] AS lanes
+    FROM (
+        SELECT o.pattern, o.i, o.trip, o.times, f.lanes, coalesce(
+            list_position(list_transform(f.lanes, lambda l: list_bool_and(list_transform(list_zip(l, o.times), lambda z: z[1] <= z[2]))), true),
+            len(f.lanes) + 1
+        ) AS lane
+        FROM fit f JOIN ordered o ON o.pattern = f.pattern AND o.i = f.i + 1
+    )
+)
+SELECT pattern, trip, (lane - 1)::INT AS lane FROM fit
+"""
+
+
+@query(ad.sql(_LANES).replace("WITH ", "WITH RECURSIVE ", 1))
+def win9_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-9. Patterns: the first platform and the numbers of the calls."""
+    calls = ad.calls(spark, sf)
+    seqs = F.array_join(F.transform(F.sort_array(F.collect_list("seq")), lambda s: s.cast("string")), ",")
+    first = F.min_by("platform", "seq").cast("string")
+    return jo.lanes(calls, calls.groupBy("trip").agg(F.concat(first, F.lit(":"), seqs).alias("pattern")))
+
+
 _REACH = "e AS (SELECT o_custkey AS origin, n_nationkey AS dest, n_name AS name, min(5 + o_orderkey % 90)::INT AS median FROM orders, nation WHERE n_nationkey = o_orderkey % 25 GROUP BY ALL), busy AS (SELECT c_nationkey AS dest, count(*) AS trips FROM customer GROUP BY 1)"
 
 

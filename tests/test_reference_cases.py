@@ -181,6 +181,35 @@ def test_lanes(spark):
     assert {r.trip: r.lane for r in jo.lanes(calls, pattern).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_lanes_of_random_patterns(spark):
+    """Equal to first fit in order, with ties and equal trips; a trip that is clear of all others needs no Python."""
+    r = random.Random(8)
+    trips, where = {}, {}
+    for t in range(300):
+        p = r.choice(["busy", "busy", "few", None])
+        start, times = r.randrange(0, 600, 5 if p == "busy" else 1), []
+        for stop in range(4 if p == "few" else 3):
+            start += r.choice([1, 2, 2, 9])
+            times.append((stop, stop, start, start + r.choice([0, 0, 3])))
+        trips[t], where[t] = times, p
+    calls = spark.createDataFrame(calls_of(trips), CALLS)
+    pattern = spark.createDataFrame(list(where.items()), "trip bigint, pattern string").filter("pattern IS NOT NULL")
+    want = {}
+    for p in ("busy", "few"):
+        last: list[list[int]] = []
+        for t in sorted((t for t in trips if where[t] == p), key=lambda t: (trips[t][0][3], trips[t][-1][2], t)):
+            own = [x for c in trips[t] for x in c[2:]]
+            lane = next((k for k, l in enumerate(last) if all(x <= y for x, y in zip(l, own))), len(last))
+            last[lane : lane + 1] = [own]
+            want[t] = lane
+    assert max(want.values()) > 1
+    assert {x.trip: x.lane for x in jo.lanes(calls, pattern).collect()} == want
+    cut = jo.tangles(calls, pattern).collect()
+    assert 0 < sum(x.alone for x in cut) < len(cut) and all(want[x.trip] == 0 for x in cut if x.alone)
+    assert len({x.piece for x in cut if x.pattern == "busy"}) > 10
+    assert jo.lanes(calls.limit(0), pattern).count() == 0
+
+
 def test_name_scores(spark):
     assert names.osa("houtne", "houten") == 1 and names.osa("utrect", "utrecht") == 1 and names.osa("abc", "cab") == 2
     words = [(["utrecht", "centraal"], ["utrecht", "centraal"], 1150), (["zzz"], ["utrecht"], None), (["utr"], ["utrecht", "centraal"], 240), (["utr", "x"], ["utrecht", "centraal"], None), (["centraal"], ["utrecht", "centraal"], 290), (["utrect"], ["utrecht"], 150), (["hout", "hout"], ["houten", "hout"], 550 - 0), (["abc"], ["abd"], None)]
