@@ -247,6 +247,28 @@ def test_decontamination_recall_towards_the_limit():
     assert sum((d, k) in found for d, k in enumerate(chosen)) >= 0.8 * len(near)  # 0.84; 0.71 with 96 tables of 5 positions
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_decontamination_misses_no_copy_of_a_short_item(rate):
+    """All pairs of text and item by the full matrix: exactly those within the distance come back, with it."""
+    r = random.Random(int(100 * rate))
+    items = []
+    for n in range(decontamination.SEED, decontamination.LONG):
+        t = prose(14, r)[:n].strip()
+        items.append(t + "x" * (n - len(t)))
+    items += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (12, 15, 40, 63)]
+    texts = [f"{prose(5, r)} {edited(t, rate, r)} {prose(5, r)}" for t in items] + [edited(items[30], rate, r), "", items[9][:-1]]
+    plain = [decontamination.normal(t) for t in texts]
+    want = {}
+    for k, t in enumerate(items):
+        for d, text in enumerate(plain):
+            distance = decontamination.edit_distance_within(t, text)[0]
+            if distance <= int(decontamination.MAX_DISTANCE * len(t)):
+                want[d, k] = distance
+    assert len(want) >= len(items) / 2
+    got = decontamination.Index(list(enumerate(items))).matches(texts)
+    assert {(m[0], m[1]): m[4] for m in got} == want and len(got) == len(want)
+
+
 def test_verbatim_items_with_one_seed_or_no_spaces_are_found():
     r = random.Random(12)
     han = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (5, 12, 13, 40, 200)]
