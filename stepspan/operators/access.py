@@ -216,3 +216,23 @@ def unique_slugs(named: DataFrame) -> DataFrame:
     """FN-6. (code, slug): the lower-case code is added where slugs collide."""
     n = F.count("*").over(W.partitionBy("slug"))
     return named.select("code", F.when(n > 1, F.concat_ws("-", "slug", F.lower("code"))).otherwise(F.col("slug")).alias("slug"))
+
+
+def quay_counts(quays: DataFrame, equipment: DataFrame, links: DataFrame) -> DataFrame:
+    """AGG-10. quays: (station, type, parent, step_free); equipment: (station, kind); links: (station), a row each. Per station with
+    quays: main tracks (a sector without a parent stands for a track) in all and by step_free, where what is neither "true" nor
+    "false" is unknown; islands, roots, all quays; lifts, ramps, escalators and path links."""
+    main = (F.col("type") == "track") | (F.col("type") == "sector") & F.col("parent").isNull()
+    free = F.coalesce("step_free", F.lit("unknown"))
+    own = quays.groupBy("station").agg(
+        F.count_if(main).alias("main_tracks"),
+        F.count_if(main & (free == "true")).alias("step_free_true"),
+        F.count_if(main & (free == "false")).alias("step_free_false"),
+        F.count_if(main & ~free.isin("true", "false")).alias("step_free_unknown"),
+        F.count_if(F.col("type") == "island").alias("islands"),
+        F.count_if(F.col("parent").isNull()).alias("roots"),
+        F.count("*").alias("quays"),
+    )
+    kinds = equipment.groupBy("station").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("lift", "ramp", "escalator")])
+    paths = links.groupBy("station").agg(F.count("*").alias("links"))
+    return own.join(kinds, "station", "left").join(paths, "station", "left").fillna(0, ["lifts", "ramps", "escalators", "links"])

@@ -233,3 +233,19 @@ def publish_ticks(ticks: DataFrame, quiet_minutes: int = 10) -> DataFrame:
 
     kinds = ", ".join(f"{c} {ticks.schema[c].dataType.simpleString()}" for c in ("feed", "day", "tick", "digest"))
     return ticks.groupBy("feed", "day").applyInPandas(keep, kinds)
+
+
+def snapshot_statuses(listed: DataFrame) -> DataFrame:
+    """AGG-15. listed: (snapshot, lift, status, ...). snapshot, status, n: entries of each status in a full state; messages,
+    lifts, doubled: all entries, different lifts, and lifts listed more than once."""
+    lifts = listed.groupBy("snapshot", "lift").agg(F.count("*").alias("k"))
+    whole = lifts.groupBy("snapshot").agg(F.sum("k").alias("messages"), F.count("*").alias("lifts"), F.count_if(F.col("k") > 1).alias("doubled"))
+    return listed.groupBy("snapshot", "status").agg(F.count("*").alias("n")).join(whole, "snapshot").select("snapshot", "status", "n", "messages", "lifts", "doubled")
+
+
+def status_combinations(listed: DataFrame) -> DataFrame:
+    """AGG-15. listed: (snapshot, lift, status, end). snapshot, statuses, lifts: how often lifts listed more than once have this
+    combination; a status with a planned end is another than one without."""
+    mark = F.concat("status", F.when(F.col("end").isNotNull(), "+end").otherwise(""))
+    x = listed.groupBy("snapshot", "lift").agg(F.array_sort(F.collect_list(mark)).alias("x")).filter("size(x) > 1")
+    return x.groupBy("snapshot", F.array_join("x", "/").alias("statuses")).agg(F.count("*").alias("lifts"))

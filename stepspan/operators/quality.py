@@ -30,6 +30,8 @@ def unknown_destinations(entries: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def wrong_answers(entries: DataFrame, known: DataFrame) -> DataFrame:
-    """DQ-6. known: (origin, dest, most): pairs that are missing or slower than expected."""
-    x = known.join(entries.select("origin", "dest", "median"), ["origin", "dest"], "left")
-    return x.filter("median IS NULL OR median > most").select("origin", "dest", "most", "median")
+    """DQ-6. known: (origin, dest, p, t, k, most, least): cells that are missing, slower than most minutes in the median, or with
+    less than least departures per hour. entries: (origin, dest, p, t, k, median, per_hour, ...) of one kind of day."""
+    cell = ["origin", "dest", "p", "t", "k"]
+    x = known.join(entries.select(*cell, "median", "per_hour"), cell, "left")
+    return x.filter("median IS NULL OR median > most OR per_hour < least").select(*cell, "most", "least", "median", "per_hour")

@@ -113,11 +113,45 @@ def graph4_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     return access.surfaces(_quays(spark, sf).select("id", "type", "parent"))
 
 
-@query(f"WITH {_QUAYS} SELECT station, count(*) FILTER (type = 'track' OR type = 'sector' AND parent IS NULL) AS main_tracks, count(*) FILTER (type = 'island') AS islands, count(*) FILTER (parent IS NULL) AS roots, count(*) AS quays FROM quays GROUP BY station")
+_QUAY_COUNTS = f"""
+WITH {_QUAYS},
+free AS (SELECT s_suppkey AS id, ['true', 'false', 'partial', NULL][s_suppkey // 3 % 4 + 1] AS step_free FROM supplier),
+main AS (SELECT * FROM quays JOIN free USING (id) WHERE type = 'track' OR type = 'sector' AND parent IS NULL),
+tracks AS (
+    SELECT station, count(*) AS main_tracks, count(*) FILTER (step_free = 'true') AS yes, count(*) FILTER (step_free = 'false') AS no
+    FROM main GROUP BY station
+),
+whole AS (
+    SELECT station, count(*) FILTER (type = 'island') AS islands, count(*) FILTER (parent IS NULL) AS roots, count(*) AS quays
+    FROM quays GROUP BY station
+),
+kinds AS (
+    SELECT p_partkey % 27 AS station, count(*) FILTER (p_size % 4 = 0) AS lifts, count(*) FILTER (p_size % 4 = 1) AS ramps,
+        count(*) FILTER (p_size % 4 = 2) AS escalators
+    FROM part GROUP BY ALL
+),
+paths AS (
+    SELECT s_nationkey AS station, count(*) AS links FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND s_nationkey % 8 <> 3
+    GROUP BY ALL
+)
+SELECT station, coalesce(main_tracks, 0) AS main_tracks, coalesce(yes, 0) AS step_free_true, coalesce(no, 0) AS step_free_false,
+    coalesce(main_tracks - yes - no, 0) AS step_free_unknown, islands, roots, quays, coalesce(lifts, 0) AS lifts,
+    coalesce(ramps, 0) AS ramps, coalesce(escalators, 0) AS escalators, coalesce(links, 0) AS links
+FROM whole LEFT JOIN tracks USING (station) LEFT JOIN kinds USING (station) LEFT JOIN paths USING (station)
+"""
+
+
+@query(_QUAY_COUNTS)
 def agg10_quay_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-10: a sector without a parent stands for a track."""
-    main = (F.col("type") == "track") | (F.col("type") == "sector") & F.col("parent").isNull()
-    return _quays(spark, sf).groupBy("station").agg(F.count_if(main).alias("main_tracks"), F.count_if(F.col("type") == "island").alias("islands"), F.count_if(F.col("parent").isNull()).alias("roots"), F.count("*").alias("quays"))
+    """AGG-10."""
+    k, size = F.col("s_suppkey"), F.col("p_size") % 4
+    words = F.array(F.lit("true"), F.lit("false"), F.lit("partial"), F.lit(None))
+    free = ad.table(spark, sf, "supplier").select(k.alias("id"), F.element_at(words, (F.floor(k / 3) % 4 + 1).cast("int")).alias("step_free"))
+    kind = F.when(size == 0, "lift").when(size == 1, "ramp").when(size == 2, "escalator")
+    equipment = ad.table(spark, sf, "part").select((F.col("p_partkey") % 27).alias("station"), kind.alias("kind"))
+    links = ad.table(spark, sf, "lineitem").filter("l_linenumber = 1").join(ad.table(spark, sf, "supplier"), k == F.col("l_suppkey"))
+    links = links.filter("s_nationkey % 8 <> 3").select(F.col("s_nationkey").alias("station"))
+    return access.quay_counts(_quays(spark, sf).join(free, "id"), equipment, links)
 
 
 @query("WITH refs AS (SELECT DISTINCT l_partkey AS lift, l_suppkey AS quay FROM lineitem), islands AS (SELECT s_suppkey - 1 AS quay, s_suppkey AS track FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT s_suppkey - 2, s_suppkey FROM supplier WHERE s_suppkey % 3 = 2) SELECT lift, string_agg(t::VARCHAR, ',' ORDER BY t) AS tracks FROM (SELECT DISTINCT lift, coalesce(track, r.quay) AS t FROM refs r LEFT JOIN islands i ON i.quay = r.quay) GROUP BY lift")

@@ -104,11 +104,42 @@ def agg18_changes_per_day(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(c, "day", "left").select("day", "messages", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("lifts", F.lit(0)).alias("lifts"))
 
 
-@query(ad.sql("s AS (SELECT id // 100 AS snapshot, lift, string_agg(status, '+' ORDER BY status) AS statuses, count(*) AS n FROM conditions GROUP BY ALL) SELECT snapshot, statuses, count(*) AS lifts FROM s WHERE n > 1 GROUP BY ALL"))
+_LISTED = "listed AS (SELECT id // 100 AS snapshot, lift, status, \"end\" FROM conditions)"
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.conditions(spark, sf).select(F.floor(F.col("id") / 100).alias("snapshot"), "lift", "status", "end")
+
+
+_COMBINATIONS = f"""
+{_LISTED}, s AS (
+    SELECT snapshot, lift, string_agg(status || CASE WHEN "end" IS NULL THEN '' ELSE '+end' END, '/' ORDER BY status || CASE WHEN "end" IS NULL THEN '' ELSE '+end' END) AS statuses, count(*) AS n
+    FROM listed GROUP BY ALL
+)
+SELECT snapshot, statuses, count(*) AS lifts FROM s WHERE n > 1 GROUP BY ALL
+"""
+
+
+@query(ad.sql(_COMBINATIONS))
 def agg15_status_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-15: combinations of statuses of lifts listed more than once in a snapshot."""
-    s = ad.conditions(spark, sf).groupBy(F.floor(F.col("id") / 100).alias("snapshot"), "lift").agg(F.array_sort(F.collect_list("status")).alias("x")).filter("size(x) > 1")
-    return s.groupBy("snapshot", F.array_join("x", "+").alias("statuses")).agg(F.count("*").alias("lifts"))
+    """AGG-15: combinations of statuses, and whether an end is planned, of lifts listed more than once in a snapshot."""
+    return feed.status_combinations(_listed(spark, sf))
+
+
+_STATUS_COUNTS = f"""
+{_LISTED}, d AS (
+    SELECT snapshot, sum(k)::BIGINT AS messages, count(*) AS lifts, count(*) FILTER (k > 1) AS doubled
+    FROM (SELECT snapshot, lift, count(*) AS k FROM listed GROUP BY ALL) GROUP BY snapshot
+)
+SELECT snapshot, status, count(*) AS n, any_value(messages) AS messages, any_value(lifts) AS lifts, any_value(doubled) AS doubled
+FROM listed JOIN d USING (snapshot) GROUP BY snapshot, status
+"""
+
+
+@query(ad.sql(_STATUS_COUNTS))
+def agg15_status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-15: entries of each status per snapshot."""
+    return feed.snapshot_statuses(_listed(spark, sf))
 
 
 _AGES = """

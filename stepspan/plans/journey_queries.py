@@ -324,13 +324,28 @@ def dq4_station_checks(spark: SparkSession, sf: str) -> DataFrame:
     return quality.station_faults(rows).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_REACH}, known AS (SELECT o_custkey AS origin, o_orderkey % 25 AS dest, max(10 + o_orderkey % 50) AS most FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL) SELECT k.origin, k.dest, k.most, median FROM known k LEFT JOIN e ON e.origin = k.origin AND e.dest = k.dest WHERE median IS NULL OR median > most")
+_KNOWN = """
+known AS (
+    SELECT o_custkey AS origin, l_suppkey AS dest, (l_linenumber % 2)::INT AS p, (o_orderkey // 5 % 2)::INT AS t,
+        (l_linenumber % 3)::INT AS k, max(25 + l_partkey % 50) AS most, min((l_partkey % 30) / 10) AS least
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 5 = 0 GROUP BY ALL
+)
+SELECT origin, dest, p, t, k, most, least, median, per_hour
+FROM known LEFT JOIN best USING (origin, dest, p, t, k)
+WHERE median IS NULL OR median > most OR per_hour < least
+"""
+
+
+@query(f"WITH {_BEST}, {_KNOWN}")
 def dq6_known_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ-6 on the cells of AGG-14: by pair, profile, train set and number of changes."""
     from ..operators import quality
 
-    k = F.col("o_orderkey")
-    known = ad.table(spark, sf, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("origin"), (k % 25).alias("dest")).agg(F.max(10 + k % 50).alias("most"))
-    return quality.wrong_answers(_reach(spark, sf), known)
+    k, n, part = F.col("o_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    x = ad.table(spark, sf, "lineitem").join(ad.table(spark, sf, "orders").filter("o_orderkey % 5 = 0"), k == F.col("l_orderkey"))
+    cell = F.col("o_custkey").alias("origin"), F.col("l_suppkey").alias("dest"), (n % 2).cast("int").alias("p"), (F.floor(k / 5) % 2).cast("int").alias("t"), (n % 3).cast("int").alias("k")
+    known = x.groupBy(*cell).agg(F.max(25 + part % 50).alias("most"), F.min((part % 30) / 10).alias("least"))
+    return quality.wrong_answers(jo.never_worse(_entries(spark, sf)), known)
 
 
 _DESTINATIONS = """

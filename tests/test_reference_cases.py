@@ -210,6 +210,27 @@ def test_lanes_of_random_patterns(spark):
     assert jo.lanes(calls.limit(0), pattern).count() == 0
 
 
+def test_known_answers_by_cell(spark):
+    entries = spark.createDataFrame([("A", "B", 1, 0, 0, 13, 4.0), ("A", "B", 1, 0, 1, 13, 1.5), ("A", "C", 0, 1, 0, 40, 4.0)], "origin string, dest string, p int, t int, k int, median int, per_hour double")
+    known = spark.createDataFrame([("A", "B", 1, 0, 0, 13, 4.0), ("A", "B", 1, 0, 1, 20, 2.0), ("A", "C", 0, 1, 0, 35, 2.0), ("A", "C", 0, 0, 0, 99, 0.0)], "origin string, dest string, p int, t int, k int, most int, least double")
+    got = {tuple(r)[:5]: (r.median, r.per_hour) for r in quality.wrong_answers(entries, known).collect()}
+    assert got == {("A", "B", 1, 0, 1): (13, 1.5), ("A", "C", 0, 1, 0): (40, 4.0), ("A", "C", 0, 0, 0): (None, None)}
+
+
+def test_quay_counts_of_a_station_without_equipment(spark):
+    quays = [(1, "track", None, "true"), (1, "track", 9, None), (1, "sector", 5, "true"), (1, "sector", None, "false"), (1, "island", None, "true"), (2, "island", None, None)]
+    quays = spark.createDataFrame(quays, "station int, type string, parent int, step_free string")
+    equipment = spark.createDataFrame([(1, "lift"), (1, "lift"), (1, "ramp"), (3, "lift"), (1, None)], "station int, kind string")
+    got = {r.station: tuple(r)[1:] for r in access.quay_counts(quays, equipment, equipment.filter("kind = 'ramp'").select("station")).collect()}
+    assert got == {1: (3, 1, 1, 1, 1, 3, 5, 2, 1, 0, 1), 2: (0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0)}
+
+
+def test_statuses_of_a_snapshot(spark):
+    listed = spark.createDataFrame([(1, "a", "out", "x"), (1, "a", "available", None), (1, "b", "out", None), (2, "a", "out", None), (2, "a", "out", "x"), (2, None, None, None)], "snapshot int, lift string, status string, end string")
+    assert {tuple(r) for r in feed.snapshot_statuses(listed).collect()} == {(1, "out", 2, 3, 2, 1), (1, "available", 1, 3, 2, 1), (2, "out", 2, 3, 2, 1), (2, None, 1, 3, 2, 1)}
+    assert {tuple(r) for r in feed.status_combinations(listed).collect()} == {(1, "available/out+end", 1), (2, "out/out+end", 1)}
+
+
 def test_name_scores(spark):
     assert names.osa("houtne", "houten") == 1 and names.osa("utrect", "utrecht") == 1 and names.osa("abc", "cab") == 2
     words = [(["utrecht", "centraal"], ["utrecht", "centraal"], 1150), (["zzz"], ["utrecht"], None), (["utr"], ["utrecht", "centraal"], 240), (["utr", "x"], ["utrecht", "centraal"], None), (["centraal"], ["utrecht", "centraal"], 290), (["utrect"], ["utrecht"], 150), (["hout", "hout"], ["houten", "hout"], 550 - 0), (["abc"], ["abd"], None)]
