@@ -237,9 +237,10 @@ def journeys(labels: DataFrame, ends: DataFrame, with_legs: bool = True) -> Data
     return x.drop("at")
 
 
-def summarise(found: DataFrame, hours: float) -> DataFrame:
+def summarise(found: DataFrame, hours: float, marked: DataFrame | None = None) -> DataFrame:
     """AGG-13, WIN-5. Per variant, pair and k: fastest, the lower-median journey with its changes, via and tracks, and the
-    departures per hour."""
+    departures per hour. marked: (variant, trip), trains in a set by their verdict only; then mark is 1 where the median journey
+    takes one of them, else null."""
     keys = ["variant", "origin", "dest", "k"]
     duration, changes = F.col("arr") - F.col("tau"), F.size("legs") - 1
     w, every = W.partitionBy(*keys).orderBy("duration", "changes", F.desc("tau")), W.partitionBy(*keys)
@@ -248,7 +249,11 @@ def summarise(found: DataFrame, hours: float) -> DataFrame:
     x = x.filter("r = floor((n - 1) / 2) + 1")
     via = F.array_join(F.transform(F.slice("legs", F.lit(1), F.greatest(F.size("legs") - 1, F.lit(0))), lambda s: s.alight_station.cast("string")), "|")
     tracks = F.array_join(F.flatten(F.transform("legs", lambda s: F.array(s.board.cast("string"), s.alight.cast("string")))), "|")
-    return x.select(*keys, F.col("duration").alias("median"), "fastest", F.round(F.col("n") / hours, 1).alias("per_hour"), "changes", via.alias("via"), tracks.alias("tracks"))
+    columns = [*keys, F.col("duration").alias("median"), "fastest", F.round(F.col("n") / hours, 1).alias("per_hour"), "changes", via.alias("via"), tracks.alias("tracks")]
+    if marked is None:
+        return x.select(*columns)
+    ridden = x.select(*keys, F.explode("legs.trip").alias("trip")).join(marked.select("variant", "trip").distinct(), ["variant", "trip"])
+    return x.join(ridden.select(*keys, F.lit(1).alias("mark")).distinct(), keys, "left").select(*columns, "mark")
 
 
 def never_worse(entries: DataFrame) -> DataFrame:
@@ -336,16 +341,19 @@ def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFra
     three trains, through trains merged inside each set, summarised, and never worse with more options (AGG-14).
 
     calls: (day_type, trip, seq, station, platform, arr, dep, can_board, can_alight), a trip on one kind of day; sets: (trip, t), t
-    1 for all trains and 0 for the smaller set; rules: (from_trip, to_trip, kind), impossible ones
+    1 for all trains and 0 for the smaller set, and if given marked, true for a train in the set by its verdict only: then "1"
+    ends the payload of an entry whose median journey takes such a train, or a merged one with such a part; rules: (from_trip, to_trip, kind), impossible ones
     barring all changes between the merged trains of the two; changes: (profile, from_platform, to_platform,
     minutes); usable: (profile, platform, station) where one may set out and leave. A merged train has its first trip's name."""
-    both, barred = [], []
+    both, barred, special = [], [], []
     for t in (0, 1):
         own = calls.join(sets.filter(F.col("t") == t).select("trip"), "trip", "left_semi")
         chained = checkpointed(chains(own.select("trip").distinct(), continuations(own, rules)))
         heads = chained.filter("place = 0").select("chain", F.col("trip").alias("head")).join(own.groupBy(F.col("trip").alias("head")).agg(F.min("day_type").alias("day_type")), "head")
         both.append(merged_calls(own.drop("day_type"), chained).join(heads, "chain").withColumn("t", F.lit(t)))
         of = chained.join(heads, "chain").select("trip", "head", "day_type")
+        if "marked" in sets.columns:
+            special.append(of.join(sets.filter((F.col("t") == t) & F.col("marked")).select("trip"), "trip", "left_semi").select("day_type", F.lit(t).alias("t"), F.col("head").alias("trip")).distinct())
         no = rules.filter("kind = 'impossible'").select("from_trip", "to_trip")
         no = no.join(of.select(F.col("trip").alias("from_trip"), F.col("head").alias("a"), "day_type"), "from_trip").join(of.select(F.col("trip").alias("to_trip"), F.col("head").alias("b"), "day_type"), ["to_trip", "day_type"])
         barred.append(no.filter("a <> b").select("day_type", F.lit(t).alias("t"), F.col("a").alias("from_trip"), F.col("b").alias("to_trip")).distinct())
@@ -359,8 +367,9 @@ def matrix(calls: DataFrame, sets: DataFrame, rules: DataFrame, changes: DataFra
     barred = barred[0].unionByName(barred[1]).select("*", profiles).select(name.alias("variant"), "from_trip", "to_trip")
     found = journeys(search(rides, moves, places.select("variant", "platform"), window, latest, 3, barred), places)
     parts = F.split("variant", "[|]")
-    x = summarise(found, hours).select("*", parts[0].alias("day_type"), (parts[1] == "any").cast("int").alias("p"), parts[2].cast("int").alias("t"))
-    x = x.select("origin", "dest", "day_type", "p", "t", (F.col("k") - 1).alias("k"), "median", "changes", "per_hour", "fastest", F.concat_ws(";", "via", "tracks").alias("payload"))
+    marked = checkpointed(special[0].unionByName(special[1]).select("*", profiles).select(name.alias("variant"), "trip")) if special else None
+    x = summarise(found, hours, marked).select("*", parts[0].alias("day_type"), (parts[1] == "any").cast("int").alias("p"), parts[2].cast("int").alias("t"))
+    x = x.select("origin", "dest", "day_type", "p", "t", (F.col("k") - 1).alias("k"), "median", "changes", "per_hour", "fastest", F.concat_ws(";", "via", "tracks", *["mark"] * bool(special)).alias("payload"))
     return never_worse(checkpointed(x))
 
 
@@ -413,9 +422,12 @@ def worse_with_more(entries: DataFrame, value: str) -> DataFrame:
 
 
 def malformed(entries: DataFrame) -> DataFrame:
-    """DQ-3. entries: (k, median, fastest, per_hour, changes, via, tracks as text with bars): rows that break a rule."""
+    """DQ-3. entries: (k, median, fastest, per_hour, changes, via, tracks as text with bars, and perhaps mark, 1 or null): rows that
+    break a rule."""
     def n(c: str) -> Column:
         return F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "[|]")))
 
     good = (F.col("fastest") > 0) & (F.col("fastest") <= F.col("median")) & (F.col("per_hour") > 0) & (F.col("changes") <= F.col("k")) & (n("via") == F.col("changes")) & (n("tracks") == 2 + 2 * F.col("changes"))
+    if "mark" in entries.columns:
+        good = good & (F.col("mark").isNull() | (F.col("mark") == 1))
     return entries.filter(~F.coalesce(good, F.lit(False)))

@@ -41,6 +41,13 @@ def in_train_set(agency: Column, category: Column, train_set: Column, verdict: C
     return F.when(out, False).when(train_set == "all", True).when(verdict.isNotNull(), verdict).when(agency.isin(*own), category.isin(*local)).otherwise(True)
 
 
+def in_only_by_verdict(agency: Column, category: Column, train_set: Column, verdict: Column, excluded_agencies: tuple, excluded_categories: tuple, own: tuple, local: tuple) -> Column:
+    """PRJ-5. Whether a train is in a set that its agency and category alone would keep it out of."""
+    rules = excluded_agencies, excluded_categories, own, local
+    with_it, without = (F.coalesce(in_train_set(agency, category, train_set, v, *rules), F.lit(False)) for v in (verdict, F.lit(None).cast("boolean")))
+    return with_it & ~without
+
+
 def calls_per_station(calls: DataFrame) -> DataFrame:
     """AGG-1: distinct (trip, station)."""
     return calls.select("trip", "station").distinct()

@@ -11,6 +11,7 @@ from ..operators import journeys as jo
 from ..operators import timetable as tt
 from . import adapters as ad
 from .registry import query
+from .timetable_queries import TRAIN_SETS, verdict_of
 
 WINDOW, LATEST = (480, 900), 1100
 
@@ -138,10 +139,12 @@ def agg13_win5_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def route5_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """ROUTE-5, JOIN-12: the whole origin-destination matrix: both kinds of day, both profiles, both train sets, up to three
-    trains, through trains merged, ruled-out connections left out, AGG-14 applied."""
+    trains, through trains merged, ruled-out connections left out, trains in the smaller set by their verdict marked, AGG-14 applied."""
     trips = ad.trips(spark, sf).withColumn("day_type", F.when(F.weekday("date") == 5, "saturday").otherwise("weekday"))
     calls = tt.day_timetable(ad.calls(spark, sf), trips)
-    sets = trips.select("trip", F.lit(1).alias("t")).unionByName(trips.filter("coalesce(agency, '') NOT IN ('MACHINERY') AND trip % 3 > 0").select("trip", F.lit(0).alias("t")))
+    sets = trips.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("train_set", F.when(F.col("t") == 1, "all").otherwise("sprinter"))
+    given = F.col("agency"), F.col("category"), F.col("train_set"), verdict_of(F.col("trip")), *TRAIN_SETS
+    sets = sets.filter(tt.in_train_set(*given)).select("trip", "t", tt.in_only_by_verdict(*given).alias("marked"))
     n = tt.neighbour_calls(calls)
     rules = n.select(F.col("trip").alias("from_trip"), F.col("last_platform").alias("p")).join(n.select(F.col("trip").alias("to_trip"), F.col("first_platform").alias("p")), "p")
     rules = rules.select("from_trip", "to_trip", F.lit("possible").alias("kind")).filter("from_trip < to_trip AND to_trip - from_trip < 50")

@@ -39,12 +39,32 @@ def prj4_service_dates(spark: SparkSession, sf: str) -> DataFrame:
     return tt.service_dates(calendar)
 
 
-@query(ad.sql("SELECT agency, category, s AS train_set, count(*) AS n, count(*) FILTER (CASE WHEN agency IN ('FURNITURE') OR category IN ('5-LOW') THEN false WHEN s = 'all' THEN true WHEN trip % 9 = 0 THEN true WHEN trip % 9 = 1 THEN false WHEN agency IN ('MACHINERY', 'HOUSEHOLD') THEN category IN ('1-URGENT') ELSE true END) AS n_in FROM trips, (VALUES ('all'), ('sprinter')) v(s) GROUP BY ALL"))
+TRAIN_SETS = ("FURNITURE",), ("5-LOW",), ("MACHINERY", "HOUSEHOLD"), ("1-URGENT",)
+
+_TRAIN_SETS = """
+x AS (
+    SELECT agency, category, s AS train_set, coalesce(agency IN ('FURNITURE'), false) OR coalesce(category IN ('5-LOW'), false) AS out,
+        s = 'all' OR coalesce(agency NOT IN ('MACHINERY', 'HOUSEHOLD'), true) OR category IN ('1-URGENT') AS by_category,
+        CASE trip % 9 WHEN 0 THEN true WHEN 1 THEN false END AS verdict
+    FROM trips, (VALUES ('all'), ('sprinter')) v(s)
+)
+SELECT agency, category, train_set, count(*) AS n,
+    count(*) FILTER (NOT out AND CASE WHEN train_set = 'all' THEN true ELSE coalesce(verdict, by_category) END) AS n_in,
+    count(*) FILTER (NOT out AND NOT by_category AND verdict) AS n_by_verdict
+FROM x GROUP BY ALL
+"""
+
+
+def verdict_of(trip):
+    return F.when(trip % 9 == 0, True).when(trip % 9 == 1, False)
+
+
+@query(ad.sql(_TRAIN_SETS))
 def prj5_train_set(spark: SparkSession, sf: str) -> DataFrame:
+    """PRJ-5: members of a set, and those that only their verdict brings in."""
     x = ad.trips(spark, sf).withColumn("train_set", F.explode(F.array(F.lit("all"), F.lit("sprinter"))))
-    verdict = F.when(F.col("trip") % 9 == 0, True).when(F.col("trip") % 9 == 1, False)
-    member = tt.in_train_set(F.col("agency"), F.col("category"), F.col("train_set"), verdict, ("FURNITURE",), ("5-LOW",), ("MACHINERY", "HOUSEHOLD"), ("1-URGENT",))
-    return x.groupBy("agency", "category", "train_set").agg(F.count("*").alias("n"), F.count_if(member).alias("n_in"))
+    given = F.col("agency"), F.col("category"), F.col("train_set"), verdict_of(F.col("trip")), *TRAIN_SETS
+    return x.groupBy("agency", "category", "train_set").agg(F.count("*").alias("n"), F.count_if(tt.in_train_set(*given)).alias("n_in"), F.count_if(tt.in_only_by_verdict(*given)).alias("n_by_verdict"))
 
 
 @query(ad.sql("SELECT station, count(DISTINCT trip) AS trips FROM calls GROUP BY station"))

@@ -609,6 +609,27 @@ def test_matrix_of_all_variants(spark):
             assert ((p, 0, k, 1, 2) in got) == (p == 1)
 
 
+def test_marks_of_trains_in_by_their_verdict(spark):
+    """PRJ-5 to DQ-3: a part marks the whole through train; an entry is marked if its median journey takes one."""
+    rows = [("NS", "IC", True), ("NS", "IC", None), ("NS", "SPR", True), ("NS", "SPR", False), ("X", "IC", True), ("NS", "bus", True), (None, None, True)]
+    x = spark.createDataFrame(rows, "agency string, category string, verdict boolean")
+    for kind, want in (("small", [True] + [False] * 6), ("all", [False] * 7)):
+        mark = tt.in_only_by_verdict(F.col("agency"), F.col("category"), F.lit(kind), F.col("verdict"), ("bad",), ("bus",), ("NS",), ("SPR",))
+        assert [r.m for r in x.select(mark.alias("m")).collect()] == want
+    trips = {1: [(1, 11, 600, 600), (2, 21, 610, 610)], 2: [(2, 21, 612, 612), (4, 41, 630, 630)], 3: [(4, 41, 640, 640), (5, 51, 650, 650)]}
+    calls = spark.createDataFrame(calls_of(trips, "weekday"), CALLS).withColumnRenamed("variant", "day_type")
+    sets = spark.createDataFrame([(t, s, (t, s) == (2, 0)) for t in trips for s in (0, 1)], "trip bigint, t int, marked boolean")
+    rules = spark.createDataFrame([(1, 2, "possible")], "from_trip bigint, to_trip bigint, kind string")
+    changes = spark.createDataFrame([("any", x, x, 5) for x in (11, 21, 41, 51)], "profile string, from_platform bigint, to_platform bigint, minutes int")
+    usable = spark.createDataFrame([("any", x, x // 10) for x in (11, 21, 41, 51)], "profile string, platform bigint, station bigint")
+    got = {(r.t, r.k, r.origin, r.dest): r.payload for r in jo.matrix(calls, sets, rules, changes, usable, (540, 720), 1200, 3.5).filter("p = 1").collect()}
+    assert got[0, 0, 1, 4] == ";11|41;1" and got[0, 1, 1, 5] == "4;11|41|41|51;1" and got[0, 0, 4, 5] == ";41|51"
+    assert got[1, 1, 4, 5] == ";41|51"
+    entry = "k int, median int, fastest int, per_hour double, changes int, via string, tracks string, mark int"
+    entries = spark.createDataFrame([(0, 9, 9, 1.0, 0, "", "1|2", 1), (0, 9, 9, 1.0, 0, "", "1|2", None), (0, 9, 9, 1.0, 0, "", "1|2", 0)], entry)
+    assert [r.mark for r in jo.malformed(entries).collect()] == [0]
+
+
 def test_ruled_out_connections_of_merged_trains(spark):
     """JOIN-12 in ROUTE-5: a rule about a part of a through train holds for the whole of it, in each set for itself."""
     trips = {1: [(1, 11, 600, 600), (2, 21, 610, 610)], 2: [(2, 22, 620, 620), (4, 41, 630, 630)], 3: [(4, 41, 632, 632), (5, 51, 640, 640)], 4: [(2, 22, 640, 640), (4, 41, 650, 650)]}
