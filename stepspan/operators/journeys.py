@@ -48,15 +48,22 @@ def change_minutes(platforms: DataFrame, defaults: DataFrame, allowed: DataFrame
     return x.select("profile", "station", "from_platform", "to_platform", (base + F.when(F.col("profile") == "any", 0).otherwise(pram_extra)).cast("int").alias("minutes"))
 
 
-def continuations(calls: DataFrame, rules: DataFrame, longest: int = 5) -> DataFrame:
+def continuations(calls: DataFrame, rules: DataFrame | None = None, longest: int = 5) -> DataFrame:
     """ROUTE-1. (from_trip, to_trip): A ends where B starts, same platform, 0 to longest minutes later, the rule allows it, B
-    does not go back to A's station before; an A with several such rows has none."""
+    does not go back to A's station before; an A with several such rows has none. Without rules every pair is allowed; then
+    ends meet starts by platform and slice of time, so pairs further apart are never made."""
     from .timetable import neighbour_calls
 
     n = neighbour_calls(calls).filter("n_calls >= 2")
     a = n.select(F.col("trip").alias("from_trip"), "last_station", "last_platform", "last_arr", "before_last_station")
     b = n.select(F.col("trip").alias("to_trip"), "first_station", "first_platform", "first_dep", "second_station")
-    x = rules.filter(F.col("kind").isin("possible", "guaranteed")).select("from_trip", "to_trip").join(a, "from_trip").join(b, "to_trip")
+    if rules is None:
+        slice_of = lambda c: F.floor(F.col(c) / (longest + 1))
+        a = a.withColumn("slice", F.explode(F.array(slice_of("last_arr"), slice_of("last_arr") + 1)))
+        b = b.withColumn("slice", slice_of("first_dep"))
+        x = a.join(b, (a["last_platform"] == b["first_platform"]) & (a["slice"] == b["slice"])).filter("from_trip <> to_trip")
+    else:
+        x = rules.filter(F.col("kind").isin("possible", "guaranteed")).select("from_trip", "to_trip").join(a, "from_trip").join(b, "to_trip")
     x = x.filter((F.col("last_station") == F.col("first_station")) & (F.col("last_platform") == F.col("first_platform")) & (F.col("first_dep") - F.col("last_arr")).between(0, longest) & (F.col("second_station") != F.col("before_last_station")))
     one = F.count("*").over(W.partitionBy("from_trip"))
     return x.select("from_trip", "to_trip", one.alias("n")).filter("n = 1").select("from_trip", "to_trip")
