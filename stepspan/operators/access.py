@@ -123,11 +123,15 @@ def platform_status(used: DataFrame, matched: DataFrame, stations: DataFrame) ->
 
 def corrected(tracks: DataFrame, corrections: DataFrame) -> DataFrame:
     """JOIN-19. tracks: (station, track, status); corrections: (station, track or null, status, line). A later line wins; a
-    null track stands for all of the station."""
-    one = corrections.filter("track IS NOT NULL").select("station", "track", "status", "line")
-    every = corrections.filter("track IS NULL").select("station", "status", "line").join(tracks.select("station", "track"), "station").select("station", "track", "status", "line")
-    last = one.unionByName(every).groupBy("station", "track").agg(F.max_by("status", "line").alias("new"), F.count("*").alias("notes"))
-    return tracks.join(last, ["station", "track"], "left").select("station", "track", F.coalesce("new", "status").alias("status"), F.when(F.col("new").isNotNull(), "correction").otherwise("source").alias("origin"), F.coalesce("notes", F.lit(0)).alias("notes"))
+    null track stands for all of the station. Corrections are summed up by track and by station first, so a station's
+    corrections never meet all of its tracks."""
+    last = F.max(F.struct("line", F.col("status").alias("new"))).alias("x"), F.count("*").alias("n")
+    one = corrections.filter("track IS NOT NULL").groupBy("station", "track").agg(*last).select("station", "track", F.col("x").alias("one"), F.col("n").alias("n_one"))
+    every = corrections.filter("track IS NULL").groupBy("station").agg(*last).select("station", F.col("x").alias("every"), F.col("n").alias("n_every"))
+    x = tracks.join(one, ["station", "track"], "left").join(every, "station", "left").withColumn("new", F.greatest("one", "every")["new"])
+    origin = F.when(F.col("new").isNotNull(), "correction").otherwise("source")
+    notes = F.coalesce("n_one", F.lit(0)) + F.coalesce("n_every", F.lit(0))
+    return x.select("station", "track", F.coalesce("new", "status").alias("status"), origin.alias("origin"), notes.cast("bigint").alias("notes"))
 
 
 def bad_corrections(tracks: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -24,3 +24,19 @@ def test_continuations_without_rules_are_those_of_all_pairs(spark):
     every = every.filter("from_trip <> to_trip").withColumn("kind", F.lit("possible"))
     want = {tuple(x) for x in jo.continuations(calls, every).collect()}
     assert {tuple(x) for x in jo.continuations(calls).collect()} == want and len(want) > 10
+
+
+def test_corrections_meet_no_tracks_before_they_are_summed_up(spark):
+    r = random.Random(4)
+    tracks = [(s, t, r.choice(["yes", "no"])) for s in range(4) for t in range(6)]
+    fixes = [(r.randrange(5), r.choice([None, *range(7)]), r.choice(["yes", "no", "maybe", None]), line) for line in range(30)]
+    got = access.corrected(spark.createDataFrame(tracks, "station int, track int, status string"), spark.createDataFrame(fixes, "station int, track int, status string, line int"))
+    want = set()
+    for s, t, status in tracks:
+        hits = [(line, new) for a, b, new, line in fixes if a == s and b in (None, t)]
+        new = max((h for h in hits), default=(0, None))[1]
+        want.add((s, t, new or status, "correction" if new else "source", len(hits)))
+    plan = logical(got)
+    first = next(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert not any("Join" in line for line in plan[first:])
+    assert {tuple(x) for x in got.collect()} == want
