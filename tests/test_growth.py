@@ -40,3 +40,34 @@ def test_corrections_meet_no_tracks_before_they_are_summed_up(spark):
     first = next(i for i, line in enumerate(plan) if "Aggregate" in line)
     assert not any("Join" in line for line in plan[first:])
     assert {tuple(x) for x in got.collect()} == want
+
+
+def test_journeys_by_hubs_are_those_of_all_pairs_of_platforms(spark):
+    """Random trains between stations with several surfaces, a default of one minute, quick connections and barred trains."""
+    r = random.Random(11)
+    places = [(s, s * 10 + i, s * 10 + i // 2, i != 1) for s in range(4) for i in range(4)]
+    platforms = spark.createDataFrame(places, "station bigint, platform bigint, surface bigint, step_free boolean")
+    defaults = spark.createDataFrame([(0, 5), (1, 4), (2, 1)], "station bigint, minutes int")
+    allowed = [(s, s * 10 + r.randrange(4), s * 10 + r.randrange(4), r.randrange(3)) for s in range(4) for _ in range(3)]
+    allowed = spark.createDataFrame(sorted({x[:3]: x for x in allowed}.values()), "station bigint, from_platform bigint, to_platform bigint, allowed int")
+    rows = []
+    for t in range(60):
+        at, last = r.randrange(540, 640), None
+        for k in range(3):
+            s = r.choice([x for x in range(4) if x != last])
+            last, at = s, at + r.randrange(2, 9)
+            rows += [(v, t, k, s, s * 10 + r.randrange(4), at, at + 1, k < 2, k > 0) for v in ("any",)]
+    calls = spark.createDataFrame(rows, "variant string, trip bigint, seq int, station bigint, platform bigint, arr int, dep int, can_board boolean, can_alight boolean")
+    calls = calls.unionByName(calls.withColumn("variant", F.lit("stroller")))
+    usable = platforms.select("station", "platform", "step_free", F.explode(F.array(F.lit("any"), F.lit("stroller"))).alias("variant")).filter("variant = 'any' OR step_free").select("variant", "platform", "station")
+    hubs, few = (x.withColumnRenamed("profile", "variant") for x in jo.change_hubs(platforms, defaults, allowed))
+    pairs = jo.change_minutes(platforms, defaults, allowed).withColumnRenamed("profile", "variant").drop("station")
+    spelt = hubs.alias("a").join(hubs.alias("b"), ["variant", "hub"]).select("variant", F.col("a.platform").alias("from_platform"), F.col("b.platform").alias("to_platform"), F.col("a.minutes").alias("minutes"))
+    least = spelt.unionByName(few).groupBy("variant", "from_platform", "to_platform").agg(F.min("minutes").cast("int").alias("minutes"))
+    assert sorted(map(tuple, least.collect())) == sorted(map(tuple, pairs.select(*least.columns).collect()))
+    bars = spark.createDataFrame([(t, t + 7) for t in range(50)], "from_trip bigint, to_trip bigint")
+    found = []
+    for changes, more in ((pairs, {}), (few, {"hubs": hubs, "ends": usable})):
+        labels = jo.search(calls, changes, usable.select("variant", "platform"), (540, 660), 700, 2, bars, **more)
+        found.append(sorted(tuple(x) for x in jo.journeys(labels, usable, with_legs=False).collect()))
+    assert found[0] == found[1] and len(found[0]) > 50
