@@ -128,12 +128,13 @@ def merged_calls(calls: DataFrame, chained: DataFrame) -> DataFrame:
 
 def next_departure(ready: DataFrame, departures: DataFrame, keys: list[str]) -> DataFrame:
     """JOIN-13. ready: (id, keys, at); departures: (keys, dep, trip). The first departure at or after each time, as-of
-    forward: both in one order, and the next departure from each row on (of several at one minute the least trip)."""
+    forward: both in falling order, and the last departure up to each row (of several at one minute the least trip). A frame
+    that ends at the row runs along; one that begins there would be read anew for each row."""
     least = departures.groupBy(*keys, "dep").agg(F.min("trip").alias("trip"))
     a = ready.select("id", *keys, F.col("at").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("struct<dep:int,trip:bigint>").alias("x"))
     b = least.select(F.lit(None).cast(ready.schema["id"].dataType).alias("id"), *keys, F.col("dep").alias("t"), F.lit(1).alias("kind"), F.struct(F.col("dep").cast("int").alias("dep"), F.col("trip").cast("bigint").alias("trip")).alias("x"))
-    w = W.partitionBy(*keys).orderBy("t", "kind").rowsBetween(0, W.unboundedFollowing)
-    both = a.unionByName(b).withColumn("n", F.first("x", ignorenulls=True).over(w)).filter("kind = 0")
+    w = W.partitionBy(*keys).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("n", F.last("x", ignorenulls=True).over(w)).filter("kind = 0")
     return both.select("id", *keys, F.col("t").alias("at"), "n.dep", "n.trip")
 
 

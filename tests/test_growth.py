@@ -71,3 +71,11 @@ def test_journeys_by_hubs_are_those_of_all_pairs_of_platforms(spark):
         labels = jo.search(calls, changes, usable.select("variant", "platform"), (540, 660), 700, 2, bars, **more)
         found.append(sorted(tuple(x) for x in jo.journeys(labels, usable, with_legs=False).collect()))
     assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_next_departure_reads_no_frame_anew(spark):
+    ready = spark.createDataFrame([(1, 7, 600), (2, 7, 601), (3, 7, 700), (4, 8, 600)], "id bigint, platform bigint, at int")
+    departures = spark.createDataFrame([(7, 600, 5), (7, 600, 4), (7, 650, 6)], "platform bigint, dep int, trip bigint")
+    got = jo.next_departure(ready, departures, ["platform"])
+    assert {x.id: (x.dep, x.trip) for x in got.collect()} == {1: (600, 4), 2: (650, 6), 3: (None, None), 4: (None, None)}
+    assert not any("unboundedfollowing" in line for line in logical(got))
