@@ -44,7 +44,11 @@ def change_minutes(platforms: DataFrame, defaults: DataFrame, allowed: DataFrame
     connection; the pram takes pram_extra more and leaves out pairs between surfaces with a platform that is not step-free."""
     a = platforms.select("station", F.col("platform").alias("from_platform"), F.col("surface").alias("fs"), F.col("step_free").alias("ff"))
     b = platforms.select("station", F.col("platform").alias("to_platform"), F.col("surface").alias("ts"), F.col("step_free").alias("tf"))
-    x = a.join(b, "station").join(defaults, "station", "left").join(allowed, ["station", "from_platform", "to_platform"], "left")
+    # a platform takes its shortest connections along, so that the pairs, which are the result, are not shuffled
+    least = allowed.groupBy("station", "from_platform", "to_platform").agg(F.min("allowed").alias("allowed"))
+    least = least.groupBy("station", "from_platform").agg(F.map_from_entries(F.collect_list(F.struct("to_platform", "allowed"))).alias("least"))
+    a = a.join(least, ["station", "from_platform"], "left").join(defaults, "station", "left")
+    x = a.join(b, "station").withColumn("allowed", F.try_element_at("least", F.col("to_platform")))
     plain = F.when(F.col("minutes") > 0, F.col("minutes")).otherwise(same_surface)
     base = F.least(F.when(F.col("fs") == F.col("ts"), same_surface).otherwise(plain), F.col("allowed"))
     x = x.withColumn("profile", F.explode(F.array(F.lit("any"), F.lit("stroller"))))
