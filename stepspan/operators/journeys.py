@@ -533,18 +533,26 @@ def compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return x.select("origin", "dest", "a", "b", F.coalesce(F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(5.0), F.col("b") * 0.1), F.lit(False)).alias("ok"))
 
 
+def with_one_more(entries: DataFrame, value: str) -> DataFrame:
+    """entries: (origin, dest, day_type, p, t, k, value). origin, dest, day_type, p, t, k, along, less, more: each cell with one
+    option more along k, p and t, the value there (null if missing) and with the option fewer. A pair's entries, twelve at
+    most, are gathered by one shuffle."""
+    pair = ["origin", "dest", "day_type"]
+    x = entries.groupBy(*pair).agg(F.collect_list(F.struct("p", "t", "k", F.col(value).alias("value"))).alias("own"))
+    known = F.lit(True)
+    for c in pair:
+        known = known & F.col(c).isNotNull()
+    x = x.withColumn("known", known).select(*pair, "own", "known", F.explode("own").alias("e"))
+    cells = [F.struct(*[(F.col(f"e.{c}") + int(c == along)).alias(c) for c in ("p", "t", "k")], F.lit(along).alias("along"), (F.col(f"e.{along}") < (2 if along == "k" else 1)).alias("fits")) for along in ("k", "p", "t")]
+    x = x.select(*pair, "own", "known", F.col("e.value").alias("less"), F.explode(F.array(*cells)).alias("c")).filter("c.fits")
+    there = F.filter("own", lambda o: F.col("known") & (o["p"] == F.col("c.p")) & (o["t"] == F.col("c.t")) & (o["k"] == F.col("c.k")))
+    return x.select(*pair, "c.p", "c.t", "c.k", "c.along", "less", F.explode_outer(there).alias("m")).select(*pair, "p", "t", "k", "along", "less", F.col("m.value").alias("more"))
+
+
 def worse_with_more(entries: DataFrame, value: str) -> DataFrame:
     """DQ-1, DQ-2, SET-4. entries: (origin, dest, day_type, p, t, k, value). Cells that are worse than, or missing against, the
     cell with one option fewer along k, p or t."""
-    pair = ["origin", "dest", "day_type"]
-    out = None
-    for along in ("k", "p", "t"):
-        top = 2 if along == "k" else 1
-        less = entries.filter(F.col(along) < top).select(*pair, *[(F.col(c) + 1).alias(c) if c == along else F.col(c) for c in ("p", "t", "k")], F.col(value).alias("less"))
-        x = less.join(entries.select(*pair, "p", "t", "k", F.col(value).alias("more")), [*pair, "p", "t", "k"], "left")
-        x = x.filter(F.col("more").isNull() | (F.col("more") > F.col("less"))).select(*pair, "p", "t", "k", F.lit(along).alias("along"), "less", "more")
-        out = x if out is None else out.unionByName(x)
-    return out
+    return with_one_more(entries, value).filter(F.col("more").isNull() | (F.col("more") > F.col("less")))
 
 
 def malformed(entries: DataFrame) -> DataFrame:

@@ -79,3 +79,19 @@ def test_next_departure_reads_no_frame_anew(spark):
     got = jo.next_departure(ready, departures, ["platform"])
     assert {x.id: (x.dep, x.trip) for x in got.collect()} == {1: (600, 4), 2: (650, 6), 3: (None, None), 4: (None, None)}
     assert not any("unboundedfollowing" in line for line in logical(got))
+
+
+def test_cells_are_compared_in_one_shuffle(spark):
+    r = random.Random(5)
+    rows = [(o, 1, "all", p, t, k, r.randrange(20)) for o in (1, 2, None) for p in (0, 1) for t in (0, 1) for k in (0, 1, 2) if r.random() < 0.7]
+    entries = spark.createDataFrame(rows, "origin int, dest int, day_type string, p int, t int, k int, median int")
+    have = {x[:6]: x[6] for x in rows}
+    want = set()
+    for (o, d, day, p, t, k), less in have.items():
+        for along, cell in (("k", (p, t, k + 1)), ("p", (p + 1, t, k)), ("t", (p, t + 1, k))):
+            more = have.get((o, d, day, *cell)) if o is not None else None
+            if cell[0] < 2 and cell[1] < 2 and cell[2] < 3 and (more is None or more > less):
+                want.add((o, d, day, *cell, along, less, more))
+    got = jo.worse_with_more(entries, "median")
+    assert {tuple(x) for x in got.collect()} == want
+    assert not any("Join" in line for line in logical(got))
