@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stepspan.operators import access, feed
 from stepspan.operators import journeys as jo
+from stepspan.sources import files, schemas
 
 
 def logical(df) -> list[str]:
@@ -95,3 +96,17 @@ def test_cells_are_compared_in_one_shuffle(spark):
     got = jo.worse_with_more(entries, "median")
     assert {tuple(x) for x in got.collect()} == want
     assert not any("Join" in line for line in logical(got))
+
+
+def test_messages_are_parsed_once(spark):
+    """Of good messages, of the quarantine and of both together; what is asked of the parsed body parses nothing again."""
+    one = "<FacilityCondition><FacilityRef>L:{}</FacilityRef><FacilityStatus><Status>unknown</Status></FacilityStatus></FacilityCondition>"
+    bodies = [("a", one.format(1) + one.format(2)), ("b", one.format(3)), ("c", None)]
+    rows = [(i, None if x is None else bytearray(f"<Siri>{x}</Siri>".encode())) for i, x in bodies] + [("d", bytearray(b"no message"))]
+    messages = spark.createDataFrame(rows, "id string, body binary").withColumn("received", F.lit(0).cast("timestamp"))
+    good, bad = files.parsed_messages(messages, schemas.FACILITY_MESSAGE)
+    found = files.lift_conditions(good, "L:", "id")
+    assert sorted((x.id, x.size, x.lift, x.status) for x in found.collect()) == [("a", 2, "1", "unknown"), ("a", 2, "2", "unknown"), ("b", 1, "3", "unknown")]
+    assert sorted((x.id, x.bytes, x.reason) for x in bad.collect()) == [("c", None, "not readable"), ("d", 10, "no known element")]
+    for df in (found, bad, files.checked_messages(messages, schemas.FACILITY_MESSAGE), files.lift_messages(messages, "L:")):
+        assert sum(line.lower().count("from_xml(") + line.lower().count("xmltostructs(") for line in logical(df)) == 1
