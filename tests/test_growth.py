@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepspan.operators import access, feed
 from stepspan.operators import journeys as jo
 from stepspan.sources import files, schemas
+from stepspan.streaming import feeds, live
 
 
 def logical(df) -> list[str]:
@@ -110,3 +111,16 @@ def test_messages_are_parsed_once(spark):
     assert sorted((x.id, x.bytes, x.reason) for x in bad.collect()) == [("c", None, "not readable"), ("d", 10, "no known element")]
     for df in (found, bad, files.checked_messages(messages, schemas.FACILITY_MESSAGE), files.lift_messages(messages, "L:")):
         assert sum(line.lower().count("from_xml(") + line.lower().count("xmltostructs(") for line in logical(df)) == 1
+
+
+def test_live_status_takes_two_cells_a_message_and_late_ones(spark, tmp_path):
+    for k, (lift, status, at) in enumerate(((1, "available", 10), (2, "available", 50_000), (2, "available", 50_001), (1, "notAvailable", 20), (2, "available", 50_002))):
+        spark.createDataFrame([(k, lift, status, at)], "id bigint, lift bigint, status string, t bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint, lift bigint, status string, t bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    at = F.timestamp_seconds("t")
+    stream = stream.select("id", "lift", "status", at.alias("start"), F.lit(None).cast("timestamp").alias("end"), at.alias("received"))
+    told = live.live_status(stream)
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert "message#" in plan and "received_us#" not in plan
+    got = {(x.lift, x.at_us // 1_000_000, x.shown) for x in feeds.run_available(told, "append", live.ROCKSDB).collect()}
+    assert got == {(1, 10, None), (2, 50_000, None), (1, 20, "notAvailable")}
