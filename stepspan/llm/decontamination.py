@@ -7,13 +7,15 @@ the embedding (over WALKS walks) are the keys of locality-sensitive hash tables
 item is a candidate; the exact edit distance of the item to its best place near the window decides (MAX_DISTANCE of the
 item's length).
 
-Before the walk, windows without MIN_SEEDS of the SEED-character pieces at such places that occur in items of the class are
-left out, which spares nearly all of a clean corpus the walk; candidates without MIN_SEEDS pieces of their own item go too
-(one piece is enough for an item that has only one). Together,
-tables and seeds find all exact copies, and of copies with 10 % edits 1.00, 13 % 0.95, 15 % 0.93, 18 % 0.81, 20 % 0.70
-(200 random copies each of sf0.01 items).
-
-Items of SEED to LONG - 1 characters leave the walk too little to tell: they are found without it, and without a miss. Of d + 1
+The tables alone miss copies near the limit, so pieces complete them, without a miss. An item of LONG or more characters is
+cut into d // 2 + 1 pieces, of 9 characters or more: of a copy with d edits at most one piece has one edit at most. All
+places of the text that hold the first PIECE characters of a piece, up to one edit, are found by hashes of what is left without one character.
+A place stays if the two, then the six pieces around it have 3 and 11 edits at most, as they have for one piece of every
+copy (of two parts with fewer than twice as many edits as pieces one has so too), and if the least edits of all parts of six
+pieces, wherever they may lie, come to d at most. Only windows near such places are walked; what the
+walk does not find is a candidate all the same.
+
+Items of SEED to LONG - 1 characters leave the walk too little to tell: they are found without it. Of d + 1
 pieces of an item one is whole in any copy with d edits, so each place of the text that holds a piece is looked at, first
 by bit vectors over folded characters for many places at once (never above the true distance), then as all candidates.
 
@@ -37,15 +39,17 @@ from .common import small_batches
 
 MAX_DISTANCE = 0.2
 WALKS, TABLES, SAMPLED = 6, 192, 4
-SEED, MIN_SEEDS = 12, 2
+SEED, PIECE = 12, 9
 LONG = 64
 BLOCK = 20_000
 #: Windows walked together.
 TOGETHER = 8192
-#: Places of text, and pairs of a place and an item, looked at together.
-PLACES = 1 << 18
+#: Places of text, and pairs of a place and an item, looked at together; places hashed together.
+PLACES, HASHED = 1 << 18, 1 << 17
 
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
+_WEIGHTS = np.random.default_rng(4).integers(0, 2**32, PIECE, dtype=np.uint32) | np.uint32(1)
+_SPREAD = np.uint32(0x9E3779B1)
 
 
 #: Punctuation and symbols, by code; characters of scripts without spaces.
@@ -134,18 +138,164 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+class Bits:
+    """Patterns of under LONG characters as bit vectors over so many classes of folded characters (a power of two, 256 at most)."""
+
+    def __init__(self, patterns: list[np.ndarray], most: list[int], classes: int = 256) -> None:
+        self.size, self.most = np.array([len(p) for p in patterns], np.int64), np.array(most, np.int64)
+        self.classes = np.uint8(classes - 1)
+        self.masks = np.zeros((len(patterns), classes), np.uint64)
+        for row, p in enumerate(patterns):
+            np.bitwise_or.at(self.masks[row], folded(p) & self.classes, np.uint64(1) << np.arange(len(p), dtype=np.uint64))
+
+    def within(self, small: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether the pattern of row may be within its distance of a part of the text around start."""
+        most = self.most[row]
+        return self.least(small, start, row, most) <= most
+
+    def least(self, small: np.ndarray, start: np.ndarray, row: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """The least distance of the pattern of row to a part of the text that begins within reach of start (Myers' bit vectors, one
+        word a pattern); characters that fold alike count as equal."""
+        size, one = self.size[row], np.uint64(1)
+        full, top = (one << size.astype(np.uint64)) - one, one << (size - 1).astype(np.uint64)
+        pv, mv, score, best = full.copy(), np.zeros(len(row), np.uint64), size.copy(), size.copy()
+        masks, base, first = self.masks.ravel(), row * self.masks.shape[1], start - reach
+        for i in range(int((size + 2 * reach).max(initial=0))):
+            eq = masks.take(base + (small.take(first + i, mode="clip") & self.classes))
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv) & full
+            mh = pv & xh
+            score += ((ph & top) > 0).astype(np.int64) - ((mh & top) > 0)
+            ph, mh = ph << one & full, mh << one & full
+            pv, mv = mh | ~(xv | ph) & full, ph & xv
+            np.minimum(best, score, out=best)
+        return best
+
+
+def _table(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint32]:
+    """Hashes in order, their rows, and which of their first bits occur."""
+    h = h * _SPREAD
+    order = np.argsort(h, kind="stable")
+    bits = min(max(16, len(h).bit_length() + 6), 26)
+    shift = np.uint32(32 - bits)
+    bitmap = np.zeros(1 << bits, bool)
+    bitmap[h >> shift] = True
+    return h[order], row[order], bitmap, shift
+
+
+class LongItems:
+    """Items of LONG or more characters, by pieces of which one has one edit at most. items: (number, normal text)."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        number, offset, first, nodes, item = [], [], [], ([], []), []
+        self.most, self.nodes = np.array([int(MAX_DISTANCE * len(t)) for _, t in items], np.int64), np.zeros(len(items) + 1, np.int64)
+        for i, (k, t) in enumerate(items):
+            codes = codes_of(t)
+            n = int(MAX_DISTANCE * len(t)) // 2 + 1
+            cuts = np.linspace(0, len(t), n + 1).astype(np.int64)
+            for j, at in enumerate(cuts[:-1]):
+                number.append(k), offset.append(at), first.append(codes[at : at + PIECE]), item.append(i)
+            for level, wide in zip(nodes, (2, 6), strict=True):
+                for j in range(0, n, wide):
+                    end = min(j + wide, n)
+                    level += [(codes[cuts[j] : cuts[end]], 2 * (end - j) - 1, int(cuts[j]), end - j)]
+            self.nodes[i + 1] = len(nodes[1])
+        self.item, self.at = np.array(item, np.int64), np.array([x[2] for x in nodes[1]], np.int64)
+        self.number, self.offset = np.array(number, np.int64), np.array(offset, np.int64)
+        self.levels = []
+        for level in nodes:
+            of_piece = np.repeat(np.arange(len(level)), [x[3] for x in level])
+            ahead = self.offset - np.array([x[2] for x in level], np.int64)[of_piece] if level else self.offset
+            self.levels.append((of_piece, ahead, Bits([x[0] for x in level], [x[1] for x in level], 32)))
+        x, rows = np.array(first, np.uint32).reshape(-1, PIECE), np.arange(len(number))
+        h = (x * _WEIGHTS).sum(1, dtype=np.uint32)
+        # what is left of a piece without one of its characters (without the last: as with another last one, below)
+        less = [(np.delete(x, i, 1) * _WEIGHTS[:-1]).sum(1, dtype=np.uint32) for i in range(PIECE - 1)]
+        self.less = _table(np.concatenate(less), np.tile(rows, PIECE - 1))
+        self.other = [None] + [_table(h - x[:, i] * _WEIGHTS[i], rows) for i in range(1, PIECE)]
+        self.whole = _table(h, rows)
+
+    def _hashed(self, codes: np.ndarray, begin: int, end: int) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Tables, and the hashes to look up in them, of the places begin to end."""
+        x = [codes[begin + j : end + j] for j in range(PIECE + 1)]
+        weighed = [x[j] * _WEIGHTS[j] for j in range(PIECE)]
+        h = np.zeros(end - begin, np.uint32)
+        for part in weighed[:-1]:
+            h += part
+        yield self.less, h  # a character is missing
+        h = h + weighed[-1]
+        for i in range(1, PIECE):  # none, or one is another (the first: as if it were missing, one place on)
+            yield self.other[i], h - weighed[i]
+        h = np.zeros(end - begin, np.uint32)
+        for j in range(PIECE):
+            h += x[j + 1] * _WEIGHTS[j]
+        for i in range(1, PIECE):  # one is too many
+            h = h + (x[i - 1] - x[i]) * _WEIGHTS[i - 1]
+            yield self.whole, h
+
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As ShortItems.candidates."""
+        if not len(self.number):
+            return
+        small, last, kept, spans, held = folded(codes), len(codes) - SEED, [], [], 0
+        for begin in range(0, last, HASHED):
+            for (known, rows, bitmap, shift), h in self._hashed(codes, begin, min(begin + HASHED, last)):
+                h = h * _SPREAD
+                at = np.flatnonzero(bitmap.take(h >> shift))
+                h = h[at]
+                left = np.searchsorted(known, h)
+                met = known.take(left, mode="clip") == h
+                at, left = at[met] + begin, left[met]
+                done = np.concatenate([[0], np.cumsum(np.searchsorted(known, h[met], "right") - left)])
+                for i in range(0, int(done[-1]), PLACES):
+                    pair = np.arange(i, min(i + PLACES, int(done[-1])))
+                    where = np.searchsorted(done, pair, "right") - 1
+                    spans.append(at[where] * len(self.number) + rows[left[where] + pair - done[where]])
+                    held += len(pair)
+                    if held >= PLACES:
+                        kept += self._kept(small, spans)
+                        spans, held = [], 0
+            if held >= HASHED:
+                kept += self._kept(small, spans)
+                spans, held = [], 0
+        if spans:
+            kept += self._kept(small, spans)
+        for place, row in kept:
+            near = self._sums(small, place - self.offset[row], self.item[row])
+            place, row = place[near], row[near]
+            yield place, place - self.offset[row], self.number[row]
+
+    def _sums(self, small: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the least distances of the parts of an item near where it would start come to its number of edits at most."""
+        n = self.nodes[item + 1] - self.nodes[item]
+        pair = np.repeat(np.arange(len(item)), n)
+        node = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.nodes[item][pair]
+        least = self.levels[1][2].least(small, start[pair] + self.at[node], node, self.most[item][pair])
+        return np.bincount(pair, least, len(item)) <= self.most[item]
+
+    def _kept(self, small: np.ndarray, spans: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of places and pieces (one number for both) those whose neighbours fit."""
+        every = np.unique(np.concatenate(spans))
+        for i in range(0, len(every), PLACES):
+            place, row = np.divmod(every[i : i + PLACES], len(self.number))
+            for of_piece, ahead, bits in self.levels if len(row) else ():
+                near = bits.within(small, place - ahead[row], of_piece[row])
+                place, row = place[near], row[near]
+            if len(row):
+                yield place, row
+
+
 class ShortItems:
     """Items under LONG characters, by their pieces. items: (number, normal text)."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.numbers = np.array([k for k, _ in items], np.int64)
-        self.size = np.array([len(t) for _, t in items], np.int64)
         self.most = np.array([int(MAX_DISTANCE * len(t)) for _, t in items], np.int64)
-        self.masks = np.zeros((len(items), 256), np.uint64)
+        self.bits = Bits([codes_of(t) for _, t in items], self.most.tolist())
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for row, (_, t) in enumerate(items):
             codes = codes_of(t)
-            np.bitwise_or.at(self.masks[row], folded(codes), np.uint64(1) << np.arange(len(t), dtype=np.uint64))
             cuts = np.linspace(0, len(t), int(self.most[row]) + 2).astype(np.int64)
             for at, end in zip(cuts, cuts[1:]):
                 size = int(min(5, end - at))
@@ -176,27 +326,9 @@ class ShortItems:
                     piece = left[where] + pair - done[where]
                     row, place = rows[piece], at[where]
                     start = place - offsets[piece]
-                    near = self.within(small, start, row)
+                    near = self.bits.within(small, start, row)
                     yield place[near], start[near], self.numbers[row[near]]
 
-    def within(self, small: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Whether the item of row may be within its distance of a part of the text around start (Myers' bit vectors, one word an
-        item); characters that fold alike count as equal."""
-        size, most, one = self.size[row], self.most[row], np.uint64(1)
-        full, top = (one << size.astype(np.uint64)) - one, one << (size - 1).astype(np.uint64)
-        pv, mv, score, best = full.copy(), np.zeros(len(row), np.uint64), size.copy(), size.copy()
-        for i in range(int((size + 2 * most).max(initial=0))):
-            eq = self.masks[row, small[np.clip(start - most + i, 0, len(small) - 1)]]
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv) & full
-            mh = pv & xh
-            score += ((ph & top) > 0).astype(np.int64) - ((mh & top) > 0)
-            ph, mh = ph << one & full, mh << one & full
-            pv, mv = mh | ~(xv | ph) & full, ph & xv
-            np.minimum(best, score, out=best)
-        return best <= most
-
 
 class Index:
     """The hash tables of a block of items, and the pieces of short ones."""
@@ -211,17 +343,12 @@ class Index:
         for k, (_, t) in enumerate(self.items):
             if len(t) >= LONG:
                 by_class.setdefault(len(t).bit_length(), []).append(k)
-        self.classes, self.seeds = [], {}
+        self.long = LongItems([(k, t) for k, (_, t) in enumerate(self.items) if len(t) >= LONG])
+        self.classes = []
         for bits, members in sorted(by_class.items()):
             sizes = [len(self.items[k][1]) for k in members]
-            low, high = min(sizes), max(sizes)
+            low = min(sizes)
             blob = [np.concatenate([codes_of(self.items[k][1]), np.zeros(SEED, np.uint32)]) for k in members]
-            own = [seed_hashes(c, s[s <= len(c) - 2 * SEED]) for c in blob for s in [seed_starts(c[:-SEED])]]
-            self.seeds.update((k, set(x.tolist())) for k, x in zip(members, own, strict=True))
-            need = min(min(MIN_SEEDS, len(self.seeds[k])) for k in members)
-            seeds = np.unique(np.concatenate(own))
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(seeds >> np.uint64(44)).astype(np.int64)] = True
             at = np.concatenate([[0], np.cumsum([len(c) for c in blob])[:-1]])
             joined = np.concatenate(blob)
             tables = []
@@ -235,7 +362,7 @@ class Index:
                     order = np.argsort(h, kind="stable")
                     keys.append((p, h[order], np.array(members)[order]))
                 tables.append((moves, keys))
-            self.classes.append((low, high, need, seeds, bitmap, tables))
+            self.classes.append((low, tables))
 
     @staticmethod
     def key(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -244,33 +371,32 @@ class Index:
             h = (h << np.uint64(8)) | embedded[p]
         return h
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> set[tuple[int, int]]:
-        """(index into starts, item) for windows of texts that stand one after another in codes, SEED zeros after each.
-        doc: the text of each start; stop: where that text ends."""
-        found: set[tuple[int, int]] = set()
-        if not len(starts):
-            return found
-        h = seed_hashes(codes, starts)
-        for low, high, need, seeds, bitmap, tables in self.classes:
-            hit = bitmap[(h >> np.uint64(44)).astype(np.int64)]
-            hit[hit] = np.isin(h[hit], seeds)
-            if not hit.any():
-                continue
-            before = np.concatenate([[0], np.cumsum(hit)])
-            reach = np.searchsorted(starts, np.minimum(starts + int(high * (1 + MAX_DISTANCE)), stop))
-            some = np.flatnonzero(before[reach] - before[:-1] >= need)
-            hits = h[hit]
-            for i in range(0, len(some), TOGETHER):
-                part = some[i : i + TOGETHER]
+    def candidates(self, coded: dict[int, np.ndarray], near: dict[int, set[tuple[int, int]]]) -> Iterator[tuple[int, int, int]]:
+        """coded: texts; near: (place, item) of each -> (text, place, item): the windows, the last that start at or before these
+        places, that share a key with the item."""
+        wanted: dict[int, set[int]] = {}
+        begin, of_window = 0, {}
+        for d, codes in coded.items():
+            starts = seed_starts(codes)
+            for s, k in near[d]:
+                w = int(starts[np.searchsorted(starts, s, "right") - 1])
+                wanted.setdefault(begin + w, set()).add(k)
+                of_window[begin + w] = d, w, begin + len(codes)
+            begin += len(codes)
+        joined = np.concatenate(list(coded.values()) or [np.zeros(0, np.uint32)])
+        walked = np.array(sorted(wanted), np.int64)
+        stop = np.array([of_window[w][2] for w in walked.tolist()], np.int64)
+        for low, tables in self.classes:
+            for i in range(0, len(walked), TOGETHER):
+                part = walked[i : i + TOGETHER]
                 for moves, keys in tables:
-                    got = walk(codes, starts[part], np.minimum(starts[part] + low, stop[part]), moves)
+                    got = walk(joined, part, np.minimum(part + low, stop[i : i + TOGETHER]), moves)
                     for places, known, member in keys:
                         k = self.key(got, places)
                         left, right = np.searchsorted(known, k), np.searchsorted(known, k, "right")
                         for w in np.flatnonzero(right > left):
-                            near = set(hits[before[part[w]] : before[reach[part[w]]]].tolist())
-                            found.update((int(part[w]), int(member[q])) for q in range(left[w], right[w]) if len(near & self.seeds[int(member[q])]) >= min(MIN_SEEDS, len(self.seeds[int(member[q])])))
-        return found
+                            for item in wanted[int(part[w])].intersection(member[left[w] : right[w]].tolist()):
+                                yield (*of_window[int(part[w])][:2], item)
 
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item id, start word, end word, distance, similarity) of each item found in each text, best place only."""
@@ -279,17 +405,17 @@ class Index:
         sizes = np.array([len(c) + SEED for c in coded], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         codes = np.concatenate([x for c in coded for x in (c, np.zeros(SEED, np.uint32))] or [np.zeros(0, np.uint32)])
-        at = [seed_starts(c) + b for c, b in zip(coded, begin, strict=True)]
-        starts = np.concatenate(at) if at else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(plain)), [len(x) for x in at])
-        stop = (begin + sizes - SEED)[doc] if len(doc) else doc
         places: dict[tuple[int, int], list[int]] = {}
-        for w, k in self.candidates(codes, starts, doc, stop):
-            places.setdefault((int(doc[w]), k), []).append(int(starts[w] - begin[doc[w]]))
-        for piece, start, number in self.pieces.candidates(codes):
-            text = np.searchsorted(begin, piece, "right") - 1
-            for d, k, s in zip(text.tolist(), number.tolist(), np.maximum(start - begin[text], 0).tolist(), strict=True):
-                places.setdefault((d, k), []).append(s)
+        wanted: dict[int, set[tuple[int, int]]] = {}  # text -> (place, item)
+        for items in (self.long, self.pieces):
+            for piece, start, number in items.candidates(codes):
+                text = np.searchsorted(begin, piece, "right") - 1
+                for d, k, s in zip(text.tolist(), number.tolist(), np.maximum(start - begin[text], 0).tolist(), strict=True):
+                    places.setdefault((d, k), []).append(s)
+                    if items is self.long:
+                        wanted.setdefault(d, set()).add((s, k))
+        for d, s, k in self.candidates({d: coded[d] for d in wanted}, wanted):
+            places[d, k].append(s)
         out = []
         for (d, k), where in sorted(places.items()):
             name, item = self.items[k]

@@ -269,6 +269,26 @@ def test_decontamination_misses_no_copy_of_a_short_item(rate):
     assert {(m[0], m[1]): m[4] for m in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_misses_no_copy_of_a_long_item(rate):
+    """As above, for items of 64 to 394 characters."""
+    r = random.Random(int(1000 * rate))
+    items = [prose(90, r)[: r.choice([r.randint(64, 95), r.randint(96, 199), r.randint(200, 394)])].strip() for _ in range(60)]
+    items += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (64, 80, 150)]
+    # at the very beginning and end of a text, and inside prose
+    texts = [f"{prose(20, r) if k % 3 else ''}{edited(t, rate, r)}{prose(20, r) if k % 4 else ''}" for k, t in enumerate(items)] + ["", prose(1, r)]
+    plain = [decontamination.normal(t) for t in texts]
+    want = {}
+    for k, t in enumerate(items):
+        for d, text in enumerate(plain):
+            distance = decontamination.edit_distance_within(t, text)[0]
+            if distance <= int(decontamination.MAX_DISTANCE * len(t)):
+                want[d, k] = distance
+    assert len(want) >= len(items) / 3
+    got = decontamination.Index([(k, t) for k, t in enumerate(items)]).matches(texts)
+    assert {(m[0], m[1]): m[4] for m in got} == want and len(got) == len(want)
+
+
 def test_verbatim_items_with_one_seed_or_no_spaces_are_found():
     r = random.Random(12)
     han = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (5, 12, 13, 40, 200)]
