@@ -8,7 +8,7 @@ item is a candidate; the exact edit distance of the item to its best place near
 item's length).
 
 The tables alone miss copies near the limit, so pieces complete them, without a miss. An item of LONG or more characters is
-cut into d // 2 + 1 pieces, of 9 characters or more: of a copy with d edits at most one piece has one edit at most. All
+cut into d // 2 + 1 pieces, of 9 characters or more: in any copy with d edits or fewer some piece has no more than one. All
 places of the text that hold the first PIECE characters of a piece, up to one edit, are found by hashes of what is left without one character.
 A place stays if the two, then the six pieces around it have 3 and 11 edits at most, as they have for one piece of every
 copy (of two parts with fewer than twice as many edits as pieces one has so too), and if the least edits of all parts of six

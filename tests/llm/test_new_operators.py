@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,6 +159,26 @@ def test_collocations(spark, most, block):
     assert max(x.rank for x in collocations.collocations(docs_of(spark, rows), top=3, least=4, max_words=2).collect()) == 3
 
 
+def test_partial_counts_are_flat_rows():
+    """Words are numbered once; what is dealt out holds no array; no phrase goes from one text into the next."""
+    texts = pa.record_batch([pa.array(["en", "en", "de"]), pa.array(["A b.", "b\tA b", "b"])], names=["lang", "text"])
+    rows = [x for batch in collocations._encode(0)(iter([texts])) for x in batch.to_pylist()]
+    counts = {(x["lang"], w["word"]): w["n"] for x in rows if x["words"] for w in x["words"]}
+    assert counts == {("en", b"a"): 2, ("en", b"b"): 3, ("de", b"b"): 1}
+    ids = {x["lang"]: np.frombuffer(x["ids"], np.uint64) for x in rows if x["ids"]}
+    h, (a, b) = collocations._Codes(0).of([b"a", b"b", b"a"])[1], (ids["en"][0], ids["en"][1])
+    assert h.tolist() == [a, b, a] and [x for x in ids["en"].tolist() if x][2:] == [b, a, b] and ids["en"][2] == 0
+
+    class Every:
+        value = np.full(1 << (collocations.BITS - 3), 255, np.uint8)
+
+    stored = pa.record_batch([pa.array(["en"]), pa.array([ids["en"].tobytes()], pa.binary())], names=["lang", "ids"])
+    (got,) = collocations._seen_often(2, Every)(iter([stored]))
+    assert [str(t) for t in got.schema.types] == ["string", "int64", "int64", "int64"]
+    as_int = {int(a.view(np.int64)): "a", int(b.view(np.int64)): "b"}
+    assert {as_int[x["h0"]] + as_int[x["h1"]]: x["n"] for x in got.to_pylist()} == {"ab": 2, "ba": 1}
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs_of(spark, [])).count() == 0
     assert collocations.collocations(docs_of(spark, [(1, "one two", "en"), (2, None, None)])).count() == 0
