@@ -9,7 +9,7 @@ it goes on from. Legs are put together at the end, for the journeys that are lef
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -417,31 +417,37 @@ def overtaking(calls: DataFrame, pattern: DataFrame) -> DataFrame:
     return x.groupBy("pattern", "trip").agg(F.coalesce(F.bool_or(F.col("late") > 0), F.lit(False)).alias("overtakes"))
 
 
-def tangles(calls: DataFrame, pattern: DataFrame) -> DataFrame:
-    """pattern: (trip, pattern); trips of one pattern call at the same seqs. pattern, trip, d, a, times, piece, alone: the trips
-    of a pattern by (first departure d, last arrival a, trip), cut into pieces wherever all that follow are nowhere earlier than
-    any before. Trips of one piece alone depend on each other, so a busy pattern falls apart at its gaps; alone: a piece of one
-    trip. times: departure and arrival of each stop."""
-    at = F.sort_array(F.collect_list(F.struct("seq", "dep", "arr")))
-    x = calls.join(pattern, "trip").groupBy("pattern", "trip").agg(at.alias("s"))
-    times = F.flatten(F.transform("s", lambda c: F.array(c["dep"], c["arr"])))
-    x = x.select("pattern", "trip", F.col("s")[0]["dep"].alias("d"), F.element_at("s", -1)["arr"].alias("a"), F.posexplode(times).alias("i", "time"))
-    stop = W.partitionBy("pattern", "i").orderBy("d", "a", "trip")
-    before = F.max("time").over(stop.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min("time").over(W.partitionBy("pattern", "i").orderBy(F.desc("d"), F.desc("a"), F.desc("trip")).rowsBetween(W.unboundedPreceding, 0))
-    x = x.withColumn("before", before).withColumn("after", after)
-    cut = F.bool_and(F.coalesce(F.col("before") <= F.col("after"), F.lit(True)))
-    x = x.groupBy("pattern", "trip", "d", "a").agg(cut.alias("cut"), F.sort_array(F.collect_list(F.struct("i", "time")))["time"].alias("times"))
+def tangles(calls: DataFrame, pattern: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """pattern: (trip, pattern), or of a trip's calls in order; trips of one pattern call at the same seqs. pattern, trip, d, a,
+    times, piece, alone: the trips of a pattern by (first departure d, last arrival a, trip), cut into pieces wherever all that
+    follow are nowhere earlier than any before. Trips of one piece alone depend on each other, so a busy pattern falls apart at
+    its gaps; alone: a piece of one trip. times: departure and arrival of each stop, null where a trip is alone."""
+    if callable(pattern):
+        x = calls.groupBy("trip").agg(F.sort_array(F.collect_list(F.struct(*[c for c in ("seq", "dep", "arr", "platform") if c in calls.columns]))).alias("s"))
+        x = x.select(pattern(F.col("s")).alias("pattern"), "trip", "s")
+    else:
+        x = calls.join(pattern, "trip").groupBy("pattern", "trip").agg(F.sort_array(F.collect_list(F.struct("seq", "dep", "arr"))).alias("s"))
+    stops = F.transform("s", lambda c: F.struct(c["dep"].alias("dep"), c["arr"].alias("arr")))
+    x = x.select("pattern", "trip", F.col("s")[0]["dep"].alias("d"), F.element_at("s", -1)["arr"].alias("a"), F.posexplode(stops).alias("i", "stop"))
+    x = x.select("pattern", "trip", "d", "a", "i", "stop.dep", "stop.arr")
+    before = W.partitionBy("pattern", "i").orderBy("d", "a", "trip").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("pattern", "i").orderBy(F.desc("d"), F.desc("a"), F.desc("trip")).rowsBetween(W.unboundedPreceding, 0)
+    clear = [F.coalesce(F.col(f"{c}_before") <= F.col(f"{c}_after"), F.lit(True)) for c in ("dep", "arr")]
+    x = x.select("*", F.max("dep").over(before).alias("dep_before"), F.max("arr").over(before).alias("arr_before"))
+    x = x.select("*", F.min("dep").over(after).alias("dep_after"), F.min("arr").over(after).alias("arr_after"))
+    x = x.groupBy("pattern", "trip", "d", "a").agg(F.bool_and(clear[0] & clear[1]).alias("cut"), F.collect_list(F.struct("i", "dep", "arr")).alias("s"))
     order = W.partitionBy("pattern").orderBy("d", "a", "trip")
     alone = F.col("cut") & F.coalesce(F.lead("cut").over(order), F.lit(True))
-    return x.select("pattern", "trip", "d", "a", "times", F.sum(F.col("cut").cast("bigint")).over(order).alias("piece"), alone.alias("alone"))
+    x = x.select("pattern", "trip", "d", "a", "s", F.sum(F.col("cut").cast("bigint")).over(order).alias("piece"), alone.alias("alone"))
+    times = F.flatten(F.transform(F.sort_array("s"), lambda c: F.array(c["dep"], c["arr"])))
+    return x.select("pattern", "trip", "d", "a", F.when(~F.col("alone"), times).alias("times"), "piece", "alone")
 
 
-def lanes(calls: DataFrame, pattern: DataFrame) -> DataFrame:
-    """WIN-9. First-fit lane numbers: (pattern, trip, lane), in each lane no trip overtakes another. First fit is sequential, but
+def lanes(calls: DataFrame, pattern: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """WIN-9. pattern: as in tangles. First-fit lane numbers: (pattern, trip, lane), in each lane no trip overtakes another. First fit is sequential, but
     only inside the pieces of tangles: each begins as if all lanes were empty. The trips of pieces with several stream through
     sorted tasks, which hold the last times of each lane and no more."""
-    x = tangles(calls, pattern)
+    x = checkpointed(tangles(calls, pattern))  # read twice, with other columns
     kinds = f"pattern {x.schema['pattern'].dataType.simpleString()}, trip {x.schema['trip'].dataType.simpleString()}, lane int"
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +459,10 @@ def lanes(calls: DataFrame, pattern: DataFrame) -> DataFrame:
                     key, last = (p, piece), np.empty((0, len(times)), np.int64)
                 fits = (last <= times).all(axis=1)
                 lane = int(fits.argmax()) if fits.any() else len(last)
-                last = np.vstack([last[:lane], [times], last[lane + 1 :]])
+                if lane < len(last):
+                    last[lane] = times
+                else:
+                    last = np.vstack([last, [times]])
                 out.append(lane)
             yield pa.record_batch([batch.column("pattern"), batch.column("trip"), pa.array(out, pa.int32())], names=["pattern", "trip", "lane"])
 

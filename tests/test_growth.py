@@ -124,3 +124,26 @@ def test_live_status_takes_two_cells_a_message_and_late_ones(spark, tmp_path):
     assert "message#" in plan and "received_us#" not in plan
     got = {(x.lift, x.at_us // 1_000_000, x.shown) for x in feeds.run_available(told, "append", live.ROCKSDB).collect()}
     assert got == {(1, 10, None), (2, 50_000, None), (1, 20, "notAvailable")}
+
+
+def test_lanes_read_the_calls_once(spark):
+    """The pattern comes from the stops of the same group; the same lanes as with a table of patterns."""
+    r = random.Random(9)
+    rows = []
+    for t in range(200):
+        at, first = r.randrange(600, 900), r.randrange(3)
+        for seq in range(r.choice([1, 3, 3])):
+            at += r.choice([1, 2, 9])
+            rows.append((t, seq, first if seq == 0 else 7, at, at + r.choice([0, 3])))
+            at = rows[-1][4]
+    calls = spark.createDataFrame(rows, "trip bigint, seq int, platform bigint, arr int, dep int")
+
+    def of_stops(s):
+        return F.concat(s[0]["platform"].cast("string"), F.lit(":"), F.array_join(F.transform(s, lambda c: c["seq"].cast("string")), ","))
+
+    stops = F.sort_array(F.collect_list(F.struct("seq", "platform")))
+    table = calls.groupBy("trip").agg(of_stops(stops).alias("pattern"))
+    plan = logical(jo.tangles(calls, of_stops))
+    assert not any("Join" in line for line in plan) and sum("RDD" in line or "LocalRelation" in line for line in plan) == 1
+    got = {tuple(x) for x in jo.lanes(calls, of_stops).collect()}
+    assert got == {tuple(x) for x in jo.lanes(calls, table).collect()} and len(got) == 200 and max(x[2] for x in got) > 0
