@@ -1,16 +1,17 @@
-"""Line dedup across documents, exact and fuzzy.
+"""Line dedup across documents, exact and fuzzy, in DataFrame functions only.
 
 Equal lines are one class (equal 64-bit hashes; of 10^11 different lines some hundred pairs would fall together). The
 shingles of a line are its SHINGLE characters from each place on; lines are linked if the Jaccard similarity of their
-shingle sets (distinct 32-bit hashes) is PERCENT or more. The MinHash signature, MINIMA minima of hashes, is taken over the
-same shingles. Each band is three of the minima, {i, i + 1, i + 3}. The members of a band's bucket are compared by the exact
-Jaccard similarity of their whole sets, and a distributed union-find joins them. Of each component the first line stays, by
-(doc_id, position); a null doc_id comes last. Hashing characters and cutting texts are Arrow batches: as regular expressions
-and higher-order functions they went beyond the CPU budget (figures in the README). Buckets, links and components are joins.
+shingle sets (distinct 32-bit hashes) is PERCENT or more. The MinHash signature, MINIMA minima of 64-bit hashes, is taken over
+the same shingles: a line as UTF-32 has the shingle at place i from byte 4 i on, so each place is a row of an explode, cut out
+and hashed in constant time, and an aggregate by line keeps the minima without these rows ever leaving their task. Each band
+is three of the minima, {i, i + 1, i + 3}. The members of a band's bucket are compared by the exact Jaccard similarity of
+their whole sets, and a distributed union-find joins them. Of each component the first line stays, by (doc_id, position); a
+null doc_id comes last. Sets are made of lines that share a band only.
 
 Misses: a pair of similarity 0.8 shares no band with a chance of 0.6 %, one of 0.9 of 0.02 %.
 
-Nulls and edges: a null text has no lines and stays null. A line is what stands between "\\n"; a line of any length counts
+Nulls and edges: a null text has no lines and stays null. A line is what stands between "\n"; a line of any length counts
 if it has a word, one shorter than SHINGLE is a shingle itself; lines without a word are structure and stay. Very long
 lines are taken whole. Rows equal in doc_id and text are one document delivered twice and get equal results. A document all
 of whose lines with words go is emptied; drop_repeated_lines leaves such documents out. Empty tables give empty results.
@@ -20,249 +21,104 @@ All columns of docs stay, whatever their names; those added here begin with "__s
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from .common import WORD, maybe_broadcast, small_batches, staged, unstage
+from .common import WORD, maybe_broadcast, staged, unstage
 from .components import connected_components
 from .pairs import BROADCAST_ROWS, bucket_links, confirmed, shared_buckets
 
 PERCENT, SHINGLE, MINIMA = 80, 10, 12
 BANDS = [(i, (i + 1) % MINIMA, (i + 3) % MINIMA) for i in range(MINIMA)]
-#: Characters hashed at a time; lines and characters held before rows are given out.
-BLOCK, MOST_LINES, MOST_BYTES = 1 << 16, 20_000, 1 << 23
-
-_FACTORS = np.array([2 * f + 1 for f in random.Random(6).sample(range(2**29, 2**30), MINIMA)], np.uint32)
-_PLACES = np.random.default_rng(6).integers(0, 2**32, SHINGLE, dtype=np.uint32) | np.uint32(1)
-
-
-def _points(lines: list[bytes]) -> np.ndarray:
-    """The code points of lines, with a newline after each."""
-    return np.frombuffer((b"\n".join(lines) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-
-
-def _spread(points: np.ndarray) -> np.ndarray:
-    """One to one, and nothing becomes 0."""
-    x = (points + np.uint32(1)) * np.uint32(0x9E3779B1)
-    return x ^ (x >> np.uint32(15))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x7FEB352D)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x846CA68B)
-    h ^= h >> np.uint32(16)
-    return h
-
-
-def _at_each_place(points: np.ndarray) -> np.ndarray:
-    """The hash of the SHINGLE characters from each place on."""
-    n = max(0, len(points) - SHINGLE + 1)
-    x, h = _spread(points), np.zeros(n, np.uint32)
-    for j in range(SHINGLE):
-        h += x[j : n + j] * _PLACES[j]
-    return _mixed(h)
-
-
-def _of_short(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hashes of lines of SHINGLE characters at most."""
-    at = begins[:, None] + np.arange(SHINGLE)
-    x = np.where(at < ends[:, None], _spread(points[np.minimum(at, len(points) - 1)]), np.uint32(0))
-    return _mixed((x * _PLACES).sum(1, dtype=np.uint32))
-
-
-def _groups(lines: list[bytes]) -> Iterator[slice]:
-    """Runs of lines of about BLOCK bytes; a longer line is alone."""
-    first, held = 0, 0
-    for i, line in enumerate(lines):
-        if held and held + len(line) > BLOCK:
-            yield slice(first, i)
-            first, held = i, 0
-        held += len(line) + 1
-    if held:
-        yield slice(first, len(lines))
-
-
-def _bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where lines begin and end."""
-    ends = np.flatnonzero(points == 10)
-    return np.concatenate([[0], ends[:-1] + 1]), ends
-
-
-def line_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """The distinct shingles of non-empty lines, as 32-bit hashes in order."""
-    out = []
-    for group in _groups(lines):
-        points = _points(lines[group])
-        begins, ends = _bounds(points)
-        n = ends - begins
-        if len(n) == 1 and n[0] > BLOCK:
-            parts = [np.unique(_at_each_place(points[at : min(at + BLOCK + SHINGLE - 1, n[0])])) for at in range(0, n[0] - SHINGLE + 1, BLOCK)]
-            out.append(np.unique(np.concatenate(parts)))
-            continue
-        places = np.maximum(n - SHINGLE + 1, 1)
-        before = np.cumsum(places) - places
-        owner = np.repeat(np.arange(len(n)), places)
-        at = np.arange(places.sum()) + np.repeat(begins - before, places)
-        h = np.append(_at_each_place(points), np.zeros(SHINGLE, np.uint32))[at]
-        short = n <= SHINGLE
-        if short.any():
-            h[before[short]] = _of_short(points, begins[short], ends[short])
-        keys = np.unique((owner.astype(np.uint64) << np.uint64(32)) | h)
-        out += np.split(keys.astype(np.uint32), np.searchsorted(keys, np.arange(1, len(n), dtype=np.uint64) << np.uint64(32)))
-    return out
 
+#: Places that a row of the explode stands for.
+STEP = 4
 
-def signatures(lines: list[bytes]) -> np.ndarray:
-    """The minima of non-empty lines: a row of MINIMA for each."""
-    out = np.full((len(lines), MINIMA), 2**32 - 1, np.uint32)
-    for group in _groups(lines):
-        points, least = _points(lines[group]), out[group]
-        if len(least) == 1:
-            points = points[:-1]
-            for at in range(0, max(0, len(points) - SHINGLE + 1), BLOCK):
-                h = _at_each_place(points[at : at + BLOCK + SHINGLE - 1])
-                for i, a in enumerate(_FACTORS):
-                    least[0, i] = min(least[0, i], (h * a).min())
-            begins, ends = np.array([0]), np.array([len(points)])
-        else:
-            begins, ends = _bounds(points)
-            is_long = ends - begins > SHINGLE
-            if is_long.any():
-                h = _at_each_place(points)
-                # every second range is a line's places, those between overlap two lines
-                cuts = np.stack([begins[is_long], ends[is_long] - SHINGLE + 1], 1).ravel()
-                for i, a in enumerate(_FACTORS):
-                    least[is_long, i] = np.minimum.reduceat(h * a, cuts)[::2]
-        short = ends - begins <= SHINGLE
-        if short.any():
-            least[short] = _of_short(points, begins[short], ends[short])[:, None] * _FACTORS
-    return out
+_random = random.Random(6)
+#: Bits turned over before a minimum is taken; the first four differ, so that the minima come from different parts of the hashes.
+_TURNED = [(first << 60 | _random.getrandbits(60)) - 2**63 for first in _random.sample(range(16), MINIMA)]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, pos, c, line: the lines that count; c stands for a line's text."""
+    # explode_outer: of the inner form Spark derives filters, which would split each text again
+    rows = docs.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(WORD))
+    return rows.select("doc_id", "th", "pos", F.xxhash64("line").alias("c"), "line")
+
+
+def _points(line: str) -> Column:
+    """A line with four bytes for each character."""
+    return F.encode(line, "UTF-32")
+
+
+def _last(points: Column) -> Column:
+    """Where the last shingle begins; a shorter line is one shingle."""
+    return F.greatest(F.floor(F.octet_length(points) / 4).cast("int") - SHINGLE, F.lit(0))
+
+
+def _shingle(points: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(points, place * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(c, m0, m1, ...), once a line: of the shingles' hashes, each time with other bits turned over, the least one.
+    A row of the explode stands for STEP places, those behind the last one for that one again."""
+    points = lines.select("c", _points("line").alias("points")).select("c", "points", _last(F.col("points")).alias("last"))
+    at = points.select("c", "points", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    h = at.select("c", *[_shingle(F.col("points"), F.least(F.col("i") + j, F.col("last"))).alias(f"h{j}") for j in range(STEP)])
+    least = [F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(x)) for j in range(STEP)]) for x in _TURNED]
+    return h.groupBy("c").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(least)])
+
+
+def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, shingles): the distinct shingles of the lines that are asked for."""
+    found = lines.select("c", "line").join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c").dropDuplicates(["c"])
+    # as the element of an array a line is held once for all its places; a column would be copied for each
+    each = F.transform(F.array(_points("line")), lambda p: F.transform(F.sequence(F.lit(0), _last(p)), lambda i: F.shiftright(_shingle(p, i), 32).cast("int")))
+    return found.select("c", F.array_distinct(F.get(each, F.lit(0))).alias("shingles"))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text) -> doc_id, th, pos, c, m: the lines that count; c stands for a line's text, m is its signature."""
-    import xxhash
-
-    for batch in batches:
-        rows, places, lines, held = [], [], [], 0
-
-        def signed() -> pa.RecordBatch:
-            at, m = pa.array(rows, pa.int64()), signatures(lines).view(np.int32)
-            c = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
-            m = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * MINIMA), pa.array(m.ravel()))
-            return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(c), m], names=["doc_id", "th", "pos", "c", "m"])
-
-        for row in range(batch.num_rows):
-            text = batch.column(2).slice(row, 1).cast(pa.large_binary())[0].as_py()
-            for pos, line in enumerate((text or b"").split(b"\n")):
-                if line.strip():  # bytes: ASCII white space only
-                    rows.append(row), places.append(pos), lines.append(line)
-                    held += len(line)
-                    if len(lines) >= MOST_LINES or held >= MOST_BYTES:
-                        yield signed()
-                        rows, places, lines, held = [], [], [], 0
-        if lines:
-            yield signed()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, places) -> c, shingles."""
-
-    def dealt(cs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        return pa.record_batch([pa.array(cs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int32)))], names=["c", "shingles"])
-
-    for batch in batches:
-        cs, lines, held = [], [], 0
-        for row in range(batch.num_rows):
-            own = batch.column(0).slice(row, 1).cast(pa.large_binary())[0].as_py().split(b"\n")
-            for place in batch.column(1)[row].as_py():
-                cs.append(place["c"]), lines.append(own[place["pos"]])
-                held += len(lines[-1])
-                if held >= MOST_BYTES // 4:
-                    yield dealt(cs, line_sets(lines))
-                    cs, lines, held = [], [], 0
-        if cs:
-            yield dealt(cs, line_sets(lines))
-
-
-@F.pandas_udf(BinaryType())
-def _cut(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without their lines at these places; a null text stays."""
-
-    def cut(t: bytes | None, places: np.ndarray | None) -> bytes | None:
-        if t is None:
-            return None
-        out = set(places)
-        return b"\n".join(line for i, line in enumerate(bytes(t).split(b"\n")) if i not in out)
-
-    return pd.Series(map(cut, text, gone), dtype=object)
-
-
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, th, pos, c, m: the lines with their signatures. Texts are read once and do not leave their tasks."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "th", "text").mapInArrow(_sign, f"doc_id {kind}, th bigint, pos int, c bigint, m array<int>")
-
-
-def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (doc_id, th, pos, c), one place a line. -> (c, shingles), from the documents that are asked for."""
-    places = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "pos")).alias("places"))
-    places = staged(places.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "places"), "places")
-    rows, lines = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    found = docs.join(maybe_broadcast(places, rows + lines // 2, BROADCAST_ROWS), (docs["th"] == F.col("h")) & docs["doc_id"].eqNullSafe(F.col("d")))
-    return found.select("text", "places").mapInArrow(_sets, "c bigint, shingles array<int>")
-
-
-def line_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """docs: (doc_id, th, text); signed: its lines by _signed -> (a, b): linked lines by their c."""
-    keys = F.array(*[F.xxhash64(*[F.get("m", F.lit(i)) for i in band], F.lit(k)) for k, band in enumerate(BANDS)])
-    members = shared_buckets(signed.select("c", F.explode(keys).alias("key"))).dropDuplicates(["key", "c"])
-    members = staged(members, "members")
+def line_links(lines: DataFrame) -> DataFrame:
+    """lines by _lines -> (a, b): linked lines by their c."""
+    keys = [F.xxhash64(*[f"m{i}" for i in band], F.lit(k)).alias(f"k{k}") for k, band in enumerate(BANDS)]
+    signed = staged(_signatures(lines).select("c", *keys), "signatures")
+    members = shared_buckets(signed.select("c", F.explode(F.array(*[f"k{k}" for k in range(len(BANDS))])).alias("key")))
     wanted = staged(members.select("c").distinct(), "wanted")
-    places = signed.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_ROWS), "c")
-    places = places.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at")).select("at.*", "c")
-    sets = staged(_shingles(docs, places).dropDuplicates(["c"]), "sets")  # repeated rows give equal sets
+    sets = staged(_sets(lines, wanted), "sets")
     sized = staged(members.join(sets.select("c", F.size("shingles").alias("n")), "c"), "members")
     found = bucket_links(sized, sets, lambda pairs: confirmed(pairs, sets, PERCENT), PERCENT)
-    unstage(sets, members, sized)
+    unstage(signed, sets, members, sized)
     return found
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, th, text) -> doc_id, th, gone: positions of the lines that another line stands for."""
-    small_batches(docs.sparkSession)
-    signed = staged(_signed(docs), "lines")
-    labels = connected_components(line_links(docs, signed)).withColumnRenamed("node", "c")
+    lines = _lines(docs)
+    labels = connected_components(line_links(lines)).withColumnRenamed("node", "c")
     labels = staged(labels, "labels")
-    g = signed.select("doc_id", "th", "pos", "c").join(maybe_broadcast(labels, labels.count(), BROADCAST_ROWS), "c", "left")
+    g = lines.select("doc_id", "th", "pos", "c").join(maybe_broadcast(labels, labels.count(), BROADCAST_ROWS), "c", "left")
     g = staged(g.select("doc_id", "th", "pos", F.coalesce("component", "c").alias("g")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
-    first = g.groupBy("g").agg(F.min(order).alias("first"), F.count("*").alias("k")).filter("k > 1").select("g", "first")
-    first = staged(first, "first")
-    gone = g.join(maybe_broadcast(first, first.count(), BROADCAST_ROWS), "g").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
+    often = staged(g.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "often")
+    alike = staged(g.join(maybe_broadcast(often, often.count(), BROADCAST_ROWS), "g"), "alike")  # few of the lines
+    first = staged(alike.groupBy("g").agg(F.min(order).alias("first")), "first")
+    gone = alike.join(maybe_broadcast(first, first.count(), BROADCAST_ROWS), "g").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
     out = staged(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
-    unstage(signed, g, first)
+    unstage(g, often, alike, first)
     return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with text without its repeated lines, and __ss_lines, __ss_gone: lines before, lines gone."""
-    base = docs.withColumn("__ss_th", F.xxhash64("text"))
+    base = docs.withColumns({"__ss_th": F.xxhash64("text"), "__ss_parts": F.split("text", "\n")})
     gone = repeated_lines(base.select("doc_id", F.col("__ss_th").alias("th"), "text"))
     rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__ss_id"), F.col("th").alias("__ss_h"), F.col("gone").alias("__ss_pos")), rows + places // 8, BROADCAST_ROWS)
     x = base.join(gone, (base["__ss_th"] == gone["__ss_h"]) & base["doc_id"].eqNullSafe(gone["__ss_id"]), "left")
-    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    shortened = _cut(F.when(F.col("__ss_pos").isNotNull(), F.col("text").cast("binary")), "__ss_pos").cast("string")
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__ss_parts")), F.lit(0)).cast("long")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__ss_parts") - 1), F.col("__ss_pos"))
+    shortened = F.array_join(F.transform(left, lambda i: F.get("__ss_parts", i)), "\n")
     text = F.when(F.col("__ss_pos").isNull(), F.col("text")).otherwise(shortened)
     x = x.withColumns({"__ss_lines": n_lines, "__ss_gone": F.when(F.col("__ss_pos").isNull(), 0).otherwise(F.size("__ss_pos")).cast("long"), "__ss_text": text})
     return x.select(*[F.col("__ss_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__ss_lines", "__ss_gone")

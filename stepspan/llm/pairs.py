@@ -12,8 +12,10 @@ d(y), rarest in the family first, share one. A probe, a member outside the pivot
 |d(x)| > (|x| + |p|) r, and o is 1 or more for each partner. Elements of only one member match nobody: they fill the front
 of a prefix but are not given out; with a central pivot these are most of it. Elements that the very same members have are
 one group and are given out together. A member gives out its prefix once, for the least o that it has with any probe of the
-family; the join then applies the bounds of each very pair. Every pair that a bucket holds is thus compared, or shown not
-to be a link.
+family; the join then applies the bounds of each very pair. Before it, the members that share an element in a large group meet
+the one of them that differs least from the pivot, so that a second crowd of near copies in a family becomes one component by as
+many comparisons as it has members; two probes are joined one way round only. Every pair that a bucket holds is thus compared,
+or shown not to be a link, or already of one component.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     are left out before they are dealt out; those of the ends are sent along only as far as they are needed."""
     sets = _named(sets, pairs, "a", "b")
     a, b = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+    common = F.size(F.array_intersect("sa", "sb"))  # named once: a filter works out each mention anew
+    return pairs.join(a, "a").join(b, "b").filter(common * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b").distinct()
 
 
 def _named(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -58,8 +60,9 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> Da
     return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """family: (p, c, n, component, own: p's component). Candidate pairs (a, b) by prefixes of differences."""
+def _through_pivot(family: DataFrame, sets: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """family: (p, c, n, component, own: p's component). Candidate pairs (a, b) by prefixes of differences, and the links and
+    labels, to which those of large groups with their least member are added."""
     share = (100 - percent) / (100 + percent)
     sets = _named(sets, family, "p", "c")
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
@@ -82,19 +85,27 @@ def _through_pivot(family: DataFrame, sets: DataFrame, percent: int) -> DataFram
         rows = rows.join(sides, "p").withColumn("room", F.col("size") - o - F.col("alone")).filter("room >= 0")
         before = F.aggregate(F.slice("es", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda acc, e: acc + e["w"])
         inside = F.filter(F.transform(F.sequence(F.lit(0), F.size("es") - 1), lambda k: F.struct(k.alias("k"), F.get("es", k).alias("e"))), lambda x: x["k"] <= F.col("room"))
-        rows = rows.select("p", "c", "n", "component", "size", "alone", "s", "room", "es", F.explode(inside).alias("x"))
+        rows = rows.select("p", "c", "n", "component", "size", "alone", "s", "room", "es", (F.col("component") != F.col("own")).alias("probe"), F.explode(inside).alias("x"))
         rows = rows.select("*", F.col("x.k").alias("k"), F.col("x.e.df").alias("df"), F.col("x.e.g").alias("g")).withColumn("i", before).filter("i <= room")
-        return rows.select("p", "df", "g", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "n", "component", "size", "alone", "s", "i")])
+        return rows.select("p", "df", "g", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "n", "component", "size", "alone", "s", "i", "probe")])
 
     probes = staged(emitted(ordered.filter("component <> own"), "least", "x"), "probes")
     index = staged(emitted(ordered, "least_probe", "y"), "index")
+    crowds = index.groupBy("p", "df", "g").agg(F.count("*").alias("k"), F.min("component_y").alias("lo"), F.max("component_y").alias("hi"), F.min(F.struct("size_y", "c_y", "n_y", "component_y")).alias("hub"))
+    crowds = staged(crowds.filter(F.col("k") > SMALL).filter("lo <> hi").select("p", "df", "g", "hub"), "crowds")
+    star = index.join(crowds, ["p", "df", "g"]).filter("component_y <> hub.component_y").filter(F.least("n_y", "hub.n_y") * 100 >= F.greatest("n_y", "hub.n_y") * percent)
+    star = staged(star.select(F.least("c_y", "hub.c_y").alias("a"), F.greatest("c_y", "hub.c_y").alias("b")).distinct(), "pairs")
+    if not star.isEmpty():
+        links, labels = _joined(verify, star, links, labels)
+        probes, index = staged(_labelled(probes, labels, component_x="c_x"), "probes"), staged(_labelled(index, labels, component_y="c_y"), "index")
     # the bounds of this very pair: both places lie in its prefixes, and enough may still follow
     o = F.ceil((F.col("s_x") + F.col("s_y")) / 2 - 1e-6)
     after = [F.col(f"size_{k}") - F.col(f"alone_{k}") - F.col(f"i_{k}") for k in "xy"]
     fits = (F.col("alone_x") + F.col("i_x") <= F.col("size_x") - o) & (F.col("alone_y") + F.col("i_y") <= F.col("size_y") - o) & (F.least(*after) + F.least("i_x", "i_y") >= o)
     alike = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    met = probes.join(index, ["p", "df", "g"]).filter((F.col("component_x") != F.col("component_y")) & alike & fits)
-    return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
+    once = ~F.col("probe_y") | (F.col("c_x") < F.col("c_y"))
+    met = probes.join(index, ["p", "df", "g"]).filter((F.col("component_x") != F.col("component_y")) & once & alike & fits)
+    return met.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct(), links, labels
 
 
 def _centres(family: DataFrame, sets: DataFrame) -> DataFrame:
@@ -104,7 +115,8 @@ def _centres(family: DataFrame, sets: DataFrame) -> DataFrame:
     a, b = sets.select("c", F.col("shingles").alias("s")), sets.select(F.col("c").alias("p"), F.col("shingles").alias("sp"))
     x = family.select("p", "c", "members").join(a, "c").join(b, "p")
     d = F.filter(F.concat(F.array_except("s", "sp"), F.array_except("sp", "s")), lambda e: F.pmod(e, F.lit(8)) == 0)  # an estimate will do to choose
-    x = staged(x.select("p", "c", "members", F.explode(d).alias("e")), "votes")
+    # explode_outer: of the inner form Spark derives filters, which would work out d again
+    x = staged(x.select("p", "c", "members", F.explode_outer(d).alias("e")).filter("e IS NOT NULL"), "votes")
     most = x.groupBy("p", "e").agg((2 * F.count("*") > F.max("members")).alias("most"))
     far = x.join(most, ["p", "e"]).groupBy("p", "c").agg(F.sum(F.when(F.col("most"), -1).otherwise(1)).alias("far"))
     best = far.groupBy("p").agg(F.min(F.struct("far", "c")).alias("x")).filter("x.far < 0").select("p", F.col("x.c").alias("q"))
@@ -168,6 +180,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, verify: Callable[[DataFram
         more = staged(moved.filter("component <> own").select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct(), "pairs")
         links, labels = _joined(verify, more, links, labels)
         large = staged(_open_families(moved.select("p", "c", "n"), labels), "live")
-        last = last.unionByName(_through_pivot(large, sets, percent)).distinct()
+        pairs, links, labels = _through_pivot(large, sets, percent, verify, links, labels)
+        last = last.unionByName(pairs).distinct()
     last = staged(_labelled(last, labels, x="a", y="b").filter("x <> y").select("a", "b"), "pairs")
     return links.unionByName(staged(verify(last), "links"))

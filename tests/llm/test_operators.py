@@ -12,7 +12,7 @@ import zlib
 import pandas as pd
 import pytest
 
-from stepspan.llm import components, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_counts, url_filters, warc
+from stepspan.llm import components, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, pairs, quality, token_counts, url_filters, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string, component_id string"
@@ -445,6 +445,42 @@ def test_lines_without_spaces_are_compared_whole(spark):
     assert {r[0] for r in line_dedup.drop_repeated_lines(docs).collect()} == {*range(len(lines)), 100} - {7}
 
 
+def test_line_dedup_runs_no_python(spark, tmp_path):
+    """The plan has no Python worker, nor have those of the tables that it stages."""
+    seen = []
+    docs = spark.createDataFrame([(i, f"a line that all of them have\nand one for number {i}") for i in range(5)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    whole, line_dedup.staged = line_dedup.staged, lambda df, name: seen.append(df) or whole(df, name)
+    try:
+        seen.append(line_dedup.line_report(spark.read.parquet(str(tmp_path / "docs"))))
+    finally:
+        line_dedup.staged = whole
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) > 8 and not [p for p in plans if re.search("Arrow|Python|Pandas", p)]
+
+
+def test_two_crowds_of_a_bucket_are_not_compared_in_pairs(spark):
+    """A second crowd of near copies in a pivot's family meets one of its own, not each other and both ways round."""
+    r, crowd = random.Random(3), 120
+    core, one, two = set(range(300)), set(range(300, 400)), set(range(400, 500))
+    sets = [(i, sorted((core | (one if i < crowd else two)) - {r.randrange(300)} | {1000 + i})) for i in range(2 * crowd)]
+    met = []
+
+    def verify(found):
+        met.append(found.distinct().count())
+        return pairs.confirmed(found, table, 80)
+
+    table = spark.createDataFrame(sets, "c bigint, shingles array<int>").cache()
+    members = table.selectExpr("1L AS key", "c", "size(shingles) AS n", f"{2 * crowd}L AS mates")
+    links = pairs.bucket_links(members, table, verify, 80).toPandas()
+    root = {c: c for c, _ in sets}
+    for a, b in links.itertuples(index=False):
+        old, new = root[a], root[b]
+        root = {c: new if x == old else x for c, x in root.items()}
+    assert {frozenset(c for c in root if root[c] == x) for x in root.values()} == {frozenset(range(crowd)), frozenset(range(crowd, 2 * crowd))}
+    assert sum(met) < 12 * crowd
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
