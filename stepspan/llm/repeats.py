@@ -104,7 +104,7 @@ class Block:
         long = self.live & (self.sizes >= SIZE)
         if not long.any():
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = np.maximum(_mix(_rolling(self.data, PART)), np.uint64(1))
+        h = self.parts = np.maximum(_mix(_rolling(self.data, PART)), np.uint64(1))
         least = _sliding(h, OFFSETS, np.minimum)  # [i]: over the parts of the string at i
         valid = np.zeros(len(least) + 1, np.int8)
         valid[self.starts[long]] += 1
@@ -114,6 +114,10 @@ class Block:
         at = np.flatnonzero(h == most[: len(h)])
         return at, _mix(h[at] ^ np.uint64(0x5851F42D4C957F2D)), np.searchsorted(self.starts, at, side="right") - 1
 
+    def hashes_around(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes of around(at), from those of their three parts, which anchors() has worked out."""
+        return (self.parts[at - PART] * _BASE + self.parts[at]) * _BASE + self.parts[at + PART] if len(at) else np.zeros(0, np.uint64)
+
     def around(self, at: np.ndarray) -> np.ndarray:
         """25 bytes before each place and 50 from it on."""
         return self.data[at[:, None] + np.arange(-PART, SIZE)]
@@ -174,7 +178,7 @@ class Fragments:
         which = anchored.shared(answers)
         self.at = anchored.at[which]
         bucket = anchored.bucket[anchored.number[which]]
-        hashes = _rolling(block.data, PART + SIZE)[self.at - PART] if len(which) else np.zeros(0, np.uint64)
+        hashes = block.hashes_around(self.at)
         first, self.number = _first_of(hashes)
         if any((block.around(self.at[i : i + 65536]) != block.around(self.at[first[self.number[i : i + 65536]]])).any() for i in range(0, len(self.at), 65536)):
             rows = block.around(self.at)  # two surroundings with one hash
@@ -222,6 +226,15 @@ def repeated_offsets(rows: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> np
     return out
 
 
+def covered(n: int, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Of n bytes those that a repeated string covers; masks: its offsets before each anchor."""
+    starts = np.zeros(n, np.int32)
+    for o in range(OFFSETS):
+        starts[at[(masks >> o) & 1 == 1] - o] = 1
+    sums = np.cumsum(starts, dtype=np.int32)
+    return sums > np.concatenate((np.zeros(SIZE, np.int32), sums[:-SIZE]))
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -339,13 +352,7 @@ def _cut(bits: int, with_text: bool):
         for row, block in _read(batches):
             f = Fragments(block, Anchored(block, bits), _answers(row, "met"))
             masks = f.masks(_answers(row, "masks"))
-            starts = np.zeros(len(block.data) + 1, np.int64)
-            for o in range(OFFSETS):
-                at = f.at[(masks >> o) & 1 == 1] - o
-                starts += np.bincount(at, minlength=len(starts))
-            covered = np.cumsum(starts)
-            covered[SIZE:] -= covered[:-SIZE].copy()
-            gone = covered[:-1][block.of_raw] > 0
+            gone = covered(len(block.data), f.at, masks)[block.of_raw]
             ends = np.cumsum(block.sizes)
             copies = row["gone"] & (block.sizes >= SIZE)
             gone |= np.repeat(copies, block.sizes)

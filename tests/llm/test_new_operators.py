@@ -248,3 +248,25 @@ def test_repeats(spark, monkeypatch, block, bucket):
     got = repeats.remove_repeats(docs_of(spark, rows).repartition(3), with_text=True).collect()
     assert sorted(((*x[:5], bytes(x[5])) for x in got), key=str) == plain_repeats(rows)
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
+
+
+def test_a_block_is_hashed_once(monkeypatch):
+    """Surroundings of anchors are told apart by the parts' hashes; bytes are marked as by each string in turn."""
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"abcdef ") for _ in range(400)) for _ in range(6)]
+    texts = [t + texts[0][:200] + t[:90] for t in texts]
+    calls, rolling = [], repeats._rolling
+    monkeypatch.setattr(repeats, "_rolling", lambda *a: calls.append(a) or rolling(*a))
+    block = repeats.Block(np.arange(6), np.array([len(t) for t in texts]), b"".join(texts), np.ones(6, bool))
+    anchored = repeats.Anchored(block, 0)
+    f = repeats.Fragments(block, anchored, {0: np.packbits(np.ones(len(anchored.first), bool)).tobytes()})
+    assert len(calls) == 1
+    assert len(f.places) == len({x.tobytes() for x in block.around(f.at)}) < len(f.at)
+    assert all((block.around(f.places[f.number[[i]]]) == block.around(f.at[[i]])).all() for i in range(len(f.at)))
+    masks = np.array([r.randrange(2**repeats.OFFSETS) * r.choice([0, 1]) for _ in f.at])
+    want = np.zeros(len(block.data), bool)
+    for at, mask in zip(f.at.tolist(), masks.tolist()):
+        for o in range(repeats.OFFSETS):
+            if mask >> o & 1:
+                want[at - o : at - o + repeats.SIZE] = True
+    assert (repeats.covered(len(block.data), f.at, masks) == want).all()
