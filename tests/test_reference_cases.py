@@ -482,6 +482,37 @@ def test_live_status_without_ticks(spark, tmp_path, seed):
     assert {x.lift for x in got if x.shown == "gone"} == set(range(6))
 
 
+def test_live_status_keeps_every_open_condition(spark, tmp_path):
+    """Long conditions under many short ones come back when these have ended; resends and full states count as before."""
+    from stepspan.streaming import live
+
+    r = random.Random(5)
+    rows, n = [(0, 0, "notAvailable", 1, None, 1, False)], 1
+    for received in range(10, 130, 10):
+        rows.append((n, 0, "available", received, received + 150 - received // 2, received, False))
+        n += 1
+    for lift in (1, 2):
+        for received in sorted(r.sample(range(0, 3000), 60)):
+            start = received if r.random() < 0.7 else r.choice([0, 100, 200, max(0, received - 400), received + 90])
+            rows.append((n, lift, r.choice(["available", "notAvailable", "unknown"]), start, None if r.random() < 0.3 else start + r.randint(1, 900), received, r.random() < 0.02))
+            n += 1
+    rows.append((9998, 99, "available", 0, None, 9000, False))  # time goes on
+    rows.sort(key=lambda x: x[5])
+    schema = "id bigint, lift bigint, status string, s bigint, e bigint, r bigint, full boolean"
+    for part in [*(rows[i : i + 30] for i in range(0, len(rows), 30)), [(9999, 99, "available", 0, None, 9001, False)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = F.timestamp_seconds
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.select("id", "lift", "status", at("s").alias("start"), at("e").alias("end"), at("r").alias("received"), "full")
+    got = feeds.run_available(live.live_status(stream, hold_minutes=1, forget_minutes=60), "append", live.ROCKSDB).collect()
+    for lift in range(3):
+        own = [(i, st, s, e, rec, full) for i, x, st, s, e, rec, full in rows if x == lift]
+        want = shown_by_hand(own, 1000, 60, 3600, 8999)
+        assert sorted((x.at_us // 1_000_000, x.shown or "") for x in got if x.lift == lift) == sorted((t, x or "") for t, x in want), lift
+        if lift == 0:
+            assert (210, "notAvailable") in want and want != shown_by_hand(own, 3, 60, 3600, 8999)
+
+
 def test_live_state_is_forgotten(spark, tmp_path):
     from stepspan.streaming import live
 
