@@ -179,6 +179,28 @@ def test_partial_counts_are_flat_rows():
     assert {as_int[x["h0"]] + as_int[x["h1"]]: x["n"] for x in got.to_pylist()} == {"ab": 2, "ba": 1}
 
 
+def test_partial_counts_meet_by_slices(monkeypatch):
+    """Counts above a record's, several languages, equal hashes of different phrases; a row a slice, not a row a phrase."""
+    r = np.random.default_rng(4)
+    words = r.integers(2, 2**63, 40, dtype=np.uint64)
+    want = collections.Counter()
+    batches = []
+    for lang in ("de", "en"):
+        for _ in range(3):
+            rows = np.unique(words[r.integers(0, 40, (500, 2))], axis=0)
+            n = r.choice([1, 2, 255, 256, 1000], len(rows)).astype(np.int64)
+            batches.append(collocations._counts([lang] * len(rows), rows, n))
+            for row, x in zip(rows.view(np.int64).tolist(), n.tolist(), strict=True):
+                want[lang, *row] += x
+    for key in (collocations._key, lambda rows: (rows[:, 0] & np.uint64(7)) << np.uint64(61)):
+        monkeypatch.setattr(collocations, "_key", key)
+        dealt = list(collocations._dealt(lambda x: x, 2)(iter(batches)))
+        assert all(len(set(b.column("slice").to_pylist())) == b.num_rows for b in dealt) and (key is collocations._key or sum(b.num_rows for b in dealt) <= 48)
+        together = pa.Table.from_batches(dealt).sort_by("slice").to_batches(max_chunksize=7)
+        got = [x for b in collocations._slices_summed(2, 300)(iter(together)) for x in b.to_pylist()]
+        assert {(x["lang"], *x["hs"]): x["n"] for x in got} == {x: n for x, n in want.items() if n >= 300} and len(got) > 50
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs_of(spark, [])).count() == 0
     assert collocations.collocations(docs_of(spark, [(1, "one two", "en"), (2, None, None)])).count() == 0
