@@ -118,6 +118,19 @@ def test_last_round_by_hubs_has_the_journeys_and_their_legs(spark, trains, barre
             assert b.dep - a.arr >= minutes[x.variant, a.alight, b.board] and (a.trip, b.trip) not in ruled_out
 
 
+def test_matrix_by_hubs_is_that_of_all_pairs_of_platforms(spark):
+    """All but the payload, where equally good journeys may differ."""
+    calls, usable, bars, hubs, few, pairs = network_of(spark, 3, 40)
+    calls = calls.withColumn("day_type", F.lit("weekday"))
+    sets = calls.select("trip", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).distinct().filter("t = 1 OR trip % 3 > 0")
+    rules = bars.withColumn("kind", F.lit("impossible"))
+    usable, hubs, few, pairs = (x.withColumnRenamed("variant", "profile") for x in (usable, hubs, few, pairs))
+    spelt = jo.matrix(calls, sets, rules, pairs, usable, (540, 600), 700, 1.0)
+    got = jo.matrix(calls, sets, rules, few, usable, (540, 600), 700, 1.0, hubs)
+    rows = [sorted(map(tuple, x.drop("payload").collect())) for x in (spelt, got)]
+    assert rows[0] == rows[1] and len(rows[0]) > 30
+
+
 def test_next_departure_reads_no_frame_anew(spark):
     ready = spark.createDataFrame([(1, 7, 600), (2, 7, 601), (3, 7, 700), (4, 8, 600)], "id bigint, platform bigint, at int")
     departures = spark.createDataFrame([(7, 600, 5), (7, 600, 4), (7, 650, 6)], "platform bigint, dep int, trip bigint")
